@@ -32,6 +32,10 @@ CAPACITY = 4096
 BINS = 256
 #: Column generation ends when the bound of the pricing step shows the cost to be within this share of the optimum.
 GAP = 0.0005
+#: It also ends after so many steps that don't lower the cost (degenerate small tables).
+STALL = 150
+#: Lengths are multiples of this in the knapsack.
+UNIT = 4
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_token: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -62,12 +66,12 @@ def pieces(df: DataFrame, tokenizer_path: str, end_token: int = 2, id_col: str =
 
 
 def classes(lengths: np.ndarray, counts: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Upper ends of at most ``bins`` length classes of about equal token mass, each end a length that occurs."""
+    """Upper ends of at most ``bins`` length classes of about equal token mass: all lengths that occur, or else multiples of ``UNIT``."""
     if len(lengths) <= bins:
         return lengths
     mass = np.cumsum(lengths * counts) / float((lengths * counts).sum())
     at = np.searchsorted(mass, np.arange(1, bins + 1) / bins - 1e-12)
-    return np.unique(lengths[np.minimum(at, len(lengths) - 1)])
+    return np.unique(-(-lengths[np.minimum(at, len(lengths) - 1)] // UNIT) * UNIT)
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -98,27 +102,29 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap:
     m = len(sizes)
     if not m:
         return []
-    unit = 4 if capacity % 4 == 0 and capacity >= 1024 else 1
-    coarse, room = -(-sizes // unit), capacity // unit
+    unit = UNIT if capacity % UNIT == 0 and not (sizes % UNIT).any() else 1
+    coarse, room = sizes // unit, capacity // unit
     basis = np.diag(room // coarse).astype(float)
     inverse, amount = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
-    for step in range(12 * m):
-        duals = inverse.sum(axis=0)
+    bound, low, since = 0.0, np.inf, 0
+    while since < STALL:
+        duals, cost = inverse.sum(axis=0), float(amount.sum())
+        since = since + 1 if cost > low * (1 - 1e-5) else 0
+        low = min(low, cost)
         value, pattern = best_pattern(coarse, duals, room)
-        if value <= 1 + gap:  # the cost divided by ``value`` bounds the optimum from below
+        bound = max(bound, cost / max(value, 1.0))  # the optimum is not below this
+        if cost <= bound * (1 + gap):
             break
-        move = inverse @ pattern
+        on = np.flatnonzero(pattern)
+        move = (inverse[:, on] * pattern[on]).sum(axis=1)
         ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         amount = np.maximum(amount - ratio[out] * move, 0)
         amount[out] = ratio[out]
         basis[:, out] = pattern
         pivot = inverse[out] / move[out]
-        inverse -= np.outer(move, pivot)
+        inverse -= move[:, None] * pivot
         inverse[out] = pivot
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
     used, left = [], demand.astype(np.int64).copy()
     for k in np.argsort(-amount, kind="stable").tolist():
         pattern = basis[:, k].astype(np.int64)
