@@ -62,12 +62,15 @@ def _shuffled(docs: DataFrame, wins: DataFrame) -> DataFrame:
     sizes = [r["n"] for r in wins.select(F.size("win").alias("n")).distinct().collect()]  # at most SIZE numbers
     digest = lambda a: F.sha2(F.concat_ws(" ", a), 256)
     keyed = wins.select(digest(F.col("win")).alias("digest"), F.size("win").alias("n"), "item_id")
-    every = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.struct(i.alias("start"), digest(F.slice(F.col("w"), i, n)).alias("digest"))) for n in sizes]
+    def of_size(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), digest(F.slice(F.col("w"), i, n)).alias("digest")))
+
     base = docs.select("id", "row_key", F.size("w").alias("n_words"), "w")
     none = base.select("id", "row_key", "n_words", F.lit(None).cast("int").alias("start"), F.lit(-1).alias("n"), F.lit(None).cast("string").alias("item_id"))
     if not sizes:
         return none
-    found = base.select("id", "row_key", "n_words", F.explode(F.concat(*every)).alias("x")).select("id", "row_key", "n_words", "x.start", "x.digest")
+    found = base.select("id", "row_key", "n_words", F.explode(F.concat(*map(of_size, sizes))).alias("x")).select("id", "row_key", "n_words", "x.start", "x.digest")
     return none.unionByName(found.join(keyed.hint("shuffle_merge"), "digest").select("id", "row_key", "n_words", "start", "n", "item_id"))
 
 
