@@ -14,6 +14,7 @@ there is no pair to learn from, and every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import statistics
+from loomgraph.llm import statistics, textkit
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 16_000
@@ -85,6 +86,20 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
     return statistics.map_statistics(docs, id_col, text_col, "score double", lambda stats: [pa.array(model.score(statistics.features(stats)))])
 
 
+def accept(docs: DataFrame, model: Ranking, bar: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``bar`` or more, with all their columns; no shuffle."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in textkit.slices(batch.column(at)):
+                good = model.score(statistics.features(statistics.statistics(data, offs))) >= bar
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(column: str, divisor: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
 
