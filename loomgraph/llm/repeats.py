@@ -106,9 +106,12 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                 doc = ids[a + own]
                 place = place | tag[a + own].astype(np.int64) << PLACE_BITS
                 order, later = later_alike(gram, context, n, doc, place)
-                n = n[order]
+                n, gram = n[order], gram[order]
                 n[later] *= -1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[order], context[order], doc[order], place[order], n.astype(np.int32))], names=["gram", "context", "id", "place", "n"])
+                # what is marked already needs no meeting with its gram, however common: it goes anywhere
+                spread = textkit.mix(doc[order][later].view(np.uint64) ^ textkit.mix(place[order][later].view(np.uint64)))
+                gram[later] = spread.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context[order], doc[order], place[order], n.astype(np.int32))], names=["gram", "context", "id", "place", "n"])
 
     return docs.select("id", "tag", "text").mapInArrow(run, "gram long, context long, id long, place long, n int")
 
@@ -126,7 +129,7 @@ def _compare(rows: DataFrame) -> DataFrame:
         order, later = later_alike(gram, context, size, doc, place)
         gram, doc, place, n, size = gram[order], doc[order], place[order], n[order], size[order]
         context = context[order]
-        # the first of a kind may have been marked in its task: then an earlier alike row exists in that task, and comes before it here
+        # rows marked in their task stand alone here, under keys of their own
         mark = later | (n < 0)
         begins = np.ones(len(gram), bool)
         begins[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (size[1:] != size[:-1])
