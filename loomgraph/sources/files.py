@@ -35,7 +35,7 @@ def read_sources(spark: SparkSession, root: str | Path, paths: list[str] | None
     names = spark.createDataFrame([(p,) for p in (tracked(root) if paths is None else paths)], "path string")
     names = names.withColumn("lang", scalars.lang_from_path(F.col("path"))).where(scalars.is_source(F.col("lang")))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}").select(F.expr(f"substring(path, {len(f'file:{root}/') + 1})").alias("path"), "content")
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     rows = names.join(found, "path").select("path", "lang", text.alias("text"), F.sha2("content", 256).alias("file_hash"))
     return rows.withColumn("loc", scalars.text_loc(F.col("text")))
 
