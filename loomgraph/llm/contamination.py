@@ -26,6 +26,8 @@ SIZE = 13
 MOST_BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What no word holds, in either case.
+SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Filed for every document once, so that documents without hits stay in the result; no word can equal it.
 EACH_DOCUMENT = " "
 
@@ -111,13 +113,15 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(id, text): the words of each document without hit ones, joined by spaces; documents without hits keep their text as it is."""
+    """(id, text): each text without its hit words and what separates them from the next word; all else stays as it is."""
     hits = find(docs, benchmark, id_col, text_col, size).where("start is not null")
     places = hits.select("id", "row_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place")).groupBy("id", "row_key").agg(F.collect_set("place").alias("places"))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     joined = own.join(places, own["id"].eqNullSafe(places["id"]) & (own["row_key"] == places["row_key"]), "left").select(own["id"], own["text"], "places")
-    left = F.filter(words(F.col("text")), lambda w, i: ~F.array_contains(F.col("places"), (i + 1).cast("int")))
-    return joined.select(F.col("id").alias(id_col), F.when(F.col("places").isNull(), F.col("text")).otherwise(F.concat_ws(" ", left)).alias("text"))
+    units = F.regexp_extract_all("text", F.lit(f"([^{SEPARATORS}]+[{SEPARATORS}]*)"), F.lit(1))
+    left = F.filter(units, lambda w, i: ~F.array_contains(F.col("places"), (i + 1).cast("int")))
+    rest = F.concat(F.regexp_extract("text", f"^[{SEPARATORS}]*", 0), F.array_join(left, ""))
+    return joined.select(F.col("id").alias(id_col), F.when(F.col("places").isNull(), F.col("text")).otherwise(rest).alias("text"))
 
 
 _WORDS_SQL = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
