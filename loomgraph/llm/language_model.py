@@ -42,6 +42,8 @@ OFFSETS = np.cumsum([0, WORD_ROWS, PAIR_ROWS, SKIP_ROWS])
 TABLE_ROWS = WORD_ROWS + PAIR_ROWS + SKIP_ROWS + PAIR_ROWS
 ROUNDS, BATCH, RATE, SMOOTH = 2, 8192, 0.4, 0.1
 ROWS_A_BLOCK = 512
+#: Word counts that a task holds before it sends them on.
+HELD = 600_000
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,14 +83,28 @@ class Vocabulary:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, form, n) over all rows (text)."""
 
+    def batch_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        code, uniq = pd.factorize(np.concatenate([h[0] for h in held]))
+        form, n = np.zeros(len(uniq), np.int32), np.zeros(len(uniq), np.int64)
+        form[code] = np.concatenate([h[1] for h in held])
+        np.add.at(n, code, np.concatenate([h[2] for h in held]))
+        return pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.uint64).view(np.int64)), pa.array(form), pa.array(n)], names=["word", "form", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for _, _, data, offs in textkit.slices(batch.column(0), 1 << 24):
+            for _, _, data, offs in textkit.slices(batch.column(0)):
                 word, form, _ = tokens(data, offs)
                 code, uniq = pd.factorize(word)
                 of = np.zeros(len(uniq), np.int32)
                 of[code] = form
-                yield pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.uint64).view(np.int64)), pa.array(of), pa.array(np.bincount(code, minlength=len(uniq)))], names=["word", "form", "n"])
+                held.append((uniq.astype(np.uint64), of, np.bincount(code, minlength=len(uniq))))
+                size += len(uniq)
+                if size > HELD:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return docs.select("text").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
@@ -216,7 +232,7 @@ def _rare_words(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offs in textkit.slices(batch.column(1), 1 << 22):
+            for a, _, data, offs in textkit.slices(batch.column(1)):
                 word, _, first = tokens(data, offs)
                 own = textkit.owner(first)
                 code, uniq = pd.factorize(word)
