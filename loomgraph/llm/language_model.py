@@ -34,13 +34,13 @@ from loomgraph.llm import shared, textkit
 from loomgraph.llm.ranking import remainder
 
 #: Words with their counts in every task; words with a class of their own; groups of the other words.
-HEAD, SINGLES, FORMS = 131_072, 40, 23
+HEAD, SINGLES, FORMS = 131_072, 8, 23
 END_CLASS = SINGLES
 CLASSES = SINGLES + 1 + FORMS
 WORD_ROWS, PAIR_ROWS, SKIP_ROWS = 4096, CLASSES * CLASSES, 2048
 OFFSETS = np.cumsum([0, WORD_ROWS, PAIR_ROWS, SKIP_ROWS])
 TABLE_ROWS = WORD_ROWS + PAIR_ROWS + SKIP_ROWS + PAIR_ROWS
-ROUNDS, BATCH, RATE, SMOOTH = 2, 8192, 0.4, 0.1
+ROUNDS, BATCH, RATE, SMOOTH = 2, 16_384, 0.4, 0.1
 ROWS_A_BLOCK = 512
 #: Word counts that a task holds before it sends them on.
 HELD = 600_000
