@@ -42,6 +42,9 @@ ASIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond".split())
 WHOLE_PAGE = frozenset("html body main".split())
+# Words of class names that tell a frame around others, and an article's own heading.
+FRAME_WORDS = frozenset("wrapper wrap container layout with has page content".split())
+OWN_HEADER_WORDS = frozenset("article entry post story".split())
 
 
 def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
@@ -55,7 +58,10 @@ def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z0-9]+", value))
-            if words & (COMMENT_WORDS if tag == "article" else ASIDE_WORDS):
+            told = words & (COMMENT_WORDS if tag == "article" else ASIDE_WORDS)
+            if words & OWN_HEADER_WORDS:
+                told = told - {"header"}
+            if told and not words & FRAME_WORDS:
                 return True
         elif name == "role" and value in ASIDE_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
