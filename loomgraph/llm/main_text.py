@@ -43,7 +43,7 @@ ASIDE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond".split())
 WHOLE_PAGE = frozenset("html body main".split())
 # Words of class names that tell a frame around others, and an article's own heading.
-FRAME_WORDS = frozenset("wrapper wrap container layout with has page content".split())
+FRAME_WORDS = frozenset("layout with has".split())
 OWN_HEADER_WORDS = frozenset("article entry post story".split())
 
 
