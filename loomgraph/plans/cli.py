@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.plans.engine import AmbiguousTargetError, Engine, TargetNotFoundError
-from loomgraph.render import trees
+from loomgraph.render import reports, trees
 from loomgraph.sources import files
 from loomgraph.sources.store import NoIndexError
 
@@ -53,13 +54,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def rendered(root: trees.Node, args: argparse.Namespace, command: str, linear: bool = False) -> str:
+def rendered(root: trees.Node, args: argparse.Namespace, command: str, engine: Engine, linear: bool = False) -> str:
     fence = not args.no_fence
     match args.output:
         case "folded":
             return trees.folded([root])
         case "json":
-            return trees.to_json(command, root.name, args.depth, args.weight, [root], [])
+            partners = [r.asDict() for r in engine.coupled(root.file).collect()]
+            omitted = 0 if linear else engine.beyond(args.target, args.depth, command == "callers")
+            return trees.to_json(command, args.target, args.depth, args.weight, [root], partners, omitted, engine.external_edges())
         case "html":
             return trees.page(f"{command} {root.name}", [root])
         case "mermaid":
@@ -69,13 +72,18 @@ def rendered(root: trees.Node, args: argparse.Namespace, command: str, linear: b
     return trees.tree([root], not args.no_color, args.depth)
 
 
+def listed(df: DataFrame, args: argparse.Namespace, report: Callable[[list[dict]], str]) -> str:
+    rows = [r.asDict() for r in df.collect()]
+    return json.dumps(rows, default=str, indent=2) if args.output == "json" else report(rows)
+
+
 def run(args: argparse.Namespace, engine: Engine) -> str:
     table = lambda df: "\n".join("\t".join(str(v) for v in r) for r in df.collect())
     match args.command:
         case "index":
             return json.dumps(engine.index(args.full, not args.no_git))
         case "paths" if args.analyze and args.to:
-            return table(engine.signals(args.target, args.to, args.depth))
+            return listed(engine.signals(args.target, args.to, args.depth), args, reports.signals)
         case "paths" if args.to:
             steps = engine.path_to(args.target, args.to, args.depth, args.min_confidence).join(engine.symbols(), "id").orderBy("step").collect()
             if not steps:
@@ -83,9 +91,9 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
             below: list[trees.Node] = []
             for r in reversed(steps):
                 below = [trees.Node(r["id"], r["name"], r["qualified"], r["path"], (r["span_start"], r["span_end"]), children=below)]
-            return rendered(below[0], args, "paths", linear=True)
+            return rendered(below[0], args, "paths", engine, linear=True)
         case "paths" | "callers":
-            return rendered(engine.tree(args.target, args.depth, args.min_confidence, args.command == "callers", args.weight), args, args.command)
+            return rendered(engine.tree(args.target, args.depth, args.min_confidence, args.command == "callers", args.weight), args, args.command, engine)
         case "diff" | "branch":
             df = engine.diff(*args.revisions) if args.command == "diff" else engine.branch(args.name, args.base)
             nodes = [trees.Node(r["id"], r["name"], r["qualified"], r["path"], weight=r["weight"] if args.weight == "diff" else 0.0, mark=r["mark"]) for r in df.orderBy("qualified").collect()]
@@ -93,7 +101,7 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         case "map":
             return trees.file_list([(r["path"], r["weight"]) for r in engine.map(args.top, "churn" if args.weight == "none" else args.weight).collect()])
         case "hotspots":
-            return table(engine.hotspots(args.top, args.include_tests).select("path", "hotspot", "churn", "heat", "age"))
+            return listed(engine.hotspots(args.top, args.include_tests), args, reports.hotspots)
         case "coupled":
             found = [r.asDict() for r in engine.coupled(args.target, args.min, args.support).collect()]
             if args.output in ("mermaid", "dot"):
@@ -105,11 +113,13 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
             df = engine.smells()
             if args.output in ("mermaid", "dot"):
                 return (trees.mermaid_class if args.output == "mermaid" else trees.dot_class)([(r["subject"], r["kind"]) for r in df.collect()], not args.no_fence)
-            return table(df)
+            return listed(df, args, reports.smells)
         case "explain":
-            return json.dumps(engine.explain(args.target), default=str, indent=2)
+            found = engine.explain(args.target)
+            return json.dumps(found, default=str, indent=2) if args.output == "json" else reports.explain(found)
         case _:
-            return json.dumps(engine.explain_pr(args.name, args.base), indent=2)
+            found = engine.explain_pr(args.name, args.base)
+            return json.dumps(found, indent=2) if args.output == "json" else reports.pull_request(args.name, args.base, found)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -158,6 +158,16 @@ class Engine:
                 outside.setdefault(r[a], []).append(r[b].removeprefix(linking.EXTERNAL))
         return trees.build(start["id"], nodes, edges, depth, min_confidence, outside)
 
+    def beyond(self, target: str, depth: int, reverse: bool = False) -> int:
+        """Nodes that one more level would add."""
+        start = self.resolve(target)["id"]
+        known = self.symbols().select("id")
+        count = lambda d: graph.reachable(self.calls(), start, d, reverse=reverse).join(known, "id", "left_semi").count()
+        return count(depth + 1) - count(depth)
+
+    def external_edges(self) -> int:
+        return self.calls().where(F.col("to_id").startswith(linking.EXTERNAL)).count()
+
     def hotspots(self, n: int = 20, include_tests: bool = False) -> DataFrame:
         rows = mining.hotspots(self.file_stats(), n, include_tests)
         return rows.withColumn("heat", scalars.heat_label(F.col("hotspot"))).withColumn("age", scalars.age_label(F.col("age_days")))

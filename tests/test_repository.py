@@ -10,7 +10,7 @@ import pytest
 
 from loomgraph.plans import cli
 from loomgraph.plans.engine import AmbiguousTargetError, Engine, TargetNotFoundError
-from loomgraph.render import trees
+from loomgraph.render import reports, trees
 from loomgraph.sources import config, extract
 from loomgraph.sources.store import NoIndexError, Store
 
@@ -102,6 +102,22 @@ def test_patterns_and_queries(engine):
     assert shown.startswith("alpha\n") and "beta" in shown and "gamma" in shown
 
 
+def test_command_line(engine, capsys):
+    def shown(*args):
+        assert cli.main(["--repo", str(engine.root), *args]) == 0
+        return capsys.readouterr().out
+
+    assert shown("hotspots").split("\n")[0].endswith("a.py")
+    found = json.loads(shown("-o", "json", "--depth", "1", "paths", "first"))
+    assert found["query"]["target"] == "first" and found["root"]["children"][0]["name"] == "second" and not found["truncated"]["depth"]
+    assert json.loads(shown("-o", "json", "--depth", "1", "paths", "run"))["truncated"]["depth"] is False
+    assert "calls" in shown("-o", "mermaid", "paths", "first", "--to", "second")
+    assert "path_depth" in shown("paths", "first", "--to", "second", "--analyze")
+    assert "risk        LOW" in shown("explain", "alpha") and "a.py" in shown("map") and "a.py" in shown("age") and "b.py" in shown("coupled", "a.py", "--support", "2")
+    assert "high_complexity" not in shown("smells")
+    assert cli.main(["--repo", str(engine.root), "explain", "nothing"]) == 1
+
+
 def test_incremental_equals_full(engine):
     before = sorted(map(str, engine.store.read("edges").collect()))
     stats = sorted(map(str, engine.store.read("git_stats").collect()))
@@ -117,6 +133,7 @@ def test_diff_and_pr(engine):
     subprocess.run(["git", "-C", str(engine.root), "checkout", "-qb", "work"], check=True)
     commit(engine.root, "work")
     assert "b.py" in engine.explain_pr("work")["changed"]
+    assert "a.py" in reports.pull_request("work", "main", engine.explain_pr("work", support=2))
     assert engine.explain_pr("work", strength=0.5, support=2)["missed"] == [{"partner": "a.py", "strength": 1.0}]
 
 
