@@ -140,7 +140,7 @@ class Tables:
 
 def _cte() -> dict[str, str]:
     name = {k: k for k in ("part", "orders", "lineitem", "symbols0")}
-    age = f"greatest(date_diff('day', CAST(last_commit_ts AS DATE), DATE '{AS_OF}'), 0)"
+    age = f"CAST(greatest(date_diff('day', CAST(last_commit_ts AS DATE), DATE '{AS_OF}'), 0) AS INT)"
     return {
         "symbols0": SYMBOLS0.format(**name),
         "files": FILES.format(**name),

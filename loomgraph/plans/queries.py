@@ -536,7 +536,7 @@ def _(t):
     return A.findings(t.symbols)
 
 
-@query("smell_by_kind", f"SELECT kind, id, path, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path, id) AS n FROM ({_FOUND})) WHERE n <= 3")
+@query("smell_by_kind", f"SELECT kind, id, path, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path, id) AS n FROM ({_FOUND})) WHERE n <= 3")
 def _(t):
     return A.top_by_kind(A.findings(t.symbols))
 
