@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.functions import scalars
 from loomgraph.operators import linking, mining, spans
+from loomgraph.runtime import ship
 
 AS_OF = "2001-08-02"
 MASS_COMMIT = 8
@@ -51,6 +52,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship(spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
