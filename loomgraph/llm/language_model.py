@@ -112,7 +112,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, ends: int, head: int = HEAD) -> Vocabulary:
     """From exact counts: what every task needs, of bounded size."""
     forms = {r["form"]: (r["n"], r["v"]) for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    top = counts.orderBy(F.col("n").desc(), "word").limit(head).toPandas()
+    # the head: all words at least as frequent as a bar that leaves no more than ``head`` of them
+    octave = F.floor(F.log2("n") * 16)
+    bar, room = np.inf, head
+    for r in sorted(counts.groupBy(octave.alias("octave")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["octave"]):
+        room -= r["v"]
+        if room < 0:
+            break
+        bar = r["octave"]
+    top = counts.where(octave >= F.lit(float(bar))).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     single = np.full(len(top), -1, np.int64)
     single[:SINGLES] = np.arange(min(SINGLES, len(top)))
