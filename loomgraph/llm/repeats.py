@@ -9,6 +9,8 @@ judged on the input.
    are filed alike. Neighbouring windows mostly share their gram: they make one
    context. Contexts that are alike within a slice of a task are merged there
    before the shuffle, so strings that very many documents share are few rows.
+   Grams that very many *different* contexts share would bring these to one task:
+   their windows are filed singly, each under its own bytes.
 2. Contexts meet by gram. Of equal contexts only the first one's windows can be
    first occurrences; the others are marked whole. A gram whose first contexts
    differ asks for their texts.
@@ -39,6 +41,8 @@ LENGTH, GRAM = 100, 40
 #: Windows of one segment; a position in a segment and 40 bits of a hash share a 64-bit number.
 SEGMENT = 1 << 23
 PLACE_BITS = 40
+#: Documents, about, among which common grams are looked for, and the number of contexts there that makes a gram common.
+LOOKED_AT, COMMON = 20_000, 100
 #: Bytes of contexts that are sorted at a time.
 SORTED_AT_ONCE = 1 << 22
 NO_ID = (1 << 63) - 1
@@ -95,23 +99,57 @@ def _numbers(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column(i).to_numpy(zero_copy_only=False)
 
 
-def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, context, id, place, n): n < 0 for contexts already known to be repeats."""
+def common_grams(docs: DataFrame, length: int) -> np.ndarray:
+    """Grams that very many different contexts share, sorted; found in a bounded number of documents.
+
+    This only decides how windows are filed, for all tasks alike, not what the result is.
+    """
+    every = max(1, docs.count() // LOOKED_AT)
+    part = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    kinds = _contexts(part, length, np.zeros(0, np.int64)).where("n > 0").select("gram", "context").distinct()
+    many = kinds.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") >= COMMON)
+    return np.sort(np.array([r["gram"] for r in many.select("gram").collect()], np.int64))
+
+
+def _single_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number within the row, hash) of each window of runs that begin at ``start``."""
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[row] + k
+    prefix = textkit.prefix_hash(textkit.BYTE_VALUES[data])
+    return row, k, textkit.mix(textkit.span_hash(prefix, at, at + length) ^ np.uint64(textkit.BASE)).view(np.int64)
+
+
+def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
+    """(gram, context, id, place, n): n < 0 for contexts already known to be repeats.
+
+    Windows of ``common`` grams are filed one by one, under their own hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tag = _numbers(batch, 0), _numbers(batch, 1)
             for a, _, data, offs in textkit.slices(batch.column(2), 1 << 22):
-                gram, context, own, place, n = contexts(data, offs, length)
+                gram, context, own, start, n = contexts(data, offs, length)
                 doc = ids[a + own]
-                place = place | tag[a + own].astype(np.int64) << PLACE_BITS
+                place = start | tag[a + own].astype(np.int64) << PLACE_BITS
                 order, later = later_alike(gram, context, n, doc, place)
-                n, gram = n[order], gram[order]
+                cols = [c[order] for c in (gram, context, doc, place, n)]
+                split = ~later & np.isin(cols[0], common) if len(common) else np.zeros(len(later), bool)
+                if split.any():
+                    chosen = order[split]
+                    row, k, window = _single_windows(data, (offs[own] + start)[chosen], n[chosen], length)
+                    one, none = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
+                    single = (window, none, doc[chosen][row], place[chosen][row] + k, one)
+                    by, later_one = later_alike(window, none, one, single[2], single[3])
+                    cols = [np.concatenate([c[~split], x[by]]) for c, x in zip(cols, single, strict=True)]
+                    later = np.concatenate([later[~split], later_one])
+                gram, context, doc, place, n = cols
                 n[later] *= -1
                 # what is marked already needs no meeting with its gram, however common: it goes anywhere
-                spread = textkit.mix(doc[order][later].view(np.uint64) ^ textkit.mix(place[order][later].view(np.uint64)))
+                spread = textkit.mix(doc[later].view(np.uint64) ^ textkit.mix(place[later].view(np.uint64)))
                 gram[later] = spread.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context[order], doc[order], place[order], n.astype(np.int32))], names=["gram", "context", "id", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context, doc, place, n.astype(np.int32))], names=["gram", "context", "id", "place", "n"])
 
     return docs.select("id", "tag", "text").mapInArrow(run, "gram long, context long, id long, place long, n int")
 
@@ -259,7 +297,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = [F.struct(*rest).alias("row")] if keep_columns else [F.col(id_col).alias("row")]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
-    compared = shared.materialize(_compare(_contexts(docs, length)), "contexts")
+    compared = shared.materialize(_compare(_contexts(docs, length, common_grams(docs, length))), "contexts")
     # one exchange of the texts serves both joins below
     parts = shared.shuffle_partitions(df.sparkSession)
     placed = docs.repartition(parts, "id")

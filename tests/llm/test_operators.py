@@ -229,6 +229,14 @@ def test_repeats(docs, texts):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == brute_repeats(texts, 100)
 
 
+def test_common_grams_change_nothing(monkeypatch, docs, texts):
+    monkeypatch.setattr(repeats, "COMMON", 2)
+    seen = docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "0 as tag")
+    assert len(repeats.common_grams(seen, 100)) >= 3
+    got = rows_of(repeats.repeats(docs))
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == brute_repeats(texts, 100)
+
+
 def test_repeats_within_runs(spark):
     odd = ["a" * 700, "ab" * 300, "x" + "a" * 350 + "\0" + "b" * 120, None, "a" * 99, "é" * 120, "zé" + "é" * 119]
     got = rows_of(repeats.repeats(frame(spark, odd)))
@@ -407,6 +415,7 @@ def test_chats(spark):
     ("<div>" + "long text here " * 20 + '</div><div><a href=x>link one</a></div><div class="ad">buy</div>', ("long text here " * 20).strip()),
     ('<article><p>one</p><article class="comment"><p>two</p></article><p>three</p></article>', "one three"),
     ('<article><p>x</p><script>var a="<p>no</p>";</script><!-- <p>c</p> --><p>y</p><style>p{}</style>', "x y"),
+    ('<div class="page-with-sidebar"><div class="sidebar">s</div><article><div class="article-header"><h1>T</h1></div><p>x</p></article></div>', "T x"),
     ("<article>a < b and \n c&nbsp;d &copy; &#8364; &am", "<never>"),
 ])
 def test_main_text(page, want):
