@@ -31,9 +31,9 @@ from loomgraph.llm import shared, textkit, transducer
 CAPACITY = 4096
 BINS = 256
 #: Column generation ends when the bound of the pricing step shows the cost to be within this share of the optimum.
-GAP = 0.0005
-#: It also ends after so many steps that don't lower the cost (degenerate small tables).
-STALL = 150
+GAP = 0.001
+#: It also ends if so many steps lower the cost by less than this share (degenerate small tables).
+STALL, LEAST_GAIN = 100, 0.02
 #: Lengths are multiples of this in the knapsack.
 UNIT = 4
 
@@ -106,14 +106,17 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap:
     coarse, room = sizes // unit, capacity // unit
     basis = np.diag(room // coarse).astype(float)
     inverse, amount = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
-    bound, low, since = 0.0, np.inf, 0
-    while since < STALL:
+    bound, step, before = 0.0, 0, np.inf
+    while True:
         duals, cost = inverse.sum(axis=0), float(amount.sum())
-        since = since + 1 if cost > low * (1 - 1e-5) else 0
-        low = min(low, cost)
+        if step % STALL == 0:
+            if cost > before * (1 - LEAST_GAIN):
+                break
+            before = cost
+        step += 1
         value, pattern = best_pattern(coarse, duals, room)
         bound = max(bound, cost / max(value, 1.0))  # the optimum is not below this
-        if cost <= bound * (1 + gap):
+        if cost - bound <= max(gap * bound, 1):  # less than one sequence can't show in whole numbers
             break
         on = np.flatnonzero(pattern)
         move = (inverse[:, on] * pattern[on]).sum(axis=1)
