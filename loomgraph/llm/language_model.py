@@ -164,11 +164,13 @@ def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.
 
 def predict(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities (base e) of all classes."""
-    z = weights[rows[:, 0]] + bias
+    z = np.take(weights, rows[:, 0], axis=0)
+    z += bias
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
+        z += np.take(weights, rows[:, k], axis=0)
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 @dataclass
@@ -186,10 +188,11 @@ class Learner:
             gradient = np.exp(predict(self.weights, self.bias, r))
             gradient[np.arange(len(y)), y] -= 1
             for k in range(r.shape[1]):
-                order = np.argsort(r[:, k], kind="stable")
-                s = r[order, k]
+                feature = r[:, k].astype(np.uint16)  # the table has fewer rows; short keys sort by radix
+                order = np.argsort(feature, kind="stable")
+                s = feature[order]
                 begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                at, g = s[begin], np.add.reduceat(gradient[order], begin, axis=0)
+                at, g = s[begin].astype(np.int64), np.add.reduceat(np.take(gradient, order, axis=0), begin, axis=0)
                 self.force[at] += (g * g).sum(axis=1)
                 self.seen[at] += np.diff(np.append(begin, len(s)))
                 self.weights[at] -= rate * g / np.sqrt(self.force[at])[:, None]
