@@ -1,14 +1,18 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one for each block of the page, in page order. Lines
-of scripts, styles, menus, page headers and footers, sidebars, notices, adverts,
-forms and reader comments, told by elements, roles and class names, weigh nothing;
-where the page marks its article, lines outside it weigh nothing either, and so do
-lines that are mostly links where it doesn't. Weights are summed over windows of
-consecutive lines. A surge is where the sums rise from nothing to the bar, a dive
-where they fall to nothing again: lines with weight between them are the text. The
-bar is low inside a marked article; without one, and if nothing reaches the bar,
-the heaviest stretch is the text.
+Markup is stripped to lines, one for each block of the page that has text, in page
+order. A line weighs what it has of characters outside links. Lines of scripts,
+styles, menus, page headers and footers, sidebars, notices, adverts, forms and
+reader comments, told by elements, roles and class names, weigh nothing, and so do
+lines that are mostly links. Weights are summed over windows of consecutive lines.
+A surge is where the sums rise from nothing, a dive where they fall to nothing
+again; a stretch between them is text if a window of it reaches the bar;
+the bar is lower on pages that are light as a whole. Lines without weight within a
+stretch of text are text, unless they are boilerplate elements.
+
+Lines in an article that the page marks weigh ``MARK`` times as much. Other text is
+weighed against the heaviest article: it needs more than that to be text as well,
+and an article that is ``MARK`` times lighter still is a card beside the text.
 
 White space within a line becomes one space, character references are decoded,
 lines are joined by one space. Null or empty html gives empty text; markup that is
@@ -20,13 +24,14 @@ from __future__ import annotations
 
 import html as html_library
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, BAR = 3, 86
+WINDOW, BAR, MARK = 3, 86, 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![^\s/])(hidden)(?![^\s/])""")
@@ -42,6 +47,8 @@ ASIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond".split())
 WHOLE_PAGE = frozenset("html body main".split())
+#: How many of the elements around a line tell that two lines belong together.
+NEAR = 3
 # Words of class names that tell a frame around others, and an article's own heading.
 FRAME_WORDS = frozenset("layout with has".split())
 OWN_HEADER_WORDS = frozenset("article entry post story".split())
@@ -68,24 +75,45 @@ def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, characters in links, inside an article) of each line, whether an article is marked); lines of no weight are empty."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(text, characters in links, number of the article or 0, nearest containers) of each line that has text; boilerplate elements' texts are empty."""
+    out: list[tuple[str, int, int, tuple[int, ...]]] = []
     parts: list[str] = []
-    linked, in_link, article, marked = 0, False, 0, False
+    linked, in_link, article, articles, left_out = 0, False, 0, 0, False
     skip, depth, skip_comments = "", 0, False
     at, end = 0, len(page)
+    around: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    elements = 0
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal linked, left_out
         text = " ".join(html_library.unescape("".join(parts)).split()) if parts else ""
-        out.append((text, linked, article > 0))
+        if text or left_out:
+            out.append((text, linked, articles if article else 0, tuple(n for _, n in around[-NEAR:]) if text else ()))
         parts.clear()
-        linked = 0
+        linked, left_out = 0, False
+
+    def nest(tag: str, closing: bool) -> None:
+        nonlocal elements
+        if tag in WHOLE_PAGE - {"main"}:
+            return
+        if closing or tag in ("p", "li") and around and around[-1][0] == tag:
+            while opened[tag]:
+                last = around.pop()[0]
+                opened[last] -= 1
+                if last == tag:
+                    break
+        if not closing:
+            elements += 1
+            opened[tag] += 1
+            around.append((tag, elements))
 
     def take(piece: str) -> None:
-        nonlocal linked
-        if not skip:
+        nonlocal linked, left_out
+        if skip:
+            left_out = left_out or not piece.isspace()
+        else:
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
@@ -127,43 +155,54 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if closing:
                 article = max(0, article - 1)
             elif not _is_aside(tag, m["attrs"], article > 0):
-                article, marked = article + 1, True
+                articles += article == 0
+                article += 1
+                nest(tag, False)
                 continue
         if not closing and tag not in VOID and not m["attrs"].endswith("/") and _is_aside(tag, m["attrs"], article > 0):
             skip, depth, in_link = tag, 1, False
             words = set(re.split(r"[^a-z0-9]+", m["attrs"].lower()))
             skip_comments = bool(words & COMMENT_WORDS)
+        elif tag not in INLINE and tag not in VOID and (closing or not m["attrs"].endswith("/")):
+            nest(tag, closing)
     close_line()
-    return out, marked
-
-
-def stretches(weights: list[int], bar: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) line numbers: where window sums go up from nothing to ``bar`` at least, and back to nothing."""
-    n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    out, start, peak = [], -1, 0
-    for i, total in enumerate([*sums, 0]):
-        if total and start < 0:
-            start, peak = i, 0
-        peak = max(peak, total)
-        if not total and start >= 0:
-            if peak >= bar:
-                out.append((start, i))
-            start = -1
+    return out
+
+
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line with weight, line after the last, heaviest window) of each stretch in which no window sum is nothing."""
+    out: list[tuple[int, int, int]] = []
+    for i, weight in enumerate(weights):
+        if not weight:
+            continue
+        total = sum(weights[i : i + window])
+        if out and i - out[-1][1] < window:
+            out[-1] = (out[-1][0], i + 1, max(out[-1][2], total))
+        else:
+            out.append((i, i + 1, total))
     return out
 
 
 def main_text(page: str | None) -> str:
-    found, marked = lines(page or "")
-    if marked:
-        weights = [len(text) if inside else 0 for text, _, inside in found]
-        kept = stretches(weights, 1)
+    found = lines(page or "")
+    weights = [0 if 2 * linked > len(text) else len(text) - linked for text, linked, _, _ in found]
+    if not any(weights):
+        weights = [len(text) for text, _, _, _ in found]
+    groups: dict[int, list[int]] = {}
+    for i, line in enumerate(found):
+        groups.setdefault(line[2], []).append(i)
+    # (lines, heaviest window, weight of all) of the stretches of each article, and outside
+    runs = {k: [(at[a:b], peak * (MARK if k else 1), sum(weights[i] for i in at[a:b])) for a, b, peak in stretches([weights[i] for i in at])] for k, at in groups.items()}
+    inside = {k: sum(x[2] for x in v) for k, v in runs.items() if k}
+    outside = max((x[2] for x in runs.get(0, [])), default=0)
+    if outside > MARK * max(inside.values(), default=0):
+        chosen = [x for k, v in runs.items() if not k or MARK * MARK * inside[k] >= outside for x in v]
     else:
-        weights = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in found]
-        kept = stretches(weights, BAR)
-        if not kept:
-            kept = sorted(stretches(weights, 1), key=lambda x: -sum(weights[x[0] : x[1]]))[:1]
-    return " ".join(found[i][0] for a, b in kept for i in range(a, min(b, len(found))) if weights[i])
+        chosen = [x for k, v in runs.items() if k for x in v]
+    chosen.sort(key=lambda x: x[0][0])
+    bar = min(BAR, max((x[1] for x in chosen), default=0) / 2)
+    kept = [x[0] for x in chosen if x[1] >= bar]
+    return " ".join(found[j][0] for j in sorted(j for x in kept for j in x) if found[j][0])
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
