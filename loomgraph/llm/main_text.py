@@ -6,7 +6,8 @@ styles, menus, page headers and footers, sidebars, notices, adverts, forms and
 reader comments, told by elements, roles and class names, weigh nothing, and so do
 lines that are mostly links. Weights are summed over windows of consecutive lines.
 A surge is where the sums rise from nothing, a dive where they fall to nothing
-again; a stretch between them is text if a window of it reaches the bar;
+again; a stretch between them is text if a window of it reaches the bar. Lighter
+stretches are text between two others and where they share a container with one;
 the bar is lower on pages that are light as a whole. Lines without weight within a
 stretch of text are text, unless they are boilerplate elements.
 
@@ -201,7 +202,9 @@ def main_text(page: str | None) -> str:
         chosen = [x for k, v in runs.items() if k for x in v]
     chosen.sort(key=lambda x: x[0][0])
     bar = min(BAR, max((x[1] for x in chosen), default=0) / 2)
-    kept = [x[0] for x in chosen if x[1] >= bar]
+    heavy = [i for i, x in enumerate(chosen) if x[1] >= bar]
+    near = {n for i in heavy for j in chosen[i][0] for n in found[j][3]}
+    kept = [x[0] for i, x in enumerate(chosen) if x[1] >= bar or heavy[0] < i < heavy[-1] or any(n in near for j in x[0] for n in found[j][3])]
     return " ".join(found[j][0] for j in sorted(j for x in kept for j in x) if found[j][0])
 
 

@@ -18,3 +18,17 @@ MENU = "<ul>" + "<li><a href=x>Go there</a></li>" * 4 + "</ul>"
 ])
 def test_article_mark_is_weight(page, want):
     assert main_text.main_text(page) == " ".join(x.strip() for x in want)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><div><p>{LONG}</p></div><div><p>The end.</p></div>", [LONG, "The end."]),
+    # light stretches: between two others, and in the container of one
+    (f"<div><p>{LONG}</p></div>{MENU}<div><p>Short.</p></div>{MENU}<div><p>{LONG}</p></div>", [LONG, "Short.", LONG]),
+    (f"<div><div><p>{LONG}</p></div>{MENU}<div><p>The end.</p></div></div>", [LONG, "The end."]),
+    (f"<div><div><p>{LONG}</p></div></div><div>{MENU}</div><div><p>We of this site</p></div>", [LONG]),
+    ("<div><p>One line.</p></div>" * 3, ["One line."] * 3),
+    (f"<div><p>One line.</p></div>{MENU}<div><p>Two lines.</p></div>", ["One line.", "Two lines."]),
+    (f"<p>{LONG}</p><p>See <a href=x>a long name of a page</a>.</p><p>{LONG}</p>", [LONG, "See a long name of a page.", LONG]),
+])
+def test_pages_without_an_article(page, want):
+    assert main_text.main_text(page) == " ".join(x.strip() for x in want)
