@@ -5,8 +5,8 @@ that of the token within its class. Classes are the most frequent words (one
 each), the end of a text, and groups of other words by their last two bytes. The
 class is predicted by a softmax over n-gram features (the word before; the two
 classes before) and skip features (the word before that; the third and fourth
-class back), hashed into a weight table of fixed size. Within a class, words go
-by their smoothed counts.
+class back), hashed into a weight table whose rows grow with the number of different
+words, up to a bound. Within a class, words go by their smoothed counts.
 
 Weights are learnt in rounds, each over its own part of all training documents:
 every task makes gradient updates on its documents, and the updates are averaged,
@@ -34,14 +34,26 @@ from loomgraph.llm import shared, textkit
 from loomgraph.llm.ranking import remainder
 
 #: Words with their counts in every task; words with a class of their own; groups of the other words.
-HEAD, SINGLES, FORMS = 131_072, 8, 23
+HEAD, SINGLES, FORMS = 131_072, 40, 23
 END_CLASS = SINGLES
 CLASSES = SINGLES + 1 + FORMS
-WORD_ROWS, PAIR_ROWS, SKIP_ROWS = 4096, CLASSES * CLASSES, 2048
-OFFSETS = np.cumsum([0, WORD_ROWS, PAIR_ROWS, SKIP_ROWS])
-TABLE_ROWS = WORD_ROWS + PAIR_ROWS + SKIP_ROWS + PAIR_ROWS
-ROUNDS, BATCH, RATE, SMOOTH = 2, 16_384, 0.4, 0.1
-ROWS_A_BLOCK = 512
+PAIR_ROWS = CLASSES * CLASSES
+#: Rows of the weight table for the word before, half as many for the one before that; places in each part are 16-bit numbers.
+LEAST_WORD_ROWS, MOST_WORD_ROWS = 4096, 65_536
+
+
+def layout(distinct: int) -> np.ndarray:
+    """Where the parts of the weight table begin and end, for so many different words: a row for each, within bounds."""
+    rows = min(max(LEAST_WORD_ROWS, 1 << max(distinct - 1, 0).bit_length()), MOST_WORD_ROWS)
+    return np.cumsum([0, rows, PAIR_ROWS, rows // 2, PAIR_ROWS])
+
+
+#: Of the smallest table.
+TABLE_ROWS = int(layout(0)[-1])
+ROUNDS, BATCH, RATE, SMOOTH = 2, 8192, 0.4, 0.1
+ROWS_A_BLOCK = 2048
+#: Every task sends what it changed of the table: small files are learnt from together, up to about so many tokens.
+TOKENS_A_TASK = 2_000_000
 #: Word counts that a task holds before it sends them on.
 HELD = 600_000
 
@@ -66,6 +78,10 @@ class Vocabulary:
     log_class_total: np.ndarray  # log10 of each class's smoothed total
     class_share: np.ndarray
 
+    @property
+    def offsets(self) -> np.ndarray:
+        return layout(self.distinct)
+
     def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head, whether it is there)."""
         if not len(self.words):
@@ -138,7 +154,7 @@ def vocabulary(counts: DataFrame, ends: int, head: int = HEAD) -> Vocabulary:
     return Vocabulary(words[order], np.log10(n[order] + SMOOTH), single[order], int(total.sum()), int(distinct.sum()), ends, np.log10(total + SMOOTH * (distinct + 1)), share)
 
 
-def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens x 4 rows of the weight table, class of each token, index of each text's first token); every text ends with an end token."""
     n_texts, count = len(first) - 1, np.diff(first)
     begin = first[:-1] + np.arange(n_texts)  # an end token more for each text before
@@ -155,10 +171,10 @@ def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.
         return out
 
     rows = np.empty((size, 4), np.int64)
-    rows[:, 0] = OFFSETS[0] + (textkit.mix(back(w, 1, 0)) % np.uint64(WORD_ROWS)).astype(np.int64)
-    rows[:, 1] = OFFSETS[1] + back(c, 1, END_CLASS) * CLASSES + back(c, 2, END_CLASS)
-    rows[:, 2] = OFFSETS[2] + (textkit.mix(back(w, 2, 0) + np.uint64(textkit.BASE)) % np.uint64(SKIP_ROWS)).astype(np.int64)
-    rows[:, 3] = OFFSETS[3] + back(c, 3, END_CLASS) * CLASSES + back(c, 4, END_CLASS)
+    rows[:, 0] = (textkit.mix(back(w, 1, 0)) % np.uint64(offsets[1])).astype(np.int64)
+    rows[:, 1] = offsets[1] + back(c, 1, END_CLASS) * CLASSES + back(c, 2, END_CLASS)
+    rows[:, 2] = offsets[2] + (textkit.mix(back(w, 2, 0) + np.uint64(textkit.BASE)) % np.uint64(offsets[3] - offsets[2])).astype(np.int64)
+    rows[:, 3] = offsets[3] + back(c, 3, END_CLASS) * CLASSES + back(c, 4, END_CLASS)
     return rows, c, np.append(begin, size)
 
 
@@ -179,8 +195,13 @@ class Learner:
 
     weights: np.ndarray
     bias: np.ndarray
-    seen: np.ndarray = field(default_factory=lambda: np.zeros(TABLE_ROWS, np.float32))
-    force: np.ndarray = field(default_factory=lambda: np.full(TABLE_ROWS, 1e-2, np.float32))
+    offsets: np.ndarray
+    seen: np.ndarray = field(init=False)
+    force: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.seen = np.zeros(len(self.weights), np.float32)
+        self.force = np.full(len(self.weights), 1e-2, np.float32)
 
     def learn(self, rows: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         for a in range(0, len(rows), BATCH):
@@ -188,11 +209,11 @@ class Learner:
             gradient = np.exp(predict(self.weights, self.bias, r))
             gradient[np.arange(len(y)), y] -= 1
             for k in range(r.shape[1]):
-                feature = r[:, k].astype(np.uint16)  # the table has fewer rows; short keys sort by radix
+                feature = (r[:, k] - self.offsets[k]).astype(np.uint16)  # no part of the table has more rows; short keys sort by radix
                 order = np.argsort(feature, kind="stable")
                 s = feature[order]
                 begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                at, g = s[begin].astype(np.int64), np.add.reduceat(np.take(gradient, order, axis=0), begin, axis=0)
+                at, g = self.offsets[k] + s[begin].astype(np.int64), np.add.reduceat(np.take(gradient, order, axis=0), begin, axis=0)
                 self.force[at] += (g * g).sum(axis=1)
                 self.seen[at] += np.diff(np.append(begin, len(s)))
                 self.weights[at] -= rate * g / np.sqrt(self.force[at])[:, None]
@@ -201,27 +222,32 @@ class Learner:
 def train_round(docs: DataFrame, voc: Vocabulary, weights: np.ndarray) -> np.ndarray:
     """Weights after averaging the updates of all tasks."""
     bias = np.log(voc.class_share).astype(np.float32)
-    blocks = -(-TABLE_ROWS // ROWS_A_BLOCK)
+    offsets, size = voc.offsets, len(weights)
+    blocks = -(-size // ROWS_A_BLOCK)
+    known = weights if weights.any() else None  # nothing learnt yet need not be sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(weights.copy(), bias)
+        before = np.zeros((size, CLASSES), np.float32) if known is None else known
+        learner = Learner(before.copy(), bias, offsets)
         for batch in batches:
             for _, _, data, offs in textkit.slices(batch.column(0)):
                 word, form, first = tokens(data, offs)
-                rows, kind, _ = features(word, voc.classes(word, form)[0], first)
+                rows, kind, _ = features(word, voc.classes(word, form)[0], first, offsets)
                 learner.learn(rows, kind)
-        change = ((learner.weights - weights) * 1024).astype(np.float16)
+        change = ((learner.weights - before) * 1024).astype(np.float16)
         touched = [b for b in range(blocks) if learner.seen[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK].any()]
-        cut = [slice(b * ROWS_A_BLOCK, min((b + 1) * ROWS_A_BLOCK, TABLE_ROWS)) for b in touched]
+        cut = [slice(b * ROWS_A_BLOCK, min((b + 1) * ROWS_A_BLOCK, size)) for b in touched]
         if touched:
-            yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([learner.seen[c].tobytes() for c in cut], pa.binary()), pa.array([change[c].tobytes() for c in cut], pa.binary())], names=["block", "seen", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([learner.seen[c].tobytes() for c in cut], pa.binary()), pa.array([change[c][learner.seen[c] > 0].tobytes() for c in cut], pa.binary())], names=["block", "seen", "change"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = np.frombuffer(seen, np.float32)
-                moved = np.frombuffer(change, np.float16).astype(np.float32).reshape(len(n), CLASSES) * n[:, None]
+                moved = np.zeros((len(n), CLASSES), np.float32)
+                moved[n > 0] = np.frombuffer(change, np.float16).reshape(-1, CLASSES)  # rows that the task saw
+                moved *= n[:, None]
                 have = total.setdefault(b, [np.zeros_like(n), np.zeros_like(moved)])
                 have[0] += n
                 have[1] += moved
@@ -229,9 +255,10 @@ def train_round(docs: DataFrame, voc: Vocabulary, weights: np.ndarray) -> np.nda
             means = [(m / np.maximum(n, 1)[:, None] / 1024).astype(np.float32).tobytes() for n, m in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(means, pa.binary())], names=["block", "mean"])
 
-    parts = docs.select("text").mapInArrow(run, "block int, seen binary, change binary").repartition(blocks, "block").mapInArrow(average, "block int, mean binary")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, seen binary, change binary").repartition(blocks, "block").mapInArrow(average, "block int, mean binary")
     out = weights.copy()
-    for r in parts.collect():  # the weight table, whose size is fixed
+    for r in parts.collect():  # the weight table, whose size is bounded
         b = r["block"]
         out[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK] += np.frombuffer(r["mean"], np.float32).reshape(-1, CLASSES)
     return out
@@ -258,14 +285,14 @@ def _rare_words(docs: DataFrame, voc: Vocabulary) -> DataFrame:
 
 def _score_texts(docs: DataFrame, voc: Vocabulary, weights: np.ndarray) -> DataFrame:
     """(id, key, held_out, n_tokens, n_known, head_log, class_log): all but what rare words add."""
-    bias = np.log(voc.class_share).astype(np.float32)
+    bias, offsets = np.log(voc.class_share).astype(np.float32), voc.offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in textkit.slices(batch.column(3)):
                 word, form, first = tokens(data, offs)
                 kind, at, known = voc.classes(word, form)
-                rows, target, begin = features(word, kind, first)
+                rows, target, begin = features(word, kind, first, offsets)
                 log_class = np.empty(len(rows))
                 for i in range(0, len(rows), BATCH):
                     z = predict(weights, bias, rows[i : i + BATCH])
@@ -286,7 +313,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     training = docs.where("not held_out")
     counts = shared.materialize(count_words(training), "words")
     voc = vocabulary(counts, training.count())
-    weights = np.zeros((TABLE_ROWS, CLASSES), np.float32)
+    weights = np.zeros((voc.offsets[-1], CLASSES), np.float32)
     for r in range(rounds):
         weights = train_round(training.where(F.pmod(F.col("key"), F.lit(rounds)) == r), voc, weights)
 
