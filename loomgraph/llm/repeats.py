@@ -20,7 +20,8 @@ judged on the input.
 4. Marks meet the texts.
 
 Null text is empty. Rows that repeat an id with the same text are one document and
-get the same result; with other texts they follow each other in a fixed order.
+get the same result; with other texts they are told apart by 64 bits of a hash and
+follow each other in its order.
 Ids are integers; a null id comes last. A document of any length is cut into
 segments that overlap by one window.
 """
@@ -40,7 +41,6 @@ from loomgraph.llm import shared, suffix_array, textkit
 LENGTH, GRAM = 100, 40
 #: Windows of one segment; a position in a segment and 40 bits of a hash share a 64-bit number.
 SEGMENT = 1 << 23
-PLACE_BITS = 40
 #: Documents, about, among which common grams are looked for, and the number of contexts there that makes a gram common.
 LOOKED_AT, COMMON = 20_000, 100
 #: Bytes of contexts that are sorted at a time.
@@ -82,17 +82,16 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
 
 
 def later_alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): rows sorted by all columns; ``later`` are rows whose first columns (all but the last two) equal the row's before and whose last two don't."""
+    """(order, later): rows sorted by all columns; ``later`` are rows whose first columns (all but the last three) equal the row's before and whose last three don't."""
     order = np.lexsort(columns[::-1])
     cols = [c[order] for c in columns]
     alike = np.ones(max(len(order) - 1, 0), bool)
-    for c in cols[:-2]:
+    for c in cols[:-3]:
         alike &= c[1:] == c[:-1]
     # a row is the first of its kind, or stands at the same place as the first one
     begin = np.flatnonzero(np.concatenate([[True], ~alike])) if len(order) else np.zeros(0, np.int64)
     kind = np.cumsum(np.concatenate([[True], ~alike])) - 1 if len(order) else np.zeros(0, np.int64)
-    first_id, first_place = cols[-2][begin][kind], cols[-1][begin][kind]
-    return order, (cols[-2] != first_id) | (cols[-1] != first_place)
+    return order, np.logical_or.reduce([c != c[begin][kind] for c in cols[-3:]])
 
 
 def _numbers(batch: pa.RecordBatch, i: int) -> np.ndarray:
@@ -121,7 +120,7 @@ def _single_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, length:
 
 
 def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
-    """(gram, context, id, place, n): n < 0 for contexts already known to be repeats.
+    """(gram, context, id, tag, place, n): n < 0 for contexts already known to be repeats.
 
     Windows of ``common`` grams are filed one by one, under their own hashes.
     """
@@ -131,41 +130,40 @@ def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
             ids, tag = _numbers(batch, 0), _numbers(batch, 1)
             for a, _, data, offs in textkit.slices(batch.column(2), 1 << 22):
                 gram, context, own, start, n = contexts(data, offs, length)
-                doc = ids[a + own]
-                place = start | tag[a + own].astype(np.int64) << PLACE_BITS
-                order, later = later_alike(gram, context, n, doc, place)
-                cols = [c[order] for c in (gram, context, doc, place, n)]
+                doc, text, place = ids[a + own], tag[a + own], start
+                order, later = later_alike(gram, context, n, doc, text, place)
+                cols = [c[order] for c in (gram, context, doc, text, place, n)]
                 split = ~later & np.isin(cols[0], common) if len(common) else np.zeros(len(later), bool)
                 if split.any():
                     chosen = order[split]
                     row, k, window = _single_windows(data, (offs[own] + start)[chosen], n[chosen], length)
                     one, none = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
-                    single = (window, none, doc[chosen][row], place[chosen][row] + k, one)
-                    by, later_one = later_alike(window, none, one, single[2], single[3])
+                    single = (window, none, doc[chosen][row], text[chosen][row], place[chosen][row] + k, one)
+                    by, later_one = later_alike(window, none, one, *single[2:5])
                     cols = [np.concatenate([c[~split], x[by]]) for c, x in zip(cols, single, strict=True)]
                     later = np.concatenate([later[~split], later_one])
-                gram, context, doc, place, n = cols
+                gram, context, doc, text, place, n = cols
                 n[later] *= -1
                 # what is marked already needs no meeting with its gram, however common: it goes anywhere
-                spread = textkit.mix(doc[later].view(np.uint64) ^ textkit.mix(place[later].view(np.uint64)))
+                spread = textkit.mix(doc[later].view(np.uint64) ^ textkit.mix(text[later].view(np.uint64) ^ textkit.mix(place[later].view(np.uint64))))
                 gram[later] = spread.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context, doc, place, n.astype(np.int32))], names=["gram", "context", "id", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context, doc, text, place, n.astype(np.int32))], names=["gram", "context", "id", "tag", "place", "n"])
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "gram long, context long, id long, place long, n int")
+    return docs.select("id", "tag", "text").mapInArrow(run, "gram long, context long, id long, tag long, place long, n int")
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(ask, gram, id, place, n): marks (ask false), and contexts whose gram has others (ask true)."""
+    """(ask, gram, id, tag, place, n): marks (ask false), and contexts whose gram has others (ask true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        gram, context, doc, place, n = (table.column(i).to_numpy() for i in range(5))
+        gram, context, doc, tag, place, n = (table.column(i).to_numpy() for i in range(6))
         size = np.abs(n)
-        order, later = later_alike(gram, context, size, doc, place)
-        gram, doc, place, n, size = gram[order], doc[order], place[order], n[order], size[order]
+        order, later = later_alike(gram, context, size, doc, tag, place)
+        gram, doc, tag, place, n, size = gram[order], doc[order], tag[order], place[order], n[order], size[order]
         context = context[order]
         # rows marked in their task stand alone here, under keys of their own
         mark = later | (n < 0)
@@ -180,31 +178,30 @@ def _compare(rows: DataFrame) -> DataFrame:
         for rows_, asks in ((mark, False), (ask, True)):
             at = np.flatnonzero(rows_)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), asks)), pa.array(gram[at]), pa.array(doc[at]), pa.array(place[at]), pa.array(size[at])], names=["ask", "gram", "id", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), asks)), pa.array(gram[at]), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at]), pa.array(size[at])], names=["ask", "gram", "id", "tag", "place", "n"])
 
-    return rows.repartition("gram").mapInArrow(run, "ask boolean, gram long, id long, place long, n int")
+    return rows.repartition("gram").mapInArrow(run, "ask boolean, gram long, id long, tag long, place long, n int")
 
 
 def _cut_out(asked: DataFrame, length: int) -> DataFrame:
-    """(gram, id, place, bytes): texts of the contexts that are asked for."""
+    """(gram, id, tag, place, bytes): texts of the contexts that are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for doc, tag, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 for ask in asks:
-                    if ask["place"] >> PLACE_BITS == tag:
-                        s = ask["place"] & ((1 << PLACE_BITS) - 1)
-                        for column, value in zip(out, (ask["gram"], doc, ask["place"], raw[s : s + ask["n"] + length - 1]), strict=True):
-                            column.append(value)
+                    s = ask["place"]
+                    for column, value in zip(out, (ask["gram"], doc, tag, s, raw[s : s + ask["n"] + length - 1]), strict=True):
+                        column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["gram", "id", "place", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["gram", "id", "tag", "place", "bytes"])
 
-    return asked.mapInArrow(run, "gram long, id long, place long, bytes binary")
+    return asked.mapInArrow(run, "gram long, id long, tag long, place long, bytes binary")
 
 
-def sorted_marks(texts: list[bytes], doc: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_marks(texts: list[bytes], doc: np.ndarray, tag: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first window, windows) of runs of windows that also start earlier in some context."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
@@ -217,11 +214,11 @@ def sorted_marks(texts: list[bytes], doc: np.ndarray, place: np.ndarray, length:
     group = np.concatenate([[0], np.cumsum(~alike)])
     context = own[at]
     offset = at - begin[context]
-    by = np.lexsort((place[context] + offset, doc[context], group))
+    by = np.lexsort((place[context] + offset, tag[context], doc[context], group))
     group, context, offset = group[by], context[by], offset[by]
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
     head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (doc[context] != doc[context[head]]) | (place[context] + offset != place[context[head]] + offset[head])
+    later = (doc[context] != doc[context[head]]) | (tag[context] != tag[context[head]]) | (place[context] + offset != place[context[head]] + offset[head])
     context, offset = context[later], offset[later]
     by = np.lexsort((offset, context))
     context, offset = context[by], offset[by]
@@ -232,40 +229,38 @@ def sorted_marks(texts: list[bytes], doc: np.ndarray, place: np.ndarray, length:
 
 
 def _sort(cut: DataFrame, length: int) -> DataFrame:
-    """(id, place, n): marks from sorted suffixes; contexts of a gram come together."""
+    """(id, tag, place, n): marks from sorted suffixes; contexts of a gram come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            doc, place = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            context, offset, n = sorted_marks([h[2] for h in held], doc, place, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[context]), pa.array(place[context] + offset), pa.array(n.astype(np.int32))], names=["id", "place", "n"])
+        def flush(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            doc, tag, place = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            context, offset, n = sorted_marks([h[3] for h in held], doc, tag, place, length)
+            return pa.RecordBatch.from_arrays([pa.array(doc[context]), pa.array(tag[context]), pa.array(place[context] + offset), pa.array(n.astype(np.int32))], names=["id", "tag", "place", "n"])
 
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         total, last = 0, None
         for batch in batches:
-            for gram, doc, place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, doc, tag, place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != last and total > SORTED_AT_ONCE:
                     yield flush(held)
                     held, total = [], 0
                 last = gram
-                held.append((doc, place, raw))
+                held.append((doc, tag, place, raw))
                 total += len(raw)
         if held:
             yield flush(held)
 
-    return cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, place long, n int")
+    return cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, tag long, place long, n int")
 
 
-def covered(n_bytes: int, tag: int, marks: list[dict] | None, length: int) -> np.ndarray:
+def covered(n_bytes: int, marks: list[dict] | None, length: int) -> np.ndarray:
     """Per byte: whether a marked window covers it."""
     change = np.zeros(n_bytes + 1, np.int32)
     if marks:
         place = np.array([m["place"] for m in marks], np.int64)
         n = np.array([m["n"] for m in marks], np.int64)
-        on = place >> PLACE_BITS == tag
-        s = place[on] & ((1 << PLACE_BITS) - 1)
-        np.add.at(change, s, 1)
-        np.add.at(change, s + n[on] + length - 1, -1)
+        np.add.at(change, place, 1)
+        np.add.at(change, place + n + length - 1, -1)
     return np.cumsum(change)[:-1] > 0
 
 
@@ -273,9 +268,9 @@ def _apply(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, spans, digest, kept_text = [], [], [], [], []
-            for tag, text, marks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, marks in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 raw = text.encode()
-                gone = covered(len(raw), tag, marks, length)
+                gone = covered(len(raw), marks, length)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if marks else raw
                 n_bytes.append(len(raw))
                 removed.append(int(gone.sum()))
@@ -296,16 +291,16 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
     row = [F.struct(*rest).alias("row")] if keep_columns else [F.col(id_col).alias("row")]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
-    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
+    docs = docs.withColumn("tag", F.xxhash64("text"))
     compared = shared.materialize(_compare(_contexts(docs, length, common_grams(docs, length))), "contexts")
     # one exchange of the texts serves both joins below
     parts = shared.shuffle_partitions(df.sparkSession)
-    placed = docs.repartition(parts, "id")
-    asks = compared.where("ask").groupBy("id").agg(F.collect_list(F.struct("gram", "place", "n")).alias("asks"))
-    cut = _cut_out(placed.join(asks, "id").select("id", "tag", "text", "asks"), length)
-    marks = compared.where("not ask").select("id", "place", "n").unionByName(_sort(cut, length))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
-    joined = placed.join(marks, "id", "left").select("id", "tag", "text", "marks", "row")
+    placed = docs.repartition(parts, "id", "tag")
+    asks = compared.where("ask").groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "place", "n")).alias("asks"))
+    cut = _cut_out(placed.join(asks, ["id", "tag"]).select("id", "tag", "text", "asks"), length)
+    marks = compared.where("not ask").select("id", "tag", "place", "n").unionByName(_sort(cut, length))
+    marks = marks.groupBy("id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
+    joined = placed.join(marks, ["id", "tag"], "left").select("id", "tag", "text", "marks", "row")
     return _apply(joined, length, keep_columns)
 
 
