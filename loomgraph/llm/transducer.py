@@ -23,7 +23,7 @@ ROOT = -1
 
 
 class Transducer:
-    """``states_limit`` bounds memory: beyond it, compilation starts afresh."""
+    """``states_limit`` bounds memory: a call that finds more states than that starts compilation afresh."""
 
     def __init__(self, bpe: wordbpe.WordBpe, states_limit: int = 400_000):
         self.bpe, self.states_limit = bpe, states_limit
@@ -52,6 +52,8 @@ class Transducer:
         self.inner_table, self.final_table = Table(final=False), Table(final=True)
         self.last: list[tuple[int, int]] = [(ROOT, 0)]
         self.last_seen = np.zeros((0, 2), np.int64)
+        self.steps: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ends: dict[tuple[int, int], int] = {}
 
     def stable(self, a: int, b: int) -> bool:
         """Whether ``b`` may follow ``a`` (or begin a word)."""
@@ -127,12 +129,30 @@ class Transducer:
         token, size, delta = self._choose(state, byte, self.final_tokens)
         return token, delta, size
 
+    # --------------------------------------------------- one byte at a time
+
+    def through(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state, change of the count) after bytes inside a word."""
+        total = 0
+        for byte in data:
+            found = self.steps.get((state, byte))
+            if found is None:
+                found = self.steps[state, byte] = self.step(state, byte)[:2]
+            state = found[0]
+            total += found[1]
+        return state, total
+
+    def over(self, state: int, byte: int) -> int:
+        """Change of the count by the last byte of a word."""
+        found = self.ends.get((state, byte))
+        if found is None:
+            found = self.ends[state, byte] = self.finish(state, byte)[1]
+        return found
+
     # ------------------------------------------------- many words at a time
 
     def _walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Run all words side by side: (sizes, last state before each byte, token, size and count at the end)."""
-        if len(self.keys) > self.states_limit:
-            self.reset()
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         order = np.argsort(-size, kind="stable")
@@ -156,8 +176,14 @@ class Transducer:
         back[order] = np.arange(n)
         return size[back], path[:, back], token[back], last[back], total[back]
 
+    def trim(self) -> None:
+        """Only between calls: within one, states that are kept aside must keep their numbers."""
+        if len(self.keys) > self.states_limit:
+            self.reset()
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word: the sum of the counts on its transitions."""
+        self.trim()
         out = np.zeros(len(words), np.int64)
         for at in self._groups(words):
             out[at] = self._walk([words[i] for i in at.tolist()])[4]
@@ -165,6 +191,7 @@ class Transducer:
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat token ids, index of each word's first): the last token of each prefix, read backwards from the end."""
+        self.trim()
         groups, counts = [], np.zeros(len(words), np.int64)
         for at in self._groups(words):
             found = self._walk([words[i] for i in at.tolist()])

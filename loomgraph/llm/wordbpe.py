@@ -48,17 +48,31 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.merges = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys, made, strict=True))}
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+        self.alike: set[str] = set()
+        self.unlike: set[str] = set()
         self.values = textkit.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(textkit.BASE)) | np.uint64(1)
 
     # ------------------------------------------------------------- splitting
 
+    def _lower(self, text: str) -> str:
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()  # the library lower-cases character by character
+
     def normalise(self, text: str) -> str:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # the library lower-cases character by character
-                text = text.replace("Σ", "σ")
-        return text.lower()
+        """As the library does; by Python's own tables where these say the same of all characters of the text.
+
+        The two may follow different versions of Unicode. Composition of characters that Python's version knows is the
+        same in all later ones, so only case can differ among these.
+        """
+        if text.isascii():
+            return text.lower()
+        for c in set(text) - self.alike - self.unlike:
+            same = unicodedata.category(c) != "Cn" and (c.isspace() or self.library.normalizer.normalize_str(c) == self._lower(c))
+            (self.alike if same else self.unlike).add(c)
+        if self.unlike and not self.unlike.isdisjoint(text):
+            return self.library.normalizer.normalize_str(text)
+        return self._lower(text)
 
     def parts(self, text: str) -> tuple[list[str], list[int]]:
         """Normalised parts between special strings, and the ids of those strings: one fewer."""
@@ -86,14 +100,19 @@ class WordBpe:
                 kind = NUMBER
             self.classes[p] = kind
 
-    def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(joined text, code points, starts, ends, index of each text's first piece) of the pre-tokens of normalised texts."""
-        joined = "\n".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def kinds(self, points: np.ndarray) -> np.ndarray:
+        """The class of each character."""
         kind = self.classes[points]
         if (kind == UNKNOWN).any():
             self._classify(np.unique(points[kind == UNKNOWN]))
             kind = self.classes[points]
+        return kind
+
+    def pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(joined text, code points, starts, ends, index of each text's first piece) of the pre-tokens of normalised texts."""
+        joined = "\n".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kinds(points)
         n = len(kind)
         before = np.zeros(n, np.uint8)
         before[1:] = kind[:-1]
@@ -157,6 +176,7 @@ class WordBpe:
                 offer(prv[i])
         return [x for x in ids if x >= 0]
 
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """One copy for each Python worker."""

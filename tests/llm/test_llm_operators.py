@@ -91,11 +91,48 @@ def test_transducer_agrees_with_merging(machine):
     assert small.counts(words[:40]).tolist() == machine.counts(words[:40]).tolist() == small.counts(words[:40]).tolist()
 
 
-def test_chunk_maps_compose():
-    text = "ab cd\n efg hi j"
-    for size in (1, 2, 3, 5, 50):
-        maps = [token_counts.chunk_map(text[i : i + size]) for i in range(0, len(text), size)]
-        assert " ".join(token_counts.scan(maps).closed()).split() == text.split()
+def test_states_that_are_forgotten(machine):
+    """Compilation may start afresh between calls, never within one: long words are walked in groups of their own."""
+    rng = random.Random(7)
+    make = lambda k: "".join(rng.choice("abcdefghilmnorstuéß") for _ in range(k)).encode()
+    batches = [[make(rng.randint(2, 14)) for _ in range(300)] + [make(rng.randint(65, 90)) for _ in range(10)] for _ in range(5)]
+    for limit in (50, 2000):
+        small = transducer.Transducer(machine.bpe, states_limit=limit)
+        for words in batches:
+            want = [machine.bpe.merge_word(w) for w in words]
+            flat, first = small.tokens(words)
+            assert [flat[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == want
+            assert small.counts(words).tolist() == list(map(len, want))
+
+
+def test_characters_of_any_version(machine):
+    """Case and composition are the library's, whatever version of Unicode Python follows."""
+    every = [f"a{chr(p)}b{chr(p)}" for p in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]]
+    some = every[::37] + [t for t in every if machine.bpe.library.normalizer.normalize_str(t) != t.lower()]
+    some += ["\u1c89x", "\ua7cb \ua7dc", "\U00010d50\U00016ea0", "e\u0301 \u1c89", "\u212b\u03a3"]
+    want = [e.ids for e in machine.bpe.library.encode_batch(some, add_special_tokens=False)]
+    assert [x.tolist() for x in transducer.encode(machine, some)] == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 9])
+def test_chunk_maps_compose(machine, size):
+    for text in ["ab cd\n efg hi j", "thethethetheth", "x'll y'r ''s 12ab!'!? don't''t", "ééé" * 9, "a1b2", "!!!!''!!", "it'sthe", *(t for t in odd_texts(150, 8) if "<|" not in t)]:
+        text = machine.bpe.normalise(text)
+        want = len(machine.bpe.library.encode(text, add_special_tokens=False).ids)
+        assert token_counts.count_long(machine, text, size) == want
+        maps = token_counts.chunk_maps(machine, text, size)
+        left = maps[0]
+        for m in maps[1:]:
+            left = left.then(m, machine)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = m.then(right, machine)
+        assert left == right == token_counts.scan(maps, machine)
+        run, total = token_counts.OUTSIDE, 0
+        for m in maps:  # a run through all chunks one after another
+            run, n = m(machine, run)
+            total += n
+        assert (run, total) == left(machine, token_counts.OUTSIDE)
 
 
 def test_token_counts(spark, docs, texts, machine):
