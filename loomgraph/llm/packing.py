@@ -11,8 +11,8 @@ places by arithmetic on their rank.
 
 The driver sees the histogram (at most ``capacity`` rows) and the patterns (a
 few for each class) only. Null or empty texts are the end token alone. Equal
-lengths are ordered by document and start, so the result is a function of the
-input. Repeated rows are packed once each, in no particular order among them.
+lengths are ordered by document, start and checksum, so the result is a function of
+the input. Repeated rows are packed once each; they are interchangeable.
 """
 
 from __future__ import annotations
@@ -188,14 +188,14 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, bins:
             yield pdf.drop(columns=["rank"]).assign(sequence_id=out)
 
     columns = [f"`{c}` {t}" for c, t in cut.dtypes]
-    cells = cut.mapInArrow(class_of, ", ".join([*columns, "class int"])).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col), F.col("start")), F.lit(groups)))
+    cells = cut.mapInArrow(class_of, ", ".join([*columns, "class int"])).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col), F.col("start"), F.col("ids_crc32")), F.lit(groups)))
     sizes = cells.groupBy("class", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("class", "cell").orderBy(F.col("length").desc(), id_col, "start")
+    within = Window.partitionBy("class", "cell").orderBy(F.col("length").desc(), id_col, "start", "ids_crc32")
     ranked = cells.join(sizes, ["class", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1).select(*cut.columns, "class", "rank")
     placed = ranked.mapInPandas(sequence_of, ", ".join([*columns, "class int", "sequence_id long"]))
-    along = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), F.col("length").desc(), id_col, "start").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("sequence_id").orderBy(F.col("class").desc(), F.col("length").desc(), id_col, "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("class")
 
 
