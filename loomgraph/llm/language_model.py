@@ -2,31 +2,39 @@
 
 The probability of a token is that of its class after the tokens before it, times
 that of the token within its class. Classes are the most frequent words (one
-each), the end of a text, and groups of other words by their last two bytes. The
-class is predicted by a softmax over n-gram features (the word before; the two
-classes before) and skip features (the word before that; the third and fourth
-class back), hashed into a weight table whose rows grow with the number of different
-words, up to a bound. Within a class, words go by their smoothed counts.
-
-Weights are learnt in rounds, each over its own part of all training documents:
-every task makes gradient updates on its documents, and the updates are averaged,
-weighted by how often a task saw a feature. Counts are exact, over all training
-documents: the ``HEAD`` most frequent words are a table of bounded size in every
-task; all other words, rare by construction, meet their counts by a shuffle.
+each), the end of a text, and groups of other words by their last two bytes. A
+softmax predicts the class; within a group another one predicts the slot: the
+group's most frequent words have one each, all others share some. Both see n-gram
+features (the word before; the classes before) and skip features (the word before
+that; the classes further back), hashed into weight tables whose rows grow with the
+training tokens, up to a bound that keeps a table in a task's memory. Words that
+share a slot go by their smoothed counts.
+
+Weights are learnt by gradient updates in synchronous rounds. The gradient of a
+weight is how often the model expects its feature and class together minus how
+often they occur, summed over all training documents by all tasks; the step for
+each weight is set by the ratio of the two. So the model is a function of the rows
+alone, however they are split. In the first round all weights are 0 and what is
+expected follows from the counts.
+
+Counts are exact, over all training documents: the ``HEAD`` most frequent words are
+a table of bounded size in every task; all other words, rare by construction, meet
+their counts by a shuffle.
 
 Null text is empty: one end token. Rows without id are learnt from. Repeated rows
 count as often as they occur and get equal scores. Without any training document
-every token is unknown.
+every token is unknown. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,30 +42,31 @@ from loomgraph.llm import shared, textkit
 from loomgraph.llm.ranking import remainder
 
 #: Words with their counts in every task; words with a class of their own; groups of the other words.
-HEAD, SINGLES, FORMS = 131_072, 40, 23
+HEAD, SINGLES, FORMS = 524_288, 40, 23
 END_CLASS = SINGLES
 CLASSES = SINGLES + 1 + FORMS
+#: Slots of a group: words that have one each, and slots that the others share.
+OWN_SLOTS, SHARED_SLOTS = 48, 16
 PAIR_ROWS = CLASSES * CLASSES
-#: Rows of the weight table for the word before, half as many for the one before that; places in each part are 16-bit numbers.
-LEAST_WORD_ROWS, MOST_WORD_ROWS = 4096, 65_536
-
-
-def layout(distinct: int) -> np.ndarray:
-    """Where the parts of the weight table begin and end, for so many different words: a row for each, within bounds."""
-    rows = min(max(LEAST_WORD_ROWS, 1 << max(distinct - 1, 0).bit_length()), MOST_WORD_ROWS)
-    return np.cumsum([0, rows, PAIR_ROWS, rows // 2, PAIR_ROWS])
-
-
-#: Of the smallest table.
-TABLE_ROWS = int(layout(0)[-1])
-ROUNDS, BATCH, RATE, SMOOTH = 2, 8192, 0.4, 0.1
+#: Rows for the word before, half as many for the one before that: one for so many training tokens, within bounds.
+TOKENS_A_ROW, LEAST_WORD_ROWS, MOST_WORD_ROWS = 1024, 1024, 65_536
+#: How much of the whole step each round of updates takes, and how much of the prior expectation is added to both sides of every ratio.
+STEPS, PRIOR, STEEPEST = (0.5, 0.25), 20.0, 10.0
+BATCH, SMOOTH = 32_768, 0.1
 ROWS_A_BLOCK = 2048
-#: Every task sends what it changed of the table: small files are learnt from together, up to about so many tokens.
-TOKENS_A_TASK = 2_000_000
+#: Every task sends its sums of the whole table: files are learnt from together, up to about so many tokens.
+TOKENS_A_TASK = 32_000_000
 #: Word counts that a task holds before it sends them on.
 HELD = 600_000
 
 
+def layout(tokens: int) -> np.ndarray:
+    """Where the parts of the weight tables begin and end, for so many training tokens: four of the classes' table, three of the slots'."""
+    rows = 1 << max(tokens // TOKENS_A_ROW, 1).bit_length() - 1
+    rows = min(max(rows, LEAST_WORD_ROWS), MOST_WORD_ROWS)
+    return np.cumsum([0, rows, PAIR_ROWS, rows // 2, PAIR_ROWS, rows, PAIR_ROWS, rows // 2])
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, forms, index of each text's first word)."""
     s, e, first = textkit.word_spans(data, offs)
@@ -71,16 +80,18 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Vocabulary:
     words: np.ndarray  # sorted hashes of the head
     log_count: np.ndarray  # log10(count + SMOOTH)
-    single: np.ndarray  # class of its own, or -1
+    met: np.ndarray  # whether it occurs in training documents
+    place: np.ndarray  # class of its own below END_CLASS, or slot of its own above it, or -1
     total: int
     distinct: int
     ends: int
-    log_class_total: np.ndarray  # log10 of each class's smoothed total
+    log_total: np.ndarray  # log10 of each class's, and then each group's slots', smoothed total
     class_share: np.ndarray
+    slot_share: np.ndarray  # groups x slots
 
     @property
     def offsets(self) -> np.ndarray:
-        return layout(self.distinct)
+        return layout(self.total)
 
     def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head, whether it is there)."""
@@ -89,32 +100,40 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
         return at, self.words[at] == word
 
-    def classes(self, word: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def classes(self, word: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, slot or -1, place in the head, whether it is there) of each word."""
         code, uniq = pd.factorize(word)  # far fewer look-ups
-        at, known = self.look_up(uniq.astype(np.uint64))
-        single = np.where(known, self.single[at] if len(self.single) else -1, -1)[code]
-        return np.where(single >= 0, single, END_CLASS + 1 + form), at[code], known[code]
+        uniq = uniq.astype(np.uint64)
+        at, found = self.look_up(uniq)
+        place = np.where(found, self.place[at] if len(self.place) else -1, -1)
+        slot = np.where(place > END_CLASS, place - END_CLASS - 1, OWN_SLOTS + (uniq % np.uint64(SHARED_SLOTS)).astype(np.int64))
+        single = (place >= 0) & (place < END_CLASS)
+        kind = np.where(single[code], place[code], END_CLASS + 1 + form)
+        return kind, np.where(single, -1, slot)[code], at[code], found[code]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, form, n) over all rows (text)."""
+    """(word, form, n, everywhere) over rows (held_out, text): how often each word occurs in training documents, and in all."""
 
-    def batch_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def batch_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         code, uniq = pd.factorize(np.concatenate([h[0] for h in held]))
-        form, n = np.zeros(len(uniq), np.int32), np.zeros(len(uniq), np.int64)
+        form, n = np.zeros(len(uniq), np.int32), np.zeros((2, len(uniq)), np.int64)
         form[code] = np.concatenate([h[1] for h in held])
-        np.add.at(n, code, np.concatenate([h[2] for h in held]))
-        return pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.uint64).view(np.int64)), pa.array(form), pa.array(n)], names=["word", "form", "n"])
+        for k in (0, 1):
+            np.add.at(n[k], code, np.concatenate([h[2 + k] for h in held]))
+        return pa.RecordBatch.from_arrays([pa.array(uniq.astype(np.uint64).view(np.int64)), pa.array(form), pa.array(n[0]), pa.array(n[1])], names=["word", "form", "n", "everywhere"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, data, offs in textkit.slices(batch.column(0)):
-                word, form, _ = tokens(data, offs)
+            learnt = ~batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offs in textkit.slices(batch.column(1)):
+                word, form, first = tokens(data, offs)
                 code, uniq = pd.factorize(word)
                 of = np.zeros(len(uniq), np.int32)
                 of[code] = form
-                held.append((uniq.astype(np.uint64), of, np.bincount(code, minlength=len(uniq))))
+                n = np.bincount(code[learnt[a:b][textkit.owner(first)]], minlength=len(uniq))
+                held.append((uniq.astype(np.uint64), of, n, np.bincount(code, minlength=len(uniq))))
                 size += len(uniq)
                 if size > HELD:
                     yield batch_of(held)
@@ -122,46 +141,84 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.select("text").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
+    found = docs.select("held_out", "text").mapInArrow(run, "word long, form int, n long, everywhere long")
+    return found.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows: all that are more frequent than a bar, and of those at the bar as many as there is room for, by a hash."""
+    step = F.when(F.col("everywhere") < 1024, F.col("everywhere")).otherwise(1024 + F.floor(F.log2("everywhere") * 16))
+    room, bar, share = most, 0, 1.0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["step"]):  # at most some 2,000 steps
+        bar = r["step"]
+        if r["v"] > room:
+            share = max(0.0, (room - 4 * np.sqrt(room)) / r["v"])
+            break
+        room -= r["v"]
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    return counts.where((step > bar) | ((step == bar) & chosen))
 
 
 def vocabulary(counts: DataFrame, ends: int, head: int = HEAD) -> Vocabulary:
     """From exact counts: what every task needs, of bounded size."""
-    forms = {r["form"]: (r["n"], r["v"]) for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    # the head: all words at least as frequent as a bar that leaves no more than ``head`` of them
-    octave = F.floor(F.log2("n") * 16)
-    bar, room = np.inf, head
-    for r in sorted(counts.groupBy(octave.alias("octave")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r["octave"]):
-        room -= r["v"]
-        if room < 0:
-            break
-        bar = r["octave"]
-    top = counts.where(octave >= F.lit(float(bar))).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    slot = F.pmod(F.col("word"), F.lit(SHARED_SLOTS)).cast("int")  # the same for signed and unsigned numbers, as 16 divides 2**64
+    cells = counts.where("n > 0").groupBy("form", slot.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # FORMS * SHARED_SLOTS rows at most
+    top = most_frequent(counts, head).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True])
     words = top["word"].to_numpy(np.int64).view(np.uint64)
-    single = np.full(len(top), -1, np.int64)
-    single[:SINGLES] = np.arange(min(SINGLES, len(top)))
     n, form = top["n"].to_numpy(np.int64), top["form"].to_numpy(np.int64)
-    total, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, (a, v) in forms.items():
-        total[END_CLASS + 1 + k], distinct[END_CLASS + 1 + k] = a, v
-    for i in range(min(SINGLES, len(top))):
-        total[i], distinct[i] = n[i], 1
-        total[END_CLASS + 1 + form[i]] -= n[i]
-        distinct[END_CLASS + 1 + form[i]] -= 1
-    total[END_CLASS], distinct[END_CLASS] = ends, int(ends > 0)
+    slots = OWN_SLOTS + SHARED_SLOTS
+    total, distinct = np.zeros((FORMS, slots)), np.zeros((FORMS, slots))
+    for r in cells:
+        total[r["form"], OWN_SLOTS + r["slot"]], distinct[r["form"], OWN_SLOTS + r["slot"]] = r["n"], r["v"]
+    single = (np.arange(len(top)) < SINGLES) & (n > 0)
+    rank = pd.Series(np.where(single, -1, form)).groupby(np.where(single, -1, form)).cumcount().to_numpy() if len(top) else np.zeros(0, np.int64)
+    own = ~single & (rank < OWN_SLOTS) & (n > 0)
+    place = np.where(single, np.arange(len(top)), np.where(own, END_CLASS + 1 + rank, -1))
+    alone = np.zeros(SINGLES)
+    alone[: single.sum()] = n[single]
+    for moved in (single, own):
+        np.subtract.at(total, (form[moved], OWN_SLOTS + (words[moved] % np.uint64(SHARED_SLOTS)).astype(np.int64)), n[moved])
+        np.subtract.at(distinct, (form[moved], OWN_SLOTS + (words[moved] % np.uint64(SHARED_SLOTS)).astype(np.int64)), 1)
+    total[form[own], rank[own]], distinct[form[own], rank[own]] = n[own], 1
     order = np.argsort(words)
-    share = (total + 1) / (total.sum() + CLASSES)
-    return Vocabulary(words[order], np.log10(n[order] + SMOOTH), single[order], int(total.sum()), int(distinct.sum()), ends, np.log10(total + SMOOTH * (distinct + 1)), share)
+    whole = np.concatenate([alone, [ends], total.sum(1)])
+    slot_total = total + SMOOTH * distinct
+    slot_total[:, OWN_SLOTS:] += SMOOTH  # room for words not met
+    log_total = np.log10(np.concatenate([alone + SMOOTH, [ends + SMOOTH], np.maximum(slot_total, SMOOTH).ravel()]))
+    slot_share = total + 0.5
+    return Vocabulary(
+        words[order],
+        np.log10(n[order] + SMOOTH),
+        n[order] > 0,
+        place[order],
+        int(whole.sum()),
+        int(sum(r["v"] for r in cells)) + int(ends > 0),
+        ends,
+        log_total,
+        (whole + 1) / (whole.sum() + CLASSES),
+        slot_share / slot_share.sum(1, keepdims=True),
+    )
+
 
+@dataclass
+class Features:
+    """Of the tokens of some texts; every text ends with an end token."""
+
+    rows: np.ndarray  # tokens x 4: rows of the classes' table
+    kind: np.ndarray  # class of each token
+    within: np.ndarray  # tokens that belong to a group
+    slot_rows: np.ndarray  # those x 3: rows of the slots' table
+    slot: np.ndarray  # their slots
+    begin: np.ndarray  # index of each text's first token
 
-def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens x 4 rows of the weight table, class of each token, index of each text's first token); every text ends with an end token."""
+
+def features(word: np.ndarray, kind: np.ndarray, slot: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> Features:
     n_texts, count = len(first) - 1, np.diff(first)
     begin = first[:-1] + np.arange(n_texts)  # an end token more for each text before
     size = int(first[-1]) + n_texts
     place = np.arange(len(word)) + np.repeat(np.arange(n_texts), count)
-    w, c = np.zeros(size, np.uint64), np.full(size, END_CLASS, np.int64)
-    w[place], c[place] = word, kind
+    w, c, own = np.zeros(size, np.uint64), np.full(size, END_CLASS, np.int64), np.full(size, -1, np.int64)
+    w[place], c[place], own[place] = word, kind, slot
     at = np.arange(size) - np.repeat(begin, count + 1)
 
     def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
@@ -170,160 +227,198 @@ def features(word: np.ndarray, kind: np.ndarray, first: np.ndarray, offsets: np.
         out[at < k] = none
         return out
 
+    def hashed(key: np.ndarray, part: int) -> np.ndarray:
+        return offsets[part] + (textkit.mix(key) % np.uint64(offsets[part + 1] - offsets[part])).astype(np.int64)
+
+    w1, w2, c1 = back(w, 1, 0), back(w, 2, 0) + np.uint64(textkit.BASE), back(c, 1, END_CLASS)
     rows = np.empty((size, 4), np.int64)
-    rows[:, 0] = (textkit.mix(back(w, 1, 0)) % np.uint64(offsets[1])).astype(np.int64)
-    rows[:, 1] = offsets[1] + back(c, 1, END_CLASS) * CLASSES + back(c, 2, END_CLASS)
-    rows[:, 2] = offsets[2] + (textkit.mix(back(w, 2, 0) + np.uint64(textkit.BASE)) % np.uint64(offsets[3] - offsets[2])).astype(np.int64)
+    rows[:, 0] = hashed(w1, 0)
+    rows[:, 1] = offsets[1] + c1 * CLASSES + back(c, 2, END_CLASS)
+    rows[:, 2] = hashed(w2, 2)
     rows[:, 3] = offsets[3] + back(c, 3, END_CLASS) * CLASSES + back(c, 4, END_CLASS)
-    return rows, c, np.append(begin, size)
+    within = np.flatnonzero(own >= 0)
+    group = c[within].astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)
+    slot_rows = np.empty((len(within), 3), np.int64)
+    slot_rows[:, 0] = hashed(w1[within] ^ group, 4)
+    slot_rows[:, 1] = offsets[5] + c[within] * CLASSES + c1[within]
+    slot_rows[:, 2] = hashed(w2[within] ^ group, 6)
+    return Features(rows, c, within, slot_rows - offsets[4], own[within], np.append(begin, size))
 
 
 def predict(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities (base e) of all classes."""
-    z = np.take(weights, rows[:, 0], axis=0)
+    """Log probabilities (base e) of all outcomes; ``bias`` is one row, or one for each of ``rows``."""
+    z = np.take(weights, rows[:, 0], axis=0, mode="clip")
     z += bias
     for k in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, k], axis=0)
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += np.take(weights, rows[:, k], axis=0, mode="clip")
+    # weights are at most STEEPEST, so no exponential overflows
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
     return z
 
 
 @dataclass
-class Learner:
-    """Gradient updates of one task."""
+class Sums:
+    """Of one task: columns x rows of both tables, the slots' rows after the classes'."""
 
-    weights: np.ndarray
-    bias: np.ndarray
     offsets: np.ndarray
-    seen: np.ndarray = field(init=False)
-    force: np.ndarray = field(init=False)
+    width: int
+
+    def __post_init__(self) -> None:
+        self.table = np.zeros((self.width, int(self.offsets[-1])))
+
+    def observed(self, x: Features) -> None:
+        """How often each feature goes with each outcome, and how often the slots' features go with each group."""
+        flat, size = self.table.reshape(-1), self.table.shape[1]
+        for k in range(x.rows.shape[1]):
+            np.add.at(flat, x.kind * size + x.rows[:, k], 1.0)
+        group = x.kind[x.within] - END_CLASS - 1 + CLASSES
+        for k in range(x.slot_rows.shape[1]):
+            row = self.offsets[4] + x.slot_rows[:, k]
+            np.add.at(flat, x.slot * size + row, 1.0)
+            np.add.at(flat, group * size + row, 1.0)
+
+    def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
+        """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
+        columns = np.ascontiguousarray(chances.T).astype(np.float64)
+        for k in range(rows.shape[1]):
+            a, b = int(self.offsets[part + k]), int(self.offsets[part + k + 1])
+            key = rows[:, k] - (a - (int(self.offsets[4]) if part else 0))
+            for c in range(len(columns)):
+                self.table[c, a:b] += np.bincount(key, columns[c], b - a)
+
+
+@dataclass
+class Model:
+    voc: Vocabulary
+    weights: np.ndarray  # both tables
 
     def __post_init__(self) -> None:
-        self.seen = np.zeros(len(self.weights), np.float32)
-        self.force = np.full(len(self.weights), 1e-2, np.float32)
-
-    def learn(self, rows: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
-        for a in range(0, len(rows), BATCH):
-            r, y = rows[a : a + BATCH], target[a : a + BATCH]
-            gradient = np.exp(predict(self.weights, self.bias, r))
-            gradient[np.arange(len(y)), y] -= 1
-            for k in range(r.shape[1]):
-                feature = (r[:, k] - self.offsets[k]).astype(np.uint16)  # no part of the table has more rows; short keys sort by radix
-                order = np.argsort(feature, kind="stable")
-                s = feature[order]
-                begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                at, g = self.offsets[k] + s[begin].astype(np.int64), np.add.reduceat(np.take(gradient, order, axis=0), begin, axis=0)
-                self.force[at] += (g * g).sum(axis=1)
-                self.seen[at] += np.diff(np.append(begin, len(s)))
-                self.weights[at] -= rate * g / np.sqrt(self.force[at])[:, None]
-
-
-def train_round(docs: DataFrame, voc: Vocabulary, weights: np.ndarray) -> np.ndarray:
-    """Weights after averaging the updates of all tasks."""
-    bias = np.log(voc.class_share).astype(np.float32)
-    offsets, size = voc.offsets, len(weights)
+        self.bias, self.slot_bias = np.log(self.voc.class_share).astype(np.float32), np.log(self.voc.slot_share).astype(np.float32)
+
+    def blocks(self, x: Features) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """(first part of the table, tokens, rows, log probabilities) of the classes of all tokens and then of the slots of those in groups."""
+        split = self.voc.offsets[4]
+        for a in range(0, len(x.rows), BATCH):
+            at = slice(a, a + BATCH)
+            yield 0, at, x.rows[at], predict(self.weights[:split], self.bias, x.rows[at])
+        for a in range(0, len(x.slot), BATCH):
+            at = slice(a, a + BATCH)
+            yield 4, at, x.slot_rows[at], predict(self.weights[split:], self.slot_bias[x.kind[x.within[at]] - END_CLASS - 1], x.slot_rows[at])
+
+    def token_logs(self, x: Features) -> np.ndarray:
+        """Of each token: log10 probability of its class and slot, less the log10 of what the slot's words share."""
+        out, within = np.empty(len(x.rows)), np.empty(len(x.slot))
+        for part, at, _, z in self.blocks(x):
+            row = np.arange(len(z))
+            if part:
+                within[at] = z[row, x.slot[at]]
+            else:
+                out[at] = z[row, x.kind[at]]
+        out[x.within] += within
+        cell = np.where(x.kind <= END_CLASS, x.kind, 0)
+        cell[x.within] = END_CLASS + 1 + (x.kind[x.within] - END_CLASS - 1) * (OWN_SLOTS + SHARED_SLOTS) + x.slot
+        return out / np.log(10) - self.voc.log_total[cell]
+
+
+def summed(docs: DataFrame, voc: Vocabulary, model: Model | None) -> np.ndarray:
+    """Sums over all rows (text) of what occurs or, with a model, of what it expects; rows of both tables x columns."""
+    offsets, size, width = voc.offsets, int(voc.offsets[-1]), CLASSES + (FORMS if model is None else 0)
     blocks = -(-size // ROWS_A_BLOCK)
-    known = weights if weights.any() else None  # nothing learnt yet need not be sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = np.zeros((size, CLASSES), np.float32) if known is None else known
-        learner = Learner(before.copy(), bias, offsets)
+        sums = Sums(offsets, width)
         for batch in batches:
             for _, _, data, offs in textkit.slices(batch.column(0)):
                 word, form, first = tokens(data, offs)
-                rows, kind, _ = features(word, voc.classes(word, form)[0], first, offsets)
-                learner.learn(rows, kind)
-        change = ((learner.weights - before) * 1024).astype(np.float16)
-        touched = [b for b in range(blocks) if learner.seen[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK].any()]
-        cut = [slice(b * ROWS_A_BLOCK, min((b + 1) * ROWS_A_BLOCK, size)) for b in touched]
-        if touched:
-            yield pa.RecordBatch.from_arrays([pa.array(touched, pa.int32()), pa.array([learner.seen[c].tobytes() for c in cut], pa.binary()), pa.array([change[c][learner.seen[c] > 0].tobytes() for c in cut], pa.binary())], names=["block", "seen", "change"])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list[np.ndarray]] = {}
+                x = features(word, *voc.classes(word, form)[:2], first, offsets)
+                if model is None:
+                    sums.observed(x)
+                else:
+                    for part, _, rows, z in model.blocks(x):
+                        sums.expected(rows, np.exp(z), part)
+        for b in range(blocks):
+            part = sums.table[:, b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = np.frombuffer(seen, np.float32)
-                moved = np.zeros((len(n), CLASSES), np.float32)
-                moved[n > 0] = np.frombuffer(change, np.float16).reshape(-1, CLASSES)  # rows that the task saw
-                moved *= n[:, None]
-                have = total.setdefault(b, [np.zeros_like(n), np.zeros_like(moved)])
-                have[0] += n
-                have[1] += moved
-        if total:
-            means = [(m / np.maximum(n, 1)[:, None] / 1024).astype(np.float32).tobytes() for n, m in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(means, pa.binary())], names=["block", "mean"])
+            for b, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(sums, np.float32)
+                if b in total:
+                    total[b] += part
+                else:
+                    total[b] = part.astype(np.float64)
+        for b, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, seen binary, change binary").repartition(blocks, "block").mapInArrow(average, "block int, mean binary")
-    out = weights.copy()
-    for r in parts.collect():  # the weight table, whose size is bounded
-        b = r["block"]
-        out[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK] += np.frombuffer(r["mean"], np.float32).reshape(-1, CLASSES)
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, sums binary").repartition(blocks, "block").mapInArrow(add, "block int, sums binary")
+    out = np.zeros((size, width), np.float32)
+    found = parts.toArrow()  # one table, whose size is bounded
+    for b, sums in zip(found["block"].to_pylist(), found["sums"], strict=True):
+        rows = slice(b * ROWS_A_BLOCK, min((b + 1) * ROWS_A_BLOCK, size))
+        out[rows] = np.frombuffer(sums.as_buffer(), np.float32).reshape(width, -1).T
     return out
 
 
-def _rare_words(docs: DataFrame, voc: Vocabulary) -> DataFrame:
-    """(key, word, n): words outside the head, document by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, _, data, offs in textkit.slices(batch.column(1)):
-                word, _, first = tokens(data, offs)
-                own = textkit.owner(first)
-                code, uniq = pd.factorize(word)
-                rare = ~voc.look_up(uniq.astype(np.uint64))[1][code] if len(uniq) else np.zeros(0, bool)
-                pair = own[rare].astype(np.int64) * max(len(uniq), 1) + code[rare]
-                pair, n = np.unique(pair, return_counts=True)
-                doc, at = np.divmod(pair, max(len(uniq), 1))
-                yield pa.RecordBatch.from_arrays([pa.array(key[a + doc]), pa.array(uniq[at].astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "word", "n"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, word long, n int")
-
-
-def _score_texts(docs: DataFrame, voc: Vocabulary, weights: np.ndarray) -> DataFrame:
-    """(id, key, held_out, n_tokens, n_known, head_log, class_log): all but what rare words add."""
-    bias, offsets = np.log(voc.class_share).astype(np.float32), voc.offsets
+def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) -> Model:
+    """Rounds of updates from weights of 0; every round sees all rows."""
+    split, size = voc.offsets[4], int(voc.offsets[-1])
+    model = Model(voc, np.zeros((size, CLASSES), np.float32))
+    if not voc.total:
+        return model
+    met = summed(docs, voc, None)
+    occurs, groups = met[:, :CLASSES].copy(), met[split:, CLASSES:].copy()
+    del met
+    share = np.concatenate([np.broadcast_to(voc.class_share, (split, CLASSES)), np.full((size - split, CLASSES), 1 / CLASSES)]).astype(np.float32)
+    # weights of 0: the bias is all that says what to expect
+    expects = np.concatenate([occurs[:split].sum(1, keepdims=True) * share[:split], groups @ voc.slot_share.astype(np.float32)])
+    prior = np.float32(PRIOR) * share
+    for k, step in enumerate(steps):
+        if k:
+            expects = summed(docs, voc, model)
+        # against the gradient (expects - occurs): this is the step that meets it where a weight alone decides
+        change = np.log((occurs + prior) / (expects + prior))
+        model = Model(voc, np.clip(model.weights + np.float32(step) * change, -STEEPEST, STEEPEST))
+    return model
+
+
+def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, id, held_out, n_tokens, n_known, head_log, class_log, rare): all but what rare words add; ``rare`` are their hashes."""
+    voc = model.voc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, data, offs in textkit.slices(batch.column(3)):
+            for a, b, data, offs in textkit.slices(batch.column(2)):
                 word, form, first = tokens(data, offs)
-                kind, at, known = voc.classes(word, form)
-                rows, target, begin = features(word, kind, first, offsets)
-                log_class = np.empty(len(rows))
-                for i in range(0, len(rows), BATCH):
-                    z = predict(weights, bias, rows[i : i + BATCH])
-                    log_class[i : i + BATCH] = z[np.arange(len(z)), target[i : i + BATCH]]
-                log_class = log_class / np.log(10) - voc.log_class_total[target]
-                head = np.where(known, voc.log_count[at] if len(voc.log_count) else 0.0, 0.0)
-                end = np.log10(voc.ends + SMOOTH)
-                cols = [pa.array(np.diff(begin)), pa.array(textkit.sums(known.astype(np.int64), first) + int(voc.ends > 0)), pa.array(textkit.sums(head, first) + end), pa.array(textkit.sums(log_class, begin))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), *cols], names=["id", "key", "held_out", "n_tokens", "n_known", "head_log", "class_log"])
+                kind, slot, at, found = voc.classes(word, form)
+                x = features(word, kind, slot, first, voc.offsets)
+                head = np.where(found, voc.log_count[at] if len(voc.words) else 0.0, 0.0)
+                known = found & (voc.met[at] if len(voc.words) else False)
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~found)])[first].astype(np.int32)), pa.array(word[~found].view(np.int64)))
+                cols = [pa.array(np.diff(x.begin)), pa.array(textkit.sums(known.astype(np.int64), first) + int(voc.ends > 0)), pa.array(textkit.sums(head, first) + np.log10(voc.ends + SMOOTH)), pa.array(textkit.sums(model.token_logs(x), x.begin))]
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), *(batch.column(i)[a:b] for i in range(2)), *cols, rare], names=["row", "id", "held_out", "n_tokens", "n_known", "head_log", "class_log", "rare"])
+                row += b - a
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "key", "held_out", "text").mapInArrow(run, f"id {kind}, key long, held_out boolean, n_tokens long, n_known long, head_log double, class_log double")
+    return docs.select("id", "held_out", "text").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, head_log double, class_log double, rare array<long>")
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 10, fold: int = 0, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 10, fold: int = 0, head: int = HEAD, steps: tuple[float, ...] = STEPS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt without the rows of one fold."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(remainder(id_col, divisor) == fold, F.lit(False)).alias("held_out"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col, divisor) == fold, F.lit(False)).alias("held_out"))
     training = docs.where("not held_out")
-    counts = shared.materialize(count_words(training), "words")
-    voc = vocabulary(counts, training.count())
-    weights = np.zeros((voc.offsets[-1], CLASSES), np.float32)
-    for r in range(rounds):
-        weights = train_round(training.where(F.pmod(F.col("key"), F.lit(rounds)) == r), voc, weights)
-
-    rare = _rare_words(docs, voc).join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("key").agg(F.sum(F.col("n") * F.log10(c + SMOOTH)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    scored = _score_texts(docs, voc, weights)
-    copies = docs.groupBy("key").agg(F.count("*").alias("copies"))
-    rare = rare.join(copies, "key").select(F.col("key").alias("rare_key"), (F.col("rare_log") / F.col("copies")).alias("rare_log"), F.expr("rare_known div copies").alias("rare_known"))
-    out = scored.join(rare, scored["key"] == rare["rare_key"], "left")
+    counts = shared.materialize(count_words(docs), "words")
+    model = learn(training, vocabulary(counts, training.count(), head), steps)
+    voc = model.voc
+
+    scored = shared.materialize(_score_texts(docs, model), "scored")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
+    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + SMOOTH)).alias("rare_log"), F.count_if(F.col("n") > 0).alias("rare_known"))
+    out = scored.drop("rare").join(rare, "row", "left")
     counted = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0))
     whole = float(np.log10(voc.total + SMOOTH * (voc.distinct + 1)))
     return out.select(

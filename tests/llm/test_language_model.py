@@ -1,40 +1,160 @@
-"""The weight table grows with the corpus and every row that a task saw is averaged."""
+"""The language model: a function of the rows alone, and its score against plain loops."""
+
+from __future__ import annotations
+
+import math
+import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
+
+from loomgraph.llm import language_model as lm
+from loomgraph.llm import textkit
+
+
+def corpus(spark, n=150, seed=2):
+    rng = random.Random(seed)
+    words = [f"{rng.choice('abcdefgh')}{i}{rng.choice(['er', 'ing', 'ou', 'x'])}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([5, 60, 400])]) for _ in range(rng.randint(1, 120)))) for i in range(n)]
+    return spark.createDataFrame([*rows, (500, None), (501, ""), (None, rows[0][1]), rows[1]], "doc_id long, text string")
+
+
+def by_row(df):
+    return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 50])
+def test_score_does_not_depend_on_the_layout(spark, head):
+    docs = corpus(spark)
+    first, *others = [by_row(lm.score_documents(docs.repartition(n), head=head)) for n in (1, 3, 11)]
+    for rows in others:
+        for a, b in zip(first, rows, strict=True):
+            assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9) and abs(a[4] - b[4]) <= 1e-5 * a[1]
+
+
+def test_head_changes_no_count(spark):
+    a, b = (by_row(lm.score_documents(corpus(spark), head=h)) for h in (lm.HEAD, 50))
+    assert [x[:3] for x in a] == [x[:3] for x in b] and all(math.isclose(x[3], y[3], rel_tol=1e-9) for x, y in zip(a, b, strict=True))
+
+
+def whole_model(spark, docs):
+    rows = [r["text"] or "" for r in docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").collect()]
+    tagged = docs.selectExpr("doc_id", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, false) held_out", "text")
+    voc = lm.vocabulary(lm.count_words(tagged), len(rows))
+    return rows, voc, lm.learn(tagged.where("not held_out"), voc)
+
+
+def slices_of(texts, voc):
+    for _, _, data, offs in textkit.slices(pa.array(texts)):
+        word, form, first = lm.tokens(data, offs)
+        kind, slot, _, _ = voc.classes(word, form)
+        yield word, lm.features(word, kind, slot, first, voc.offsets)
+
+
+def test_training_and_score_by_plain_loops(spark):
+    """Weights by loops over tokens and features, scores by sums over all classes, slots and words."""
+    docs = corpus(spark)
+    rows, voc, model = whole_model(spark, docs)
+    split, size = int(voc.offsets[4]), int(voc.offsets[-1])
+    tokens = []  # (class rows, class, group, slot rows, slot)
+    for _, x in slices_of(rows, voc):
+        place = {int(t): i for i, t in enumerate(x.within)}
+        for t in range(len(x.rows)):
+            i = place.get(t)
+            tokens.append((x.rows[t].tolist(), int(x.kind[t]), *((int(x.kind[t]) - lm.END_CLASS - 1, (split + x.slot_rows[i]).tolist(), int(x.slot[i])) if i is not None else (None, [], None))))
+    weights = np.zeros((size, lm.CLASSES))
+    occurs = np.zeros((size, lm.CLASSES))
+    for features, kind, _, slots, slot in tokens:
+        for r in features:
+            occurs[r, kind] += 1
+        for r in slots:
+            occurs[r, slot] += 1
+
+    def chances(features, bias):
+        z = np.log(bias) + sum(weights[r] for r in features)
+        return np.exp(z) / np.exp(z).sum()
+
+    share = np.vstack([np.tile(voc.class_share, (split, 1)), np.full((size - split, lm.CLASSES), 1 / lm.CLASSES)])
+    for step in lm.STEPS:
+        expects = np.zeros((size, lm.CLASSES))
+        for features, _, group, slots, _ in tokens:
+            p = chances(features, voc.class_share)
+            for r in features:
+                expects[r] += p
+            if slots:
+                p = chances(slots, voc.slot_share[group])
+                for r in slots:
+                    expects[r] += p
+        weights = np.clip(weights + step * np.log((occurs + lm.PRIOR * share) / (expects + lm.PRIOR * share)), -lm.STEEPEST, lm.STEEPEST)
+    assert np.abs(weights).max() > 0.5 and np.allclose(weights, model.weights, atol=2e-4)
+
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).where("doc_id is not null").collect()}
+    count = {}
+    for word, _ in slices_of(rows, voc):
+        for w in word.tolist():
+            count[w] = count.get(w, 0) + 1
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id is not null").collect()}
+    for i in [*range(12), 500, 501]:
+        for word, x in slices_of([texts[i]], voc):
+            score, k = 0.0, 0
+            for t in range(len(x.rows)):
+                score += math.log10(chances(x.rows[t], voc.class_share)[x.kind[t]])
+                n = count.get(int(word[t]), 0) if t < len(word) else len(rows)
+                if t in x.within:
+                    group = int(x.kind[t]) - lm.END_CLASS - 1
+                    score += math.log10(chances(split + x.slot_rows[k], voc.slot_share[group])[x.slot[k]])
+                    cell = lm.END_CLASS + 1 + group * (lm.OWN_SLOTS + lm.SHARED_SLOTS) + int(x.slot[k])
+                    k += 1
+                else:
+                    cell = int(x.kind[t])
+                score += math.log10(n + lm.SMOOTH) - voc.log_total[cell]
+            assert abs(score - got[i]) <= 1e-4 * len(x.rows)
+
+
+def test_probabilities_add_up(spark):
+    """After any tokens, all words met and the end have a little less than 1 together: the rest is for words not met."""
+    docs = corpus(spark)
+    rows, voc, model = whole_model(spark, docs)
+    word, count = {}, {}
+    for t in rows:
+        for w in t.split():
+            count[w] = count.get(w, 0) + 1
+    history = "a b " + rows[3][:40]
+    ask = [f"{history} {w}" for w in count] + [history]
+    start, total = len(history.split()), 0.0
+    for k, (_, x) in enumerate(slices_of(ask, voc)):
+        logs = model.token_logs(x)
+        at = x.begin[:-1] + start
+        n = [count.get(t.split()[-1], 0) if i < len(count) else len(rows) for i, t in enumerate(ask)]
+        total += (10 ** (logs[at] + np.log10(np.array(n) + lm.SMOOTH))).sum()
+    assert 0.85 < total <= 1 + 1e-5
+
+
+def test_most_frequent_words_are_bounded(spark):
+    same = spark.range(5000).selectExpr("id AS word", "0 AS form", "1L AS n", "1L AS everywhere")
+    assert 700 < lm.most_frequent(same, 1000).count() <= 1000 and lm.most_frequent(same, 5000).count() == 5000
+    steep = spark.range(5000).selectExpr("id AS word", "0 AS form", "id * id AS n", "id * id AS everywhere")
+    got = sorted(r["word"] for r in lm.most_frequent(steep, 100).collect())
+    assert 50 < len(got) <= 100 and got[-1] == 4999 and min(got) > 4000
+
+
+def test_table_grows_with_the_corpus():
+    assert lm.layout(0)[1] == lm.LEAST_WORD_ROWS and lm.layout(30_000_000)[1] == 16_384 and lm.layout(1 << 40)[1] == lm.MOST_WORD_ROWS
+    assert (np.diff(lm.layout(12345)) > 0).all()
+
+
+def test_learning_helps_on_held_out_rows(spark):
+    rng = random.Random(4)
+    after = {w: rng.sample("abcdefghijklmnopqrstuvwxyz", 3) for w in "abcdefghijklmnopqrstuvwxyz"}
+
+    def text():
+        w = [rng.choice("abcdefghijklmnopqrstuvwxyz")]
+        for _ in range(200):
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(w)
 
-from loomgraph.llm import language_model
-
-
-def test_table_grows_with_the_words(spark):
-    def voc(n):
-        words = spark.range(n).selectExpr("id AS word", "CAST(id % 23 AS INT) AS form", "id + 1 AS n")
-        return language_model.vocabulary(words, 3)
-
-    small, large = voc(100), voc(20_000)
-    assert small.offsets[-1] == language_model.TABLE_ROWS and small.offsets[1] == 4096
-    assert large.offsets[1] == 32_768 and large.offsets[3] - large.offsets[2] == 16_384
-    assert language_model.layout(1 << 40)[1] == language_model.MOST_WORD_ROWS
-    assert language_model.CLASSES == 64
-
-
-def test_features_stay_in_their_parts():
-    offsets = language_model.layout(50_000)
-    rng = np.random.default_rng(0)
-    word = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
-    rows, _, _ = language_model.features(word, rng.integers(0, language_model.CLASSES, 5000), np.array([0, 2000, 5000]), offsets)
-    assert ((rows >= offsets[:4]) & (rows < offsets[1:])).all() and len(np.unique(rows[:, 0])) > 4096
-
-
-def test_round_of_one_task_is_its_own_updates(spark):
-    text = [" ".join(f"w{i * k % 97}" for i in range(200)) for k in range(20)]
-    docs = spark.createDataFrame([(t,) for t in text], "text string").repartition(1)
-    voc = language_model.vocabulary(language_model.count_words(docs), len(text))
-    weights = np.zeros((voc.offsets[-1], language_model.CLASSES), np.float32)
-    got = language_model.train_round(docs, voc, weights)
-    data = language_model.textkit.slices(language_model.pa.array(text))
-    learner = language_model.Learner(weights.copy(), np.log(voc.class_share).astype(np.float32), voc.offsets)
-    for _, _, raw, offs in data:
-        word, form, first = language_model.tokens(raw, offs)
-        rows, kind, _ = language_model.features(word, voc.classes(word, form)[0], first, voc.offsets)
-        learner.learn(rows, kind)
-    assert np.abs(got).sum() > 0 and np.allclose(got, learner.weights, atol=2e-3)
+    docs = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
+    rows = lm.score_documents(docs).where("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
+    assert gain > 0.5  # of the log10(26 / 3) = 0.94 there are

@@ -480,14 +480,6 @@ def test_language_model(docs, texts):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_probabilities_add_up():
-    rng = np.random.default_rng(0)
-    weights = rng.normal(0, 1, (language_model.TABLE_ROWS, language_model.CLASSES)).astype(np.float32)
-    rows = rng.integers(0, language_model.TABLE_ROWS, (50, 4))
-    p = np.exp(language_model.predict(weights, np.zeros(language_model.CLASSES, np.float32), rows))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-
-
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(19, "a b"), (19, None)], "doc_id long, text string")
     got = language_model.score_documents(df.where("doc_id = 19")).collect()
