@@ -10,20 +10,41 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolderError(RuntimeError):
+    """Executors on other machines need a folder that all of them see."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new one."""
+    """The folder named by ``spark.checkpoint.dir``; on one machine (tests), where it is unset, a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise NoSharedFolderError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends here, losing an executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path  # for ``discard``
+    return out
+
+
+def filesystem(spark: SparkSession, path: str):  # noqa: ANN201
+    """(Hadoop file system, path, configuration) for a path of any scheme."""
+    conf, place = spark._jsparkSession.sessionState().newHadoopConf(), spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place, conf
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a result of ``materialize`` that nothing reads any more."""
+    fs, path, _ = filesystem(df.sparkSession, df._table)
+    fs.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
