@@ -22,7 +22,10 @@ linked if 100 * intersection >= percent * union.
 5. Union-find labels give each document the smallest id reachable.
 
 No pairs of documents are emitted, only labels and ties. Null text is empty. Rows
-that repeat an id are one node; rows without id are linked with nothing and kept.
+that repeat an id are one node, linked with whatever one of their texts links with
+(and kept or not together); rows without id are linked with nothing and kept. Of
+equally good representatives the smallest id stays. Texts of any length are read
+whole; an empty table gives an empty result. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -304,13 +307,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = shared.materialize(full, "sets")
     labels = shared.materialize(_label(full, "block", kind, percent), "labels")
     labels = _join_blocks(full, labels, kind, percent, block)
+    shared.discard(full)
 
     mine = labels.groupBy("rep").agg(F.min("label").alias("label"))
     node = classes.select("h1", "h2", "n", "rep").join(mine, "rep", "left").select("h1", "h2", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = sketch.select("id", "n", "h1", "h2").join(node, ["h1", "h2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    found = sketch.select("id", "n", "h1", "h2").join(node, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    found = shared.materialize(found, "found")
+    for table in (sketch, classes, labels):
+        shared.discard(table)
+    found = _repeated_ids(found)
+    out = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _repeated_ids(found: DataFrame) -> DataFrame:
+    """Components of rows that share an id, and all components tied by such ids, are one."""
+    several = found.where("id is not null").groupBy("id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most")
+    several = shared.materialize(several.select("id", "least"), "several")
+    if several.isEmpty():
+        return found
+    # an id's own number is a node too, so that texts without shingles follow the others
+    ties = found.join(several, "id").select(F.col("component_id").alias("a"), F.col("least").alias("b"))
+    joined = components(ties).select(F.col("node").alias("component_id"), F.col("component").alias("whole"))
+    own = several.join(joined, several["least"] == joined["component_id"]).select("id", F.col("whole").alias("of_id"))
+    out = found.join(joined, "component_id", "left").join(own, "id", "left")
+    return out.select("id", "n", F.least("component_id", "whole", "of_id").alias("component_id"))
+
+
 def _join_blocks(full: DataFrame, labels: DataFrame, kind: str, percent: int, block: int) -> DataFrame:
     """Labels across the blocks of groups that have several."""
     several = full.where("n_blocks > 1")
@@ -327,7 +350,8 @@ def _join_blocks(full: DataFrame, labels: DataFrame, kind: str, percent: int, bl
     met = _label(sent, "cell", kind, percent).withColumnRenamed("label", "met")
     ties = sent.select("rep", "label").join(met, "rep").select(F.col("label").alias("a"), F.col("met").alias("b"))
     ties = ties.unionByName(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    labels = _relabel(labels, components(ties))
+    before, labels = labels, _relabel(labels, components(ties))
+    shared.discard(before)
     # who is not in the largest cluster of its group asks all others of the group
     own = own.drop("label").join(labels.select("rep", "label").distinct(), "rep")
     largest = own.groupBy("grp", "label").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("largest"))
@@ -339,7 +363,10 @@ def _join_blocks(full: DataFrame, labels: DataFrame, kind: str, percent: int, bl
     asking = askers.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n_chunks")).cast("int")).withColumn("part", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*columns)
     answering = own.join(chunks, "grp").withColumn("part", F.lit(1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).select(*columns)
     found = _answer(asking.unionByName(answering).withColumn("cell", F.to_json("cell")), kind, percent)
-    return _relabel(labels, components(found))
+    out = _relabel(labels, components(found))
+    shared.discard(labels)
+    shared.discard(own)
+    return out
 
 
 def _relabel(labels: DataFrame, joined: DataFrame) -> DataFrame:
