@@ -7,23 +7,25 @@ judged on the input.
 1. Each window is filed under its smallest gram (``GRAM`` bytes, by hash; the
    leftmost of equals). That depends on the window's bytes alone, so equal windows
    are filed alike. Neighbouring windows mostly share their gram: they make one
-   context. Contexts that are alike within a slice of a task are merged there
+   context. Contexts of a slice of a task that are equal, byte for byte, are merged
    before the shuffle, so strings that very many documents share are few rows.
-   Grams that very many *different* contexts share would bring these to one task:
-   their windows are filed singly, each under its own bytes.
-2. Contexts meet by gram. Of equal contexts only the first one's windows can be
-   first occurrences; the others are marked whole. A gram whose first contexts
-   differ asks for their texts.
-3. Those contexts are concatenated, their suffixes sorted in two stages
+   Grams that very many *different* contexts share, anywhere in the corpus, would
+   bring these to one task: their windows are filed singly, each under its own bytes.
+2. Contexts meet by gram. All that are not alone with theirs ask for their bytes.
+3. These come together by gram. Of equal ones only the first one's windows can be
+   first occurrences; the others are marked whole. Those that differ are
+   concatenated, their suffixes sorted in two stages
    (:mod:`loomgraph.llm.suffix_array`), and where neighbours in that order share
    ``length`` bytes, all windows but the earliest are marked.
 4. Marks meet the texts.
 
+Hashes only bring windows together: no byte goes that was not compared.
+
 Null text is empty. Rows that repeat an id with the same text are one document and
 get the same result; with other texts they are told apart by 64 bits of a hash and
 follow each other in its order.
 Ids are integers; a null id comes last. A document of any length is cut into
-segments that overlap by one window.
+segments that overlap by one window. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ from loomgraph.llm import shared, suffix_array, textkit
 LENGTH, GRAM = 100, 40
 #: Windows of one segment; a position in a segment and 40 bits of a hash share a 64-bit number.
 SEGMENT = 1 << 23
-#: Documents, about, among which common grams are looked for, and the number of contexts there that makes a gram common.
-LOOKED_AT, COMMON = 20_000, 100
+#: A gram is common if about so many different contexts share it, or this share of all contexts if that is more.
+COMMON, COMMON_SHARE = 100, 1e-6
+#: A task reports grams that it meets in so many different contexts; it holds so many contexts at a time.
+REPORTED, HELD = 3, 4_000_000
 #: Bytes of contexts that are sorted at a time.
 SORTED_AT_ONCE = 1 << 22
 NO_ID = (1 << 63) - 1
@@ -81,17 +85,23 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def later_alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): rows sorted by all columns; ``later`` are rows whose first columns (all but the last three) equal the row's before and whose last three don't."""
-    order = np.lexsort(columns[::-1])
-    cols = [c[order] for c in columns]
-    alike = np.ones(max(len(order) - 1, 0), bool)
-    for c in cols[:-3]:
-        alike &= c[1:] == c[:-1]
-    # a row is the first of its kind, or stands at the same place as the first one
-    begin = np.flatnonzero(np.concatenate([[True], ~alike])) if len(order) else np.zeros(0, np.int64)
-    kind = np.cumsum(np.concatenate([[True], ~alike])) - 1 if len(order) else np.zeros(0, np.int64)
-    return order, np.logical_or.reduce([c != c[begin][kind] for c in cols[-3:]])
+def leaders(gram: np.ndarray, context: np.ndarray, n: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """For each row the first one, by ``place``, of those with its gram, context and size."""
+    key = textkit.mix(gram.view(np.uint64) ^ textkit.mix(context.view(np.uint64) + n.astype(np.uint64)))
+    order = np.lexsort((*place[::-1], key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    return out
+
+
+def runs(own: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, windows) of runs of rows that follow each other in one text."""
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return at, np.add.reduceat(n, at) if len(at) else n
 
 
 def _numbers(batch: pa.RecordBatch, i: int) -> np.ndarray:
@@ -99,15 +109,42 @@ def _numbers(batch: pa.RecordBatch, i: int) -> np.ndarray:
 
 
 def common_grams(docs: DataFrame, length: int) -> np.ndarray:
-    """Grams that very many different contexts share, sorted; found in a bounded number of documents.
+    """Grams that very many different contexts share, sorted, from all documents.
 
-    This only decides how windows are filed, for all tasks alike, not what the result is.
+    This only decides how windows are filed, for all tasks alike, not what the
+    result is. A gram that no task meets in ``REPORTED`` contexts is not counted: it
+    has fewer than ``REPORTED`` times the number of tasks. At most one gram in
+    ``COMMON_SHARE`` of the contexts is common, which bounds what is broadcast.
     """
-    every = max(1, docs.count() // LOOKED_AT)
-    part = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    kinds = _contexts(part, length, np.zeros(0, np.int64)).where("n > 0").select("gram", "context").distinct()
-    many = kinds.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") >= COMMON)
-    return np.sort(np.array([r["gram"] for r in many.select("gram").collect()], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def report(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            gram, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at = np.unique(textkit.mix(gram.view(np.uint64) ^ textkit.mix(context.view(np.uint64))), return_index=True)
+            many, k = np.unique(gram[at], return_counts=True)
+            on = k >= REPORTED
+            # the number of all contexts goes without a gram
+            return pa.RecordBatch.from_arrays([pa.array([*many[on].tolist(), None], pa.int64()), pa.array(np.append(k[on], len(at)))], names=["gram", "k"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, offs in textkit.slices(batch.column(0), 1 << 22):
+                gram, context, *_ = contexts(data, offs, length)
+                held.append((gram, context))
+                size += len(gram)
+                if size > HELD:
+                    yield report(held)
+                    held, size = [], 0
+        if held:
+            yield report(held)
+
+    many = docs.select("text").mapInArrow(run, "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("gram").isNull() | (F.col("k") >= COMMON))
+    many = shared.materialize(many, "grams")
+    total = many.where("gram is null").first()
+    bar = max(COMMON, (total["k"] if total else 0) * COMMON_SHARE)
+    common = np.sort(np.array([r["gram"] for r in many.where(F.col("gram").isNotNull() & (F.col("k") >= bar)).select("gram").collect()], np.int64))
+    shared.discard(many)
+    return common
 
 
 def _single_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +157,7 @@ def _single_windows(data: np.ndarray, start: np.ndarray, n: np.ndarray, length:
 
 
 def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
-    """(gram, context, id, tag, place, n): n < 0 for contexts already known to be repeats.
+    """(gram, id, tag, place, n): n < 0 for runs of windows already known to be repeats.
 
     Windows of ``common`` grams are filed one by one, under their own hashes.
     """
@@ -130,73 +167,86 @@ def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
             ids, tag = _numbers(batch, 0), _numbers(batch, 1)
             for a, _, data, offs in textkit.slices(batch.column(2), 1 << 22):
                 gram, context, own, start, n = contexts(data, offs, length)
-                doc, text, place = ids[a + own], tag[a + own], start
-                order, later = later_alike(gram, context, n, doc, text, place)
-                cols = [c[order] for c in (gram, context, doc, text, place, n)]
-                split = ~later & np.isin(cols[0], common) if len(common) else np.zeros(len(later), bool)
+                split = np.isin(gram, common) if len(common) else np.zeros(len(gram), bool)
                 if split.any():
-                    chosen = order[split]
-                    row, k, window = _single_windows(data, (offs[own] + start)[chosen], n[chosen], length)
-                    one, none = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
-                    single = (window, none, doc[chosen][row], text[chosen][row], place[chosen][row] + k, one)
-                    by, later_one = later_alike(window, none, one, *single[2:5])
-                    cols = [np.concatenate([c[~split], x[by]]) for c, x in zip(cols, single, strict=True)]
-                    later = np.concatenate([later[~split], later_one])
-                gram, context, doc, text, place, n = cols
-                n[later] *= -1
+                    row, k, window = _single_windows(data, (offs[own] + start)[split], n[split], length)
+                    single = (window, window, own[split][row], start[split][row] + k, np.ones(len(row), np.int64))
+                    cols = [np.concatenate([c[~split], x]) for c, x in zip((gram, context, own, start, n), single, strict=True)]
+                    by = np.lexsort((cols[3], cols[2]))
+                    gram, context, own, start, n = (c[by] for c in cols)
+                doc, text = ids[a + own], tag[a + own]
+                first = leaders(gram, context, n, doc, text, start)
+                later = (doc != doc[first]) | (text != text[first]) | (start != start[first])
+                # what is merged here is compared here
+                at, raw = np.flatnonzero(later), data.tobytes()
+                mine, its, size = (offs[own] + start)[at].tolist(), (offs[own] + start)[first[at]].tolist(), (n[at] + length - 1).tolist()
+                later[at] = [raw[x : x + z] == raw[y : y + z] for x, y, z in zip(mine, its, size, strict=True)]
+                at = np.flatnonzero(later)
+                begin, windows = runs(own[at], start[at], n[at])
+                begin = at[begin]
                 # what is marked already needs no meeting with its gram, however common: it goes anywhere
-                spread = textkit.mix(doc[later].view(np.uint64) ^ textkit.mix(text[later].view(np.uint64) ^ textkit.mix(place[later].view(np.uint64))))
-                gram[later] = spread.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, context, doc, text, place, n.astype(np.int32))], names=["gram", "context", "id", "tag", "place", "n"])
+                spread = textkit.mix(doc[begin].view(np.uint64) ^ textkit.mix(text[begin].view(np.uint64) ^ textkit.mix(start[begin].view(np.uint64))))
+                cols = [np.concatenate([x[~later], y]) for x, y in ((gram, spread.view(np.int64)), (doc, doc[begin]), (text, text[begin]), (start, start[begin]), (n, -windows))]
+                cols[4] = cols[4].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "id", "tag", "place", "n"])
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "gram long, context long, id long, tag long, place long, n int")
+    return docs.select("id", "tag", "text").mapInArrow(run, "gram long, id long, tag long, place long, n int")
 
 
-def _compare(rows: DataFrame) -> DataFrame:
-    """(ask, gram, id, tag, place, n): marks (ask false), and contexts whose gram has others (ask true)."""
+def _meet(rows: DataFrame) -> DataFrame:
+    """(ask, gram, id, tag, place, n): marks (ask false), and contexts that are not alone with their gram (ask true)."""
+    names = ["ask", "gram", "id", "tag", "place", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        gram, context, doc, tag, place, n = (table.column(i).to_numpy() for i in range(6))
-        size = np.abs(n)
-        order, later = later_alike(gram, context, size, doc, tag, place)
-        gram, doc, tag, place, n, size = gram[order], doc[order], tag[order], place[order], n[order], size[order]
-        context = context[order]
-        # rows marked in their task stand alone here, under keys of their own
-        mark = later | (n < 0)
-        begins = np.ones(len(gram), bool)
-        begins[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (size[1:] != size[:-1])
-        # kinds of each gram
-        gram_begins = np.ones(len(gram), bool)
-        gram_begins[1:] = gram[1:] != gram[:-1]
-        number = np.cumsum(gram_begins) - 1
-        kinds = np.bincount(number[begins], minlength=int(number[-1]) + 1)
-        ask = begins & (kinds[number] > 1)
-        for rows_, asks in ((mark, False), (ask, True)):
-            at = np.flatnonzero(rows_)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), asks)), pa.array(gram[at]), pa.array(doc[at]), pa.array(tag[at]), pa.array(place[at]), pa.array(size[at])], names=["ask", "gram", "id", "tag", "place", "n"])
-
-    return rows.repartition("gram").mapInArrow(run, "ask boolean, gram long, id long, tag long, place long, n int")
+        last, last_meets = None, False
+        for batch in batches:
+            cols = [_numbers(batch, i) for i in range(5)]
+            mark = cols[4] < 0
+            if mark.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(mark.sum()), bool)), *(pa.array(c[mark]) for c in cols[:4]), pa.array(-cols[4][mark])], names=names)
+            cols = [c[~mark] for c in cols]
+            if last is not None:
+                cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            same = cols[0][1:] == cols[0][:-1]
+            meets = np.append(False, same) | np.append(same, False)
+            meets[0] |= last_meets
+            on = meets[:-1]
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(on.sum()), bool)), *(pa.array(c[:-1][on]) for c in cols)], names=names)
+            last, last_meets = [c[-1:] for c in cols], bool(meets[-1])
+        if last is not None and last_meets:
+            yield pa.RecordBatch.from_arrays([pa.array([True]), *(pa.array(c) for c in last)], names=names)
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "ask boolean, gram long, id long, tag long, place long, n int")
 
 
 def _cut_out(asked: DataFrame, length: int) -> DataFrame:
     """(gram, id, tag, place, bytes): texts of the contexts that are asked for."""
 
+    def batch_of(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["gram", "id", "tag", "place", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, total = [[], [], [], [], []], 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, tag, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                for ask in asks:
-                    s = ask["place"]
-                    for column, value in zip(out, (ask["gram"], doc, tag, s, raw[s : s + ask["n"] + length - 1]), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["gram", "id", "tag", "place", "bytes"])
+            for i in range(len(batch)):
+                doc, tag, text, asks = (batch.column(k)[i] for k in range(4))
+                doc, tag, raw = doc.as_py(), tag.as_py(), text.as_buffer().to_pybytes()
+                asks = asks.values
+                grams, places, sizes = (asks.field(k).to_pylist() for k in range(3))
+                out[0] += grams
+                out[1] += [doc] * len(grams)
+                out[2] += [tag] * len(grams)
+                out[3] += places
+                out[4] += [raw[s : s + n + length - 1] for s, n in zip(places, sizes, strict=True)]
+                total += len(grams)
+                if total > 50_000:
+                    yield batch_of(out)
+                    out, total = [[], [], [], [], []], 0
+        if total:
+            yield batch_of(out)
 
     return asked.mapInArrow(run, "gram long, id long, tag long, place long, bytes binary")
 
@@ -229,28 +279,41 @@ def sorted_marks(texts: list[bytes], doc: np.ndarray, tag: np.ndarray, place: np
 
 
 def _sort(cut: DataFrame, length: int) -> DataFrame:
-    """(id, tag, place, n): marks from sorted suffixes; contexts of a gram come together."""
+    """(id, tag, place, n): marks. Contexts of a gram come together, first ones first: equal ones are told by their bytes, different ones go into sorted suffixes."""
+    names = ["id", "tag", "place", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            doc, tag, place = (np.array([h[i] for h in held], np.int64) for i in range(3))
-            context, offset, n = sorted_marks([h[3] for h in held], doc, tag, place, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[context]), pa.array(tag[context]), pa.array(place[context] + offset), pa.array(n.astype(np.int32))], names=["id", "tag", "place", "n"])
+        def flush(held: list[tuple[bytes, tuple[int, int, int]]]) -> pa.RecordBatch:
+            doc, tag, place = (np.array([h[1][i] for h in held], np.int64) for i in range(3))
+            context, offset, n = sorted_marks([h[0] for h in held], doc, tag, place, length)
+            return pa.RecordBatch.from_arrays([pa.array(doc[context]), pa.array(tag[context]), pa.array(place[context] + offset), pa.array(n.astype(np.int32))], names=names)
 
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[bytes, tuple[int, int, int]]] = []
+        kinds: dict[bytes, tuple[int, int, int]] = {}
         total, last = 0, None
         for batch in batches:
-            for gram, doc, tag, place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gram != last and total > SORTED_AT_ONCE:
-                    yield flush(held)
-                    held, total = [], 0
-                last = gram
-                held.append((doc, tag, place, raw))
-                total += len(raw)
+            marks: list[list[int]] = [[], [], [], []]
+            for gram, *place, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gram != last:
+                    if len(kinds) > 1:
+                        held += kinds.items()
+                        total += sum(map(len, kinds))
+                        if total > SORTED_AT_ONCE:
+                            yield flush(held)
+                            held, total = [], 0
+                    kinds, last = {}, gram
+                where = tuple(place)
+                if kinds.setdefault(raw, where) != where:
+                    for column, value in zip(marks, (*where, len(raw) - length + 1), strict=True):
+                        column.append(value)
+            if marks[0]:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in marks[:3]), pa.array(marks[3], pa.int32())], names=names)
+        if len(kinds) > 1:
+            held += kinds.items()
         if held:
             yield flush(held)
 
-    return cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "id long, tag long, place long, n int")
+    return cut.repartition("gram").sortWithinPartitions("gram", "id", "tag", "place").mapInArrow(run, "id long, tag long, place long, n int")
 
 
 def covered(n_bytes: int, marks: list[dict] | None, length: int) -> np.ndarray:
@@ -292,7 +355,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = [F.struct(*rest).alias("row")] if keep_columns else [F.col(id_col).alias("row")]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     docs = docs.withColumn("tag", F.xxhash64("text"))
-    compared = shared.materialize(_compare(_contexts(docs, length, common_grams(docs, length))), "contexts")
+    compared = shared.materialize(_meet(_contexts(docs, length, common_grams(docs, length))), "contexts")
     # one exchange of the texts serves both joins below
     parts = shared.shuffle_partitions(df.sparkSession)
     placed = docs.repartition(parts, "id", "tag")
