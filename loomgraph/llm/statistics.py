@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
 
@@ -141,26 +142,30 @@ def map_statistics(df: DataFrame, id_col: str, text_col: str, schema: str, make:
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels 0/1) of at most ``most`` labelled documents, those with the smallest hashes of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, test: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(features, labels 0/1, and what ``test`` says) of at most ``most`` labelled documents, those with the smallest hashes of their ids.
 
-    Null labels are left out; of repeated labels for one id the smallest counts.
+    Null labels are left out; of repeated labels for one id the smallest counts, of
+    repeated rows with one id the text with the smallest hash.
     """
-    from pyspark.sql import functions as F
-
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("label"))
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).cast("long").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     # at most ``most`` rows of two numbers: small enough to send to every executor
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("label", "id", "text")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    found = found.select("label", "id", F.xxhash64("text").alias("tag"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in textkit.slices(batch.column(2)):
-                x = features(statistics(data, offs))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(0)[a:b].cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "label", "x"])
+            for a, b, data, offs in textkit.slices(batch.column(3)):
+                stats = statistics(data, offs)
+                failed = test(stats) if test else np.zeros(b - a, bool)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array(list(features(stats)), pa.list_(pa.float64())), pa.array(failed)], names=["label", "id", "tag", "x", "failed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = found.mapInArrow(run, f"id {kind}, label long, x array<double>").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
+    rows = found.mapInArrow(run, f"label long, id {kind}, tag long, x array<double>, failed boolean")
+    # one row for each id before any of them comes here
+    rows = rows.groupBy("id").agg(F.min(F.struct("tag", "label", "x", "failed")).alias("r")).select("id", "r.label", "r.x", "r.failed")
+    rows = rows.toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
-    return x, rows["label"].to_numpy(np.int64)
+    out = (x, rows["label"].to_numpy(np.int64))
+    return (*out, rows["failed"].to_numpy(bool)) if test else out
