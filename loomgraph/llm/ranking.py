@@ -9,7 +9,10 @@ the distance to that bar.
 
 Labels, ids, languages and sources are not features. Null and empty texts are
 scored by their (all zero) statistics. Where one of the two labels is missing
-there is no pair to learn from, and every score is 0.5.
+there is no pair to learn from, and every score is 0.5. Texts of any length are
+read whole. Repeated rows get equal scores; of an id that repeats with several
+texts, one is learnt from. Documents of one score are decided alike. An empty table
+gives an empty result. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from loomgraph.llm import statistics, textkit
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 16_000
-#: Preference pairs, at most: each document meets partners of the other label in turn.
-MOST_PAIRS = 120_000
+#: Documents of the other label that each document of the more frequent label is paired with.
+PARTNERS = 16
 
 
 @dataclass
@@ -44,7 +47,8 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip((z @ self.weights - self.bar) / self.spread, -30, 30)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, most_pairs: int = MOST_PAIRS, ridge: float = 1.0) -> Ranking:
+def fit(x: np.ndarray, label: np.ndarray, partners: int = PARTNERS, ridge: float = 1.0) -> Ranking:
+    """Each document of the more frequent label is paired with ``partners`` of the other, all of which have about as many turns."""
     d = x.shape[1]
     good = label > 0
     if good.all() or not good.any():
@@ -52,17 +56,18 @@ def fit(x: np.ndarray, label: np.ndarray, most_pairs: int = MOST_PAIRS, ridge: f
     mean, scale = x[good].mean(0), np.maximum(x[good].std(0), 1e-3)
     z = np.clip((x - mean) / scale, -8, 8)
     z = np.concatenate([z, z**2], axis=1)
-    a, b = np.flatnonzero(good), np.flatnonzero(~good)
-    turns = max(1, min(most_pairs // max(len(a), len(b)), min(len(a), len(b))))
-    longer = np.arange(max(len(a), len(b)))
-    pairs = [(a[longer % len(a)], b[(longer + t * 7919) % len(b)]) for t in range(turns)]
-    diff = np.concatenate([z[i] - z[j] for i, j in pairs])
+    many, few = (good, ~good) if 2 * good.sum() >= len(good) else (~good, good)
+    a, b = np.flatnonzero(many), np.flatnonzero(few)
+    sign, turns = 1 if many is good else -1, min(partners, len(b))
     w = np.zeros(2 * d)
-    for _ in range(40):  # Newton steps; they get shorter where the loss would rise
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        gradient = diff.T @ (p - 1) + ridge * w
-        curve = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((diff * curve[:, None]).T @ diff + ridge * np.eye(2 * d), gradient)
+    for _ in range(40):  # Newton steps; gradient and curvature are summed turn by turn
+        gradient, curvature = ridge * w, ridge * np.eye(2 * d)
+        for t in range(turns):
+            diff = sign * (z[a] - z[b[(np.arange(len(a)) + t * (1 + len(b) // turns)) % len(b)]])
+            p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+            gradient = gradient + diff.T @ (p - 1)
+            curvature += (diff * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ diff
+        step = np.linalg.solve(curvature, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
