@@ -9,8 +9,8 @@ Every window is filed under one of its words, its longest (of equally long ones
 the first), which is about its rarest. One scan of the documents looks each word
 up in that table; where it hits, the words around it are compared with the
 windows filed there. The table is broadcast while the benchmark has at most
-``MOST_BROADCAST`` windows; beyond it, hashes of document windows are joined by
-shuffle.
+``MOST_BROADCAST`` windows of ``MOST_BYTES`` together; beyond it, SHA-256 digests of
+document windows are joined by shuffle.
 
 Null or empty texts have no words: n_words, n_hit and n_items are 0 and nothing
 is contaminated. A null item or an item without words has no window. Rows that
@@ -19,11 +19,11 @@ repeat an id are judged each by its own text. Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE = 13
-MOST_BROADCAST = 200_000
+MOST_BROADCAST, MOST_BYTES = 200_000, 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What no word holds, in either case.
@@ -79,7 +79,8 @@ def _shuffled(docs: DataFrame, wins: DataFrame) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Hits of every document, one row a hit: id, row_key, n_words, start (first word, from 1), n, item_id; and one row without start each."""
     wins = windows(benchmark, size=size)
-    few = wins.limit(most_broadcast + 1).count() <= most_broadcast
+    size = wins.limit(most_broadcast + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "win"))), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= most_broadcast and size["bytes"] <= MOST_BYTES
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), words(F.col(text_col)).alias("w"))
     return (_scan if few else _shuffled)(read, wins)
 
@@ -115,13 +116,21 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, text): each text without its hit words and what separates them from the next word; all else stays as it is."""
     hits = find(docs, benchmark, id_col, text_col, size).where("start is not null")
-    places = hits.select("id", "row_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place")).groupBy("id", "row_key").agg(F.collect_set("place").alias("places"))
+    places = hits.select("id", "row_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place")).distinct()
+    # places that follow each other are one span
+    run = F.col("place") - F.row_number().over(Window.partitionBy("id", "row_key").orderBy("place"))
+    spans = places.withColumn("run", run).groupBy("id", "row_key", "run").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    spans = spans.groupBy("id", "row_key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    joined = own.join(places, own["id"].eqNullSafe(places["id"]) & (own["row_key"] == places["row_key"]), "left").select(own["id"], own["text"], "places")
+    joined = own.join(spans, own["id"].eqNullSafe(spans["id"]) & (own["row_key"] == spans["row_key"]), "left").select(own["id"], own["text"], "spans")
     units = F.regexp_extract_all("text", F.lit(f"([^{SEPARATORS}]+[{SEPARATORS}]*)"), F.lit(1))
-    left = F.filter(units, lambda w, i: ~F.array_contains(F.col("places"), (i + 1).cast("int")))
+    # what stays lies between a span and the next one
+    begins = F.concat(F.array(F.lit(1)), F.transform("spans", lambda s: (s["b"] + 1).cast("int")))
+    ends = F.concat(F.transform("spans", lambda s: s["a"].cast("int")), F.array(F.size("units") + 1))
+    left = F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: F.slice(F.col("units"), g["a"], g["b"] - g["a"])))
     rest = F.concat(F.regexp_extract("text", f"^[{SEPARATORS}]*", 0), F.array_join(left, ""))
-    return joined.select(F.col("id").alias(id_col), F.when(F.col("places").isNull(), F.col("text")).otherwise(rest).alias("text"))
+    joined = joined.withColumn("units", F.when(F.col("spans").isNotNull(), units))
+    return joined.select(F.col("id").alias(id_col), F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest).alias("text"))
 
 
 _WORDS_SQL = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
