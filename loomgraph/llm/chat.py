@@ -72,17 +72,17 @@ def threads(links: DataFrame) -> DataFrame:
         moved = pointer.join(far, ["conv_id", "thread"], "left")
         if not moved.where("further is not null").limit(1).count():
             return pointer
-        pointer = shared.materialize(moved.select("conv_id", "turn", "reply_to", F.coalesce("further", "thread").alias("thread")), "links")
+        before, pointer = pointer, shared.materialize(moved.select("conv_id", "turn", "reply_to", F.coalesce("further", "thread").alias("thread")), "links")
+        shared.discard(before)
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
-    """conv_id, thread, turn, role, reply_to, n_quoted (quoted lines), quote_depth, content; in reply order."""
+    """conv_id, thread, turn, role, reply_to, n_quoted (quoted lines), quote_depth, content; sorted by (conv_id, thread, turn) they are in reply order."""
     parsed = parse(messages)
     linked = threads(link(parsed)).withColumnsRenamed({"conv_id": "c", "turn": "t"})
     out = parsed.join(linked, (parsed["conv_id"] == linked["c"]) & (parsed["turn"] == linked["t"]), "left")
     depth = F.coalesce(F.array_max(F.transform("quoted", lambda x: x["level"])), F.lit(0))
-    out = out.select("conv_id", F.coalesce("thread", "turn").alias("thread"), "turn", "role", "reply_to", F.size("quoted").cast("long").alias("n_quoted"), depth.cast("long").alias("quote_depth"), "content")
-    return out.orderBy("conv_id", "thread", "turn", "role", "content")
+    return out.select("conv_id", F.coalesce("thread", "turn").alias("thread"), "turn", "role", "reply_to", F.size("quoted").cast("long").alias("n_quoted"), depth.cast("long").alias("quote_depth"), "content")
 
 
 ORACLE_SQL = r"""
