@@ -279,12 +279,14 @@ class Sums:
 
     def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
         """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
-        columns = np.ascontiguousarray(chances.T).astype(np.float64)
+        columns = chances.T.astype(np.float64, order="C")
         for k in range(rows.shape[1]):
-            a, b = int(self.offsets[part + k]), int(self.offsets[part + k + 1])
-            key = rows[:, k] - (a - (int(self.offsets[4]) if part else 0))
+            key = rows[:, k]
+            low = int(key.min())
+            key, size = key - low, int(key.max()) - low + 1
+            begin = low + (int(self.offsets[4]) if part else 0)
             for c in range(len(columns)):
-                self.table[c, a:b] += np.bincount(key, columns[c], b - a)
+                self.table[c, begin : begin + size] += np.bincount(key, columns[c], size)
 
 
 @dataclass
@@ -295,15 +297,17 @@ class Model:
     def __post_init__(self) -> None:
         self.bias, self.slot_bias = np.log(self.voc.class_share).astype(np.float32), np.log(self.voc.slot_share).astype(np.float32)
 
-    def blocks(self, x: Features) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """(first part of the table, tokens, rows, log probabilities) of the classes of all tokens and then of the slots of those in groups."""
+    def blocks(self, x: Features) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first part of the table, tokens, rows, log probabilities) of the classes of all tokens and then of the slots of those in groups; tokens with one word before come together, so few rows are in use at a time."""
         split = self.voc.offsets[4]
-        for a in range(0, len(x.rows), BATCH):
-            at = slice(a, a + BATCH)
-            yield 0, at, x.rows[at], predict(self.weights[:split], self.bias, x.rows[at])
-        for a in range(0, len(x.slot), BATCH):
-            at = slice(a, a + BATCH)
-            yield 4, at, x.slot_rows[at], predict(self.weights[split:], self.slot_bias[x.kind[x.within[at]] - END_CLASS - 1], x.slot_rows[at])
+        for part, rows in ((0, x.rows), (4, x.slot_rows)):
+            order = np.argsort(rows[:, 0].astype(np.uint16), kind="stable")  # no more than MOST_WORD_ROWS: short keys sort by radix
+            for a in range(0, len(rows), BATCH):
+                at = order[a : a + BATCH]
+                if part:
+                    yield part, at, rows[at], predict(self.weights[split:], self.slot_bias[x.kind[x.within[at]] - END_CLASS - 1], rows[at])
+                else:
+                    yield part, at, rows[at], predict(self.weights[:split], self.bias, rows[at])
 
     def token_logs(self, x: Features) -> np.ndarray:
         """Of each token: log10 probability of its class and slot, less the log10 of what the slot's words share."""
@@ -320,10 +324,9 @@ class Model:
         return out / np.log(10) - self.voc.log_total[cell]
 
 
-def summed(docs: DataFrame, voc: Vocabulary, model: Model | None) -> np.ndarray:
-    """Sums over all rows (text) of what occurs or, with a model, of what it expects; rows of both tables x columns."""
-    offsets, size, width = voc.offsets, int(voc.offsets[-1]), CLASSES + (FORMS if model is None else 0)
-    blocks = -(-size // ROWS_A_BLOCK)
+def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
+    """(block, sums) of every task's rows (text): of what occurs or, with a model, of what it expects."""
+    offsets, width = voc.offsets, CLASSES + (FORMS if model is None else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(offsets, width)
@@ -336,53 +339,73 @@ def summed(docs: DataFrame, voc: Vocabulary, model: Model | None) -> np.ndarray:
                 else:
                     for part, _, rows, z in model.blocks(x):
                         sums.expected(rows, np.exp(z), part)
-        for b in range(blocks):
+        for b in range(-(-sums.table.shape[1] // ROWS_A_BLOCK)):
             part = sums.table[:, b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
+    return docs.select("text").coalesce(tasks).mapInArrow(run, "block int, sums binary")
+
+
+def _update(sums: DataFrame, voc: Vocabulary, state: DataFrame | None, step: float) -> DataFrame:
+    """(block, occurs, weights) after one round: blocks of rows are summed and updated each by itself."""
+    split, size = int(voc.offsets[4]), int(voc.offsets[-1])
+    blocks = -(-size // ROWS_A_BLOCK)
+    class_share, slot_share = voc.class_share, voc.slot_share
+
+    def finish(b: int, sums: np.ndarray, occurs: np.ndarray | None, weights: np.ndarray | None) -> pa.RecordBatch:
+        sums = sums.reshape(-1, min(ROWS_A_BLOCK, size - b * ROWS_A_BLOCK)).T
+        of_class = (np.arange(len(sums)) + b * ROWS_A_BLOCK < split)[:, None]
+        share = np.where(of_class, class_share, 1 / CLASSES)
+        if occurs is None:  # weights of 0: the bias is all that says what to expect
+            occurs = sums[:, :CLASSES]
+            weights = np.zeros_like(occurs)
+            expects = np.where(of_class, occurs.sum(1, keepdims=True) * share, sums[:, CLASSES:] @ slot_share)
+        else:
+            expects = sums
+        # against the gradient (expects - occurs): this is the step that meets it where a weight alone decides
+        change = np.log((occurs + PRIOR * share) / (expects + PRIOR * share))
+        weights = np.clip(weights + step * change, -STEEPEST, STEEPEST)
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (occurs, weights))], names=["block", "occurs", "weights"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        before: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for b, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(sums, np.float32)
-                if b in total:
-                    total[b] += part
+            for b, sums, *old in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sums is None:
+                    before[b] = [np.frombuffer(x, np.float32).reshape(-1, CLASSES).astype(np.float64) for x in old]
+                elif b in total:
+                    total[b] += np.frombuffer(sums, np.float32)
                 else:
-                    total[b] = part.astype(np.float64)
-        for b, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+                    total[b] = np.frombuffer(sums, np.float32).astype(np.float64)
+        for b, sums in total.items():
+            yield finish(b, sums, *(before.get(b) or (None, None)))
 
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, sums binary").repartition(blocks, "block").mapInArrow(add, "block int, sums binary")
-    out = np.zeros((size, width), np.float32)
-    found = parts.toArrow()  # one table, whose size is bounded
-    for b, sums in zip(found["block"].to_pylist(), found["sums"], strict=True):
-        rows = slice(b * ROWS_A_BLOCK, min((b + 1) * ROWS_A_BLOCK, size))
-        out[rows] = np.frombuffer(sums.as_buffer(), np.float32).reshape(width, -1).T
-    return out
+    none = F.lit(None).cast("binary")
+    rows = sums.select("block", "sums", none.alias("occurs"), none.alias("weights"))
+    if state is not None:
+        rows = rows.unionByName(state.select("block", none.alias("sums"), "occurs", "weights"))
+    return rows.repartition(blocks, "block").mapInArrow(run, "block int, occurs binary, weights binary")
 
 
 def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) -> Model:
-    """Rounds of updates from weights of 0; every round sees all rows."""
-    split, size = voc.offsets[4], int(voc.offsets[-1])
-    model = Model(voc, np.zeros((size, CLASSES), np.float32))
-    if not voc.total:
-        return model
-    met = summed(docs, voc, None)
-    occurs, groups = met[:, :CLASSES].copy(), met[split:, CLASSES:].copy()
-    del met
-    share = np.concatenate([np.broadcast_to(voc.class_share, (split, CLASSES)), np.full((size - split, CLASSES), 1 / CLASSES)]).astype(np.float32)
-    # weights of 0: the bias is all that says what to expect
-    expects = np.concatenate([occurs[:split].sum(1, keepdims=True) * share[:split], groups @ voc.slot_share.astype(np.float32)])
-    prior = np.float32(PRIOR) * share
-    for k, step in enumerate(steps):
-        if k:
-            expects = summed(docs, voc, model)
-        # against the gradient (expects - occurs): this is the step that meets it where a weight alone decides
-        change = np.log((occurs + prior) / (expects + prior))
-        model = Model(voc, np.clip(model.weights + np.float32(step) * change, -STEEPEST, STEEPEST))
-    return model
+    """Rounds of updates from weights of 0; every round sees all rows. What comes to the driver is the weights, a table of bounded size."""
+    size = int(voc.offsets[-1])
+    model, state = None, None
+    for step in steps if voc.total else ():
+        before, state = state, shared.materialize(_update(_sums(docs, voc, model), voc, state, step), "weights")
+        if before is not None:
+            shared.discard(before)
+        model = Model(voc, np.zeros((size, CLASSES), np.float32))
+        found = state.select("block", "weights").toArrow()
+        for b, rows in zip(found["block"].to_pylist(), found["weights"], strict=True):
+            part = np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, CLASSES)
+            model.weights[b * ROWS_A_BLOCK : b * ROWS_A_BLOCK + len(part)] = part
+    if state is not None:
+        shared.discard(state)
+    return model or Model(voc, np.zeros((size, CLASSES), np.float32))
 
 
 def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
