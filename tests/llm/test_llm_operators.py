@@ -222,6 +222,30 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("None", "None", True), ("None", "None", True)]
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = ("x1 x2 x3 x4 x5 x6 x7", "y1 y2 y3 y4 y5 y6 y7", "z1 z2 z3 z4 z5 z6")
+    rows = [(1, a), (2, b), (5, a), (5, b), (7, c), (8, c), (8, None), (9, ""), (9, b), (None, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    label = {}
+    for r in got:
+        label.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert label == {1: {1}, 2: {1}, 5: {1}, 7: {7}, 8: {7}, 9: {1}, None: {None}}
+    assert {r["doc_id"] for r in got if r["kept"]} == {1, 7, None}
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert near_dedup.near_duplicates(none).count() == 0 == near_dedup.keep_one(none).count()
+    assert repeats.repeats(none).count() == 0 == repeats.without_repeats(none).count()
+    assert isolation.apply_rules(none, labels).count() == 0 == isolation.apply_rules(none, labels.where("false")).count()
+    assert ranking.held_out_scores(none, labels).count() == 0 == ranking.held_out_scores(none, labels.where("false")).count()
+    assert ranking.held_out_scores(docs, labels.where("false")).where("score <> 0.5").count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(chats).count() == 0
+    assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for size, shared in ((400, 300), (40, 36), (6, 5)):
@@ -235,6 +259,7 @@ def test_signatures_estimate_similarity():
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)]
+    pairs += [(i, 500) for i in range(501, 700)] + [(700, i) for i in range(650, 690)]  # stars
     label = {x: x for p in pairs for x in p}
     for _ in range(100):
         for a, b in pairs:
@@ -268,6 +293,7 @@ def test_repeats(docs, texts):
 
 def test_common_grams_change_nothing(monkeypatch, docs, texts):
     monkeypatch.setattr(repeats, "COMMON", 2)
+    monkeypatch.setattr(repeats, "REPORTED", 1)
     seen = docs.selectExpr("doc_id as id", "coalesce(text, '') as text", "0 as tag")
     assert len(repeats.common_grams(seen, 100)) >= 3
     got = rows_of(repeats.repeats(docs))
@@ -353,9 +379,36 @@ def test_forest_finds_the_odd_ones(spark):
 
 def test_paths_of_a_forest():
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(0, 1, (500, 1)), [[30.0], [-25.0]]])
-    odd = isolation.grow(x).oddness(x)[:, 0]
+    x = np.concatenate([rng.normal(0, 1, (500, 3)), [[30.0, 0, 0], [0, -25.0, 0]]])
+    odd = isolation.grow(x).oddness(x)
     assert set(np.argsort(-odd)[:2]) == {500, 501} and ((odd > 0) & (odd <= 1)).all()
+    assert {t.feature[0] for t in isolation.grow(x).trees} == {0, 1, 2}  # statistics are drawn at random
+
+
+def brute_path(part, point, rng, depth, level=0):
+    """Splits until a point is alone, by splitting the sample together with it."""
+    low, high = part.min(0), part.max(0)
+    wide = np.maximum(high, point) - np.minimum(low, point)
+    if level == depth or not wide.sum() > 0:
+        return level + float(isolation.usual_path(len(part)))
+    k = rng.choice(len(wide), p=wide / wide.sum())
+    at = rng.uniform(min(low[k], point[k]), max(high[k], point[k]))
+    if not low[k] <= at < high[k]:
+        return level + 1
+    right = part[:, k] >= at
+    if len(part) == 1:
+        return level + float(isolation.usual_path(1))
+    return brute_path(part[right == (point[k] >= at)], point, rng, depth, level + 1)
+
+
+def test_expected_paths_are_those_of_random_splits():
+    """Many trees that are split with the point in the sample have the same mean path as the trees grown without it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (24, 2))
+    for point in ([0.1, 0.2], [4.0, 0.0], [-9.0, 9.0], [1.5, -2.0]):
+        trees = [isolation.grow_tree(x, rng, 8).path(np.array([point]))[0] for _ in range(1500)]
+        brute = [brute_path(x, np.array(point), rng, 8) for _ in range(1500)]
+        assert abs(np.mean(trees) - np.mean(brute)) < 0.25
 
 
 def test_ranking(spark):
@@ -432,7 +485,7 @@ def test_chats(spark):
         (2, 0, "u", None),
         (2, None, "u", "x"),
     ]
-    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "thread", "turn").collect()}
     assert {k: r["reply_to"] for k, r in got.items() if r["reply_to"] is not None} == {(1, 2): 1, (1, 3): 0, (1, 4): 2}
     assert [k[1] for k in got if k[0] == 1] == [0, 3, 1, 2, 4, 5]  # what answers turn 0, then what answers turn 1
     assert got[1, 2]["content"] == "I see." and got[1, 2]["quote_depth"] == 2 and got[1, 2]["n_quoted"] == 2 and got[2, 0]["content"] == ""
