@@ -47,6 +47,11 @@ def discard(df: DataFrame) -> None:
     fs.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished work refers to: Spark deletes them once the driver has collected garbage, which on an idle driver may take long."""
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package wherever they run: once for each context, Spark sends it to them as a zip file."""
     context = spark.sparkContext
