@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import shared, suffix_array, textkit
 
 LENGTH, GRAM = 100, 40
-#: Windows of one segment; a position in a segment and 40 bits of a hash share a 64-bit number.
-SEGMENT = 1 << 23
+#: Windows of one segment, whose numbers fit in a processor's cache; a position in a segment and 40 bits of a hash share a 64-bit number.
+SEGMENT = 1 << 16
 #: A gram is common if about so many different contexts share it, or this share of all contexts if that is more.
 COMMON, COMMON_SHARE = 100, 1e-6
 #: A task reports grams that it meets in so many different contexts; it holds so many contexts at a time.
@@ -59,10 +59,10 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
         part = data[low : low + SEGMENT + length - 1]
         n = len(part) - length + 1
         prefix = textkit.prefix_hash(textkit.BYTE_VALUES[part])
-        at = np.arange(len(part) - gram + 1)
-        key = textkit.mix(textkit.span_hash(prefix, at, at + gram))
+        _, inverse = textkit.powers(len(part) + 1)
+        key = textkit.mix((prefix[gram:] - prefix[:-gram]) * inverse[: len(part) - gram + 1])
         low_bits = np.uint64((1 << 24) - 1)
-        least = (key & ~low_bits) | at.astype(np.uint64)
+        least = (key & ~low_bits) | np.arange(len(key), dtype=np.uint64)
         width, reach = length - gram + 1, 1
         while 2 * reach <= width:
             least = np.minimum(least[:-reach], least[reach:])
@@ -71,7 +71,8 @@ def contexts(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
             least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
         anchor = (least[:n] & low_bits).astype(np.int64)
         start = low + np.arange(n)
-        own = np.searchsorted(offs, start, "right") - 1
+        from_, to = np.searchsorted(offs, (low, low + n - 1), "right") - 1
+        own = np.repeat(np.arange(from_, to + 1), np.diff(np.concatenate([[low], offs[from_ + 1 : to + 1], [low + n]])))
         inside = start + length <= offs[own + 1]
         first = inside.copy()
         first[1:] &= ~(inside[:-1] & (anchor[1:] == anchor[:-1]) & (own[1:] == own[:-1]))
@@ -356,6 +357,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     docs = docs.withColumn("tag", F.xxhash64("text"))
     compared = shared.materialize(_meet(_contexts(docs, length, common_grams(docs, length))), "contexts")
+    shared.release(df.sparkSession)
     # one exchange of the texts serves both joins below
     parts = shared.shuffle_partitions(df.sparkSession)
     placed = docs.repartition(parts, "id", "tag")

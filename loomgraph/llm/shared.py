@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.runtime import discard, materialize, shared_dir, ship
+from loomgraph.runtime import discard, materialize, release, shared_dir, ship
 
-__all__ = ["discard", "materialize", "read_table", "shared_dir", "shuffle_partitions"]
+__all__ = ["discard", "materialize", "read_table", "release", "shared_dir", "shuffle_partitions"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 22)
+        size = max(n + n // 4, 1 << 20)
         for base in (BASE, BASE_INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
