@@ -52,8 +52,10 @@ PAIR_ROWS = CLASSES * CLASSES
 TOKENS_A_ROW, LEAST_WORD_ROWS, MOST_WORD_ROWS = 1024, 1024, 65_536
 #: How much of the whole step each round of updates takes, and how much of the prior expectation is added to both sides of every ratio.
 STEPS, PRIOR, STEEPEST = (0.5, 0.25), 20.0, 10.0
-BATCH, SMOOTH = 32_768, 0.1
+BATCH, SMOOTH = 16_384, 0.1
 ROWS_A_BLOCK = 2048
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 20
 #: Every task sends its sums of the whole table: files are learnt from together, up to about so many tokens.
 TOKENS_A_TASK = 32_000_000
 #: Word counts that a task holds before it sends them on.
@@ -127,7 +129,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             learnt = ~batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, offs in textkit.slices(batch.column(1)):
+            for a, b, data, offs in textkit.slices(batch.column(1), SLICE):
                 word, form, first = tokens(data, offs)
                 code, uniq = pd.factorize(word)
                 of = np.zeros(len(uniq), np.int32)
@@ -264,18 +266,19 @@ class Sums:
     width: int
 
     def __post_init__(self) -> None:
-        self.table = np.zeros((self.width, int(self.offsets[-1])))
+        # counts of what occurs are whole numbers
+        self.table = np.zeros((self.width, int(self.offsets[-1])), np.float64 if self.width == CLASSES else np.uint32)
 
     def observed(self, x: Features) -> None:
         """How often each feature goes with each outcome, and how often the slots' features go with each group."""
         flat, size = self.table.reshape(-1), self.table.shape[1]
         for k in range(x.rows.shape[1]):
-            np.add.at(flat, x.kind * size + x.rows[:, k], 1.0)
+            np.add.at(flat, x.kind * size + x.rows[:, k], 1)
         group = x.kind[x.within] - END_CLASS - 1 + CLASSES
         for k in range(x.slot_rows.shape[1]):
             row = self.offsets[4] + x.slot_rows[:, k]
-            np.add.at(flat, x.slot * size + row, 1.0)
-            np.add.at(flat, group * size + row, 1.0)
+            np.add.at(flat, x.slot * size + row, 1)
+            np.add.at(flat, group * size + row, 1)
 
     def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
         """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
@@ -331,7 +334,7 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(offsets, width)
         for batch in batches:
-            for _, _, data, offs in textkit.slices(batch.column(0)):
+            for _, _, data, offs in textkit.slices(batch.column(0), SLICE):
                 word, form, first = tokens(data, offs)
                 x = features(word, *voc.classes(word, form)[:2], first, offsets)
                 if model is None:
@@ -398,6 +401,7 @@ def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) ->
         before, state = state, shared.materialize(_update(_sums(docs, voc, model), voc, state, step), "weights")
         if before is not None:
             shared.discard(before)
+        shared.release(docs.sparkSession)
         model = Model(voc, np.zeros((size, CLASSES), np.float32))
         found = state.select("block", "weights").toArrow()
         for b, rows in zip(found["block"].to_pylist(), found["weights"], strict=True):
@@ -415,7 +419,7 @@ def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, data, offs in textkit.slices(batch.column(2)):
+            for a, b, data, offs in textkit.slices(batch.column(2), SLICE):
                 word, form, first = tokens(data, offs)
                 kind, slot, at, found = voc.classes(word, form)
                 x = features(word, kind, slot, first, voc.offsets)
