@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars
 
 
+#: Ranges of distinct values for exact percentiles.
+PARTS = 64
+
+
 @dataclass(frozen=True)
 class Thresholds:
     hotspot_high: float = 0.7
@@ -21,12 +25,17 @@ class Thresholds:
 def nearest_rank(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
     """(percent, value): the value at place round(percent / 100 * (n - 1)), halves up.
 
-    Distinct values are counted first, so the one ordered window sees as many rows
-    as there are distinct values.
+    Exact, whatever the number of distinct values: these are dealt to ``PARTS`` ranges
+    at sampled borders, the counts of whole ranges say which range holds a place, and
+    running counts are made within ranges.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = counts.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    at = upto.select("v", "upto", "total", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
+    borders = counts.agg(F.percentile_approx("v", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("borders"))  # one row
+    ranged = counts.crossJoin(F.broadcast(borders)).select("v", "n", F.size(F.filter("borders", lambda b: b < F.col("v"))).alias("part"))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # PARTS rows at most
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    upto = ranged.select("v", "part", F.sum("n").over(Window.partitionBy("part").orderBy("v")).alias("within")).join(F.broadcast(before), "part")
+    at = upto.select("v", (F.col("before") + F.col("within")).alias("upto"), "total", F.explode(F.array(*map(F.lit, percents))).alias("percent"))
     return at.where(F.col("upto") > F.round(F.col("percent") / 100 * (F.col("total") - 1))).groupBy("percent").agg(F.min("v").alias("value"))
 
 
@@ -123,11 +132,35 @@ def explain(symbols: DataFrame) -> DataFrame:
     )
 
 
-def missed_partners(cochange: DataFrame, changed: DataFrame, strength: float = 0.5, support: int = 5) -> DataFrame:
-    """(partner, strength): files that usually change with a changed one and didn't."""
+def missed_partners(cochange: DataFrame, changed: DataFrame, strength: float = 0.5, support: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, partner, strength): files that usually change with a changed one and didn't. ``keys`` tell several sets of changed files apart."""
     rows = cochange.where(F.col("support") >= support).withColumn("s", F.greatest("strength", "strength_rev")).where(F.col("s") >= strength)
     sides = rows.select(F.col("file_a").alias("path"), F.col("file_b").alias("partner"), "s").unionAll(rows.select("file_b", "file_a", "s"))
-    return sides.join(changed, "path", "left_semi").join(changed.select(F.col("path").alias("partner")), "partner", "left_anti").groupBy("partner").agg(F.max("s").alias("strength"))
+    changed = changed.select(*keys, "path").distinct()
+    return sides.join(changed, "path").join(changed.withColumnRenamed("path", "partner"), [*keys, "partner"], "left_anti").groupBy(*keys, "partner").agg(F.max("s").alias("strength"))
+
+
+def missed_callers(calls: DataFrame, symbols: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """(from_id, to_id): callers that name a symbol, but have no edge of ``least`` confidence to it."""
+    named = calls.join(symbols.select(F.col("name").alias("callee"), F.col("id").alias("to_id")), "callee").select("from_id", "to_id").distinct()
+    return named.join(edges.where(F.col("confidence") >= least), ["from_id", "to_id"], "left_anti")
+
+
+def precision(edges: DataFrame, truth: DataFrame, least: float = 0.7) -> DataFrame:
+    """(found, correct, wanted): edges of ``least`` confidence, those of them that ``truth`` (from_id, to_id) has, and all that it has."""
+    sure = edges.where(F.col("confidence") >= least).select("from_id", "to_id")
+    found = sure.agg(F.count("*").alias("found")).crossJoin(sure.intersect(truth.select("from_id", "to_id")).agg(F.count("*").alias("correct")))
+    return found.crossJoin(truth.agg(F.count("*").alias("wanted")))  # one row each
+
+
+def reviews(symbols: DataFrame, files: DataFrame, cochange: DataFrame, strength: float = 0.5, support: int = 5) -> DataFrame:
+    """(pr, n_high, n_missed, verdict) for changed ``files`` (pr, path)."""
+    risk = scalars.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))
+    per_file = symbols.groupBy("path").agg(F.count_if(risk).alias("n_high"), F.bool_or(scalars.dangerous(F.col("patterns"))).alias("danger"))
+    high = files.join(per_file, "path", "left").groupBy("pr").agg(F.coalesce(F.sum("n_high"), F.lit(0)).alias("n_high"), F.coalesce(F.bool_or("danger"), F.lit(False)).alias("danger"))
+    missed = missed_partners(cochange, files, strength, support, ("pr",)).groupBy("pr").agg(F.count("*").alias("n_missed"))
+    both = high.join(missed, "pr", "left").withColumn("n_missed", F.coalesce("n_missed", F.lit(0)))
+    return both.select("pr", "n_high", "n_missed", verdict(F.col("n_high"), F.col("n_missed"), F.col("danger")).alias("verdict"))
 
 
 def verdict(n_high: Column, n_missed: Column, any_dangerous: Column) -> Column:

@@ -1,7 +1,8 @@
 """Traversals of the call graph, level by level.
 
-A level is one join of the frontier with the edges and one aggregation; what is
-known so far is a table in the shared folder. Loops end with an empty frontier.
+The edges are made one table before the loop. A level is one join of the frontier
+with them and one aggregation; what is known so far is a table in the shared folder.
+Loops end with an empty frontier.
 """
 
 from __future__ import annotations
@@ -9,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import materialize
+from loomgraph.runtime import discard, materialize
 
 
 def _calls(edges: DataFrame, reverse: bool) -> DataFrame:
     a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-    return edges.where("kind = 'calls'").groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max("confidence").alias("c"))
+    return materialize(edges.where("kind = 'calls'").groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.max("confidence").alias("c")), "calls")
 
 
 def reachable(edges: DataFrame, start: str, depth: int = 3, min_confidence: float = 0.0, reverse: bool = False) -> DataFrame:
@@ -31,6 +32,7 @@ def reachable(edges: DataFrame, start: str, depth: int = 3, min_confidence: floa
         if frontier.isEmpty():
             break
         known = materialize(known.unionByName(frontier).groupBy("id").agg(F.min("depth").alias("depth"), F.max("path_conf").alias("path_conf")), "known")
+    discard(calls)
     return known
 
 
@@ -49,4 +51,5 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 3, min_co
         if frontier.isEmpty():
             break
         seen = materialize(seen.unionByName(frontier.select("id")), "seen")
+    discard(calls)
     return frontier.where(F.col("id") == end).select(F.posexplode("path").alias("step", "id"), "path_conf")

@@ -31,6 +31,27 @@ def link(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("from_id", "to_id", F.lit("calls").alias("kind"), "confidence", "resolution")
 
 
+def contains_edges(symbols: DataFrame) -> DataFrame:
+    return symbols.select(F.concat(F.lit("file:"), "path").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+
+
+def import_edges(imports: DataFrame) -> DataFrame:
+    """From (path, import)."""
+    return imports.select(F.md5("path").alias("from_id"), F.concat(F.lit("import:"), "import").alias("to_id"), F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+
+
+def unresolved_edges(calls: DataFrame) -> DataFrame:
+    """Placeholders for (from_id, callee), which linking replaces."""
+    return calls.select("from_id", F.concat(F.lit(UNRESOLVED), "callee").alias("to_id"), F.lit("calls").alias("kind"), F.lit(MANY_LANG).alias("confidence"))
+
+
+def neighbours(edges: DataFrame, symbols: DataFrame, start: str, least: float = 0.0, reverse: bool = False) -> DataFrame:
+    """(id, name, confidence): symbols one call away."""
+    a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
+    near = edges.where((F.col("kind") == "calls") & (F.col(a) == start) & (F.col("confidence") >= least))
+    return symbols.join(near, F.col("id") == F.col(b)).select("id", "name", "confidence")
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (from, to, kind), with the highest confidence; placeholders go."""
     return edges.where(~F.col("to_id").startswith(UNRESOLVED)).groupBy("from_id", "to_id", "kind").agg(F.max("confidence").alias("confidence"))

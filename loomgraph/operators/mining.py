@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
+from loomgraph.runtime import materialize
 
 MASS_COMMIT, DECAY = 50, 0.003
 
@@ -14,13 +15,10 @@ def without_merges(commits: DataFrame) -> DataFrame:
     return commits.where("n_parents <= 1")
 
 
-def commit_sizes(commit_files: DataFrame) -> DataFrame:
-    return commit_files.withColumn("n_files", F.count("*").over(Window.partitionBy("sha")))
-
-
 def kept_files(commit_files: DataFrame, most: int = MASS_COMMIT) -> DataFrame:
-    """Files of commits with at most ``most`` files of any kind, then source files only."""
-    return commit_sizes(commit_files).where(F.col("n_files") <= most).where(scalars.is_source(F.col("lang"))).drop("n_files")
+    """Files of commits with at most ``most`` files of any kind, then source files only. Commits are counted before they meet their files, so a mass commit is no hot key."""
+    mass = commit_files.groupBy("sha").agg(F.count("*").alias("n_files")).where(F.col("n_files") > most).select("sha")
+    return commit_files.join(mass, "sha", "left_anti").where(scalars.is_source(F.col("lang")))
 
 
 def file_churn(files: DataFrame) -> DataFrame:
@@ -43,7 +41,7 @@ def hotspot(churn: Column, most: Column, age: Column, decay: float = DECAY) -> C
 
 def git_stats(files: DataFrame, commits: DataFrame, as_of: str) -> DataFrame:
     """path, churn, age_days, last_commit_sha, last_commit_ts, hotspot."""
-    last = last_commit(files, commits)
+    last = materialize(last_commit(files, commits), "last")  # one row a file, read twice
     most = last.agg(F.max("churn").alias("most"))  # one row
     out = last.withColumn("age_days", age_days(F.col("last_commit_ts"), as_of)).crossJoin(F.broadcast(most))
     return out.withColumn("hotspot", hotspot(F.col("churn"), F.col("most"), F.col("age_days"))).drop("most")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import scalars
+
 BLOCK = 64
 
 
@@ -56,23 +58,45 @@ def attribute(captures: DataFrame, symbols: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.sort_array(F.collect_list("kind")).alias("patterns"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("counts"))
 
 
-def diff_lines(hunks: DataFrame) -> DataFrame:
-    """(path, line, pure): lines of the new side; pure where some hunk that only adds covers it. Deletions have no lines."""
-    ranges = hunks.where("new_len > 0").select("path", (F.col("old_len") == 0).alias("pure"), F.explode(F.sequence(F.col("new_start"), F.col("new_start") + F.col("new_len") - 1)).alias("line"))
-    return ranges.groupBy("path", "line").agg(F.bool_or("pure").alias("pure"))
+def diff_lines(hunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, path, line, pure): lines of the new side; pure where some hunk that only adds covers it. Deletions have no lines. ``keys`` tell several diffs apart."""
+    ranges = hunks.where("new_len > 0").select(*keys, "path", (F.col("old_len") == 0).alias("pure"), F.explode(F.sequence(F.col("new_start"), F.col("new_start") + F.col("new_len") - 1)).alias("line"))
+    return ranges.groupBy(*keys, "path", "line").agg(F.bool_or("pure").alias("pure"))
 
 
-def diff_marks(symbols: DataFrame, lines: DataFrame, untouched: str | None = None) -> DataFrame:
-    """(id, path, touched, pure, mark): '+' all touched lines are added, '~' some changed, ``untouched`` for other symbols of changed files."""
-    changed = symbols.join(lines.select("path").distinct(), "path", "left_semi")
-    points = lines.select("path", "pure", F.col("line").alias("l_start"), F.col("line").alias("l_end"))
-    spans = changed.select("path", "id", F.col("span_start").alias("r_start"), F.col("span_end").alias("r_end"))
-    hit = overlap(points, spans).groupBy("id").agg(F.count("*").alias("touched"), F.count_if("pure").alias("pure"))
-    out = changed.select("id", "path").join(hit, "id", "left").select("id", "path", F.coalesce("touched", F.lit(0)).alias("touched"), F.coalesce("pure", F.lit(0)).alias("pure"))
+def diff_marks(symbols: DataFrame, lines: DataFrame, untouched: str | None = None, keys: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
+    """(keys, id, path, touched, pure, mark): '+' all touched lines are added, '~' some changed, ``untouched`` for other symbols of changed files, which are ``files`` or those with lines."""
+    changed = symbols.select("id", "path").join((lines if files is None else files).select(*keys, "path").distinct(), "path")
+    points = lines.select(*keys, "path", "pure", F.col("line").alias("l_start"), F.col("line").alias("l_end"))
+    spans = symbols.select("path", "id", F.col("span_start").alias("r_start"), F.col("span_end").alias("r_end"))
+    hit = overlap(points, spans).groupBy(*keys, "id").agg(F.count("*").alias("touched"), F.count_if("pure").alias("pure"))
+    out = changed.join(hit, [*keys, "id"], "left").select(*keys, "id", "path", F.coalesce("touched", F.lit(0)).alias("touched"), F.coalesce("pure", F.lit(0)).alias("pure"))
     return out.withColumn("mark", F.when(F.col("touched") == 0, F.lit(untouched)).when(F.col("pure") == F.col("touched"), "+").otherwise("~"))
 
 
-def diff_weight(marks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, weight): touched lines against all lines of the diff."""
-    total = lines.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))  # one row
-    return marks.crossJoin(F.broadcast(total)).select("id", (F.col("touched") / F.col("total")).alias("weight"))
+def diff_weight(marks: DataFrame, lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, weight): touched lines against all lines of the diff."""
+    total = lines.groupBy(*keys).agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
+    both = marks.join(total, list(keys), "left") if keys else marks.crossJoin(F.broadcast(total))  # one row
+    return both.select(*keys, "id", (F.col("touched") / F.coalesce("total", F.lit(1))).alias("weight"))
+
+
+def resolve_targets(targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(target, id, n): the symbol that a name, file:name or file:line stands for, and how many qualified names come into question.
+
+    A line stands for the narrowest span around it. A name is looked up by itself and
+    as a qualified one; a file narrows the candidates if it has some. ``id`` is the
+    first of them by qualified name; n = 0 and no id: nothing was found.
+    """
+    target = F.col("target")
+    asked = targets.select("target").distinct().select("target", scalars.target_file(target).alias("file"), scalars.target_name(target).alias("name"))
+    is_line = F.col("file").isNotNull() & F.col("name").rlike("^[0-9]+$")
+    points = asked.where(is_line).select("target", F.col("file").alias("path"), F.col("name").cast("int").alias("line"))
+    at_line = enclosing(points, symbols, ["target"]).select("target", "id", F.lit(1).cast("long").alias("n"))
+    named = asked.where(~is_line)
+    by_name = named.join(symbols.select("name", "id", "path", "qualified"), "name").select("target", "file", "id", "path", "qualified")
+    by_qualified = named.join(symbols.select(F.col("qualified").alias("target"), "id", "path"), "target").select("target", "file", "id", "path", F.col("target").alias("qualified"))
+    inside = F.coalesce(F.col("path") == F.col("file"), F.lit(False))
+    found = by_name.unionByName(by_qualified).groupBy("target", inside.alias("inside")).agg(F.count_distinct("qualified").alias("n"), F.min(F.struct("qualified", "id")).alias("first"))
+    best = found.groupBy("target").agg(F.max(F.struct("inside", "n", "first")).alias("b")).select("target", F.col("b.first.id").alias("id"), F.col("b.n").alias("n"))
+    return asked.select("target").join(at_line.unionByName(best), "target", "left").select("target", "id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -1,18 +1,29 @@
 """A star schema read as a repository: parts are symbols, orders commits, line items changes.
 
 Each logical table is one SQL text. It runs in Spark, and (with the few words
-that differ between the engines) in the engine that checks the results.
+that differ between the engines) in the engine that checks the results. Lines of
+documents and conversations that keyword expressions match are pattern captures of
+the part with the same number. The changes of one week are a pull request.
+
+What queries share is an index: edges, captures and symbols are derived once for a
+session and a folder, written to the shared folder, and read by every query after.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
 from loomgraph.operators import linking, mining, spans
-from loomgraph.runtime import ship
+from loomgraph.runtime import materialize, ship
+from loomgraph.sources import extract
+
+#: Tables of the index by session, folder and name.
+_INDEX: dict[tuple[str, str, str], str] = {}
 
 AS_OF = "2001-08-02"
 MASS_COMMIT = 8
@@ -39,10 +50,18 @@ SELECT DISTINCT from_id, callee FROM (
   SELECT id AS from_id, lead(name) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS callee
   FROM {lineitem} JOIN {symbols0} ON CAST(l_partkey AS STRING) = id) a WHERE callee IS NOT NULL"""
 INDEXED = f"SELECT * FROM {{symbols0}} WHERE loc <= {INDEXED_LOC} AND lang <> 'hcl'"
-CAPTURES = """
-SELECT l_orderkey * 100 + l_linenumber AS capture, path, span_start + l_linenumber - 1 AS line,
-  CASE l_suppkey % 8 WHEN 0 THEN 'lock' WHEN 1 THEN 'await' WHEN 2 THEN 'block_on' WHEN 3 THEN 'spawn' WHEN 4 THEN 'loop' WHEN 5 THEN 'alloc' WHEN 6 THEN 'chan' ELSE 'timer' END AS kind
-FROM {lineitem} JOIN {symbols0} ON CAST(l_partkey AS STRING) = id WHERE l_quantity >= 46"""
+#: Keyword expressions of the patterns, over lines in lower case.
+KEYWORDS = {"lock": "that", "await": "with", "block_on": "then", "spawn": "this", "loop": "from", "alloc": "tion|ing", "chan": "thing", "timer": "ones"}
+WORD = "(^|[^a-z])({})([^a-z]|$)"
+LINES = """
+SELECT 'document' AS origin, CAST(doc_id AS STRING) AS id, k AS spot, lower(line) AS line FROM {documents} {each}
+UNION ALL SELECT 'conversation', CAST(conv_id AS STRING), turn * 1000 + k, lower(line) FROM {conversations} {each}"""
+EACH = "LATERAL VIEW posexplode(split(coalesce(text, ''), '\\n')) t AS k, line"
+TRUE_CALLS = """
+SELECT DISTINCT from_id, to_id FROM (
+  SELECT id AS from_id, lead(id) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS to_id
+  FROM {lineitem} JOIN {symbols0} ON CAST(l_partkey AS STRING) = id) a WHERE to_id IS NOT NULL"""
+PR_HUNKS = "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS pr, h.* FROM {hunks} h JOIN {orders} ON o_orderkey = sha"
 RULES = """
 SELECT 'deadlock_spawn' AS name, array('lock', 'spawn') AS patterns, 'high' AS severity UNION ALL SELECT 'alloc_loop', array('alloc', 'loop'), 'medium'"""
 
@@ -92,9 +111,17 @@ class Tables:
     def indexed(self) -> DataFrame:
         return self._sql(INDEXED, symbols0=self.symbols0)
 
+    @cached_property
+    def true_calls(self) -> DataFrame:
+        """What calls stand for, which the linker doesn't see."""
+        return self._sql(TRUE_CALLS, lineitem=self.read("lineitem"), symbols0=self.symbols0)
+
     @cached_property
     def captures(self) -> DataFrame:
-        return self._sql(CAPTURES, lineitem=self.read("lineitem"), symbols0=self.symbols0)
+        """(capture, path, line, kind): lines fall on the lines of their symbol in turn."""
+        lines = self._sql(LINES.format(documents="{documents}", conversations="{conversations}", each=EACH), documents=self.read("documents"), conversations=self.read("conversations"))
+        found = extract.match_lines(lines, {k: WORD.format(v) for k, v in KEYWORDS.items()}).join(self.symbols0.select("id", "path", "span_start", "loc"), "id")
+        return found.select(F.concat_ws(":", "origin", "id", "spot", "kind").alias("capture"), "path", (F.col("span_start") + F.col("spot") % F.col("loc")).alias("line"), "kind")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -118,26 +145,35 @@ class Tables:
     def linked(self) -> DataFrame:
         return linking.link(self.raw_calls, self.indexed)
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _INDEX:
+            _INDEX[key] = materialize(make(), f"index-{name}")._table
+        return self.spark.read.parquet(_INDEX[key])
+
     @cached_property
     def edges(self) -> DataFrame:
-        return linking.merge_edges(self.linked)
+        return self.stored("edges", lambda: linking.merge_edges(self.linked))
 
     @cached_property
     def symbols(self) -> DataFrame:
+        return self.stored("symbols", self._symbols)
+
+    def _symbols(self) -> DataFrame:
         """Indexed symbols with churn, hotspot, patterns, counts, fanin, fanout."""
-        own = self.indexed.withColumn("qualified", scalars.F.concat("path", scalars.F.lit(":"), "name"))
+        own = self.indexed.withColumn("qualified", F.concat("path", F.lit(":"), "name"))
         churn = spans.span_hotspot(own, spans.span_churn(own, self.hunks)).drop("path")
         found = spans.attribute(self.captures, own)
-        out = own.join(churn, "id").join(found, "id", "left").withColumn("patterns", scalars.F.coalesce("patterns", scalars.F.array().cast("array<string>")))
+        out = own.join(churn, "id").join(found, "id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
         return linking.with_fans(out, linking.fan_counts(self.edges))
 
     @cached_property
     def pr_hunks(self) -> DataFrame:
-        return self.hunks.where("sha % 500 = 3")
+        return self._sql(PR_HUNKS, hunks=self.hunks, orders=self.read("orders"))
 
     @cached_property
     def pr_files(self) -> DataFrame:
-        return self.pr_hunks.select("path").distinct()
+        return self.pr_hunks.select("pr", "path").distinct()
 
 
 def _cte() -> dict[str, str]:
@@ -152,7 +188,11 @@ def _cte() -> dict[str, str]:
         "hunks": HUNKS.format(**name),
         "raw_calls": RAW_CALLS.format(**name),
         "indexed": INDEXED.format(**name),
-        "captures": CAPTURES.format(**name),
+        "true_calls": TRUE_CALLS.format(**name),
+        "lines": LINES.format(documents="documents", conversations="conversations", each=", LATERAL (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k, unnest(string_split(coalesce(text, ''), chr(10))) AS line)"),
+        "captures": "SELECT concat_ws(':', origin, l.id, spot, l.kind) AS capture, path, span_start + spot % loc AS line, l.kind FROM ("
+        + " UNION ALL ".join(f"SELECT *, '{k}' AS kind FROM lines WHERE regexp_matches(line, '{WORD.format(v)}')" for k, v in KEYWORDS.items())
+        + ") l JOIN symbols0 s ON s.id = l.id",
         "rules": RULES.replace("array('lock', 'spawn')", "['lock', 'spawn']").replace("array('alloc', 'loop')", "['alloc', 'loop']"),
         "last_commits": "SELECT path, count(DISTINCT sha) AS churn, max_by(sha, (ts, sha)) AS last_commit_sha, max(ts) AS last_commit_ts FROM commit_files JOIN commits USING (sha) GROUP BY path",
         "git_stats": f"SELECT path, churn, last_commit_sha, last_commit_ts, {age} AS age_days, churn / (SELECT greatest(max(churn), 1) FROM last_commits) * exp(-0.003 * {age}) AS hotspot FROM last_commits",
@@ -177,11 +217,12 @@ SELECT from_id, 'external:' || callee, 'calls', 0.0, 'external' FROM raw_calls c
 SELECT i.*, i.path || ':' || i.name AS qualified, c.churn, c.churn / greatest(max(c.churn) OVER (PARTITION BY i.path), 1) AS hotspot, coalesce(p.patterns, []) AS patterns, coalesce(p.n_alloc, 0) AS n_alloc,
   coalesce(f.fanin, 0) AS fanin, coalesce(f.fanout, 0) AS fanout
 FROM indexed i JOIN span_churn c USING (id) LEFT JOIN patterned p USING (id) LEFT JOIN fans f USING (id)""",
-        "pr_hunks": "SELECT * FROM hunks WHERE sha % 500 = 3",
-        "pr_files": "SELECT DISTINCT path FROM pr_hunks",
-        "pr_lines": "SELECT path, line, bool_or(pure) AS pure FROM (SELECT path, old_len = 0 AS pure, unnest(range(new_start, new_start + new_len)) AS line FROM pr_hunks WHERE new_len > 0) GROUP BY ALL",
+        "pr_hunks": PR_HUNKS.format(hunks="hunks", orders="orders"),
+        "pr_files": "SELECT DISTINCT pr, path FROM pr_hunks",
+        "pr_lines": "SELECT pr, path, line, bool_or(pure) AS pure FROM (SELECT pr, path, old_len = 0 AS pure, unnest(range(new_start, new_start + new_len)) AS line FROM pr_hunks WHERE new_len > 0) GROUP BY ALL",
         "marked": """
-SELECT s.id, s.path, count(l.line) AS touched, count(l.line) FILTER (l.pure) AS pure FROM indexed s JOIN pr_files USING (path) LEFT JOIN pr_lines l ON l.path = s.path AND l.line BETWEEN s.span_start AND s.span_end GROUP BY ALL""",
+SELECT f.pr, s.id, s.path, coalesce(touched, 0) AS touched, coalesce(pure, 0) AS pure FROM indexed s JOIN pr_files f USING (path) LEFT JOIN (
+  SELECT l.pr, s.id, count(*) AS touched, count(*) FILTER (l.pure) AS pure FROM pr_lines l JOIN indexed s ON l.path = s.path AND l.line BETWEEN s.span_start AND s.span_end GROUP BY ALL) t ON t.pr = f.pr AND t.id = s.id""",
     }
 
 

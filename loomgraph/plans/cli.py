@@ -30,11 +30,14 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("index")
     c.add_argument("--full", action="store_true")
     c.add_argument("--no-git", action="store_true")
+    c.add_argument("--grammar-path")
     c = sub.add_parser("paths")
     c.add_argument("target")
     c.add_argument("--to")
     c.add_argument("--analyze", action="store_true")
-    sub.add_parser("callers").add_argument("target")
+    c = sub.add_parser("callers")
+    c.add_argument("target")
+    c.add_argument("--coupled", action="store_true")
     sub.add_parser("diff").add_argument("revisions", nargs="*")
     for name in ("branch", "explain-pr"):
         c = sub.add_parser(name)
@@ -51,9 +54,20 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("age")
     sub.add_parser("smells")
     sub.add_parser("explain").add_argument("target")
+    sub.add_parser("skill")
     return p
 
 
+def usage() -> str:
+    """How a program may use this command line, as Markdown, from the parser itself."""
+    p = parser()
+    commands = next(a for a in p._actions if isinstance(a, argparse._SubParsersAction)).choices
+    lines = ["# loomgraph", "", "Index a repository once (`index`), then ask. Answers are text, or JSON with `-o json`.", ""]
+    for name, c in commands.items():
+        lines.append(f"- `{' '.join(c.format_usage().removeprefix('usage: ').split())}`" if name != "skill" else "- `loomgraph skill`: this text")
+    return "\n".join([*lines, "", __doc__.split("... ", 1)[1].strip()]) + "\n"
+
+
 def rendered(root: trees.Node, args: argparse.Namespace, command: str, engine: Engine, linear: bool = False) -> str:
     fence = not args.no_fence
     match args.output:
@@ -78,10 +92,9 @@ def listed(df: DataFrame, args: argparse.Namespace, report: Callable[[list[dict]
 
 
 def run(args: argparse.Namespace, engine: Engine) -> str:
-    table = lambda df: "\n".join("\t".join(str(v) for v in r) for r in df.collect())
     match args.command:
         case "index":
-            return json.dumps(engine.index(args.full, not args.no_git))
+            return json.dumps(engine.index(args.full, not args.no_git, grammar_path=args.grammar_path))
         case "paths" if args.analyze and args.to:
             return listed(engine.signals(args.target, args.to, args.depth), args, reports.signals)
         case "paths" if args.to:
@@ -93,22 +106,29 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
                 below = [trees.Node(r["id"], r["name"], r["qualified"], r["path"], (r["span_start"], r["span_end"]), children=below)]
             return rendered(below[0], args, "paths", engine, linear=True)
         case "paths" | "callers":
-            return rendered(engine.tree(args.target, args.depth, args.min_confidence, args.command == "callers", args.weight), args, args.command, engine)
+            root = engine.tree(args.target, args.depth, args.min_confidence, args.command == "callers", args.weight)
+            text = rendered(root, args, args.command, engine)
+            if args.command == "callers" and args.coupled and args.output == "tree":
+                text += reports.coupled([r.asDict() for r in engine.coupled(root.file).collect()])
+            return text
         case "diff" | "branch":
             df = engine.diff(*args.revisions) if args.command == "diff" else engine.branch(args.name, args.base)
             nodes = [trees.Node(r["id"], r["name"], r["qualified"], r["path"], weight=r["weight"] if args.weight == "diff" else 0.0, mark=r["mark"]) for r in df.orderBy("qualified").collect()]
             return json.dumps([n.as_dict() for n in nodes]) if args.output == "json" else trees.tree(nodes, not args.no_color)
         case "map":
-            return trees.file_list([(r["path"], r["weight"]) for r in engine.map(args.top, "churn" if args.weight == "none" else args.weight).collect()])
+            df = engine.map(args.top, "churn" if args.weight == "none" else args.weight)
+            if args.output == "tree":
+                return trees.file_list([(r["path"], r["weight"]) for r in df.collect()])
+            return listed(df, args, reports.overview)
         case "hotspots":
             return listed(engine.hotspots(args.top, args.include_tests), args, reports.hotspots)
         case "coupled":
             found = [r.asDict() for r in engine.coupled(args.target, args.min, args.support).collect()]
             if args.output in ("mermaid", "dot"):
                 return (trees.mermaid_dependency if args.output == "mermaid" else trees.dot_dependency)(args.target, found, not args.no_fence)
-            return json.dumps(found)
+            return json.dumps(found) if args.output == "json" else reports.coupled(found)
         case "age":
-            return table(engine.age())
+            return listed(engine.age(), args, reports.age)
         case "smells":
             df = engine.smells()
             if args.output in ("mermaid", "dot"):
@@ -127,6 +147,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.weight == "diff" and args.command not in ("diff", "branch"):
         print("--weight diff needs diff or branch", file=sys.stderr)
         return 2
+    if args.command == "skill":
+        print(usage(), end="")
+        return 0
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     try:
         print(run(args, Engine(spark, files.find_repository(args.repo))))

@@ -27,15 +27,16 @@ class AmbiguousTargetError(LookupError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | Path):
+    def __init__(self, spark: SparkSession, root: str | Path, place: str | None = None):
         self.spark, self.root = spark, Path(root).resolve()
-        self.store, self.repository = Store(spark, root), Repository(spark, root)
+        self.store, self.repository = Store(spark, root, place), Repository(spark, root)
 
     # ------------------------------------------------------------- indexing
 
-    def index(self, full: bool = False, git: bool = True, as_of: str | None = None, extractors: dict | None = None) -> dict[str, int]:
-        """Mine, extract, link, attribute. Without ``full``, files with unchanged contents keep what was extracted from them, and new commits are added to what was mined."""
+    def index(self, full: bool = False, git: bool = True, as_of: str | None = None, extractors: dict | None = None, grammar_path: str | None = None) -> dict[str, int]:
+        """Mine, extract, link, attribute. Without ``full``, files with unchanged contents keep what was extracted from them, and new commits are added to what was mined. ``grammar_path``: a folder of packs in place of ours."""
         as_of = as_of or datetime.now(UTC).date().isoformat()
+        extractors = extract.packs_from(grammar_path) if grammar_path else extractors
         self.store.ignore()
         had = self.store.exists() and not full
         sources = files.read_sources(self.spark, self.root)
@@ -51,37 +52,39 @@ class Engine:
         parsed = self.store.read("parsed")
         self.store.write("files", parsed.select("path", "lang", "loc", "file_hash"))
         meta = {"schema_version": "1"}
+        hunks = self.spark.createDataFrame([], "sha string, path string, new_start long, new_len int, old_len int")
         if git:
             meta["last_sha"] = self.repository.head()
-            self._mine(as_of, self.store.meta().get("last_sha") if had else None)
+            before = self.store.meta().get("last_sha") if had else None
+            self._mine(as_of, before if before and self.repository.is_ancestor(before) else None)
+            hunks = self.store.read("hunks")
         symbols = self._symbols(parsed)
         calls = self._calls(parsed, symbols)
         edges = linking.merge_edges(linking.link(calls, symbols))
-        contains = symbols.select(F.concat(F.lit("file:"), "path").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
-        imports = parsed.select("path", F.explode("imports").alias("x")).select(F.md5("path").alias("from_id"), F.concat(F.lit("import:"), "x").alias("to_id"), F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-        self.store.write("edges", edges.unionByName(contains).unionByName(imports))
+        imports = linking.import_edges(parsed.select("path", F.explode("imports").alias("import")))
+        self.store.write("edges", edges.unionByName(linking.contains_edges(symbols)).unionByName(imports))
         captures = parsed.select("path", F.explode("patterns").alias("p")).select("path", "p.kind", "p.line")
         attributed = spans.attribute(captures, symbols)
-        hunks = diffs.hunks_from_log(self.repository.patches()) if git else self.spark.createDataFrame([], "path string, sha string, new_start long, new_len int, old_len int")
         churn = spans.span_hotspot(symbols, spans.span_churn(symbols, hunks)).drop("path")
         rows = symbols.join(churn, "id").join(attributed, "id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
-        self.store.write("symbols", rows.withColumn("age_days", F.lit(0)))
-        self.store.write("meta", self.spark.createDataFrame(list(meta.items()), "key string, value string"))
+        self.store.write_all({"symbols": rows.withColumn("age_days", F.lit(0)), "meta": self.spark.createDataFrame(list(meta.items()), "key string, value string")})
         stats = extract.extract_stats(parsed).first().asDict()
         return stats | {"edges": self.store.read("edges").count()}
 
     def _mine(self, as_of: str, since: str | None) -> None:
-        commits, listed = self.repository.history()
+        """Mine all history, or only the commits after ``since``, whose counts are added to the stored ones."""
+        commits, listed = self.repository.history(since)
         kept = mining.kept_files(listed)
-        if since is None:
-            stats = mining.git_stats(kept, commits, as_of)
-        else:  # counts of new commits are added to the old ones
-            new_commits, new_listed = self.repository.history(since)
-            merged = mining.merge_incremental(self.store.read("git_stats"), mining.last_commit(mining.kept_files(new_listed), new_commits))
-            most = F.broadcast(merged.agg(F.max("churn").alias("most")))  # one row
-            stats = merged.withColumn("age_days", mining.age_days(F.col("last_commit_ts"), as_of)).crossJoin(most).withColumn("hotspot", mining.hotspot(F.col("churn"), F.col("most"), F.col("age_days"))).drop("most")
-        self.store.write("git_stats", stats.select("path", "churn", "age_days", "last_commit_sha", "last_commit_ts", "hotspot"))
-        self.store.write("cochange", mining.with_strength(mining.pair_support(kept), mining.file_churn(kept)))
+        last, pairs = mining.last_commit(kept, commits), mining.pair_support(kept)
+        hunks = diffs.hunks_from_log(self.repository.patches(since))
+        if since is not None:
+            last = mining.merge_incremental(self.store.read("git_stats"), last)
+            pairs = self.store.read("cochange").select("file_a", "file_b", "support").unionByName(pairs).groupBy("file_a", "file_b").agg(F.sum("support").alias("support"))
+            hunks = self.store.read("hunks").unionByName(hunks)
+        most = F.broadcast(last.agg(F.max("churn").alias("most")))  # one row
+        stats = last.withColumn("age_days", mining.age_days(F.col("last_commit_ts"), as_of)).crossJoin(most).withColumn("hotspot", mining.hotspot(F.col("churn"), F.col("most"), F.col("age_days"))).drop("most")
+        stats = stats.select("path", "churn", "age_days", "last_commit_sha", "last_commit_ts", "hotspot")
+        self.store.write_all({"git_stats": stats, "cochange": mining.with_strength(pairs, last.select("path", "churn")), "hunks": hunks})
 
     @staticmethod
     def _symbols(parsed: DataFrame) -> DataFrame:
@@ -109,21 +112,15 @@ class Engine:
 
     def resolve(self, target: str) -> dict:
         """The one symbol that a name, file:name or file:line stands for."""
-        row = self.spark.range(1).select(scalars.target_file(F.lit(target)).alias("f"), scalars.target_name(F.lit(target)).alias("n")).first()
         rows = self.symbols()
-        if row["f"] and row["n"].isdigit():
-            at = rows.where((F.col("path") == row["f"]) & F.lit(int(row["n"])).between(F.col("span_start"), F.col("span_end"))).orderBy(F.col("span_end") - F.col("span_start"), "id").first()
-            found = [at] if at else []
-        else:
-            found = rows.where((F.col("name") == row["n"]) | (F.col("qualified") == target)).orderBy("qualified", "id").collect()
-            if row["f"]:
-                found = [r for r in found if r["path"] == row["f"]] or found
-        if not found:
+        found = spans.resolve_targets(self.spark.createDataFrame([(target,)], "target string"), rows).first()
+        if not found["n"]:
             raise TargetNotFoundError(target)
-        by_name = {r["qualified"]: r for r in reversed(found)}
-        if len(by_name) > 1:
-            raise AmbiguousTargetError(target, [f"{q}  ({r['kind']})" for q, r in sorted(by_name.items())])
-        return found[0].asDict()
+        if found["n"] > 1:
+            name = target.rsplit(":", 1)[-1]
+            near = rows.where((F.col("name") == name) | (F.col("name") == target) | (F.col("qualified") == target)).select("qualified", "kind").distinct().orderBy("qualified").limit(50)
+            raise AmbiguousTargetError(target, [f"{r['qualified']}  ({r['kind']})" for r in near.collect()])
+        return rows.where(F.col("id") == found["id"]).first().asDict()
 
     def paths(self, target: str, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
         return graph.reachable(self.calls(), self.resolve(target)["id"], depth, min_confidence)

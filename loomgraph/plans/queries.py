@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Cut-offs that select something on these tables.
-STRENGTH, SUPPORT, STALE_DAYS, START, DEPTH, LEAST_CONF = 0.04, 5, 3, "555", 2, 0.2
+STRENGTH, SUPPORT, STALE_DAYS, START, DEPTH, LEAST_CONF = 0.04, 5, 3, "555", 3, 0.2
 STAT = "path, lang, loc, churn, age_days, last_commit_sha, round(hotspot, 6) AS hotspot"
 PAIR = "file_a, file_b, support, round(strength, 6) AS strength, round(strength_rev, 6) AS strength_rev"
 
@@ -267,24 +267,38 @@ def _(t):
     return X.enclosing(t.captures.select("capture", "path", "line").distinct(), t.indexed, ["capture", "path", "line"])
 
 
-@query("resolve_target", "SELECT qualified, min(id) AS id, count(*) AS n FROM symbols WHERE name LIKE 'red %' GROUP BY qualified")
+_TARGETS = "SELECT DISTINCT CASE id::INT % 3 WHEN 0 THEN name WHEN 1 THEN path || ':' || name ELSE path || ':' || span_start END AS target FROM symbols0"
+
+
+@query(
+    "resolve_target",
+    f"""WITH t AS (SELECT target, regexp_extract(target, '^(.*):[^:]*$', 1) AS file, regexp_extract(target, ':([^:]*)$', 1) AS part FROM ({_TARGETS})),
+p AS (SELECT target, CASE WHEN file <> '' THEN file END AS file, CASE WHEN file <> '' THEN part ELSE target END AS name, regexp_matches(part, '^[0-9]+$') AS is_line FROM t),
+c AS (SELECT target, id, path || ':' || s.name AS qualified, coalesce(path = file, false) AS inside FROM p JOIN indexed s ON s.name = p.name OR path || ':' || s.name = target WHERE NOT is_line),
+b AS (SELECT target, inside, count(DISTINCT qualified) AS n, arg_min(id, (qualified, id)) AS id FROM c GROUP BY ALL),
+f AS (SELECT target, arg_max(id, inside) AS id, arg_max(n, inside) AS n FROM b GROUP BY target
+      UNION ALL SELECT target, arg_min(id, (span_end - span_start, span_start, id)), 1 FROM (SELECT * FROM p WHERE is_line) q JOIN indexed s ON s.path = q.file AND q.name::INT BETWEEN span_start AND span_end GROUP BY target)
+SELECT p.target, id, coalesce(n, 0)::BIGINT AS n FROM p LEFT JOIN f USING (target)""",
+)
 def _(t):
-    return t.indexed.where(F.col("name").startswith("red ")).groupBy(F.concat("path", F.lit(":"), "name").alias("qualified")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    id_ = F.col("id").cast("int") % 3
+    target = F.when(id_ == 0, F.col("name")).when(id_ == 1, F.concat("path", F.lit(":"), "name")).otherwise(F.concat("path", F.lit(":"), F.col("span_start").cast("string")))
+    return X.resolve_targets(t.symbols0.select(target.alias("target")), t.indexed.withColumn("qualified", F.concat("path", F.lit(":"), "name")))
 
 
 @query("contains_edges", "SELECT 'file:' || path AS from_id, id AS to_id, 'contains' AS kind, 1.0::DOUBLE AS confidence FROM indexed")
 def _(t):
-    return t.indexed.select(F.concat(F.lit("file:"), "path").alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    return L.contains_edges(t.indexed)
 
 
 @query("import_edges", "SELECT DISTINCT md5(path) AS from_id, 'import:' || lang AS to_id, 'imports' AS kind, 1.0::DOUBLE AS confidence FROM indexed")
 def _(t):
-    return t.indexed.select(F.md5("path").alias("from_id"), F.concat(F.lit("import:"), "lang").alias("to_id"), F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+    return L.import_edges(t.indexed.select("path", F.col("lang").alias("import")))
 
 
 @query("unresolved_edges", "SELECT from_id, 'unresolved:' || callee AS to_id, 'calls' AS kind, 0.3::DOUBLE AS confidence FROM raw_calls")
 def _(t):
-    return t.raw_calls.select("from_id", F.concat(F.lit(L.UNRESOLVED), "callee").alias("to_id"), F.lit("calls").alias("kind"), F.lit(0.3).alias("confidence"))
+    return L.unresolved_edges(t.raw_calls)
 
 
 @query("pattern_captures", "SELECT capture, path, line, kind FROM captures")
@@ -302,11 +316,6 @@ def _(t):
     return t.symbols.where(F.size("patterns") > 0).select("id", "name", F.array_join("patterns", ",").alias("patterns"))
 
 
-@query("complexity_proxy", "SELECT doc_id, len(regexp_extract_all(text, '(if|for|while|case|the|and)'))::BIGINT AS branches FROM documents")
-def _(t):
-    return t.read("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("(if|for|while|case|the|and)"), 1)).cast("bigint").alias("branches"))
-
-
 @query("symbol_churn", "SELECT id, churn FROM span_churn")
 def _(t):
     return X.span_churn(t.indexed, t.hunks)
@@ -347,14 +356,12 @@ def _(t):
 
 @query("callees", f"SELECT s.id, s.name, e.confidence FROM edges e JOIN indexed s ON s.id = e.to_id WHERE e.from_id = '{START}' AND e.confidence >= 0.3")
 def _(t):
-    e = t.edges.where((F.col("from_id") == START) & (F.col("confidence") >= 0.3))
-    return t.indexed.join(e, F.col("id") == F.col("to_id")).select("id", "name", "confidence")
+    return L.neighbours(t.edges, t.indexed, START, 0.3)
 
 
 @query("callers_1hop", f"SELECT s.id, s.name, e.confidence FROM edges e JOIN indexed s ON s.id = e.from_id WHERE e.to_id = '{START}' AND e.confidence >= 0.3")
 def _(t):
-    e = t.edges.where((F.col("to_id") == START) & (F.col("confidence") >= 0.3))
-    return t.indexed.join(e, F.col("id") == F.col("from_id")).select("id", "name", "confidence")
+    return L.neighbours(t.edges, t.indexed, START, 0.3, reverse=True)
 
 
 @query("external_callees", "SELECT from_id, substr(to_id, 10) AS name FROM edges WHERE starts_with(to_id, 'external:')")
@@ -380,7 +387,7 @@ def _(t):
 
 @query("paths_min_conf")
 def _(t):
-    return rounded(G.reachable(t.edges, START, DEPTH + 1, LEAST_CONF), "path_conf")
+    return rounded(G.reachable(t.edges, START, DEPTH, LEAST_CONF), "path_conf")
 
 
 @query("callers_reachable")
@@ -388,13 +395,14 @@ def _(t):
     return rounded(G.reachable(t.edges, START, DEPTH, reverse=True), "path_conf")
 
 
-ORACLES |= {"paths_reachable": _walk(DEPTH, 0), "paths_min_conf": _walk(DEPTH + 1, LEAST_CONF), "callers_reachable": _walk(DEPTH, 0, "to_id", "from_id")}
+ORACLES |= {"paths_reachable": _walk(DEPTH, 0), "paths_min_conf": _walk(DEPTH, LEAST_CONF), "callers_reachable": _walk(DEPTH, 0, "to_id", "from_id")}
 #: The end of the path: the largest id two steps away and no less.
 END = "999"
-ORACLES["shortest_path"] = with_tables("SELECT 1 FROM edges").rsplit(" SELECT 1 FROM edges", 1)[0] + f""", walk AS (SELECT '{START}' AS id, ['{START}'] AS path, 1.0::DOUBLE AS conf, 0 AS depth
-UNION ALL SELECT to_id, list_append(path, to_id), conf * confidence, depth + 1 FROM walk JOIN edges ON from_id = walk.id WHERE depth < 3),
-best AS (SELECT path, conf FROM walk WHERE id = '{END}' ORDER BY depth, path LIMIT 1)
-SELECT (i - 1)::INT AS step, path[i] AS id, round(conf, 6) AS path_conf FROM (SELECT path, conf, unnest(range(1, len(path) + 1)) AS i FROM best)"""
+_PATH = with_tables("SELECT 1 FROM edges, symbols").rsplit(" SELECT 1 FROM edges, symbols", 1)[0] + f""", step AS (SELECT '{START}' AS id, ['{START}'] AS path, 1.0::DOUBLE AS conf, 0 AS depth
+UNION ALL SELECT to_id, list_append(path, to_id), conf * confidence, depth + 1 FROM step JOIN edges ON from_id = step.id WHERE depth < 2),
+best AS (SELECT list_append(path, to_id) AS path, conf * confidence AS conf FROM step JOIN edges ON from_id = step.id WHERE to_id = '{END}' ORDER BY depth, path LIMIT 1),
+frames AS (SELECT (i - 1)::INT AS step, path[i] AS id, conf FROM (SELECT path, conf, unnest(range(1, len(path) + 1)) AS i FROM best))"""
+ORACLES["shortest_path"] = _PATH + " SELECT step, id, round(conf, 6) AS path_conf FROM frames"
 
 
 @query("shortest_path")
@@ -402,31 +410,30 @@ def _(t):
     return rounded(G.shortest_path(t.edges, START, END), "path_conf")
 
 
-_FRAMES = f"SELECT row_number() OVER (ORDER BY fanout DESC, id) AS step, * FROM symbols WHERE path = 'src/Brand#10/medium.go'"
+_FRAMES = "(SELECT f.step, s.* FROM frames f JOIN symbols s USING (id))"
+ORACLES["path_signals"] = _PATH + f""" SELECT 'path_depth' AS kind, CASE WHEN count(*) > 5 THEN 'medium' ELSE 'info' END AS severity, NULL::VARCHAR AS id FROM {_FRAMES} HAVING count(*) > 0
+UNION ALL SELECT 'cross_file_boundary', 'info', NULL FROM {_FRAMES} HAVING count(DISTINCT path) > 1
+UNION ALL SELECT 'lock_await', 'high', id FROM {_FRAMES} WHERE list_contains(patterns, 'lock') AND list_contains(patterns, 'await')
+UNION ALL SELECT 'blocking_async', 'high', id FROM {_FRAMES} WHERE list_contains(patterns, 'block_on')
+UNION ALL SELECT 'unbounded_loop', 'medium', id FROM {_FRAMES} WHERE list_contains(patterns, 'loop')
+UNION ALL SELECT 'high_complexity', 'medium', id FROM {_FRAMES} WHERE complexity > 10
+UNION ALL SELECT 'hot_symbol', 'medium', id FROM {_FRAMES} WHERE hotspot > 0.7
+UNION ALL SELECT 'external_boundary', 'info', id FROM (SELECT id FROM {_FRAMES} ORDER BY step DESC LIMIT 1) WHERE id IN (SELECT from_id FROM edges WHERE starts_with(to_id, 'external:'))"""
 
 
-@query(
-    "path_signals",
-    f"""SELECT 'path_depth' AS kind, CASE WHEN count(*) > 5 THEN 'medium' ELSE 'info' END AS severity, NULL::VARCHAR AS id FROM ({_FRAMES}) HAVING count(*) > 0
-UNION ALL SELECT 'cross_file_boundary', 'info', NULL FROM ({_FRAMES}) HAVING count(DISTINCT path) > 1
-UNION ALL SELECT 'lock_await', 'high', id FROM ({_FRAMES}) WHERE list_contains(patterns, 'lock') AND list_contains(patterns, 'await')
-UNION ALL SELECT 'blocking_async', 'high', id FROM ({_FRAMES}) WHERE list_contains(patterns, 'block_on')
-UNION ALL SELECT 'unbounded_loop', 'medium', id FROM ({_FRAMES}) WHERE list_contains(patterns, 'loop')
-UNION ALL SELECT 'high_complexity', 'medium', id FROM ({_FRAMES}) WHERE complexity > 10
-UNION ALL SELECT 'hot_symbol', 'medium', id FROM ({_FRAMES}) WHERE hotspot > 0.7
-UNION ALL SELECT 'external_boundary', 'info', id FROM (SELECT id FROM ({_FRAMES}) ORDER BY step DESC LIMIT 1) WHERE id IN (SELECT from_id FROM edges WHERE starts_with(to_id, 'external:'))""",
-)
+@query("path_signals")
 def _(t):
-    from pyspark.sql import Window
+    return A.signals(G.shortest_path(t.edges, START, END).join(t.symbols, "id"), L.external_callees(t.edges))
+
 
-    frames = t.symbols.where(F.col("path") == "src/Brand#10/medium.go").withColumn("step", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("fanout"), "id")))
-    return A.signals(frames, L.external_callees(t.edges))
+ORACLES["folded_lines"] = _PATH + f""" SELECT string_agg(name, ';' ORDER BY step) || ' ' || greatest(round(arg_max(churn, step) / (SELECT greatest(max(churn), 1) FROM symbols) * 1000), 1)::BIGINT AS line FROM {_FRAMES} HAVING count(*) > 0"""
 
 
-@query("folded_lines", f"SELECT '{START};' || e.to_id || ' ' || greatest(round(e.confidence * 1000), 1)::BIGINT AS line FROM edges e WHERE e.from_id = '{START}'")
+@query("folded_lines")
 def _(t):
-    e = t.edges.where(F.col("from_id") == START)
-    return e.select(F.concat(F.lit(f"{START};"), "to_id", F.lit(" "), S.folded_count(F.col("confidence")).cast("string")).alias("line"))
+    frames = G.shortest_path(t.edges, START, END).join(t.symbols.select("id", "name"), "id").join(A.symbol_weights(t.symbols).select("id", "w_churn"), "id")
+    whole = frames.agg(F.sort_array(F.collect_list(F.struct("step", "name"))).alias("names"), F.max_by("w_churn", "step").alias("w")).where(F.size("names") > 0)
+    return whole.select(F.concat(F.array_join(F.transform("names", lambda x: x["name"]), ";"), F.lit(" "), S.folded_count(F.col("w")).cast("string")).alias("line"))
 
 
 @query("graph_edges", "SELECT DISTINCT left(regexp_replace(from_id, '[^\\pL\\pN_]', '_', 'g'), 30) AS a, left(regexp_replace(to_id, '[^\\pL\\pN_]', '_', 'g'), 30) AS b FROM edges WHERE confidence >= 0.5")
@@ -440,23 +447,22 @@ def _(t):
     return t.indexed.agg(F.count("*").alias("symbols")).crossJoin(t.files.agg(F.count("*").alias("files"))).crossJoin(external)
 
 
-@query("precision_gate", "SELECT (SELECT count(*) FROM edges WHERE confidence >= 0.7) AS found, (SELECT count(*) FROM edges e JOIN indexed a ON a.id = e.from_id JOIN indexed b ON b.id = e.to_id AND a.lang = b.lang WHERE e.confidence >= 0.7) AS correct")
+@query("precision_gate", "SELECT (SELECT count(*) FROM edges WHERE confidence >= 0.7) AS found, (SELECT count(*) FROM edges e JOIN true_calls t ON t.from_id = e.from_id AND t.to_id = e.to_id WHERE e.confidence >= 0.7) AS correct, (SELECT count(*) FROM true_calls) AS wanted")
 def _(t):
-    sure = t.edges.where((F.col("confidence") >= 0.7) & ~F.col("to_id").startswith(L.EXTERNAL))
-    lang = t.indexed.select("id", "lang")
-    truth = sure.join(lang.toDF("from_id", "a"), "from_id").join(lang.toDF("to_id", "b"), "to_id").where("a = b").select("from_id", "to_id")
-    return sure.agg(F.count("*").alias("found")).crossJoin(sure.select("from_id", "to_id").intersect(truth).agg(F.count("*").alias("correct")))
+    return A.precision(t.edges, t.true_calls)
 
 
-@query("missed_callers", f"SELECT DISTINCT from_id FROM raw_calls c JOIN indexed s ON s.id = '{START}' AND s.name = c.callee EXCEPT SELECT from_id FROM edges WHERE to_id = '{START}' AND confidence >= 0.6")
+@query("missed_callers", "SELECT DISTINCT c.from_id, s.id AS to_id FROM raw_calls c JOIN indexed s ON s.name = c.callee EXCEPT SELECT from_id, to_id FROM edges WHERE confidence >= 0.6")
 def _(t):
-    name = t.indexed.where(F.col("id") == START).select(F.col("name").alias("callee"))
-    return t.raw_calls.join(name, "callee").select("from_id").distinct().subtract(t.edges.where((F.col("to_id") == START) & (F.col("confidence") >= 0.6)).select("from_id"))
+    return A.missed_callers(t.raw_calls, t.indexed, t.edges)
 
 
-@query("eval_callers", f"SELECT DISTINCT s.path FROM edges e JOIN indexed s ON s.id = e.from_id WHERE e.to_id = '{START}'")
+@query("eval_callers")
 def _(t):
-    return t.edges.where(F.col("to_id") == START).join(t.indexed, F.col("from_id") == F.col("id")).select("path").distinct()
+    return G.reachable(t.edges, START, DEPTH, reverse=True).join(t.indexed, "id").select("path").distinct()
+
+
+ORACLES["eval_callers"] = ORACLES["callers_reachable"].replace("SELECT id, min(depth) AS depth, round(max(conf), 6) AS path_conf FROM walk GROUP BY id", "SELECT DISTINCT path FROM walk JOIN symbols0 USING (id) WHERE symbols0.loc <= 40 AND symbols0.lang <> 'hcl'")
 
 
 # --------------------------------------------------------------- analysis
@@ -583,120 +589,161 @@ def _(t):
     return A.explain(t.symbols)
 
 
-@query("changed_files", "SELECT path FROM pr_files")
+PR = ("pr",)
+
+
+@query("changed_files", "SELECT pr, path FROM pr_files")
 def _(t):
     return t.pr_files
 
 
-@query("diff_lines", "SELECT path, line, pure FROM pr_lines")
+@query("diff_lines", "SELECT pr, path, line, pure FROM pr_lines")
 def _(t):
-    return X.diff_lines(t.pr_hunks)
+    return X.diff_lines(t.pr_hunks, PR)
 
 
 _MARK = "CASE WHEN touched = 0 THEN {none} WHEN pure = touched THEN '+' ELSE '~' END AS mark"
 
 
-@query("diff_marks", f"SELECT id, path, touched, pure, {_MARK.format(none='NULL')} FROM marked")
+def _marks(t: Tables, untouched: str | None = None) -> DataFrame:
+    return X.diff_marks(t.indexed, X.diff_lines(t.pr_hunks, PR), untouched, PR, t.pr_files)
+
+
+@query("diff_marks", f"SELECT pr, id, path, touched, pure, {_MARK.format(none='NULL')} FROM marked")
 def _(t):
-    return X.diff_marks(t.indexed, X.diff_lines(t.pr_hunks))
+    return _marks(t)
 
 
-@query("branch_marks", "SELECT id, path, touched, pure, " + _MARK.format(none="'~'") + " FROM marked")
+@query("branch_marks", "SELECT pr, id, path, touched, pure, " + _MARK.format(none="'~'") + " FROM marked")
 def _(t):
-    return X.diff_marks(t.indexed, X.diff_lines(t.pr_hunks), untouched="~")
+    return _marks(t, "~")
 
 
-@query("diff_weight", "SELECT id, round(touched / (SELECT greatest(count(*), 1) FROM pr_lines), 6) AS weight FROM marked")
+@query("diff_weight", "SELECT m.pr, id, round(touched / coalesce(n, 1), 6) AS weight FROM marked m LEFT JOIN (SELECT pr, count(*) AS n FROM pr_lines GROUP BY pr) l ON l.pr = m.pr")
 def _(t):
-    lines = X.diff_lines(t.pr_hunks)
-    return rounded(X.diff_weight(X.diff_marks(t.indexed, lines), lines), "weight")
+    return rounded(X.diff_weight(_marks(t), X.diff_lines(t.pr_hunks, PR), PR), "weight")
 
 
-@query("explain_pr_symbols", "SELECT id, name, path FROM indexed SEMI JOIN pr_files USING (path)")
+@query("explain_pr_symbols", "SELECT pr, id, name, path FROM indexed JOIN pr_files USING (path)")
 def _(t):
-    return t.indexed.join(t.pr_files, "path", "left_semi").select("id", "name", "path")
+    return t.indexed.join(t.pr_files, "path").select("pr", "id", "name", "path")
 
 
-@query("explain_pr_high_risk", f"SELECT id, path FROM symbols SEMI JOIN pr_files USING (path) WHERE {_HIGH}")
+@query("explain_pr_high_risk", f"SELECT pr, id, path FROM symbols JOIN pr_files USING (path) WHERE {_HIGH}")
 def _(t):
-    return t.symbols.join(t.pr_files, "path", "left_semi").where(S.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))).select("id", "path")
+    return t.symbols.where(S.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))).join(t.pr_files, "path").select("pr", "id", "path")
 
 
-_FEW = "(SELECT path FROM pr_files WHERE path LIKE '%.go' OR path LIKE '%.rs')"
-_MISSED = f"SELECT partner, max(s) AS s FROM (SELECT file_a AS path, file_b AS partner, greatest(strength, strength_rev) AS s, support FROM cochange UNION ALL SELECT file_b, file_a, greatest(strength, strength_rev), support FROM cochange) WHERE support >= {SUPPORT} AND s >= {STRENGTH} AND path IN {_FEW} AND partner NOT IN {_FEW} GROUP BY partner"
+_MISSED = f"SELECT f.pr, partner, max(s) AS s FROM (SELECT file_a AS path, file_b AS partner, greatest(strength, strength_rev) AS s, support FROM cochange UNION ALL SELECT file_b, file_a, greatest(strength, strength_rev), support FROM cochange) c JOIN pr_files f USING (path) WHERE support >= {SUPPORT} AND s >= {STRENGTH} AND NOT EXISTS (SELECT 1 FROM pr_files g WHERE g.pr = f.pr AND g.path = partner) GROUP BY ALL"
 
 
-@query("explain_pr_missed", f"SELECT partner, round(s, 6) AS strength FROM ({_MISSED})")
+@query("explain_pr_missed", f"SELECT pr, partner, round(s, 6) AS strength FROM ({_MISSED})")
 def _(t):
-    few = t.pr_files.where(F.col("path").endswith(".go") | F.col("path").endswith(".rs"))
-    return rounded(A.missed_partners(t.cochange, few, STRENGTH, SUPPORT), "strength").orderBy(F.desc("strength"), "partner")
+    return rounded(A.missed_partners(t.cochange, t.pr_files, STRENGTH, SUPPORT, PR), "strength")
 
 
-@query("explain_pr_verdict", f"SELECT n_high, n_missed, CASE WHEN danger OR n_high > 5 THEN 'HIGH' WHEN n_high > 0 OR n_missed > 3 THEN 'MEDIUM' ELSE 'LOW' END AS verdict FROM (SELECT count(*) FILTER ({_HIGH}) AS n_high, coalesce(bool_or({_DANGER}), false) AS danger FROM symbols SEMI JOIN pr_files USING (path)), (SELECT count(*) AS n_missed FROM ({_MISSED}))")
+@query(
+    "explain_pr_verdict",
+    f"""SELECT pr, n_high, n_missed, CASE WHEN danger OR n_high > 5 THEN 'HIGH' WHEN n_high > 0 OR n_missed > 3 THEN 'MEDIUM' ELSE 'LOW' END AS verdict FROM (
+SELECT f.pr, coalesce(sum(r.n_high), 0)::BIGINT AS n_high, coalesce(bool_or(danger), false) AS danger, coalesce(any_value(m.n), 0)::BIGINT AS n_missed FROM pr_files f
+LEFT JOIN (SELECT path, count(*) FILTER ({_HIGH}) AS n_high, bool_or({_DANGER}) AS danger FROM symbols GROUP BY path) r USING (path)
+LEFT JOIN (SELECT pr, count(*) AS n FROM ({_MISSED}) GROUP BY pr) m ON m.pr = f.pr GROUP BY f.pr)""",
+)
 def _(t):
-    few = t.pr_files.where(F.col("path").endswith(".go") | F.col("path").endswith(".rs"))
-    own = t.symbols.join(t.pr_files, "path", "left_semi")
-    high = own.agg(F.count_if(S.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))).alias("n_high"), F.coalesce(F.bool_or(S.dangerous(F.col("patterns"))), F.lit(False)).alias("danger"))
-    both = high.crossJoin(A.missed_partners(t.cochange, few, STRENGTH, SUPPORT).agg(F.count("*").alias("n_missed")))  # one row each
-    return both.select("n_high", "n_missed", A.verdict(F.col("n_high"), F.col("n_missed"), F.col("danger")).alias("verdict"))
+    return A.reviews(t.symbols, t.pr_files, t.cochange, STRENGTH, SUPPORT)
 
 
-@query("pattern_summary", "SELECT c.kind AS pattern, count(*) AS n FROM captured c JOIN indexed i USING (id) SEMI JOIN pr_files USING (path) GROUP BY c.kind")
+@query("pattern_summary", "SELECT pr, pattern, sum(n)::BIGINT AS n FROM (SELECT path, captured.kind AS pattern, count(*) AS n FROM captured JOIN indexed USING (id) GROUP BY ALL) JOIN pr_files USING (path) GROUP BY ALL")
 def _(t):
-    return t.symbols.join(t.pr_files, "path", "left_semi").select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    per_file = t.symbols.select("path", F.explode("patterns").alias("pattern")).groupBy("path", "pattern").agg(F.count("*").alias("n"))
+    return per_file.join(t.pr_files, "path").groupBy("pr", "pattern").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------- extraction
 
+#: A small program in each language around a symbol: its name in @, its number in %; and what is in it: definitions
+#: (name, kind, first and last line, complexity), the names it calls with their lines, imports, patterns with their lines.
+PROGRAMS: dict[str, tuple[str, str, list[tuple], list[tuple], list[str], list[tuple]]] = {
+    "rust": ("rs", "use std::sync::Mutex;\n\nstruct S@ {\n    n: u32,\n}\n\nimpl S@ {\n    fn go@(&self) -> u32 {\n        let u = \"http://x\"; helper_%();\n        for i in 0..3 {\n            self.m.lock();\n        }\n        7\n    }\n}\n\nfn free@() {\n    // lost_%()\n    task::spawn(x);\n}\n", [("S@", "type", 3, 5, 0), ("go@", "method", 8, 14, 3), ("free@", "function", 17, 20, 0)], [("helper_%", 9), ("lock", 11), ("spawn", 19)], ["std::sync"], [("loop", 10), ("lock", 11), ("spawn", 19)]),
+    "go": ("go", "package m\n\nimport \"sync\"\n\ntype T@ struct {\n}\n\nfunc (t *T@) Do@() {\n\tt.mu.Lock()\n\tif true {\n\t\tgo helper_%()\n\t}\n}\n", [("T@", "type", 5, 6, 0), ("Do@", "method", 8, 13, 2)], [("Lock", 9), ("helper_%", 11)], ["sync"], [("lock", 9), ("spawn", 11)]),
+    "python": ("py", "import os.path\n\n\nclass C@:\n    async def run@(self, x):\n        for i in x:\n            await helper_%(i)\n        return \"lost_%()\"\n", [("C@", "type", 4, 8, 4), ("run@", "method", 5, 8, 4)], [("helper_%", 7)], ["os.path"], [("loop", 6), ("await", 7)]),
+    "typescript": ("ts", "import { a } from 'mod-%';\n\nexport enum E@ { A, B }\n\nexport class K@ {\n  run@(x: number) {\n    const u = 'http://x'; helper_%(x);\n    while (x) {\n      x--;\n    }\n  }\n}\n\nexport const f@ = async (x) => {\n  await other_%(x);\n};\n", [("E@", "type", 3, 3, 0), ("K@", "type", 5, 12, 3), ("run@", "method", 6, 11, 3), ("f@", "function", 14, 16, 0)], [("helper_%", 7), ("other_%", 15)], ["mod-%"], [("loop", 8), ("await", 15)]),
+    "javascript": ("js", "const m = require('mod-%');\n\nfunction f@(x) {\n  setTimeout(x, 5);\n  if (x) {\n    helper_%(`lost_%()`);\n  }\n}\n", [("f@", "function", 3, 8, 2)], [("require", 1), ("setTimeout", 4), ("helper_%", 6)], ["mod-%"], [("timer", 4)]),
+    "java": ("java", "import java.util.List;\n\nclass J@ {\n  void run@(int x) {\n    for (int i = 0; i < x; i++) {\n      helper_%(\"lost_%()\");\n    }\n  }\n}\n", [("J@", "type", 3, 9, 3), ("run@", "method", 4, 8, 3)], [("helper_%", 6)], ["java.util.List"], [("loop", 5)]),
+    "ruby": ("rb", "require 'set'\n\nmodule M@\n  class R@\n    def go@(x)\n      while x\n        helper_%(x)\n      end\n    end\n  end\nend\n", [("M@", "type", 3, 11, 4), ("R@", "type", 4, 10, 4), ("go@", "method", 5, 9, 4)], [("helper_%", 7)], ["set"], [("loop", 6)]),
+    "c": ("c", "#include <stdio.h>\n\nint proto@(int a);\n\nstruct s@ {\n  int n;\n};\n\nint f@(int a) {\n  /* lost_%() */\n  if (a) {\n    return helper_%(malloc(a));\n  }\n  return 0;\n}\n", [("proto@", "function", 3, 3, 0), ("s@", "type", 5, 7, 0), ("f@", "function", 9, 15, 2)], [("helper_%", 12), ("malloc", 12)], ["stdio.h"], [("alloc", 12)]),
+    "cpp": ("cpp", "#include <mutex>\n\nnamespace n@ {\nclass C@ {\n};\n\nint f@(int a) {\n  std::lock_guard<std::mutex> g(m);\n  return helper_%(new int);\n}\n}\n", [("n@", "type", 3, 11, 0), ("C@", "type", 4, 5, 0), ("f@", "method", 7, 10, 0)], [("g", 8), ("helper_%", 9)], ["mutex"], [("lock", 8), ("alloc", 9)]),
+    "bash": ("sh", "source lib-%.sh\n\nrun@() {\n  if true; then\n    helper_% x\n  fi\n}\n", [("run@", "function", 3, 7, 2)], [("helper_%", 5)], ["lib-%.sh"], []),
+}
+LANGS = tuple(PROGRAMS)
+
 
 def _sources(t: Tables) -> DataFrame:
-    """Small programs made from the symbols: a function each, that calls the next one's name."""
-    ident = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
-    body = F.concat(F.lit("def "), ident("name"), F.lit("(x):\n    for i in x:\n        if i:\n            helper_"), F.col("id"), F.lit("(i)\n"))
-    return t.indexed.where("lang = 'python'").groupBy("path", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_start", body.alias("body")))), lambda x: x["body"]), "\n").alias("text"))
+    """One small program for each part, in ten languages by turns."""
+    number = (F.col("id").cast("int") % len(LANGS)) + 1
+    fill = lambda text: F.replace(F.replace(text, F.lit("@"), F.concat(F.lit("_"), "id")), F.lit("%"), F.col("id"))
+    pick = lambda k: F.element_at(F.array(*(F.lit(PROGRAMS[x][k] if k is not None else x) for x in LANGS)), number)
+    return t.symbols0.select(F.concat(F.lit("gen/"), "id", F.lit("."), pick(0)).alias("path"), pick(None).alias("lang"), fill(pick(1)).alias("text"))
 
 
-#: What the small programs hold: functions of four lines, one blank line between them; a loop at depth 2 and a condition at depth 3.
-_PROGRAM = "SELECT path, id, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS name, 5 * (row_number() OVER (PARTITION BY path ORDER BY span_start) - 1) AS above FROM indexed WHERE lang = 'python'"
+def _stated(k: int, names: str) -> str:
+    """What the programs hold, part by part: SQL of the stated rows."""
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v + "'"
+    rows = ", ".join(f"({i}, '{PROGRAMS[x][0]}', {', '.join(quoted(v) for v in (row if isinstance(row, tuple) else (row,)))})" for i, x in enumerate(LANGS) for row in PROGRAMS[x][k])
+    return f"(SELECT 'gen/' || id || '.' || ext AS path, id, v.* FROM symbols0 JOIN (VALUES {rows}) v(lang_no, ext, {names}) ON id::INT % {len(LANGS)} = lang_no)"
 
 
-@query("extract_defs", f"SELECT path, name, 'function' AS kind, (above + 1)::INT AS span_start, (above + 4)::INT AS span_end, 5 AS complexity FROM ({_PROGRAM})")
-def _(t):
+_FILL = "replace(replace({c}, '@', '_' || id), '%', id)"
+
+
+def _extracted(t: Tables) -> DataFrame:
     from loomgraph.sources.extract import extract
 
-    return extract(_sources(t)).select("path", F.explode("defs").alias("d")).select("path", "d.*")
+    return extract(_sources(t))
 
 
-@query("extract_calls", f"SELECT path, 'helper_' || id AS callee, (above + 4)::INT AS line FROM ({_PROGRAM})")
+@query("extract_defs", f"SELECT path, {_FILL.format(c='name')} AS name, kind, a::INT AS span_start, b::INT AS span_end, complexity::INT AS complexity FROM {_stated(2, 'name, kind, a, b, complexity')}")
 def _(t):
-    from loomgraph.sources.extract import extract
+    return _extracted(t).select("path", F.explode("defs").alias("d")).select("path", "d.*")
 
-    return extract(_sources(t)).select("path", F.explode("calls").alias("c")).select("path", "c.*")
+
+@query("extract_calls", f"SELECT path, {_FILL.format(c='callee')} AS callee, line::INT AS line FROM {_stated(3, 'callee, line')}")
+def _(t):
+    return _extracted(t).select("path", F.explode("calls").alias("c")).select("path", "c.*")
 
 
-@query("extract_imports", f"SELECT DISTINCT path, unnest(['os.path', 'typing']) AS \"import\" FROM ({_PROGRAM})")
+@query("extract_imports", f"SELECT path, {_FILL.format(c='name')} AS \"import\" FROM {_stated(4, 'name')}")
 def _(t):
-    from loomgraph.sources.extract import extract
+    return _extracted(t).select("path", F.explode("imports").alias("import"))
+
 
-    return extract(_sources(t).withColumn("text", F.concat(F.lit("import os.path\nfrom typing import Any\n"), "text"))).select("path", F.explode("imports").alias("import"))
+@query("extract_patterns", f"SELECT path, kind, line::INT AS line FROM {_stated(5, 'kind, line')}")
+def _(t):
+    return _extracted(t).select("path", F.explode("patterns").alias("p")).select("path", "p.*")
+
+
+@query("complexity_proxy", f"SELECT lang, sum(complexity)::BIGINT AS complexity, count(*) AS n FROM (SELECT ext AS lang, complexity FROM {_stated(2, 'name, kind, a, b, complexity')}) GROUP BY lang")
+def _(t):
+    found = _extracted(t).select(S.extension(F.col("path")).alias("lang"), F.explode("defs").alias("d"))
+    return found.groupBy("lang").agg(F.sum("d.complexity").alias("complexity"), F.count("*").alias("n"))
 
 
-@query("extract_stats", f"SELECT count(DISTINCT path) AS files_processed, count(*) AS symbols_found, 0::BIGINT AS files_skipped FROM ({_PROGRAM})")
+@query("extract_stats", f"SELECT (SELECT count(*) FROM symbols0) AS files_processed, (SELECT count(*) FROM {_stated(2, 'name, kind, a, b, complexity')}) AS symbols_found, 0::BIGINT AS files_skipped")
 def _(t):
-    from loomgraph.sources.extract import extract, extract_stats
+    from loomgraph.sources.extract import extract_stats
 
-    return extract_stats(extract(_sources(t)))
+    return extract_stats(_extracted(t))
 
 
-@query("hunks_from_log", "SELECT DISTINCT path, lpad(lower(to_hex(sha)), 40, '0') AS sha, new_start, new_len, old_len FROM pr_hunks")
+@query("hunks_from_log", "SELECT DISTINCT path, lpad(lower(to_hex(sha)), 40, '0') AS sha, new_start, new_len, old_len FROM hunks")
 def _(t):
     from loomgraph.sources.diffs import hunks_from_log
 
-    header = F.lpad(F.hex("sha"), 40, "0")
-    log = t.pr_hunks.groupBy("path", "sha").agg(F.sort_array(F.collect_set(F.struct("new_start", "new_len", "old_len"))).alias("h"))
-    lines = F.concat(F.array(F.lower(header)), F.transform("h", lambda h: F.concat(F.lit("@@ -1,"), h["old_len"].cast("string"), F.lit(" +"), h["new_start"].cast("string"), F.lit(","), h["new_len"].cast("string"), F.lit(" @@"))))
-    text = log.select("path", F.posexplode(lines).alias("k", "line"), "sha").select("path", (F.col("sha") * 1000 + F.col("k")).alias("line_no"), "line")
-    return hunks_from_log(text)
+    log = t.hunks.groupBy("sha", "path").agg(F.sort_array(F.collect_set(F.struct("new_start", "new_len", "old_len"))).alias("h"))
+    header = lambda h: F.concat(F.lit("@@ -1,"), h["old_len"].cast("string"), F.lit(" +"), h["new_start"].cast("string"), F.lit(","), h["new_len"].cast("string"), F.lit(" @@"))
+    part = F.array_join(F.concat(F.array(F.concat(F.lit("+++ b/"), "path")), F.transform("h", header)), "\n")
+    text = log.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("text"))
+    return hunks_from_log(text.select(F.concat(F.lower(F.lpad(F.hex("sha"), 40, "0")), F.lit("\n"), "text").alias("commit")))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,3 +61,15 @@ def smells(rows: list[dict], most: int = 3) -> str:
 
 def hotspots(rows: list[dict]) -> str:
     return "".join(f"{r['hotspot']:5.2f}  {r['heat']:<12}  {r['churn']:>6} commits  {r['age']:>8}  {r['path']}\n" for r in rows)
+
+
+def coupled(rows: list[dict]) -> str:
+    return "changes together with\n" + "\n".join(_listed([f"{r['strength']:.2f}  {r['support']:>5} commits  {r['partner']}" for r in rows], len(rows))) + "\n"
+
+
+def age(rows: list[dict]) -> str:
+    return "".join(f"{r['age_days']:>6} days  {r['path']}\n" for r in rows)
+
+
+def overview(rows: list[dict]) -> str:
+    return "".join(f"{r['weight']:5.2f}  {r['n_symbols']:>5} symbols  {r['path']}\n" for r in rows)

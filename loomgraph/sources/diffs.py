@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OLD, NEW = r"-(\d+)(?:,(\d+))?", r"\+(\d+)(?:,(\d+))?"
@@ -15,17 +15,28 @@ def parse_hunk(line: Column) -> Column:
     return F.struct(part(OLD, 1).cast("bigint").alias("old_start"), size(OLD).alias("old_len"), part(NEW, 1).cast("bigint").alias("new_start"), size(NEW).alias("new_len"))
 
 
-def hunks_from_log(lines: DataFrame) -> DataFrame:
-    """(path, sha, new_start, new_len, old_len) from a patch log (path, line_no, line): a line of 40 hex digits begins a commit."""
-    seen = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    sha = F.last(F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line")), ignorenulls=True).over(seen)
-    return lines.where(F.col("line").rlike("^[0-9a-f]{40}$") | F.col("line").startswith("@@ ")).withColumn("sha", sha).where(F.col("line").startswith("@@ ")).withColumn("h", parse_hunk(F.col("line"))).select("path", "sha", "h.new_start", "h.new_len", "h.old_len")
+def _hunks(sections: DataFrame, section: str, *keep: str) -> DataFrame:
+    """(keep, path, new_start, new_len, old_len) of sections, each a file's part of a diff: from "+++ " up to the next one."""
+    lines = F.split(section, "\n")
+    path = F.regexp_replace(F.element_at(lines, 1), "^b/", "")
+    hunks = F.filter(lines, lambda x: x.startswith("@@ "))
+    return sections.select(*keep, path.alias("path"), F.explode(hunks).alias("line")).withColumn("h", parse_hunk(F.col("line"))).select(*keep, "path", "h.new_start", "h.new_len", "h.old_len")
 
 
-def hunks_from_diff(lines: DataFrame) -> DataFrame:
-    """(path, new_start, new_len, old_len) from a diff (line_no, line): "+++ b/" names the file of the hunks below."""
-    seen = Window.partitionBy("diff").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("diff", F.lit(0)) if "diff" not in lines.columns else lines
-    marked = rows.where(F.col("line").startswith("+++ ") | F.col("line").startswith("@@ "))
-    path = F.last(F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.substring("line", 5, 1 << 20), "^b/", "")), ignorenulls=True).over(seen)
-    return marked.withColumn("path", path).where(F.col("line").startswith("@@ ")).withColumn("h", parse_hunk(F.col("line"))).select("path", "h.new_start", "h.new_len", "h.old_len")
+def hunks_from_log(commits: DataFrame) -> DataFrame:
+    """(sha, path, new_start, new_len, old_len) from a patch log, a row for each commit: its hash on the first line, then its diff. Commits are split each by itself, without a shuffle."""
+    rows = commits.select(F.regexp_extract("commit", "^([0-9a-f]{40})", 1).alias("sha"), F.explode(F.slice(F.split("commit", "(?m)^\\+\\+\\+ "), 2, 1 << 30)).alias("section")).where("sha <> ''")
+    return _hunks(rows, "section", "sha")
+
+
+def hunks_from_diff(sections: DataFrame) -> DataFrame:
+    """(path, new_start, new_len, old_len) from a diff (section): a row for each file's part, which begins with its path."""
+    return _hunks(sections, "section")
+
+
+def changed_files(commits: DataFrame) -> DataFrame:
+    """(sha, epoch, n_parents, paths) from a log with names, a row for each commit: hash, time and parents on the first line, then paths."""
+    lines = F.filter(F.split("commit", "\n"), lambda x: x != "")
+    head = F.split(F.element_at(lines, 1), " ")
+    rows = commits.where("commit rlike '^[0-9a-f]{40} '").select(head.alias("head"), F.slice(lines, 2, 1 << 30).alias("paths"))
+    return rows.select(F.col("head")[0].alias("sha"), F.col("head")[1].cast("bigint").alias("epoch"), F.size(F.filter(F.slice("head", 3, 1 << 30), lambda x: x != "")).alias("n_parents"), "paths")

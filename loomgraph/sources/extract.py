@@ -2,15 +2,19 @@
 
 Python is parsed exactly, by its own parser. Other languages are read with
 regular expressions over text without comments and strings, and braces (or
-``end``) close definitions: an approximation. ``register`` adds a language.
+``end``) close definitions: an approximation. ``register`` adds a language, and
+``packs_from`` reads packs of expressions from a folder, for new languages or in
+place of those here. ``match_lines`` finds patterns in lines of any text.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import tomllib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +79,10 @@ def _add_complexity(out: Parsed, branches: list[tuple[int, int]]) -> None:
         d["complexity"] = len(inside) + max(inside, default=0)
 
 
+#: What looks like a call, but is none.
+KEYWORDS = ("if", "for", "while", "match", "switch", "return", "catch", "fn", "func", "function", "loop", "else", "in", "new", "sizeof", "synchronized", "super", "impl", "def")
+
+
 @dataclass(frozen=True)
 class Pack:
     """Regular expressions of one language; each has one group, the captured name."""
@@ -85,24 +93,34 @@ class Pack:
     patterns: tuple[tuple[str, str], ...] = ()
     comment: str = r"//[^\n]*|/\*.*?\*/"
     branch: str = r"\b(if|for|while|match|switch|case|catch|loop|elif|rescue|when)\b"
-    words: tuple[str, ...] = ("if", "for", "while", "match", "switch", "return", "catch", "fn", "func", "function", "loop", "else", "in", "new", "sizeof", "synchronized", "super", "impl", "def")
+    words: tuple[str, ...] = KEYWORDS
     ends: str = "brace"
+    strings: str = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'"
+    #: Bodies whose functions are methods, beside those of types.
+    bodies: str = ""
+
+
+#: What an "end" closes.
+ENDED = r"^\s*(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\b"
 
 
 # What each language's patterns look like.
 PACKS: dict[str, Pack] = {
     "rust": Pack(
         (("function", r"\bfn\s+(\w+)"), ("type", r"\b(?:struct|enum|trait|type)\s+(\w+)")),
+        bodies=r"^\s*(?:unsafe\s+)?impl\b[^;{]*(?=\{)",
         imports=(r"\buse\s+([\w:]+?)(?:::\{|::\*|::\w+\s*;|\s*;)",),
         patterns=(("alloc", r"\.(to_string|to_owned|clone|collect|into_owned|to_vec|format)\s*(?:::<[^()]*>)?\("), ("lock", r"\.(lock|write|read|try_lock|try_write|try_read)\("), ("await", r"\.(await)\b"), ("block_on", r"\.(block_on)\("), ("spawn", r"::(spawn|spawn_blocking|spawn_local)\("), ("loop", r"\b(loop|while|for)\b(?!\s*<)")),
     ),
     "go": Pack(
         (("method", r"\bfunc\s*\([^)]*\)\s*(\w+)"), ("function", r"\bfunc\s+(\w+)"), ("type", r"\btype\s+(\w+)")),
-        imports=(r"\bimport\s+(?:\w+\s+)?\"([^\"]+)\"", r"^\s+(?:\w+\s+)?\"([^\"]+)\"\s*$"),
+        imports=(r"\bimport\s+(?:\w+\s+)?\"([^\"]+)\"", r"^[ \t]+(?:\w+[ \t]+)?\"([^\"]+)\"[ \t]*$"),
         patterns=(("spawn", r"\b(go)\s+[\w(]"), ("lock", r"\.(Lock|RLock|TryLock)\("), ("alloc", r"\b(make|new|append)\("), ("chan", r"(<-|\bchan\b)"), ("loop", r"\b(for)\b")),
     ),
     "typescript": Pack(
-        (("function", r"\bfunction\s+(\w+)"), ("function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", r"^\s+(?:async\s+|static\s+|public\s+|private\s+)*(?!if|for|while|switch|catch|return)(\w+)\([^)]*\)[^{;=\n]*\{"), ("type", r"\b(?:class|interface|type)\s+(\w+)")),
+        (("function", r"\bfunction\s+(\w+)"), ("function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", r"^\s+(?:async\s+|static\s+|public\s+|private\s+)*(?!if|for|while|switch|catch|return)(\w+)\([^)]*\)[^{;=\n]*\{"), ("type", r"\b(?:class|interface|type|enum)\s+(\w+)")),
+        strings=r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`",
+        words=(*KEYWORDS, "async", "await", "typeof"),
         imports=(r"\bfrom\s+['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]"),
         patterns=(("await", r"\b(await)\b"), ("alloc", r"\b(new)\s+\w"), ("timer", r"\b(setTimeout|setInterval|setImmediate)\("), ("spawn", r"\b(Worker|spawn|fork|exec)\("), ("loop", r"\b(for|while|do)\b")),
     ),
@@ -116,28 +134,37 @@ PACKS: dict[str, Pack] = {
         imports=(r"\brequire(?:_relative)?\s+['\"]([^'\"]+)['\"]",),
         patterns=(("spawn", r"\b(Thread\.new|fork|spawn)\b"), ("lock", r"\.(synchronize|lock)\b"), ("alloc", r"\.(new|dup|clone)\b"), ("loop", r"\b(while|until|for|loop|each)\b")),
         comment=r"#[^\n]*",
+        strings=r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
         ends="end",
     ),
     "c": Pack(
-        (("function", r"^[A-Za-z_][\w\s\*]*?\b(?!if|for|while|switch|return)(\w+)\([^;{}]*\)\s*\{"), ("type", r"\b(?:struct|enum|union)\s+(\w+)\s*\{")),
+        (("function", r"^[A-Za-z_][\w \t\*]*?\b(?!if\b|for\b|while\b|switch\b|return\b|else\b)(\w+)\([^;{}()]*\)\s*[{;]"), ("type", r"\b(?:struct|enum|union)\s+(\w+)\s*\{")),
         imports=(r"#\s*include\s*[<\"]([^>\"]+)[>\"]",),
         patterns=(("lock", r"\b(pthread_mutex_lock|mtx_lock|spin_lock)\("), ("alloc", r"\b(malloc|calloc|realloc|strdup)\("), ("spawn", r"\b(pthread_create|fork|thrd_create)\("), ("loop", r"\b(for|while|do)\b")),
     ),
-    "bash": Pack((("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)"),), calls=r"^\s*([A-Za-z_]\w*)\b(?!\s*\(\)|=)", imports=(r"^\s*(?:source|\.)\s+(\S+)",), comment=r"#[^\n]*"),
+    "bash": Pack((("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)"),), calls=r"^\s*([A-Za-z_]\w*)\b(?!\s*\(\)|=)", imports=(r"^\s*(?:source|\.)\s+(\S+)",), comment=r"(?<![^\s])#[^\n]*", strings=r"\"(?:\\.|[^\"\\])*\"|'[^'\n]*'", words=("if", "then", "else", "elif", "fi", "for", "while", "until", "do", "done", "case", "esac", "in", "function", "return", "local", "export", "source")),
 }
-PACKS["javascript"] = PACKS["typescript"]
+PACKS["javascript"] = Pack(
+    tuple(d for d in PACKS["typescript"].defs if d[0] != "type") + (("type", r"\b(?:class)\s+(\w+)"),),
+    imports=PACKS["typescript"].imports,
+    patterns=PACKS["typescript"].patterns,
+    strings=PACKS["typescript"].strings,
+    words=PACKS["typescript"].words,
+)
 PACKS["cpp"] = Pack((*PACKS["c"].defs, ("type", r"\b(?:class|namespace)\s+(\w+)")), imports=PACKS["c"].imports, patterns=(("lock", r"\b(lock_guard|unique_lock|scoped_lock|lock)\b"), ("alloc", r"\b(new|make_unique|make_shared|malloc)\b"), ("spawn", r"\b(thread|async|jthread)\b\s*[({]"), ("await", r"\b(co_await)\b"), ("loop", r"\b(for|while|do)\b")))
 
 
 def _blank(m: re.Match) -> str:
-    """Comments and strings without their contents, on as many lines as before."""
+    """As many characters, on as many lines, without their contents."""
     return re.sub(r"[^\n]", " ", m[0])
 
 
 def parse_with(pack: Pack, text: str) -> Parsed:
-    plain = re.sub(pack.comment, _blank, text, flags=re.S if "*" in pack.comment else 0)
-    imports = [m[1] for p in pack.imports for m in re.finditer(p, plain, re.M)]
-    plain = re.sub(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'", _blank, plain)
+    # what comes first decides: a comment mark in a string is none, nor is a quote in a comment
+    either = re.compile(f"(?P<string>{pack.strings})|(?:{pack.comment})", re.S if "*" in pack.comment else 0)
+    coded = either.sub(lambda m: m[0] if m["string"] else _blank(m), text)
+    imports = [m[1] for p in pack.imports for m in re.finditer(p, coded, re.M)]
+    plain = either.sub(_blank, text)
     feeds = [m.start() for m in re.finditer("\n", plain)]
 
     import bisect
@@ -151,15 +178,19 @@ def parse_with(pack: Pack, text: str) -> Parsed:
             named.add(m.start(1))
             end = _end_of(plain, m.end(), pack.ends)
             out.defs.append({"name": m[1], "kind": kind, "span_start": line_of(m.start(1)), "span_end": line_of(end), "complexity": 0})
-    spans = [d for d in out.defs if d["kind"] == "type"]
+    spans = [(d["span_start"], d["span_end"]) for d in out.defs if d["kind"] == "type"]
+    if pack.bodies:
+        spans += [(line_of(m.end()), line_of(_end_of(plain, m.end(), pack.ends))) for m in re.finditer(pack.bodies, plain, re.M)]
     for d in out.defs:  # a function inside an impl or class body is a method
-        if d["kind"] == "function" and any(s is not d and s["span_start"] < d["span_start"] <= s["span_end"] for s in spans):
+        if d["kind"] == "function" and any(a < d["span_start"] <= b for a, b in spans):
             d["kind"] = "method"
     out.calls = [{"callee": m[1], "line": line_of(m.start(1))} for m in re.finditer(pack.calls, plain, re.M) if m[1] not in pack.words and m.start(1) not in named]
     out.patterns = [{"kind": k, "line": line_of(m.start())} for k, p in pack.patterns for m in re.finditer(p, plain, re.M)]
     branches, depth, at = [], 0, 0
+    opens, closes = (ENDED, r"\bend\b") if pack.ends == "end" else (r"\{", r"\}")
     for m in re.finditer(pack.branch, plain):
-        depth += plain.count("{", at, m.start()) - plain.count("}", at, m.start())
+        between = plain[at : m.start()]
+        depth += len(re.findall(opens, between, re.M)) - len(re.findall(closes, between, re.M))
         at = m.start()
         branches.append((line_of(at), depth))
     _add_complexity(out, branches)
@@ -170,7 +201,7 @@ def _end_of(plain: str, at: int, style: str) -> int:
     """Where the body that begins after ``at`` closes; a declaration without a body ends at once."""
     if style == "end":
         depth = 1
-        for m in re.finditer(r"^\s*(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\b|\bend\b", plain[at:], re.M):
+        for m in re.finditer(ENDED + r"|\bend\b", plain[at:], re.M):
             depth += -1 if m[0].strip() == "end" else 1
             if depth == 0:
                 return at + m.end()
@@ -201,6 +232,29 @@ def extended(extra: dict[str, tuple[tuple[str, str], ...]]) -> dict[str, Callabl
     return out
 
 
+def packs_from(folder: str | Path) -> dict[str, Callable[[str], Parsed]]:
+    """Extractors with those of a folder's ``LANGUAGE.toml`` files in place of ours or beside them.
+
+    A file holds what a :class:`Pack` holds: ``defs`` and ``patterns`` as lists of
+    [kind, expression], ``imports`` as a list of expressions, and the rest as text.
+    """
+    out = dict(EXTRACTORS)
+    for path in sorted(Path(folder).glob("*.toml")):
+        spec = tomllib.loads(path.read_text())
+        pairs = {k: tuple((str(a), str(b)) for a, b in spec.get(k, [])) for k in ("defs", "patterns")}
+        plain = {k: v for k, v in spec.items() if k in ("calls", "comment", "branch", "ends", "strings", "bodies")}
+        lists = {k: tuple(spec[k]) for k in ("imports", "words") if k in spec}
+        pack = Pack(**pairs, **plain, **lists)
+        out[path.stem] = lambda text, p=pack: parse_with(p, text)
+    return out
+
+
+def match_lines(lines: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """Rows of ``lines`` (line, any other columns) with the ``kind`` of each expression that they match."""
+    kinds = F.array_compact(F.array(*(F.when(F.col("line").rlike(e), F.lit(k)) for k, e in expressions.items())))
+    return lines.withColumn("kind", F.explode(kinds))
+
+
 def extract(sources: DataFrame, extractors: dict[str, Callable[[str], Parsed]] | None = None) -> DataFrame:
     """One row for each file of (path, lang, text); a file that can't be parsed is ``skipped`` and empty."""
     table = extractors or EXTRACTORS

@@ -1,14 +1,18 @@
-"""History of a git repository. The driver runs git; its output becomes DataFrames."""
+"""History of a git repository. The driver runs git, whose output goes to the shared folder; executors read and parse it."""
 
 from __future__ import annotations
 
 import subprocess
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
+from loomgraph.runtime import shared_dir
+from loomgraph.sources import diffs
 
 
 class Repository:
@@ -21,40 +25,39 @@ class Repository:
     def head(self) -> str:
         return self.git("rev-parse", "HEAD").strip()
 
+    def spooled(self, separator: str, *args: str) -> DataFrame:
+        """(value) of git's output, cut at ``separator``: written to the shared folder as git goes, read and parsed by executors."""
+        place = f"{shared_dir(self.spark)}/git-{uuid.uuid4().hex}"
+        with tempfile.TemporaryDirectory(prefix="loomgraph-") as here:
+            local = Path(here) / "output"
+            with local.open("wb") as f:
+                subprocess.run(["git", "-C", str(self.root), "-c", "core.quotePath=false", *args], stdout=f, check=True)
+            jvm = self.spark._jvm
+            target = jvm.org.apache.hadoop.fs.Path(place)
+            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+        return self.spark.read.option("lineSep", separator).text(place)
+
     def history(self, since: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """(commits: sha, ts, n_parents; commit_files: sha, path, lang), newest first. Merges are left out; a first commit has no files, as nothing is before it."""
-        out = self.git("log", "--no-merges", "--name-only", "--format=\x01%H %at %P", *([f"{since}..HEAD"] if since else []))
-        commits, files = [], []
-        for block in out.split("\x01")[1:]:
-            head, *paths = [x for x in block.split("\n") if x]
-            sha, ts, *parents = head.split()
-            commits.append((sha, int(ts), len(parents)))
-            if parents:
-                files += [(sha, p) for p in paths]
-        made = self.spark.createDataFrame(commits, "sha string, epoch long, n_parents int").withColumn("ts", F.timestamp_seconds("epoch")).drop("epoch")
-        listed = self.spark.createDataFrame(files, "sha string, path string").withColumn("lang", scalars.lang_from_path(F.col("path")))
-        return made, listed
-
-    def patches(self) -> DataFrame:
-        """(path, line_no, line) of the patch log of all files: hunk headers and commit lines."""
-        rows, path, sha = [], "", ""
-        for i, line in enumerate(self.git("log", "-p", "--unified=0", "--no-merges", "--format=\x01%H").split("\n")):
-            if line.startswith("\x01"):
-                sha = line[1:]
-            elif line.startswith("+++ "):
-                path = line[4:].removeprefix("b/")
-                rows.append((path, i, sha))
-            elif line.startswith("@@ "):
-                rows.append((path, i, line))
-        return self.spark.createDataFrame(rows, "path string, line_no long, line string")
+        """(commits: sha, ts, n_parents; commit_files: sha, path, lang). Merges are left out; a first commit has no files, as nothing is before it."""
+        log = self.spooled("\x01", "log", "--no-merges", "--name-only", "--format=\x01%H %at %P", *([f"{since}..HEAD"] if since else []))
+        rows = diffs.changed_files(log.withColumnRenamed("value", "commit"))
+        listed = rows.where("n_parents > 0").select("sha", F.explode("paths").alias("path"))
+        return rows.select("sha", "n_parents", F.timestamp_seconds("epoch").alias("ts")), listed.withColumn("lang", scalars.lang_from_path(F.col("path")))
+
+    def patches(self, since: str | None = None) -> DataFrame:
+        """(commit): hash and diff without context of each commit."""
+        log = self.spooled("\x01", "log", "-p", "--unified=0", "--no-merges", "--format=\x01%H", *([f"{since}..HEAD"] if since else []))
+        return log.withColumnRenamed("value", "commit")
 
     def diff(self, *revisions: str) -> DataFrame:
-        """(line_no, line) of a diff without context; one revision: against the working tree."""
-        lines = self.git("diff", "--unified=0", *revisions).split("\n")
-        return self.spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+        """(section): the files' parts of a diff without context; one revision: against the working tree."""
+        return self.spooled("\n+++ ", "diff", "--unified=0", *revisions).withColumnRenamed("value", "section").where("section not like 'diff --git%'")
 
     def changed(self, *revisions: str) -> list[str]:
         return [x for x in self.git("diff", "--name-only", *revisions).split("\n") if x]
 
+    def is_ancestor(self, sha: str) -> bool:
+        return subprocess.run(["git", "-C", str(self.root), "merge-base", "--is-ancestor", sha, "HEAD"], capture_output=True).returncode == 0
+
     def merge_base(self, a: str, b: str) -> str:
         return self.git("merge-base", a, b).strip()

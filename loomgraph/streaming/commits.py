@@ -13,15 +13,17 @@ SCHEMA = "sha string, ts timestamp, path string, lang string"
 
 
 def merge_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
-    """Add a batch to the stored churn. A batch that was merged before is skipped, so a restart counts nothing twice."""
-    done = store.meta().get("stream_batch")
-    if done is not None and batch_id <= int(done):
+    """Add a batch to the stored churn. Counts and the batch's number become current together: a batch that was merged before is skipped, so a restart counts nothing twice.
+
+    All files of a commit come in one batch (its files are written before they show up in the folder).
+    """
+    done = store.read("stream_batch").first()["batch"] if store.has("stream_batch") else None
+    if done is not None and batch_id <= done:
         return
     files = mining.kept_files(batch.select("sha", "path", "lang"))
     new = mining.last_commit(files, batch.select("sha", "ts").distinct())
-    have = (store.folder / "stream_stats").is_dir()
-    store.write("stream_stats", mining.merge_incremental(store.read("stream_stats"), new) if have else new)
-    store.write("meta", store.spark.createDataFrame([*(x for x in store.meta().items() if x[0] != "stream_batch"), ("stream_batch", str(batch_id))], "key string, value string"))
+    merged = mining.merge_incremental(store.read("stream_stats"), new) if store.has("stream_stats") else new
+    store.write_all({"stream_stats": merged, "stream_batch": store.spark.createDataFrame([(batch_id,)], "batch long")})
 
 
 def follow(spark: SparkSession, folder: str, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -33,5 +35,5 @@ def follow(spark: SparkSession, folder: str, root: str, checkpoint: str, once: b
 
 
 def churn_by_window(stream: DataFrame, width: str = "7 days", late: str = "1 day") -> DataFrame:
-    """Commits per file and time window, with late data up to ``late``."""
+    """Commits per file and time window, with late data up to ``late``. Their number is approximate (a sketch of bounded state, some 5 % off)."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "path").agg(F.approx_count_distinct("sha").alias("commits"))

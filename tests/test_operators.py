@@ -95,8 +95,8 @@ def test_spans(spark):
 
 
 def test_diffs(spark):
-    text = ["+++ b/src/a.rs", "@@ -10,3 +10,4 @@ fn", "@@ -20,1 +21,0 @@", "+++ b/lib.go", "@@ -3,1 +3,1 @@", "@@ -7,0 +8,1 @@", "@@ -1 +1 @@"]
-    lines = spark.createDataFrame(list(enumerate(text)), "line_no long, line string")
+    text = ["b/src/a.rs\n@@ -10,3 +10,4 @@ fn\n+x\n@@ -20,1 +21,0 @@", "b/lib.go\n@@ -3,1 +3,1 @@\n@@ -7,0 +8,1 @@\n@@ -1 +1 @@"]
+    lines = spark.createDataFrame([(t,) for t in text], "section string")
     found = spans.diff_lines(diffs.hunks_from_diff(lines))
     assert values(found) == sorted([("src/a.rs", n, False) for n in range(10, 14)] + [("lib.go", 1, False), ("lib.go", 3, False), ("lib.go", 8, True)])
     symbols = spark.createDataFrame([("m", "lib.go", 2, 4), ("p", "lib.go", 8, 9), ("u", "lib.go", 20, 30), ("n", "none.go", 1, 9)], "id string, path string, span_start int, span_end int")
@@ -129,3 +129,45 @@ def test_percentile(spark):
     df = spark.createDataFrame([(i,) for i in range(12)], "v int")
     assert {r["percent"]: r["value"] for r in analysis.nearest_rank(df, "v", [0.0, 50.0, 95.0, 100.0]).collect()} == {0.0: 0, 50.0: 6, 95.0: 10, 100.0: 11}
     assert analysis.nearest_rank(df.where("false"), "v", [50.0]).count() == 0
+
+
+def test_log_of_patches(spark):
+    a, b = "a" * 40, "b" * 40
+    log = [f"{a}\n\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3 @@ f\n+++ not a file\n+y\n--- a/y\n+++ b/y\n@@ -0,0 +1,9 @@\n", f"{b}\n", ""]
+    df = spark.createDataFrame([(t,) for t in log], "commit string")
+    assert values(diffs.hunks_from_log(df), "sha", "path", "new_start", "new_len", "old_len") == [(a, "x", 3, 1, 2), (a, "y", 1, 9, 0)]
+    named = spark.createDataFrame([("",), (f"{a} 5 {b}\n\nx.py\ny.py\n",), (f"{b} 4 \n\nz.py\n",)], "commit string")
+    assert values(diffs.changed_files(named)) == [(a, 5, 1, ["x.py", "y.py"]), (b, 4, 0, ["z.py"])]
+
+
+def test_several_diffs_at_once(spark):
+    symbols = spark.createDataFrame([("s", "f", 1, 5), ("t", "f", 6, 9), ("u", "g", 1, 2)], "id string, path string, span_start int, span_end int")
+    hunks = spark.createDataFrame([(1, "f", 2, 2, 0), (1, "f", 3, 1, 1), (2, "f", 7, 1, 4), (2, "g", 5, 0, 3)], "pr int, path string, new_start int, new_len int, old_len int")
+    lines = spans.diff_lines(hunks, ("pr",))
+    assert values(lines) == [(1, "f", 2, True), (1, "f", 3, True), (2, "f", 7, False)]
+    marks = spans.diff_marks(symbols, lines, None, ("pr",), hunks)
+    assert sorted((r["pr"], r["id"], r["touched"], r["mark"]) for r in marks.collect()) == [(1, "s", 2, "+"), (1, "t", 0, None), (2, "s", 0, None), (2, "t", 1, "~"), (2, "u", 0, None)]
+    assert values(spans.diff_weight(marks, lines, ("pr",)).where("weight > 0")) == [(1, "s", 1.0), (2, "t", 1.0)]
+
+
+def test_targets(spark):
+    rows = [("a", "f", "x/m.py", 1, 10), ("b", "f", "y/m.py", 1, 10), ("c", "g", "x/m.py", 3, 4), ("d", "h", "x/m.py", 20, 30)]
+    symbols = spark.createDataFrame([(i, n, p, f"{p}:{n}", s, e) for i, n, p, s, e in rows], "id string, name string, path string, qualified string, span_start int, span_end int")
+    asked = ["f", "x/m.py:f", "z/q.py:f", "x/m.py:3", "x/m.py:9", "x/m.py:50", "h", "x/m.py:h", "nothing"]
+    got = {r["target"]: (r["id"], r["n"]) for r in spans.resolve_targets(spark.createDataFrame([(t,) for t in asked], "target string"), symbols).collect()}
+    assert got == {"f": ("a", 2), "x/m.py:f": ("a", 1), "z/q.py:f": ("a", 2), "x/m.py:3": ("c", 1), "x/m.py:9": ("a", 1), "x/m.py:50": (None, 0), "h": ("d", 1), "x/m.py:h": ("d", 1), "nothing": (None, 0)}
+
+
+def test_missed_and_precise(spark):
+    edges = edge_table(spark, [("a", "b", 0.7), ("a", "c", 0.3), ("x", "b", 0.7)])
+    truth = spark.createDataFrame([("a", "b"), ("a", "c")], "from_id string, to_id string")
+    assert values(analysis.precision(edges, truth)) == [(2, 1, 2)]
+    calls = spark.createDataFrame([("a", "n"), ("q", "n")], "from_id string, callee string")
+    assert values(analysis.missed_callers(calls, spark.createDataFrame([("b", "n")], "id string, name string"), edges)) == [("q", "b")]
+
+
+def test_percentiles_of_many_values(spark):
+    df = spark.range(5000).selectExpr("cast(id * id % 4999 as double) / 7 as v")
+    rows = sorted(r["v"] for r in df.collect())
+    got = {r["percent"]: r["value"] for r in analysis.nearest_rank(df, "v", [0.0, 12.5, 50.0, 95.0, 100.0]).collect()}
+    assert got == {p: rows[int(p / 100 * 4999 + 0.5)] for p in got} and len(got) == 5

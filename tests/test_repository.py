@@ -8,7 +8,7 @@ import subprocess
 
 import pytest
 
-from loomgraph.plans import cli
+from loomgraph.plans import cli, evaluation
 from loomgraph.plans.engine import AmbiguousTargetError, Engine, TargetNotFoundError
 from loomgraph.render import reports, trees
 from loomgraph.sources import config, extract
@@ -126,6 +126,60 @@ def test_incremental_equals_full(engine):
     assert sorted(map(str, engine.store.read("git_stats").collect())) == stats
 
 
+def test_new_commits_are_added(engine):
+    (engine.root / "store.py").write_text("def load(key):\n    return [key, key]\n")
+    (engine.root / "a.py").write_text("import b\n\n\ndef first():\n    return b.second(77)\n")
+    commit(engine.root, "more")
+    engine.index(as_of="2024-01-11")
+    tables = ("git_stats", "cochange", "hunks", "symbols", "edges")
+    added = {t: sorted(str(sorted(r.asDict().items())) for r in engine.store.read(t).collect()) for t in tables}
+    engine.index(full=True, as_of="2024-01-11")
+    assert added == {t: sorted(str(sorted(r.asDict().items())) for r in engine.store.read(t).collect()) for t in tables}
+    assert {r["path"]: r["churn"] for r in engine.file_stats().collect()} == {"a.py": 8, "b.py": 2, "store.py": 1}
+
+
+def test_callers_with_coupled_files(engine, capsys):
+    assert cli.main(["--repo", str(engine.root), "callers", "first", "--coupled"]) == 0
+    assert "changes together with" in capsys.readouterr().out
+    assert cli.main(["skill"]) == 0
+    assert "explain-pr" in capsys.readouterr().out
+
+
+def test_packs_from_a_folder(tmp_path):
+    (tmp_path / "lisp.toml").write_text("defs = [[\"function\", '\\\\(defun\\s+(\\w+)']]\npatterns = [[\"loop\", '\\\\(loop\\b']]\ncomment = ';[^\\n]*'\n".replace("\\\\", "\\"))
+    got = extract.packs_from(tmp_path)
+    parsed = got["lisp"]("(defun go (x)\n  (loop x)) ; (defun no ())\n")
+    assert [d["name"] for d in parsed.defs] == ["go"] and [p["kind"] for p in parsed.patterns] == ["loop"] and "rust" in got
+
+
+@pytest.mark.parametrize(("lang", "text", "names", "calls"), [
+    ("rust", "impl<T> S<T> {\n    fn a(&self) {\n    }\n}\nfn b() {\n}\n", {("a", "method"), ("b", "function")}, set()),
+    ("typescript", "const u = 'http://x'; foo();\n/* 'it */ bar(); // baz()\n", set(), {"foo", "bar"}),
+    ("c", "int add(int a);\nint sub(int a) {\n  return add(a);\n}\n", {("add", "function"), ("sub", "function")}, {"add"}),
+])
+def test_details_of_packs(lang, text, names, calls):
+    got = extract.EXTRACTORS[lang](text)
+    assert {(d["name"], d["kind"]) for d in got.defs} == names and {c["callee"] for c in got.calls} == calls
+
+
+def test_evaluation(spark, tmp_path):
+    root = tmp_path / "work"
+    (root / "src").mkdir(parents=True)
+    (root / "src/pay.py").write_text("def charge(x):\n    return x\n")
+    (root / "src/shop.py").write_text("from pay import charge\n\n\ndef buy():\n    return charge(1)\n")
+    (root / "src/other.py").write_text("def rest():\n    return 0\n" * 40)
+    wanted = {"src/pay.py", "src/shop.py"}
+    skill, baseline = evaluation.with_index(Engine(spark, root), "charge", wanted), evaluation.without_index(Engine(spark, root), wanted)
+    assert (skill["precision"], skill["recall"], skill["missed_callers"]) == (1.0, 1.0, []) and baseline["files_opened_count"] == 3 and baseline["bytes_read"] > skill["bytes_read"]
+    evaluation.save(tmp_path, skill, 1)
+    evaluation.save(tmp_path, baseline, 1)
+    text = evaluation.table(evaluation.latest(tmp_path, "skill"), evaluation.latest(tmp_path, "baseline"))
+    assert "PASS" in text and "FAIL" not in text and evaluation.compared(skill, baseline)["skill_passed"]
+    for _ in range(2):
+        evaluation.update(tmp_path / "doc.md", text)
+    assert (tmp_path / "doc.md").read_text().count("Bytes saved") == 1
+
+
 def test_diff_and_pr(engine):
     (engine.root / "b.py").write_text("def second(x):\n    return 99\n\n\ndef third():\n    return second(1)\n")
     marks = {r["name"]: r["mark"] for r in engine.diff().collect()}
