@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,7 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that only finished work refers to: Spark deletes them once the driver has collected garbage, which on an idle driver may take long."""
+    gc.collect()  # what Python still refers to, the driver's JVM keeps
     spark._jvm.System.gc()
 
 
