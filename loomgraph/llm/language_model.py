@@ -266,19 +266,19 @@ class Sums:
     width: int
 
     def __post_init__(self) -> None:
-        # counts of what occurs are whole numbers
-        self.table = np.zeros((self.width, int(self.offsets[-1])), np.float64 if self.width == CLASSES else np.uint32)
+        # counts of what occurs are whole numbers; what is expected is summed in batches of doubles before it is added
+        self.table = np.zeros((self.width, int(self.offsets[-1])), np.float32 if self.width == CLASSES else np.uint32)
 
     def observed(self, x: Features) -> None:
         """How often each feature goes with each outcome, and how often the slots' features go with each group."""
-        flat, size = self.table.reshape(-1), self.table.shape[1]
+        flat, size, one = self.table.reshape(-1), self.table.shape[1], self.table.dtype.type(1)
         for k in range(x.rows.shape[1]):
-            np.add.at(flat, x.kind * size + x.rows[:, k], 1)
+            np.add.at(flat, x.kind * size + x.rows[:, k], one)
         group = x.kind[x.within] - END_CLASS - 1 + CLASSES
         for k in range(x.slot_rows.shape[1]):
             row = self.offsets[4] + x.slot_rows[:, k]
-            np.add.at(flat, x.slot * size + row, 1)
-            np.add.at(flat, group * size + row, 1)
+            np.add.at(flat, x.slot * size + row, one)
+            np.add.at(flat, group * size + row, one)
 
     def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
         """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
@@ -330,24 +330,28 @@ class Model:
 def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
     """(block, sums) of every task's rows (text): of what occurs or, with a model, of what it expects."""
     offsets, width = voc.offsets, CLASSES + (FORMS if model is None else 0)
+    context = docs.sparkSession.sparkContext
+    # of bounded size; apart from the function, so that a worker has it once
+    sent = context.broadcast((voc, None if model is None else model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(offsets, width)
+        voc, weights = sent.value
+        sums, learnt = Sums(offsets, width), None if weights is None else Model(voc, weights)
         for batch in batches:
             for _, _, data, offs in textkit.slices(batch.column(0), SLICE):
                 word, form, first = tokens(data, offs)
                 x = features(word, *voc.classes(word, form)[:2], first, offsets)
-                if model is None:
+                if learnt is None:
                     sums.observed(x)
                 else:
-                    for part, _, rows, z in model.blocks(x):
+                    for part, _, rows, z in learnt.blocks(x):
                         sums.expected(rows, np.exp(z), part)
         for b in range(-(-sums.table.shape[1] // ROWS_A_BLOCK)):
             part = sums.table[:, b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
+    tasks = max(context.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
     return docs.select("text").coalesce(tasks).mapInArrow(run, "block int, sums binary")
 
 
@@ -414,9 +418,11 @@ def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) ->
 
 def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(row, id, held_out, n_tokens, n_known, head_log, class_log, rare): all but what rare words add; ``rare`` are their hashes."""
-    voc = model.voc
+    sent = docs.sparkSession.sparkContext.broadcast((model.voc, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
+        voc = model.voc
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, data, offs in textkit.slices(batch.column(2), SLICE):
