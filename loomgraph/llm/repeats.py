@@ -31,6 +31,7 @@ segments that overlap by one window. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,7 +235,7 @@ def _cut_out(asked: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 doc, tag, text, asks = (batch.column(k)[i] for k in range(4))
-                doc, tag, raw = doc.as_py(), tag.as_py(), text.as_buffer().to_pybytes()
+                doc, tag, raw = doc.as_py(), tag.as_py(), zlib.decompress(text.as_buffer())
                 asks = asks.values
                 grams, places, sizes = (asks.field(k).to_pylist() for k in range(3))
                 out[0] += grams
@@ -258,10 +259,11 @@ def sorted_marks(texts: list[bytes], doc: np.ndarray, tag: np.ndarray, place: np
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     begin = np.cumsum(size + 1) - size - 1
     raw[begin + size] = 0
-    order = suffix_array.suffix_array(raw, length)
+    words = suffix_array.packed(raw)
+    order = suffix_array.suffix_array(raw, length, words)
     own = np.repeat(np.arange(len(texts)), size + 1)
     at = order[order - begin[own[order]] + length <= size[own[order]]]
-    alike = suffix_array.common_at_least(raw, at[:-1], at[1:], length)
+    alike = suffix_array.common_at_least(words, at[:-1], at[1:], length)
     group = np.concatenate([[0], np.cumsum(~alike)])
     context = own[at]
     offset = at - begin[context]
@@ -332,8 +334,8 @@ def _apply(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, spans, digest, kept_text = [], [], [], [], []
-            for text, marks in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                raw = text.encode()
+            for text, marks in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = zlib.decompress(text.as_buffer())
                 gone = covered(len(raw), marks, length)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if marks else raw
                 n_bytes.append(len(raw))
@@ -356,19 +358,33 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = [F.struct(*rest).alias("row")] if keep_columns else [F.col(id_col).alias("row")]
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     docs = docs.withColumn("tag", F.xxhash64("text"))
+    parts = shared.shuffle_partitions(df.sparkSession)
     compared = shared.materialize(_meet(_contexts(docs, length, common_grams(docs, length))), "contexts")
     shared.release(df.sparkSession)
-    # one exchange of the texts serves both joins below
-    parts = shared.shuffle_partitions(df.sparkSession)
-    placed = docs.repartition(parts, "id", "tag")
     asks = compared.where("ask").groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "place", "n")).alias("asks"))
-    cut = _cut_out(placed.join(asks, ["id", "tag"]).select("id", "tag", "text", "asks"), length)
-    marks = compared.where("not ask").select("id", "tag", "place", "n").unionByName(_sort(cut, length))
+    cut = _cut_out(_packed(docs.select("id", "tag", "text"), parts).join(asks, ["id", "tag"]).select("id", "tag", "text", "asks"), length)
+    marks = shared.materialize(_sort(cut, length), "marks")
+    del asks, cut
+    shared.release(df.sparkSession)
+    marks = compared.where("not ask").select("id", "tag", "place", "n").unionByName(marks)
     marks = marks.groupBy("id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("marks"))
-    joined = placed.join(marks, ["id", "tag"], "left").select("id", "tag", "text", "marks", "row")
+    joined = _packed(docs, parts).join(marks, ["id", "tag"], "left").select("id", "tag", "text", "marks", "row")
     return _apply(joined, length, keep_columns)
 
 
+def _packed(docs: DataFrame, parts: int) -> DataFrame:
+    """The documents by (id, tag), with texts compressed for the way there."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([zlib.compress(t.as_buffer(), 1) for t in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    fields = ", ".join(f"`{c}` {'binary' if c == 'text' else t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, fields).repartition(parts, "id", "tag")
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256."""
     return find_repeats(df, id_col, text_col, length).select(F.col("row").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

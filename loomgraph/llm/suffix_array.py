@@ -25,45 +25,58 @@ def rising(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four symbols from each position as one number that sorts like them."""
-    out = padded[at].astype(np.uint64)
-    for k in range(1, 4):
-        out = out << np.uint64(16) | padded[at + k]
-    return out
+#: Symbols that are packed into one number, and bits of a symbol.
+PACKED, BITS = 7, 9
+
+
+def packed(text: np.ndarray) -> np.ndarray:
+    """From each position, ``PACKED`` symbols as one number that sorts like them; beyond the end are zeros."""
+    padded = np.concatenate([text, np.zeros(PACKED, text.dtype)]).astype(np.uint64)
+    out = padded[: len(text)].copy()
+    for k in range(1, PACKED):
+        out <<= np.uint64(BITS)
+        out |= padded[k : len(text) + k]
+    return np.concatenate([out, np.zeros(1, np.uint64)])
 
 
-def sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(words, at, mode="clip")  # beyond the end is the last one, which is 0
+
+
+def sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Positions ``at`` in the order of their suffixes' first ``depth`` symbols; ties keep their order."""
-    padded = np.concatenate([text, np.zeros(depth + 8, text.dtype)])
-    order = at[np.argsort(_words(padded, at), kind="stable")]
+    word = _at(words, at)
+    by = np.argsort(word, kind="stable")
+    order, word = at[by], word[by]
     group = np.zeros(len(at), np.int64)
-    word = _words(padded, order)
     group[1:] = np.cumsum(word[1:] != word[:-1])
-    for k in range(4, depth, 4):
-        tied = np.zeros(len(order), bool)
+    # only positions that are tied go on; their places among all stay
+    place = np.arange(len(at))
+    for k in range(PACKED, depth, PACKED):
+        tied = np.zeros(len(place), bool)
         same = group[1:] == group[:-1]
         tied[1:] |= same
         tied[:-1] |= same
-        open_ = np.flatnonzero(tied)
-        if not len(open_):
+        place, group = place[tied], group[tied]
+        if not len(place):
             break
-        word = _words(padded, order[open_] + k)
-        by = np.lexsort((word, group[open_]))
-        order[open_], word = order[open_][by], word[by]
-        new = np.zeros(len(order), bool)
-        new[open_[1:]] = word[1:] != word[:-1]
-        group = np.cumsum(np.concatenate([[False], (group[1:] != group[:-1]) | new[1:]]))
+        now = order[place]
+        word = _at(words, now + k)
+        by = np.lexsort((word, group))
+        order[place], word = now[by], word[by]
+        new = np.ones(len(place), bool)
+        new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+        group = np.cumsum(new)
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """All positions of ``text`` (unsigned 16-bit symbols below 2**16) in suffix order, by ``depth`` symbols at least."""
+def suffix_array(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
+    """All positions of ``text`` (symbols below 2**BITS) in suffix order, by ``depth`` symbols at least."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     is_rising = rising(text)
-    direct = sort_directly(text, np.flatnonzero(is_rising), depth)
+    direct = sort_directly(packed(text) if words is None else words, np.flatnonzero(is_rising), depth)
     first = text[direct]
     symbols = np.unique(text)
     falling: dict[int, list[np.ndarray]] = {int(c): [] for c in symbols}
@@ -90,14 +103,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_at_least(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at ``a`` and ``b`` share a prefix of ``length`` symbols."""
-    padded = np.concatenate([text, np.zeros(length + 8, text.dtype)])
-    out = np.ones(len(a), bool)
-    for k in range(0, length, 4):
-        k = min(k, length - 4)
-        left = np.flatnonzero(out)
-        if not len(left):
-            break
-        out[left] = _words(padded, a[left] + k) == _words(padded, b[left] + k)
+def common_at_least(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the suffixes at ``a`` and ``b`` share a prefix of ``length`` symbols, ``PACKED`` or more; ``words`` are the packed text."""
+    left = np.arange(len(a))
+    for k in range(0, length, PACKED):
+        k = min(k, length - PACKED)
+        left = left[_at(words, a[left] + k) == _at(words, b[left] + k)]
+    out = np.zeros(len(a), bool)
+    out[left] = True
     return out
