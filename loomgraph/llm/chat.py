@@ -1,10 +1,13 @@
 """Chat formatting: messages without their quotations, linked to the messages they quote.
 
 All of it is DataFrame operations. A line's quote level is the number of ``>``
-it begins with; a line "... wrote:" right before a quotation belongs to it. Each
-quoted line is normalised (lower case, white space collapsed), hashed and looked
-up among the own lines of earlier messages of the same conversation: the latest
-one that has it gets a vote of the line's length. ``reply_to`` is the turn with
+it begins with; a line "... wrote:" right before a quotation belongs to it.
+Neighbouring quoted lines of one level are a passage; a blank line ends it. Passages
+are normalised (lower case, white space collapsed), and each of their sentences and
+each of their lines is hashed and looked up among those of the own passages of earlier
+messages of the same conversation, so a quotation is found whether its lines are
+those of the original or wrapped anew. The latest message that has it gets a vote of
+its length, divided by its level. ``reply_to`` is the turn with
 most votes (of equal ones the latest). A message that quotes nothing known
 replies to nothing in particular and goes by its turn. ``thread`` is the first
 turn of the chain of replies; (conv_id, thread, turn) is the reply order, in
@@ -50,10 +53,26 @@ def parse(messages: DataFrame) -> DataFrame:
     return lines.withColumn("content", F.regexp_replace(F.array_join(F.transform("own", lambda x: x["line"]), "\n"), r"^\s+|\s+$", ""))
 
 
+#: Between passages, and between a passage's level and its text; texts are rid of them.
+PASSAGE, LEVEL = "\u0001", "\u0002"
+SENTENCE = "[^.!?]+[.!?]*"
+
+
+def _units(lines: Column) -> Column:
+    """(level, line) of all lines and of all sentences of passages, normalised."""
+    clean = lambda x: F.translate(x["line"], PASSAGE + LEVEL, "")
+    goes_on = lambda x, i: (i > 0) & (F.try_element_at(lines, i)["level"] == x["level"]) & (F.trim(F.try_element_at(lines, i)["line"]) != "") & (F.trim(x["line"]) != "")
+    marked = F.transform(lines, lambda x, i: F.concat(F.when(goes_on(x, i), F.lit(" ")).otherwise(F.concat(F.lit(PASSAGE), x["level"].cast("string"), F.lit(LEVEL))), clean(x)))
+    passages = F.filter(F.split(F.array_join(marked, ""), PASSAGE), lambda p: p != "")
+    level = lambda p: F.substring_index(p, LEVEL, 1).cast("int")
+    found = lambda p: F.transform(F.regexp_extract_all(_normal(F.substring_index(p, LEVEL, -1)), F.lit(f"({SENTENCE})"), F.lit(1)), lambda t: F.struct(level(p).alias("level"), F.trim(t).alias("line")))
+    return F.concat(F.transform(lines, lambda x: F.struct(x["level"].alias("level"), _normal(clean(x)).alias("line"))), F.flatten(F.transform(passages, found)))
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to): for messages with a quotation that is found."""
     known = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    line = lambda name: known.select("conv_id", "turn", F.explode(name).alias("x")).select("conv_id", "turn", "x.level", _normal(F.col("x.line")).alias("line")).where("line <> ''").withColumn("key", F.xxhash64("line", F.char_length("line")))
+    line = lambda name: known.where(F.size(name) > 0).select("conv_id", "turn", F.explode(_units(F.col(name))).alias("x")).select("conv_id", "turn", "x.level", "x.line").where("line <> ''").withColumn("key", F.xxhash64("line", F.char_length("line")))
     quoted = line("quoted").groupBy("conv_id", "key", "turn").agg(F.max(F.char_length("line")).alias("weight"), F.min("level").alias("level"))
     own = line("own").select("conv_id", "key", "turn").distinct().join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
     # both kinds of lines in turn order: a quoted one looks back to the last own one (own lines of its own turn don't count)
@@ -93,9 +112,14 @@ q AS (SELECT m, conv_id, turn, role, i, regexp_replace(parts[i], '^[ \t]*((?:>[
 w AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY m ORDER BY i), 0) AS following FROM q),
 k AS (SELECT *, level = 0 AND NOT (regexp_matches(line, '(?i)\bwrote:[ \t]*$') AND following > 0) AS own,
              trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM w),
+s AS (SELECT *, CASE WHEN own THEN 0 ELSE level END AS lv FROM k WHERE own OR level > 0),
+g AS (SELECT *, sum(CASE WHEN prev = lv AND trim(before) <> '' AND trim(line) <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY m, own ORDER BY i) AS passage
+      FROM (SELECT *, lag(lv) OVER (PARTITION BY m, own ORDER BY i) AS prev, lag(line) OVER (PARTITION BY m, own ORDER BY i) AS before FROM s)),
+pt AS (SELECT m, conv_id, turn, own, min(lv) AS level, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS body FROM g GROUP BY m, conv_id, turn, own, passage),
+un AS (SELECT conv_id, turn, own, lv AS level, norm FROM s UNION ALL SELECT conv_id, turn, own, level, trim(unnest(regexp_extract_all(body, '[^.!?]+[.!?]*'))) FROM pt),
 votes AS (SELECT conv_id, turn, origin, sum(weight) AS votes FROM (
             SELECT a.conv_id, a.turn, a.norm, max(length(a.norm)) / min(a.level) AS weight, max(b.turn) AS origin
-            FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.norm = b.norm AND b.own AND b.turn < a.turn
+            FROM un a JOIN un b ON a.conv_id = b.conv_id AND a.norm = b.norm AND b.own AND b.turn < a.turn
             WHERE a.level > 0 AND a.norm <> '' GROUP BY ALL) GROUP BY ALL),
 link AS (SELECT conv_id, turn, max_by(origin, (votes, origin)) AS reply_to FROM votes GROUP BY ALL),
 up AS (SELECT conv_id, turn, reply_to, reply_to AS thread FROM link

@@ -492,6 +492,48 @@ def test_chats(spark):
     assert len(got) == len(rows)
 
 
+def test_quotations_and_their_sql(spark, tmp_path):
+    """Nested, wrapped anew, cut short, repeated, unknown: links and results by plain loops where few, by SQL for all."""
+    import duckdb
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    rows, want = [], {}
+    for conv in range(40):
+        texts: list[str] = []
+        for turn in range(rng.randint(2, 9)):
+            own = "\n".join(" ".join(word() for _ in range(rng.randint(3, 9))) + rng.choice(["", ".", "!", "?"]) for _ in range(rng.randint(1, 5)))
+            text = own
+            if texts and rng.random() < 0.7:
+                at = rng.randrange(len(texts))
+                lines = texts[at].split("\n")
+                kind = rng.choice(["lines", "wrapped", "shouted", "unknown", "nested"])
+                if kind == "wrapped":  # the same words on lines of other lengths
+                    words = " ".join(lines).split()
+                    lines = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+                elif kind == "shouted":
+                    lines = [f"  {x.upper()} " for x in lines]
+                elif kind == "unknown":
+                    lines = ["nobody said this"]
+                mark = rng.choice(["> ", ">"]) if kind != "nested" else "> > "
+                text = (f"On Monday, A wrote:\n" if rng.random() < 0.5 else "") + "\n".join(mark + x for x in lines) + "\n\n" + own
+                if kind != "unknown":
+                    want[conv, turn] = at
+            rows.append((conv, turn, "user", text))
+            texts.append(own)
+    rows += [(90, 0, "u", None), (90, 1, "u", "> x\n"), (None, 2, "u", "> y"), (91, None, "u", "z"), (92, 0, "u", "one. two"), (92, 1, "u", ">> one.\n> TWO\nthree")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in got if r["reply_to"] is not None and r["conv_id"] < 90} == want
+    df.coalesce(1).write.parquet(f"{tmp_path}/c")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    result = con.execute(chat.ORACLE_SQL)
+    names = [c[0] for c in result.description]
+    plain = lambda rows: sorted(str([r[n] for n in sorted(names)]) for r in rows)
+    assert plain([dict(zip(names, r, strict=True)) for r in result.fetchall()]) == plain([r.asDict() for r in got])
+
+
 # ------------------------------------------------------------------- pages
 
 
