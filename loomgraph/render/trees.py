@@ -163,7 +163,7 @@ def mermaid_dependency(target: str, partners: list[dict], fence: bool = True) ->
     for c in partners:
         other = _id("P", c["partner"], 30)
         lines += [f'    {other}["{c["partner"]}"]', f'    {me} <-->|"{c["strength"]:.2f} ({c["support"]} commits)"| {other}']
-    return _fenced("mermaid", [*lines, "    classDef target fill:#f96,stroke:#333,color:#000"], fence)
+    return _fenced("mermaid", [*lines, "    classDef target fill:#cde,stroke:#468"], fence)
 
 
 def _by_file(findings: Iterable[tuple[str, str]]) -> list[tuple[str, list[str]]]:
