@@ -247,14 +247,20 @@ def features(word: np.ndarray, kind: np.ndarray, slot: np.ndarray, first: np.nda
     return Features(rows, c, within, slot_rows - offsets[4], own[within], np.append(begin, size))
 
 
-def predict(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities (base e) of all outcomes; ``bias`` is one row, or one for each of ``rows``."""
-    z = np.take(weights, rows[:, 0], axis=0, mode="clip")
-    z += bias
+def folded(voc: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """Weights with the biases in the rows of class pairs, of which each token has one in either table."""
+    out, offsets = weights.copy(), voc.offsets
+    out[offsets[1] : offsets[2]] += np.log(voc.class_share).astype(np.float32)
+    groups = out[offsets[5] : offsets[6]].reshape(CLASSES, CLASSES, -1)[END_CLASS + 1 :]
+    groups += np.log(voc.slot_share).astype(np.float32)[:, None, :]
+    return out
+
+
+def outcomes(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each token: unnormalised log probabilities (base e). Weights are at most STEEPEST, so no exponential overflows."""
+    z = np.take(table, rows[:, 0], axis=0, mode="clip")
     for k in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, k], axis=0, mode="clip")
-    # weights are at most STEEPEST, so no exponential overflows
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))[:, None]
+        z += np.take(table, rows[:, k], axis=0, mode="clip")
     return z
 
 
@@ -295,32 +301,23 @@ class Sums:
 @dataclass
 class Model:
     voc: Vocabulary
-    weights: np.ndarray  # both tables
-
-    def __post_init__(self) -> None:
-        self.bias, self.slot_bias = np.log(self.voc.class_share).astype(np.float32), np.log(self.voc.slot_share).astype(np.float32)
+    table: np.ndarray  # weights of both tables, with the biases
 
     def blocks(self, x: Features) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first part of the table, tokens, rows, log probabilities) of the classes of all tokens and then of the slots of those in groups; tokens with one word before come together, so few rows are in use at a time."""
+        """(first part of the table, tokens, rows, unnormalised log probabilities) of the classes of all tokens and then of the slots of those in groups; tokens with one word before come together, so few rows are in use at a time."""
         split = self.voc.offsets[4]
-        for part, rows in ((0, x.rows), (4, x.slot_rows)):
+        for part, rows, table in ((0, x.rows, self.table[:split]), (4, x.slot_rows, self.table[split:])):
             order = np.argsort(rows[:, 0].astype(np.uint16), kind="stable")  # no more than MOST_WORD_ROWS: short keys sort by radix
             for a in range(0, len(rows), BATCH):
                 at = order[a : a + BATCH]
-                if part:
-                    yield part, at, rows[at], predict(self.weights[split:], self.slot_bias[x.kind[x.within[at]] - END_CLASS - 1], rows[at])
-                else:
-                    yield part, at, rows[at], predict(self.weights[:split], self.bias, rows[at])
+                yield part, at, rows[at], outcomes(table, rows[at])
 
     def token_logs(self, x: Features) -> np.ndarray:
         """Of each token: log10 probability of its class and slot, less the log10 of what the slot's words share."""
-        out, within = np.empty(len(x.rows)), np.empty(len(x.slot))
+        out, within, ones = np.empty(len(x.rows)), np.empty(len(x.slot)), np.ones(CLASSES, np.float32)
         for part, at, _, z in self.blocks(x):
-            row = np.arange(len(z))
-            if part:
-                within[at] = z[row, x.slot[at]]
-            else:
-                out[at] = z[row, x.kind[at]]
+            mine = z[np.arange(len(z)), (x.slot if part else x.kind)[at]]
+            (within if part else out)[at] = mine - np.log(np.exp(z, out=z) @ ones)
         out[x.within] += within
         cell = np.where(x.kind <= END_CLASS, x.kind, 0)
         cell[x.within] = END_CLASS + 1 + (x.kind[x.within] - END_CLASS - 1) * (OWN_SLOTS + SHARED_SLOTS) + x.slot
@@ -332,11 +329,12 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
     offsets, width = voc.offsets, CLASSES + (FORMS if model is None else 0)
     context = docs.sparkSession.sparkContext
     # of bounded size; apart from the function, so that a worker has it once
-    sent = context.broadcast((voc, None if model is None else model.weights))
+    sent = context.broadcast((voc, None if model is None else model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, weights = sent.value
-        sums, learnt = Sums(offsets, width), None if weights is None else Model(voc, weights)
+        voc, table = sent.value
+        sums, learnt = Sums(offsets, width), None if table is None else Model(voc, table)
+        ones = np.ones(CLASSES, np.float32)
         for batch in batches:
             for _, _, data, offs in textkit.slices(batch.column(0), SLICE):
                 word, form, first = tokens(data, offs)
@@ -345,7 +343,9 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
                     sums.observed(x)
                 else:
                     for part, _, rows, z in learnt.blocks(x):
-                        sums.expected(rows, np.exp(z), part)
+                        chances = np.exp(z, out=z)
+                        chances *= (1 / (chances @ ones))[:, None]
+                        sums.expected(rows, chances, part)
         for b in range(-(-sums.table.shape[1] // ROWS_A_BLOCK)):
             part = sums.table[:, b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
             if part.any():
@@ -399,26 +399,26 @@ def _update(sums: DataFrame, voc: Vocabulary, state: DataFrame | None, step: flo
 
 def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) -> Model:
     """Rounds of updates from weights of 0; every round sees all rows. What comes to the driver is the weights, a table of bounded size."""
-    size = int(voc.offsets[-1])
+    weights = np.zeros((int(voc.offsets[-1]), CLASSES), np.float32)
     model, state = None, None
     for step in steps if voc.total else ():
         before, state = state, shared.materialize(_update(_sums(docs, voc, model), voc, state, step), "weights")
         if before is not None:
             shared.discard(before)
         shared.release(docs.sparkSession)
-        model = Model(voc, np.zeros((size, CLASSES), np.float32))
         found = state.select("block", "weights").toArrow()
         for b, rows in zip(found["block"].to_pylist(), found["weights"], strict=True):
             part = np.frombuffer(rows.as_buffer(), np.float32).reshape(-1, CLASSES)
-            model.weights[b * ROWS_A_BLOCK : b * ROWS_A_BLOCK + len(part)] = part
+            weights[b * ROWS_A_BLOCK : b * ROWS_A_BLOCK + len(part)] = part
+        model = Model(voc, folded(voc, weights))
     if state is not None:
         shared.discard(state)
-    return model or Model(voc, np.zeros((size, CLASSES), np.float32))
+    return model or Model(voc, folded(voc, weights))
 
 
 def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(row, id, held_out, n_tokens, n_known, head_log, class_log, rare): all but what rare words add; ``rare`` are their hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.voc, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.voc, model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)

@@ -87,7 +87,7 @@ def test_training_and_score_by_plain_loops(spark):
                 for r in slots:
                     expects[r] += p
         weights = np.clip(weights + step * np.log((occurs + lm.PRIOR * share) / (expects + lm.PRIOR * share)), -lm.STEEPEST, lm.STEEPEST)
-    assert np.abs(weights).max() > 0.5 and np.allclose(weights, model.weights, atol=2e-4)
+    assert np.abs(weights).max() > 0.5 and np.allclose(lm.folded(voc, weights.astype(np.float32)), model.table, atol=2e-4)
 
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).where("doc_id is not null").collect()}
     count = {}
