@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
 from loomgraph.operators import linking, mining, spans
-from loomgraph.runtime import materialize, ship
+from loomgraph.runtime import filesystem, materialize, ship
 from loomgraph.sources import extract
 
 #: Tables of the index by session, folder and name.
@@ -147,9 +147,13 @@ class Tables:
 
     def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _INDEX:
-            _INDEX[key] = materialize(make(), f"index-{name}")._table
-        return self.spark.read.parquet(_INDEX[key])
+        if key in _INDEX:
+            fs, path, _ = filesystem(self.spark, _INDEX[key])
+            if fs.exists(path):
+                return self.spark.read.parquet(_INDEX[key])
+        out = materialize(make(), f"index-{name}")
+        _INDEX[key] = out._table
+        return out
 
     @cached_property
     def edges(self) -> DataFrame:
