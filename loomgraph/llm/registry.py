@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import read_table
 
@@ -77,11 +78,38 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import lines
+
+    return lines.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import hard_negatives
+
+    # every seventh row gets the next label
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import turns
+
+    rows = read_table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(rows), rows.select("conv_id").distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomgraph.llm import chat, contamination
-
-    return {"op6_decontamination": contamination.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+    from loomgraph.llm import chat, contamination, hard_negatives, lines, turns
+
+    return {
+        "op6_decontamination": contamination.ORACLE_SQL,
+        "op9_chat_formatting": chat.ORACLE_SQL,
+        "op11_line_dedup": lines.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op13_conversation_repair": turns.ORACLE_SQL,
+    }
