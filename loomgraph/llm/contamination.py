@@ -85,8 +85,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return (_scan if few else _shuffled)(read, wins)
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = 20, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated (``share`` * n_hit >= n_words, some hit)."""
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, size: int, share: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """id, row_key, n_words, n_hit, items, contaminated, copies (rows that agree in id and text)."""
     hits = find(docs, benchmark, id_col, text_col, size, most_broadcast)
     covered = F.explode_outer(F.when(F.col("start").isNotNull(), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     rows = hits.select("id", "row_key", "n_words", "item_id", covered.alias("place"))
@@ -95,22 +95,27 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.array_sort(F.collect_set("item_id")).alias("items"),
         F.count(F.when(F.col("item_id").isNull(), 1)).alias("copies"),
     )
-    out = grouped.select(
+    return grouped.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = 20, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256, contaminated (``share`` * n_hit >= n_words, some hit)."""
+    out = _judged(docs, benchmark, id_col, text_col, size, share, most_broadcast).select(
         F.col("id").alias(id_col),
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     )
     return out.drop("copy")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = judge(docs, benchmark, id_col, text_col, size, share).where("contaminated").select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")
+    """The documents that are not contaminated, with all their columns; of rows that share an id, or have none, those go whose own text is."""
+    bad = _judged(docs, benchmark, id_col, text_col, size, share).where("contaminated").select(F.col("id").alias("bad_id"), F.col("row_key").alias("bad_key"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text_col]) == bad["bad_key"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
