@@ -4,7 +4,11 @@ Markup is stripped to lines, one for each block of the page that has text, in pa
 order. A line weighs what it has of characters outside links. Lines of scripts,
 styles, menus, page headers and footers, sidebars, notices, adverts, forms and
 reader comments, told by elements, roles and class names, weigh nothing, and so do
-lines that are mostly links. Weights are summed over windows of consecutive lines.
+lines that are mostly links, other than paragraphs of an article. Within an article
+class names count only as a whole. A form, or an element of such a class name, that
+holds more than half of the text is no boilerplate, notices, adverts and comments
+excepted; one that is never closed ends where an article begins. Elements end where HTML
+says so when their end tags are left out. Weights are summed over windows of consecutive lines.
 A surge is where the sums rise from nothing, a dive where they fall to nothing
 again; a stretch between them is text if a window of it reaches the bar. Lighter
 stretches are text between two others and where they share a container with one;
@@ -48,6 +52,28 @@ ASIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond".split())
 WHOLE_PAGE = frozenset("html body main".split())
+#: Words that name a part of a page in class names like share-buttons.
+PART_WORDS = frozenset("area bar block box buttons container content group icons inner item items label link links list main module panel post posts section slot title tools unit wrap wrapper".split())
+#: Class names of what is never the text, however much of the page it is.
+NEVER_TEXT = frozenset("ad ads adv advert adverts advertisement advertising consent cookie cookies gdpr notice notices promo promoted promotion sponsor sponsored".split())
+HEAD_CONTENT = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+# Elements whose end tags HTML lets out, and what begins where they end.
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+KEEPS_PARAGRAPHS = frozenset("article aside blockquote body button caption div fieldset figure footer form header html main nav section table td th".split())
+IMPLIED_ENDS = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
+    "dt": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "td": (frozenset("td th tr tbody thead tfoot".split()), frozenset(["table"])),
+    "th": (frozenset("td th tr tbody thead tfoot".split()), frozenset(["table"])),
+    "tr": (frozenset("tr tbody thead tfoot".split()), frozenset(["table"])),
+    "thead": (frozenset("tbody tfoot".split()), frozenset(["table"])),
+    "tbody": (frozenset("tbody tfoot".split()), frozenset(["table"])),
+    "option": (frozenset("option optgroup".split()), frozenset(["select"])),
+}
+ENDS_BY_ITSELF = frozenset([*IMPLIED_ENDS, "p", "head"])
+SECTIONS = frozenset("article main body html".split())
+HREF = re.compile(r"(?<![^\s/])href\s*=", re.I)
 #: How many of the elements around a line tell that two lines belong together.
 NEAR = 3
 # Words of class names that tell a frame around others, and an article's own heading.
@@ -55,71 +81,146 @@ FRAME_WORDS = frozenset("layout with has".split())
 OWN_HEADER_WORDS = frozenset("article entry post story".split())
 
 
-def _is_aside(tag: str, attrs: str, in_article: bool) -> bool:
+class Region:
+    """An element that may be boilerplate.
+
+    ``hard`` ones are; the others, told by class names or being forms, are not
+    where most of the text is in them. ``article_at``: the first line of an article in it.
+    """
+
+    def __init__(self, hard: bool, free: bool, comments: bool) -> None:
+        self.hard, self.free, self.comments = hard, free, comments
+        self.closed, self.article_at = False, None
+
+
+def _told(value: str, in_article: bool, tag: str) -> frozenset[str]:
+    """The boilerplate words in a class name; in an article, names count as a whole."""
+    if not in_article:
+        return ASIDE_WORDS.intersection(re.split(r"[^a-z0-9]+", value))
+    out: set[str] = set()
+    for name in value.split():
+        words = set(re.split(r"[^a-z0-9]+", name))
+        if words <= ASIDE_WORDS | PART_WORDS or words & COMMENT_WORDS:
+            out |= words & ASIDE_WORDS
+    return frozenset(out)
+
+
+def _region(tag: str, attrs: str, in_article: bool) -> Region | None:
+    """What an opening tag says of its element."""
+    if tag in ("form", "fieldset"):
+        return Region(False, True, False)
     if tag in ASIDE or tag == "header" and not in_article:
-        return True
+        return Region(True, False, False)
     if not attrs or tag in WHOLE_PAGE:
-        return False
+        return None
+    out = None
     for m in ATTRIBUTE.finditer(attrs):
         if m[5]:
-            return True
+            return Region(True, False, False)
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and not in_article:
             words = set(re.split(r"[^a-z0-9]+", value))
-            told = words & (COMMENT_WORDS if tag == "article" else ASIDE_WORDS)
+            told = _told(value, in_article, tag)
+            if tag == "article":
+                told = told & COMMENT_WORDS
             if words & OWN_HEADER_WORDS:
                 told = told - {"header"}
             if told and not words & FRAME_WORDS:
-                return True
-        elif name == "role" and value in ASIDE_ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+                out = Region(False, not told & (NEVER_TEXT | COMMENT_WORDS), bool(told & COMMENT_WORDS))
+        elif name == "role" and value in ASIDE_ROLES:
+            if value != "form":
+                return Region(True, False, False)
+            out = out or Region(False, True, False)
+        elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return Region(True, False, False)
+    return out
 
 
-def lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """(text, characters in links, number of the article or 0, nearest containers) of each line that has text; boilerplate elements' texts are empty."""
-    out: list[tuple[str, int, int, tuple[int, ...]]] = []
-    parts: list[str] = []
-    linked, in_link, article, articles, left_out = 0, False, 0, 0, False
-    skip, depth, skip_comments = "", 0, False
-    at, end = 0, len(page)
-    around: list[tuple[str, int]] = []
+class Line:
+    """A line's pieces of text, each with the regions around it and whether it is a link's."""
+
+    __slots__ = ("article", "item", "near", "pieces")
+
+    def __init__(self, pieces: list[tuple[str, tuple[int, ...], bool]], article: int, near: tuple[int, ...], item: bool) -> None:
+        self.pieces, self.article, self.near, self.item = pieces, article, near, item
+
+
+def _parsed(page: str) -> tuple[list[Line], list[Region]]:
+    """The page's lines in order and its regions. Elements end where HTML says that they do, with or without an end tag."""
+    out: list[Line] = []
+    regions: list[Region] = []
+    pieces: list[tuple[str, tuple[int, ...], bool]] = []
+    stack: list[tuple[str, int, int]] = []  # (tag, number of the element, its region or -1)
     opened: Counter[str] = Counter()
-    elements = 0
+    inside: tuple[int, ...] = ()
+    link_depth, article, articles, elements = -1, 0, 0, 0
 
     def close_line() -> None:
-        nonlocal linked, left_out
-        text = " ".join(html_library.unescape("".join(parts)).split()) if parts else ""
-        if text or left_out:
-            out.append((text, linked, articles if article else 0, tuple(n for _, n in around[-NEAR:]) if text else ()))
-        parts.clear()
-        linked, left_out = 0, False
-
-    def nest(tag: str, closing: bool) -> None:
-        nonlocal elements
-        if tag in WHOLE_PAGE - {"main"}:
+        if any(not x.isspace() for x, _, _ in pieces):
+            near = tuple(n for t, n, _ in stack if t not in INLINE)[-NEAR:]
+            out.append(Line(pieces.copy(), articles if article else 0, near, opened["li"] > 0))
+        pieces.clear()
+
+    def pop(closed: bool) -> None:
+        nonlocal inside, article, link_depth
+        tag, _, region = stack.pop()
+        opened[tag] -= 1
+        if region >= 0:
+            inside = inside[:-1]
+            regions[region].closed = closed or tag in ENDS_BY_ITSELF
+        if tag in ("article", "main"):
+            article -= 1
+        if len(stack) < link_depth:
+            link_depth = -1
+
+    def end(tag: str, within: frozenset[str] = frozenset(), closed: bool = False) -> None:
+        """Close the nearest ``tag`` and what is open in it, unless an element ``within`` lies between."""
+        if not opened[tag]:
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == tag:
+                while len(stack) > k:
+                    pop(closed and len(stack) == k + 1)
+                return
+            if stack[k][0] in within:
+                return
+
+    def begin(tag: str, attrs: str) -> None:
+        nonlocal inside, article, articles, elements
+        region = _region(tag, attrs, article > 0)
+        if tag in INLINE and region is None:
             return
-        if closing or tag in ("p", "li") and around and around[-1][0] == tag:
-            while opened[tag]:
-                last = around.pop()[0]
-                opened[last] -= 1
-                if last == tag:
-                    break
-        if not closing:
-            elements += 1
-            opened[tag] += 1
-            around.append((tag, elements))
+        if tag in ("article", "main"):
+            for r in inside:
+                if regions[r].article_at is None:
+                    regions[r].article_at = len(out)
+            articles += article == 0 and region is None
+            article += 1
+        if region is not None:
+            inside = (*inside, len(regions))
+            regions.append(region)
+        elements += 1
+        opened[tag] += 1
+        stack.append((tag, elements, -1 if region is None else len(regions) - 1))
+
+    def implied_ends(tag: str) -> None:
+        if opened["head"] and tag not in HEAD_CONTENT:
+            end("head")
+        if tag in ENDS_PARAGRAPH:
+            end("p", KEEPS_PARAGRAPHS)
+            if tag != "li" and opened["li"] and not any(opened[x] for x in ("ul", "ol", "menu")):
+                end("li")
+        for element, (starts, within) in IMPLIED_ENDS.items():
+            if tag in starts:
+                end(element, within)
 
     def take(piece: str) -> None:
-        nonlocal linked, left_out
-        if skip:
-            left_out = left_out or not piece.isspace()
-        else:
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
+        if opened["head"] and not piece.isspace():
+            end("head")
+        pieces.append((piece, inside, link_depth >= 0))
 
-    while at < end:
+    at, stop = 0, len(page)
+    while at < stop:
         m = TOKEN.search(page, at)
         if not m:
             take(page[at:])
@@ -130,43 +231,63 @@ def lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        closing = bool(m["close"])
+        closing, attrs = bool(m["close"]), m["attrs"]
         if tag in RAW and not closing:
-            if m["attrs"].rstrip().endswith("/"):
+            if attrs.rstrip().endswith("/"):
                 continue
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = over.end() if over else end if tag in ("script", "style", "title", "textarea") else at
+            at = over.end() if over else stop if tag in ("script", "style", "title", "textarea") else at
             if tag not in ("title", "textarea", "script", "style"):
                 close_line()
             continue
         if tag not in INLINE:
             close_line()
-        if skip:
-            if tag == skip and tag not in VOID:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-                continue
-            if closing or skip_comments or tag not in ("article", "main"):
-                continue
-            skip = ""  # an aside that was never closed ends where the article begins
+        if closing:
+            if tag == "a":
+                link_depth = -1
+            end(tag, frozenset() if tag in SECTIONS else SECTIONS, closed=True)
+            continue
+        implied_ends(tag)
         if tag == "a":
-            in_link = not closing
-        elif tag in ("article", "main"):
-            if closing:
-                article = max(0, article - 1)
-            elif not _is_aside(tag, m["attrs"], article > 0):
-                articles += article == 0
-                article += 1
-                nest(tag, False)
-                continue
-        if not closing and tag not in VOID and not m["attrs"].endswith("/") and _is_aside(tag, m["attrs"], article > 0):
-            skip, depth, in_link = tag, 1, False
-            words = set(re.split(r"[^a-z0-9]+", m["attrs"].lower()))
-            skip_comments = bool(words & COMMENT_WORDS)
-        elif tag not in INLINE and tag not in VOID and (closing or not m["attrs"].endswith("/")):
-            nest(tag, closing)
+            link_depth = len(stack) if HREF.search(attrs) else -1
+        if tag in VOID or attrs.endswith("/") or tag in WHOLE_PAGE - {"main"}:
+            continue
+        begin(tag, attrs)
     close_line()
+    while stack:
+        pop(False)
+    return out, regions
+
+
+def _boilerplate(found: list[Line], regions: list[Region]) -> list[int]:
+    """From which line on a region is text again: 0 where it is none, beyond the last line where it is boilerplate to its end."""
+    last = len(found) + 1
+    # one that was never closed ends where an article begins
+    until = [r.article_at if r.article_at is not None and not r.closed and not r.comments else last for r in regions]
+    weight, held = Counter(), Counter()
+    for i, line in enumerate(found):
+        for text, inside, linked in line.pieces:
+            if linked or any((regions[r].hard or not regions[r].free) and i < until[r] for r in inside):
+                continue
+            n = len(text.strip())
+            weight[line.article > 0] += n
+            for r in inside:
+                held[r, line.article > 0] += n
+    marked = weight[True] > 0
+    return [0 if r.free and not r.hard and 2 * held[k, marked] > weight[marked] else until[k] for k, r in enumerate(regions)]
+
+
+def lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(text, characters in links, number of the article or 0, nearest containers) of each line that has text; boilerplate elements' texts are empty."""
+    found, regions = _parsed(page)
+    until = _boilerplate(found, regions)
+    out = []
+    for i, line in enumerate(found):
+        own = [(text, linked) for text, inside, linked in line.pieces if all(i >= until[r] for r in inside)]
+        text = " ".join(html_library.unescape("".join(x for x, _ in own)).split())
+        # a paragraph of an article may be a link as a whole; items of lists that are links are menus
+        linked = sum(len(x.strip()) for x, link in own if link) if line.item or not line.article else 0
+        out.append((text, linked, line.article, line.near if text else ()))
     return out
 
 
