@@ -16,21 +16,26 @@ def parse_hunk(line: Column) -> Column:
 
 
 def _hunks(sections: DataFrame, section: str, *keep: str) -> DataFrame:
-    """(keep, path, new_start, new_len, old_len) of sections, each a file's part of a diff: from "+++ " up to the next one."""
-    lines = F.split(section, "\n")
-    path = F.regexp_replace(F.element_at(lines, 1), "^b/", "")
-    hunks = F.filter(lines, lambda x: x.startswith("@@ "))
+    """(keep, path, new_start, new_len, old_len) of sections, each a file's part of a diff.
+
+    The path is what "+++ " names before the first hunk, or else the first line. Lines of a
+    hunk begin with a sign, so no text of a file is taken for a header or a hunk.
+    """
+    head = F.element_at(F.split(section, "(?m)^@@ ", 2), 1)
+    named = F.regexp_extract(head, r"(?m)^\+\+\+ ([^\n\t]*)", 1)
+    path = F.regexp_replace(F.when(named != "", named).otherwise(F.element_at(F.split(head, "\n", 2), 1)), "^b/", "")
+    hunks = F.filter(F.split(section, "\n"), lambda x: x.startswith("@@ "))
     return sections.select(*keep, path.alias("path"), F.explode(hunks).alias("line")).withColumn("h", parse_hunk(F.col("line"))).select(*keep, "path", "h.new_start", "h.new_len", "h.old_len")
 
 
 def hunks_from_log(commits: DataFrame) -> DataFrame:
-    """(sha, path, new_start, new_len, old_len) from a patch log, a row for each commit: its hash on the first line, then its diff. Commits are split each by itself, without a shuffle."""
-    rows = commits.select(F.regexp_extract("commit", "^([0-9a-f]{40})", 1).alias("sha"), F.explode(F.slice(F.split("commit", "(?m)^\\+\\+\\+ "), 2, 1 << 30)).alias("section")).where("sha <> ''")
+    """(sha, path, new_start, new_len, old_len) from a patch log, a row for each commit: its hash on the first line, then its diff, a part for each file, which begins with "diff --git ". Commits are split each by itself, without a shuffle."""
+    rows = commits.select(F.regexp_extract("commit", "^([0-9a-f]{40})", 1).alias("sha"), F.explode(F.slice(F.split("commit", "(?m)^diff --git "), 2, 1 << 30)).alias("section")).where("sha <> ''")
     return _hunks(rows, "section", "sha")
 
 
 def hunks_from_diff(sections: DataFrame) -> DataFrame:
-    """(path, new_start, new_len, old_len) from a diff (section): a row for each file's part, which begins with its path."""
+    """(path, new_start, new_len, old_len) from a diff (section): a row for each file's part."""
     return _hunks(sections, "section")
 
 

@@ -13,7 +13,7 @@ import ast
 import re
 import tomllib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 import pyarrow as pa
@@ -228,7 +228,7 @@ def extended(extra: dict[str, tuple[tuple[str, str], ...]]) -> dict[str, Callabl
     out = dict(EXTRACTORS)
     for lang, more in extra.items():
         pack = PACKS[lang]
-        out[lang] = lambda text, p=Pack(pack.defs, pack.calls, pack.imports, (*pack.patterns, *more), pack.comment, pack.branch, pack.words, pack.ends): parse_with(p, text)
+        out[lang] = lambda text, p=replace(pack, patterns=(*pack.patterns, *more)): parse_with(p, text)
     return out
 
 

@@ -51,7 +51,7 @@ class Repository:
 
     def diff(self, *revisions: str) -> DataFrame:
         """(section): the files' parts of a diff without context; one revision: against the working tree."""
-        return self.spooled("\n+++ ", "diff", "--unified=0", *revisions).withColumnRenamed("value", "section").where("section not like 'diff --git%'")
+        return self.spooled("\ndiff --git ", "diff", "--unified=0", *revisions).withColumnRenamed("value", "section")
 
     def changed(self, *revisions: str) -> list[str]:
         return [x for x in self.git("diff", "--name-only", *revisions).split("\n") if x]

@@ -133,7 +133,7 @@ def test_percentile(spark):
 
 def test_log_of_patches(spark):
     a, b = "a" * 40, "b" * 40
-    log = [f"{a}\n\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3 @@ f\n+++ not a file\n+y\n--- a/y\n+++ b/y\n@@ -0,0 +1,9 @@\n", f"{b}\n", ""]
+    log = [f"{a}\n\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +3 @@ f\n+++ not a file\n+y\ndiff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -0,0 +1,9 @@\n", f"{b}\n", ""]
     df = spark.createDataFrame([(t,) for t in log], "commit string")
     assert values(diffs.hunks_from_log(df), "sha", "path", "new_start", "new_len", "old_len") == [(a, "x", 3, 1, 2), (a, "y", 1, 9, 0)]
     named = spark.createDataFrame([("",), (f"{a} 5 {b}\n\nx.py\ny.py\n",), (f"{b} 4 \n\nz.py\n",)], "commit string")
