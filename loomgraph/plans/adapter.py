@@ -6,7 +6,8 @@ documents and conversations that keyword expressions match are pattern captures
 the part with the same number. The changes of one week are a pull request.
 
 What queries share is an index: edges, captures and symbols are derived once for a
-session and a folder, written to the shared folder, and read by every query after.
+session and a folder, written to the shared folder, and read by every query after
+while the folder's files are the same by path, length and time of change.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from loomgraph.operators import linking, mining, spans
 from loomgraph.runtime import filesystem, materialize, ship
 from loomgraph.sources import extract
 
-#: Tables of the index by session, folder and name.
-_INDEX: dict[tuple[str, str, str], str] = {}
+#: Tables of the index by session, folder, what the folder's files are, and name.
+_INDEX: dict[tuple[str, str, str, str], str] = {}
+#: What the index is derived from.
+INPUTS = ("part", "lineitem", "documents", "conversations")
 
 AS_OF = "2001-08-02"
 MASS_COMMIT = 8
@@ -145,8 +148,14 @@ class Tables:
     def linked(self) -> DataFrame:
         return linking.link(self.raw_calls, self.indexed)
 
+    @cached_property
+    def state(self) -> str:
+        """A digest of paths, lengths and times of the input files; their contents are not read."""
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.folder}/{x}.parquet" for x in INPUTS])
+        return str(listed.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
     def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.state, name)
         if key in _INDEX:
             fs, path, _ = filesystem(self.spark, _INDEX[key])
             if fs.exists(path):
