@@ -86,9 +86,20 @@ def findings(symbols: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 
 def custom(symbols: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule, severity, id): all of a rule's patterns are present. ``rules`` come from a configuration file."""
-    rows = symbols.where(F.size("patterns") > 0).crossJoin(F.broadcast(rules.select(F.col("name").alias("rule"), F.col("patterns").alias("wanted"), "severity")))
-    return rows.where(F.size(F.array_except("wanted", "patterns")) == 0).select("rule", "severity", "id")
+    """(rule, severity, id): all of a rule's patterns are present. ``rules``: (name, patterns, severity), any number of them.
+
+    A rule is filed under its rarest pattern and meets the symbols that have that one,
+    which are then looked at for the others. A rule without patterns holds for every symbol with some.
+    """
+    some = symbols.where(F.size("patterns") > 0).select("id", "patterns")
+    held = some.select("id", "patterns", F.explode(F.concat(F.array_distinct("patterns"), F.array(F.lit("")))).alias("filed"))
+    counts = some.select(F.explode(F.array_distinct("patterns")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    asked = rules.where("patterns is not null").select(F.col("name").alias("rule"), F.array_distinct("patterns").alias("wanted"), "severity").withColumn("rule_row", F.monotonically_increasing_id())
+    each = asked.select("rule", "wanted", "severity", "rule_row", F.explode_outer("wanted").alias("pattern")).join(counts, "pattern", "left")
+    # an equality needs a value: rules without patterns are filed under the empty string
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pattern", F.lit("")).alias("pattern")))
+    filed = each.groupBy("rule_row", "rule", "severity", "wanted").agg(rarest.alias("r")).where("r.n > 0 or size(wanted) = 0").select("rule", "severity", "wanted", F.col("r.pattern").alias("filed"))
+    return held.join(filed, "filed").where(F.size(F.array_except("wanted", "patterns")) == 0).select("rule", "severity", "id")
 
 
 def recommend(cochange: DataFrame, strength: float = 0.4) -> DataFrame:

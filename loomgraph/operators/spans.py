@@ -64,19 +64,46 @@ def diff_lines(hunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return ranges.groupBy(*keys, "path", "line").agg(F.bool_or("pure").alias("pure"))
 
 
-def diff_marks(symbols: DataFrame, lines: DataFrame, untouched: str | None = None, keys: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
-    """(keys, id, path, touched, pure, mark): '+' all touched lines are added, '~' some changed, ``untouched`` for other symbols of changed files, which are ``files`` or those with lines."""
-    changed = symbols.select("id", "path").join((lines if files is None else files).select(*keys, "path").distinct(), "path")
-    points = lines.select(*keys, "path", "pure", F.col("line").alias("l_start"), F.col("line").alias("l_end"))
+def diff_ranges(hunks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, path, pure, start, end): the lines of :func:`diff_lines` as ranges that don't touch; those with pure are the pure lines once more.
+
+    Ranges are joined where a running maximum of ends reaches the next start; no line becomes a row.
+    """
+    sides = F.when(F.col("old_len") == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = hunks.where("new_len > 0").select(*keys, "path", F.explode(sides).alias("pure"), F.col("new_start").alias("start"), (F.col("new_start") + F.col("new_len") - 1).alias("end")).distinct()
+    order = Window.partitionBy(*keys, "path", "pure").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(before + 1 >= F.col("start"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__run", run).groupBy(*keys, "path", "pure", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+
+
+def _as_ranges(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Lines (keys, path, line, pure) as ranges of one line each."""
+    sides = F.when(F.col("pure"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return lines.select(*keys, "path", F.explode(sides).alias("pure"), F.col("line").alias("start"), F.col("line").alias("end"))
+
+
+def diff_marks(symbols: DataFrame, changes: DataFrame, untouched: str | None = None, keys: tuple[str, ...] = (), files: DataFrame | None = None) -> DataFrame:
+    """(keys, id, path, touched, pure, mark): '+' all touched lines are added, '~' some changed, ``untouched`` for other symbols of changed files, which are ``files`` or those with lines.
+
+    ``changes``: what :func:`diff_ranges` or :func:`diff_lines` gives.
+    """
+    ranges = changes if "start" in changes.columns else _as_ranges(changes, keys)
+    changed = symbols.select("id", "path").join((ranges if files is None else files).select(*keys, "path").distinct(), "path")
+    left = ranges.select(*keys, "path", F.col("pure").alias("__pure"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     spans = symbols.select("path", "id", F.col("span_start").alias("r_start"), F.col("span_end").alias("r_end"))
-    hit = overlap(points, spans).groupBy(*keys, "id").agg(F.count("*").alias("touched"), F.count_if("pure").alias("pure"))
+    common = F.least("l_end", "r_end") - F.greatest("l_start", "r_start") + 1
+    lines_of = lambda pure: F.sum(F.when(F.col("__pure") == pure, common).otherwise(0)).cast("long")
+    hit = overlap(left, spans).groupBy(*keys, "id").agg(lines_of(False).alias("touched"), lines_of(True).alias("pure"))
     out = changed.join(hit, [*keys, "id"], "left").select(*keys, "id", "path", F.coalesce("touched", F.lit(0)).alias("touched"), F.coalesce("pure", F.lit(0)).alias("pure"))
     return out.withColumn("mark", F.when(F.col("touched") == 0, F.lit(untouched)).when(F.col("pure") == F.col("touched"), "+").otherwise("~"))
 
 
-def diff_weight(marks: DataFrame, lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def diff_weight(marks: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, weight): touched lines against all lines of the diff."""
-    total = lines.groupBy(*keys).agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
+    ranges = changes if "start" in changes.columns else _as_ranges(changes, keys)
+    lines = F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).cast("long")
+    total = ranges.where("not pure").groupBy(*keys).agg(F.greatest(lines, F.lit(1)).alias("total"))
     both = marks.join(total, list(keys), "left") if keys else marks.crossJoin(F.broadcast(total))  # one row
     return both.select(*keys, "id", (F.col("touched") / F.coalesce("total", F.lit(1))).alias("weight"))
 
