@@ -16,6 +16,10 @@ from loomgraph.sources.git import Repository
 from loomgraph.sources.store import Store
 
 
+#: Rows of a report that come to the driver.
+MOST_ROWS = 10_000
+
+
 class TargetNotFoundError(LookupError):
     pass
 
@@ -123,43 +127,36 @@ class Engine:
         return rows.where(F.col("id") == found["id"]).first().asDict()
 
     def paths(self, target: str, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
-        return graph.reachable(self.calls(), self.resolve(target)["id"], depth, min_confidence)
+        return graph.reachable(self.calls(), self.resolve(target)["id"], depth, min_confidence, unique=True)
 
     def callers(self, target: str, depth: int = 3) -> DataFrame:
-        return graph.reachable(self.calls(), self.resolve(target)["id"], depth, reverse=True)
+        return graph.reachable(self.calls(), self.resolve(target)["id"], depth, reverse=True, unique=True)
 
     def path_to(self, target: str, end: str, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
-        return graph.shortest_path(self.calls(), self.resolve(target)["id"], self.resolve(end)["id"], depth, min_confidence)
+        return graph.shortest_path(self.calls(), self.resolve(target)["id"], self.resolve(end)["id"], depth, min_confidence, unique=True)
 
     def signals(self, target: str, end: str, depth: int = 3) -> DataFrame:
         steps = self.path_to(target, end, depth)
         return analysis.signals(steps.join(self.symbols(), "id"), linking.external_callees(self.calls()))
 
-    def tree(self, target: str, depth: int = 3, min_confidence: float = 0.0, reverse: bool = False, weight: str = "none") -> trees.Node:
-        """The tree below a symbol, from the reachable part of the graph only."""
-        start = self.resolve(target)
-        near = graph.reachable(self.calls(), start["id"], depth, min_confidence, reverse).select("id")
-        symbols = self.symbols()
-        info = symbols.join(near, "id")
+    def tree(self, target: str, depth: int = 3, min_confidence: float = 0.0, reverse: bool = False, weight: str = "none", most: int = MOST_ROWS) -> trees.Node:
+        """The depth-first tree below a symbol: its first ``most`` rows in preorder."""
+        start, symbols = self.resolve(target), self.symbols()
+        rows = graph.tree(self.calls(), symbols.select("id", "qualified"), start["id"], depth, min_confidence, reverse, unique=True).where(F.col("number") < most)
+        info = symbols.select("id", "name", "qualified", "path", "span_start", "span_end")
         if weight != "none":
             info = info.join(analysis.symbol_weights(symbols).select("id", F.col(f"w_{weight}").alias("weight")), "id")
-        nodes = {r["id"]: r.asDict() | {"file": r["path"]} for r in info.collect()}
-        ids = near.withColumnRenamed("id", "n")
-        a, b = ("to_id", "from_id") if reverse else ("from_id", "to_id")
-        edges: dict[str, list[tuple[str, float]]] = {}
-        outside: dict[str, list[str]] = {}
-        for r in self.calls().join(ids, F.col(a) == F.col("n")).collect():
-            if r[b] in nodes:
-                edges.setdefault(r[a], []).append((r[b], r["confidence"]))
-            elif not reverse and r[b].startswith(linking.EXTERNAL):
-                outside.setdefault(r[a], []).append(r[b].removeprefix(linking.EXTERNAL))
-        return trees.build(start["id"], nodes, edges, depth, min_confidence, outside)
+        return trees.from_rows(rows.join(info, "id", "left").orderBy("number").collect())  # at most ``most`` rows
+
+    def best_paths(self, target: str, end: str, k: int = 20, depth: int = 3, min_confidence: float = 0.0) -> DataFrame:
+        """The ``k`` best ways from one symbol to another."""
+        return graph.best_paths(self.calls(), self.resolve(target)["id"], self.resolve(end)["id"], k, depth, min_confidence, unique=True)
 
     def beyond(self, target: str, depth: int, reverse: bool = False) -> int:
         """Nodes that one more level would add."""
         start = self.resolve(target)["id"]
         known = self.symbols().select("id")
-        count = lambda d: graph.reachable(self.calls(), start, d, reverse=reverse).join(known, "id", "left_semi").count()
+        count = lambda d: graph.reachable(self.calls(), start, d, reverse=reverse, unique=True).join(known, "id", "left_semi").count()
         return count(depth + 1) - count(depth)
 
     def external_edges(self) -> int:
@@ -201,14 +198,14 @@ class Engine:
         partners = [r.asDict() for r in mining.coupled(self.store.read("cochange"), symbol["path"], 0.0, support).limit(5).collect()]
         return symbol | notes | {"cochange": partners}
 
-    def _lines(self, *revisions: str) -> DataFrame:
-        return spans.diff_lines(diffs.hunks_from_diff(self.repository.diff(*revisions)))
+    def _changes(self, *revisions: str) -> DataFrame:
+        return spans.diff_ranges(diffs.hunks_from_diff(self.repository.diff(*revisions)))
 
     def diff(self, *revisions: str, untouched: str | None = None) -> DataFrame:
         """Marks and weights of the symbols of changed files; default: HEAD against the working tree."""
-        lines, symbols = self._lines(*(revisions or ("HEAD",))), self.symbols()
-        marks = spans.diff_marks(symbols, lines, untouched)
-        return marks.join(spans.diff_weight(marks, lines), "id").join(symbols.select("id", "name", "qualified"), "id")
+        changes, symbols = self._changes(*(revisions or ("HEAD",))), self.symbols()
+        marks = spans.diff_marks(symbols, changes, untouched)
+        return marks.join(spans.diff_weight(marks, changes), "id").join(symbols.select("id", "name", "qualified"), "id")
 
     def branch(self, name: str, base: str = "main") -> DataFrame:
         return self.diff(self.repository.merge_base(base, name), name, untouched="~")
@@ -218,8 +215,8 @@ class Engine:
         changed = self.repository.changed(start, name)
         paths = self.spark.createDataFrame([(p,) for p in changed], "path string")
         own = self.symbols().join(paths, "path", "left_semi")
-        high = own.where(scalars.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))).select("qualified", "hotspot", "complexity", "fanin").collect()
-        missed = analysis.missed_partners(self.store.read("cochange"), paths, strength, support).orderBy(F.desc("strength"), "partner").collect()
+        high = own.where(scalars.high_risk(F.col("hotspot"), F.col("complexity"), F.col("fanin"), F.col("patterns"))).select("qualified", "hotspot", "complexity", "fanin").limit(MOST_ROWS).collect()
+        missed = analysis.missed_partners(self.store.read("cochange"), paths, strength, support).orderBy(F.desc("strength"), "partner").limit(MOST_ROWS).collect()
         patterns = own.select(F.explode("patterns").alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").collect()
         dangerous = not own.where(scalars.dangerous(F.col("patterns"))).isEmpty()
         verdict = "HIGH" if dangerous or len(high) > 5 else "MEDIUM" if high or len(missed) > 3 else "LOW"

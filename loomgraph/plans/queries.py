@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import analysis as A
+from loomgraph.operators import baskets as B
 from loomgraph.operators import graph as G
 from loomgraph.operators import linking as L
 from loomgraph.operators import mining as M
+from loomgraph.operators import patterns as P
 from loomgraph.operators import spans as X
 from loomgraph.plans.adapter import Tables, with_tables
 
@@ -20,6 +22,7 @@ ORACLES: dict[str, str] = {}
 
 #: Cut-offs that select something on these tables.
 STRENGTH, SUPPORT, STALE_DAYS, START, DEPTH, LEAST_CONF = 0.04, 5, 3, "555", 3, 0.2
+BEST = 20
 STAT = "path, lang, loc, churn, age_days, last_commit_sha, round(hotspot, 6) AS hotspot"
 PAIR = "file_a, file_b, support, round(strength, 6) AS strength, round(strength_rev, 6) AS strength_rev"
 
@@ -382,17 +385,17 @@ SELECT id, min(depth) AS depth, round(max(conf), 6) AS path_conf FROM walk GROUP
 
 @query("paths_reachable")
 def _(t):
-    return rounded(G.reachable(t.edges, START, DEPTH), "path_conf")
+    return rounded(G.reachable(t.edges, START, DEPTH, unique=True), "path_conf")
 
 
 @query("paths_min_conf")
 def _(t):
-    return rounded(G.reachable(t.edges, START, DEPTH, LEAST_CONF), "path_conf")
+    return rounded(G.reachable(t.edges, START, DEPTH, LEAST_CONF, unique=True), "path_conf")
 
 
 @query("callers_reachable")
 def _(t):
-    return rounded(G.reachable(t.edges, START, DEPTH, reverse=True), "path_conf")
+    return rounded(G.reachable(t.edges, START, DEPTH, reverse=True, unique=True), "path_conf")
 
 
 ORACLES |= {"paths_reachable": _walk(DEPTH, 0), "paths_min_conf": _walk(DEPTH, LEAST_CONF), "callers_reachable": _walk(DEPTH, 0, "to_id", "from_id")}
@@ -407,7 +410,85 @@ ORACLES["shortest_path"] = _PATH + " SELECT step, id, round(conf, 6) AS path_con
 
 @query("shortest_path")
 def _(t):
-    return rounded(G.shortest_path(t.edges, START, END), "path_conf")
+    return rounded(G.shortest_path(t.edges, START, END, unique=True), "path_conf")
+
+
+_ALL = with_tables("SELECT 1 FROM edges").rsplit(" SELECT 1 FROM edges", 1)[0] + f""", step AS (SELECT '{START}' AS id, ['{START}'] AS path, 1.0::DOUBLE AS conf
+UNION ALL SELECT to_id, list_append(path, to_id), conf * confidence FROM step JOIN edges ON from_id = step.id WHERE len(path) <= {DEPTH} AND step.id <> '{END}' AND NOT list_contains(path, to_id))"""
+ORACLES["paths_best"] = _ALL + f""" SELECT (row_number() OVER (ORDER BY round(-conf, 9), len(path), path))::INT AS rank, array_to_string(path, '>') AS path, round(conf, 6) AS path_conf
+FROM step WHERE id = '{END}' QUALIFY row_number() OVER (ORDER BY round(-conf, 9), len(path), path) <= {BEST}"""
+
+
+@query("paths_best")
+def _(t):
+    return rounded(G.best_paths(t.edges, START, END, BEST, DEPTH, unique=True), "path_conf").withColumn("path", F.array_join("path", ">"))
+
+
+# depth-first order depends on all that came before, which SQL says only row by row; tests compare these with a loop
+@query("paths_tree")
+def _(t):
+    return rounded(G.tree(t.edges, t.symbols.select("id", "qualified"), START, DEPTH, unique=True), "path_conf")
+
+
+@query("callers_tree")
+def _(t):
+    return rounded(G.tree(t.edges, t.symbols.select("id", "qualified"), START, DEPTH, reverse=True, unique=True), "path_conf")
+
+
+_TOUCHED = "SELECT DISTINCT h.sha, s.id FROM hunks h JOIN indexed s ON s.path = h.path AND h.new_start <= s.span_end AND h.new_start + greatest(h.new_len - 1, 0) >= s.span_start"
+
+
+@query(
+    "symbol_cochange",
+    f"""WITH touched AS ({_TOUCHED}), n AS (SELECT id, count(*) AS n FROM touched GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS support FROM touched a JOIN touched b ON a.sha = b.sha AND a.id < b.id GROUP BY ALL HAVING count(*) >= {SUPPORT})
+SELECT a, b, support, round(support / least(x.n, y.n), 6) AS strength FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b""",
+)
+def _(t):
+    return rounded(B.symbol_cochange(t.indexed, t.hunks, SUPPORT), "strength")
+
+
+def _sure(t: Tables) -> DataFrame:
+    """Calls that are sure, as a relation of patterns."""
+    return t.edges.where("confidence >= 0.3").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+
+
+_SURE = "c AS (SELECT DISTINCT from_id AS a, to_id AS b FROM edges WHERE confidence >= 0.3)"
+
+
+@query("pattern_triangles", f"WITH {_SURE} SELECT x.a AS x, x.b AS y, y.b AS z FROM c x JOIN c y ON y.a = x.b JOIN c z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b")
+def _(t):
+    return P.triangles(_sure(t))
+
+
+@query("pattern_callers_of_hot", f"WITH {_SURE}, hot AS (SELECT id FROM symbols WHERE hotspot >= 0.95) SELECT a AS caller, b AS hot FROM c WHERE b IN (SELECT id FROM hot) UNION SELECT x.a, y.b FROM c x JOIN c y ON y.a = x.b WHERE y.b IN (SELECT id FROM hot)")
+def _(t):
+    return P.match([P.Step("caller", "hot", "calls", 1, 2)], {"calls": _sure(t)}, {"hot": t.symbols.where("hotspot >= 0.95").select("id")})
+
+
+#: Calls that leave a file and come back to it: four steps in a ring.
+@query(
+    "pattern_round_trip",
+    f"WITH {_SURE} SELECT f.path AS file, f.id AS caller, x.b AS between, y.b AS callee FROM c x JOIN c y ON y.a = x.b JOIN indexed f ON f.id = x.a JOIN indexed g ON g.id = y.b AND g.path = f.path",
+)
+def _(t):
+    held = t.indexed.select(F.col("path").alias("a"), F.col("id").alias("b"))
+    steps = [P.Step("file", "caller", "contains"), P.Step("caller", "between"), P.Step("between", "callee"), P.Step("file", "callee", "contains")]
+    return P.match(steps, {"calls": _sure(t), "contains": held})
+
+
+#: One rule for each customer, of two or three patterns.
+_KINDS = "['alloc', 'await', 'block_on', 'chan', 'lock', 'loop', 'spawn', 'timer']"
+_RULES = f"SELECT c_custkey::VARCHAR AS name, list_distinct([{_KINDS}[c_custkey % 8 + 1], {_KINDS}[c_custkey // 8 % 8 + 1], {_KINDS}[c_custkey // 64 % 8 + 1]]) AS patterns FROM customer"
+
+
+@query("smell_custom_many", f"WITH r AS ({_RULES}) SELECT r.name AS rule, count(*) AS n FROM r JOIN symbols s ON list_has_all(s.patterns, r.patterns) WHERE len(s.patterns) > 0 GROUP BY r.name")
+def _(t):
+    kinds = F.array(*(F.lit(x) for x in ("alloc", "await", "block_on", "chan", "lock", "loop", "spawn", "timer")))
+    key = F.col("c_custkey")
+    kind = lambda n: F.get(kinds, (F.floor(key / n) % 8).cast("int"))
+    rules = t.read("customer").select(key.cast("string").alias("name"), F.array_distinct(F.array(kind(1), kind(8), kind(64))).alias("patterns"), F.lit("low").alias("severity"))
+    return A.custom(t.symbols, rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 _FRAMES = "(SELECT f.step, s.* FROM frames f JOIN symbols s USING (id))"
@@ -423,7 +504,7 @@ UNION ALL SELECT 'external_boundary', 'info', id FROM (SELECT id FROM {_FRAMES}
 
 @query("path_signals")
 def _(t):
-    return A.signals(G.shortest_path(t.edges, START, END).join(t.symbols, "id"), L.external_callees(t.edges))
+    return A.signals(G.shortest_path(t.edges, START, END, unique=True).join(t.symbols, "id"), L.external_callees(t.edges))
 
 
 ORACLES["folded_lines"] = _PATH + f""" SELECT string_agg(name, ';' ORDER BY step) || ' ' || greatest(round(arg_max(churn, step) / (SELECT greatest(max(churn), 1) FROM symbols) * 1000), 1)::BIGINT AS line FROM {_FRAMES} HAVING count(*) > 0"""
@@ -431,7 +512,7 @@ ORACLES["folded_lines"] = _PATH + f""" SELECT string_agg(name, ';' ORDER BY step
 
 @query("folded_lines")
 def _(t):
-    frames = G.shortest_path(t.edges, START, END).join(t.symbols.select("id", "name"), "id").join(A.symbol_weights(t.symbols).select("id", "w_churn"), "id")
+    frames = G.shortest_path(t.edges, START, END, unique=True).join(t.symbols.select("id", "name"), "id").join(A.symbol_weights(t.symbols).select("id", "w_churn"), "id")
     whole = frames.agg(F.sort_array(F.collect_list(F.struct("step", "name"))).alias("names"), F.max_by("w_churn", "step").alias("w")).where(F.size("names") > 0)
     return whole.select(F.concat(F.array_join(F.transform("names", lambda x: x["name"]), ";"), F.lit(" "), S.folded_count(F.col("w")).cast("string")).alias("line"))
 
@@ -459,7 +540,7 @@ def _(t):
 
 @query("eval_callers")
 def _(t):
-    return G.reachable(t.edges, START, DEPTH, reverse=True).join(t.indexed, "id").select("path").distinct()
+    return G.reachable(t.edges, START, DEPTH, reverse=True, unique=True).join(t.indexed, "id").select("path").distinct()
 
 
 ORACLES["eval_callers"] = ORACLES["callers_reachable"].replace("SELECT id, min(depth) AS depth, round(max(conf), 6) AS path_conf FROM walk GROUP BY id", "SELECT DISTINCT path FROM walk JOIN symbols0 USING (id) WHERE symbols0.loc <= 40 AND symbols0.lang <> 'hcl'")
@@ -606,7 +687,7 @@ _MARK = "CASE WHEN touched = 0 THEN {none} WHEN pure = touched THEN '+' ELSE '~'
 
 
 def _marks(t: Tables, untouched: str | None = None) -> DataFrame:
-    return X.diff_marks(t.indexed, X.diff_lines(t.pr_hunks, PR), untouched, PR, t.pr_files)
+    return X.diff_marks(t.indexed, X.diff_ranges(t.pr_hunks, PR), untouched, PR, t.pr_files)
 
 
 @query("diff_marks", f"SELECT pr, id, path, touched, pure, {_MARK.format(none='NULL')} FROM marked")
@@ -621,7 +702,7 @@ def _(t):
 
 @query("diff_weight", "SELECT m.pr, id, round(touched / coalesce(n, 1), 6) AS weight FROM marked m LEFT JOIN (SELECT pr, count(*) AS n FROM pr_lines GROUP BY pr) l ON l.pr = m.pr")
 def _(t):
-    return rounded(X.diff_weight(_marks(t), X.diff_lines(t.pr_hunks, PR), PR), "weight")
+    return rounded(X.diff_weight(_marks(t), X.diff_ranges(t.pr_hunks, PR), PR), "weight")
 
 
 @query("explain_pr_symbols", "SELECT pr, id, name, path FROM indexed JOIN pr_files USING (path)")
@@ -741,7 +822,8 @@ def _(t):
 
     log = t.hunks.groupBy("sha", "path").agg(F.sort_array(F.collect_set(F.struct("new_start", "new_len", "old_len"))).alias("h"))
     header = lambda h: F.concat(F.lit("@@ -1,"), h["old_len"].cast("string"), F.lit(" +"), h["new_start"].cast("string"), F.lit(","), h["new_len"].cast("string"), F.lit(" @@"))
-    part = F.array_join(F.concat(F.array(F.concat(F.lit("+++ b/"), "path")), F.transform("h", header)), "\n")
+    named = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- a/"), "path", F.lit("\n+++ b/"), "path")
+    part = F.array_join(F.concat(F.array(named), F.transform("h", header)), "\n")
     text = log.groupBy("sha").agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("text"))
     return hunks_from_log(text.select(F.concat(F.lower(F.lpad(F.hex("sha"), 40, "0")), F.lit("\n"), "text").alias("commit")))
 

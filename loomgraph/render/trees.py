@@ -36,24 +36,19 @@ class Node:
         return out
 
 
-def build(root: str, nodes: dict[str, dict], edges: dict[str, list[tuple[str, float]]], depth: int, min_confidence: float = 0.0, externals: dict[str, list[str]] | None = None) -> Node:
-    """The depth-first tree: a node is expanded once, where it is first met; children by (qualified, id); externals last."""
-    seen: set[str] = set()
-
-    def grow(at: str, level: int, product: float, confidence: float) -> Node:
-        info = nodes[at]
-        node = Node(at, info["name"], info["qualified"], info["file"], (info["span_start"], info["span_end"]), confidence, info.get("weight", 0.0))
-        if level >= depth or at in seen:
-            return node
-        seen.add(at)
-        for to, c in sorted(edges.get(at, ()), key=lambda e: (nodes[e[0]]["qualified"], e[0])):
-            if product * c >= min_confidence:
-                node.children.append(grow(to, level + 1, product * c, c))
-        for name in sorted((externals or {}).get(at, ())):
-            node.children.append(Node(f"external:{name}", name, name, confidence=0.0, external=True))
-        return node
-
-    return grow(root, 0, 1.0, 1.0)
+def from_rows(rows: Iterable) -> Node:
+    """The tree of rows in preorder (number, parent_number, id, confidence, and what is known of symbols); ids without a name are outside of the index."""
+    nodes: dict[int, Node] = {}
+    for r in rows:
+        info, name = r.asDict(), r["id"].removeprefix("external:")
+        if info["name"] is None:
+            node = Node(r["id"], name, name, confidence=r["confidence"], external=True)
+        else:
+            node = Node(r["id"], info["name"], info["qualified"], info["path"], (info["span_start"], info["span_end"]), r["confidence"], info.get("weight") or 0.0)
+        nodes[r["number"]] = node
+        if r["parent_number"] is not None:
+            nodes[r["parent_number"]].children.append(node)
+    return nodes[0]
 
 
 def bar(weight: float) -> str:
