@@ -142,8 +142,8 @@ def map_statistics(df: DataFrame, id_col: str, text_col: str, schema: str, make:
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, test: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
-    """(features, labels 0/1, and what ``test`` says) of at most ``most`` labelled documents, those with the smallest hashes of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, test: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None, more: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> tuple[np.ndarray, ...]:
+    """(features, labels 0/1, and what ``test`` says or ``more`` makes of bytes and offsets) of at most ``most`` labelled documents, those with the smallest hashes of their ids.
 
     Null labels are left out; of repeated labels for one id the smallest counts, of
     repeated rows with one id the text with the smallest hash.
@@ -159,13 +159,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
             for a, b, data, offs in textkit.slices(batch.column(3)):
                 stats = statistics(data, offs)
                 failed = test(stats) if test else np.zeros(b - a, bool)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array(list(features(stats)), pa.list_(pa.float64())), pa.array(failed)], names=["label", "id", "tag", "x", "failed"])
+                made = more(data, offs) if more else [b""] * (b - a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array(list(features(stats)), pa.list_(pa.float64())), pa.array(failed), pa.array(made, pa.binary())], names=["label", "id", "tag", "x", "failed", "more"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = found.mapInArrow(run, f"label long, id {kind}, tag long, x array<double>, failed boolean")
+    rows = found.mapInArrow(run, f"label long, id {kind}, tag long, x array<double>, failed boolean, more binary")
     # one row for each id before any of them comes here
-    rows = rows.groupBy("id").agg(F.min(F.struct("tag", "label", "x", "failed")).alias("r")).select("id", "r.label", "r.x", "r.failed")
+    rows = rows.groupBy("id").agg(F.min(F.struct("tag", "label", "x", "failed", "more")).alias("r")).select("id", "r.label", "r.x", "r.failed", *(["r.more"] if more else []))
     rows = rows.toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     out = (x, rows["label"].to_numpy(np.int64))
+    if more:
+        return (*out, rows["more"].tolist())
     return (*out, rows["failed"].to_numpy(bool)) if test else out
