@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
-from loomgraph.operators import linking, mining, spans
+from loomgraph.operators import factored, imports, linking, mining, spans
 from loomgraph.runtime import filesystem, materialize, ship
 from loomgraph.sources import extract
 
@@ -64,6 +64,11 @@ TRUE_CALLS = """
 SELECT DISTINCT from_id, to_id FROM (
   SELECT id AS from_id, lead(id) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS to_id
   FROM {lineitem} JOIN {symbols0} ON CAST(l_partkey AS STRING) = id) a WHERE to_id IS NOT NULL"""
+#: A file imports the modules of the files whose symbols stand second in an order that one of its own begins.
+IMPORTS = """
+SELECT DISTINCT path, concat('crate::', replace(substr(other, 1, length(other) - position('.' IN reverse(other))), '/', '::')) AS import FROM (
+  SELECT path, l_linenumber, lead(path) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS other, l_returnflag
+  FROM {lineitem} JOIN {symbols0} ON CAST(l_partkey AS STRING) = id) a WHERE other IS NOT NULL AND l_linenumber = 1 AND l_returnflag = 'R'"""
 PR_HUNKS = "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS pr, h.* FROM {hunks} h JOIN {orders} ON o_orderkey = sha"
 RULES = """
 SELECT 'deadlock_spawn' AS name, array('lock', 'spawn') AS patterns, 'high' AS severity UNION ALL SELECT 'alloc_loop', array('alloc', 'loop'), 'medium'"""
@@ -119,6 +124,19 @@ class Tables:
         """What calls stand for, which the linker doesn't see."""
         return self._sql(TRUE_CALLS, lineitem=self.read("lineitem"), symbols0=self.symbols0)
 
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self._sql(IMPORTS, lineitem=self.read("lineitem"), symbols0=self.symbols0)
+
+    @cached_property
+    def scoped(self) -> DataFrame:
+        return self.stored("scoped", lambda: imports.link(self.raw_calls, self.indexed, self.imports))
+
+    @cached_property
+    def factored(self) -> factored.Calls:
+        calls = factored.link(self.raw_calls, self.indexed)
+        return factored.Calls(self.stored("callers", lambda: calls.callers), self.stored("candidates", lambda: calls.candidates))
+
     @cached_property
     def captures(self) -> DataFrame:
         """(capture, path, line, kind): lines fall on the lines of their symbol in turn."""
@@ -202,6 +220,24 @@ def _cte() -> dict[str, str]:
         "raw_calls": RAW_CALLS.format(**name),
         "indexed": INDEXED.format(**name),
         "true_calls": TRUE_CALLS.format(**name),
+        "imports": IMPORTS.format(**name),
+        "file_scopes": """
+SELECT DISTINCT path, array_to_string(list_slice(w, i, len(w)), '/') AS scope FROM (
+  SELECT path, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT path, string_split(regexp_replace(path, '\\.[^./]*$', ''), '/') AS w FROM files
+    UNION ALL SELECT path, list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1) FROM files) x) y WHERE path IN (SELECT path FROM indexed)""",
+        "import_sides": """
+SELECT import, side, array_to_string(list_slice(w, i, len(w)), '/') AS scope, len(w) - i + 1 AS length FROM (SELECT import, side, w, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT import, side, CASE side WHEN 0 THEN w ELSE list_slice(w, 1, len(w) - 1) END AS w FROM (SELECT DISTINCT import, list_filter(string_split(import, '::'), lambda x: x <> 'crate') AS w FROM imports) a, (VALUES (0), (1)) t(side)) b) c""",
+        "visible": "SELECT DISTINCT path, scope FROM imports JOIN (SELECT import, scope FROM import_sides WHERE scope IN (SELECT scope FROM file_scopes) QUALIFY row_number() OVER (PARTITION BY import ORDER BY length DESC, side) = 1) USING (import)",
+        "located": "SELECT DISTINCT c.from_id, c.callee, k.path, k.lang FROM raw_calls c LEFT JOIN indexed k ON k.id = c.from_id",
+        "candidates": """
+SELECT l.from_id, l.callee, s.id AS to_id, CASE WHEN s.path = l.path THEN 0 WHEN s.lang = l.lang AND EXISTS (SELECT 1 FROM visible v JOIN file_scopes f USING (scope) WHERE v.path = l.path AND f.path = s.path) THEN 1 WHEN s.lang = l.lang THEN 2 ELSE 3 END AS place
+FROM located l JOIN indexed s ON s.name = l.callee""",
+        "scoped": """
+SELECT from_id, to_id, 'calls' AS kind, CASE WHEN n = 1 THEN [1.0, 0.9, 0.7, 0.5][place + 1] ELSE [0.5, 0.5, 0.3, 0.2][place + 1] END AS confidence, ['file', 'import', 'language', 'any'][place + 1] AS scope,
+  CASE WHEN n > 1 THEN 'several candidates: ' || ['file', 'import', 'language', 'any'][place + 1] WHEN place = 3 THEN 'another language' END AS reason
+FROM (SELECT *, count(*) OVER (PARTITION BY from_id, callee) AS n FROM (SELECT * FROM candidates QUALIFY place = min(place) OVER (PARTITION BY from_id, callee)))
+UNION ALL SELECT from_id, 'external:' || callee, 'calls', 0.0, 'external', 'no symbol of that name' FROM located WHERE callee NOT IN (SELECT name FROM indexed)""",
         "lines": LINES.format(documents="documents", conversations="conversations", each=", LATERAL (SELECT generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS k, unnest(string_split(coalesce(text, ''), chr(10))) AS line)"),
         "captures": "SELECT concat_ws(':', origin, l.id, spot, l.kind) AS capture, path, span_start + spot % loc AS line, l.kind FROM ("
         + " UNION ALL ".join(f"SELECT *, '{k}' AS kind FROM lines WHERE regexp_matches(line, '{WORD.format(v)}')" for k, v in KEYWORDS.items())

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as S
 from loomgraph.operators import analysis as A
 from loomgraph.operators import baskets as B
+from loomgraph.operators import factored as C
 from loomgraph.operators import graph as G
+from loomgraph.operators import imports as I
 from loomgraph.operators import linking as L
 from loomgraph.operators import mining as M
 from loomgraph.operators import patterns as P
@@ -435,6 +437,36 @@ def _(t):
     return rounded(G.tree(t.edges, t.symbols.select("id", "qualified"), START, DEPTH, reverse=True, unique=True), "path_conf")
 
 
+@query("import_scopes", "SELECT path, import, scope FROM imports JOIN (SELECT import, scope FROM import_sides WHERE scope IN (SELECT scope FROM file_scopes) QUALIFY row_number() OVER (PARTITION BY import ORDER BY length DESC, side) = 1) USING (import)")
+def _(t):
+    return I.import_scopes(t.imports, I.file_scopes(t.indexed))
+
+
+@query("link_scoped", "SELECT from_id, to_id, confidence::DOUBLE AS confidence, scope, reason FROM scoped")
+def _(t):
+    return t.scoped.select("from_id", "to_id", "confidence", "scope", "reason")
+
+
+@query("scoped_precision", "SELECT (SELECT count(*) FROM scoped WHERE confidence >= 0.7) AS found, (SELECT count(*) FROM scoped e JOIN true_calls t ON t.from_id = e.from_id AND t.to_id = e.to_id WHERE e.confidence >= 0.7) AS correct, (SELECT count(*) FROM true_calls) AS wanted")
+def _(t):
+    return A.precision(t.scoped, t.true_calls)
+
+
+@query("fan_counts_factored", "SELECT id, fanin, fanout FROM fans")
+def _(t):
+    return C.fan_counts(t.factored)
+
+
+@query("link_factored", "SELECT from_id, to_id, kind, confidence FROM edges")
+def _(t):
+    return C.expand(t.factored)
+
+
+for _name, _conf, _back in (("paths_reachable", 0.0, False), ("paths_min_conf", LEAST_CONF, False), ("callers_reachable", 0.0, True)):
+    query(f"{_name}_factored")(lambda t, c=_conf, r=_back: rounded(C.reachable(t.factored, START, DEPTH, c, r), "path_conf"))
+    ORACLES[f"{_name}_factored"] = ORACLES[_name]
+
+
 _TOUCHED = "SELECT DISTINCT h.sha, s.id FROM hunks h JOIN indexed s ON s.path = h.path AND h.new_start <= s.span_end AND h.new_start + greatest(h.new_len - 1, 0) >= s.span_start"
 
 
