@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -49,9 +50,14 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that only finished work refers to: Spark deletes them once the driver has collected garbage, which on an idle driver may take long."""
-    gc.collect()  # what Python still refers to, the driver's JVM keeps
-    spark._jvm.System.gc()
+    """Let go of shuffle files that only finished work refers to: Spark deletes them once the driver has collected garbage, which on an idle driver may take long.
+
+    What a first collection frees lets others go, some a moment later, so there are several.
+    """
+    for _ in range(3):
+        gc.collect()  # what Python still refers to, the driver's JVM keeps
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ship(spark: SparkSession) -> None:
