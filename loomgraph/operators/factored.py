@@ -8,6 +8,7 @@ each name, and from there to candidates: two joins on equality, no row for each
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,41 @@ def link(calls: DataFrame, symbols: DataFrame) -> Calls:
     return Calls(callers, both.join(asked, ["name", "scope"], "left_semi").select("name", "scope", "id"))
 
 
+def _not_in(rows: DataFrame, others: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that ``others`` don't have, nulls being equal."""
+    names = [f"__{c}" for c in columns]
+    keys = others.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True))).distinct()
+    return rows.join(keys, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(columns, names, strict=True))), "left_anti")
+
+
+def relink(old: Calls, calls: DataFrame, symbols: DataFrame, calls_before: DataFrame, symbols_before: DataFrame) -> Calls:
+    """What :func:`link` gives for ``calls`` and ``symbols``, from what it gave for those before.
+
+    Only calls whose outcome can differ are linked again: new ones, those of names that gained or
+    lost a symbol (one candidate may have become several, or one again), and those of callers
+    that are new, gone or of another language. All other rows are kept as they are.
+    """
+    both, pair = ["id", "name", "lang"], ["from_id", "callee"]
+    now, then = symbols.select(*both).distinct(), symbols_before.select(*both).distinct()
+    moved = materialize(_not_in(now, then, both).unionByName(_not_in(then, now, both)), "moved")
+    calls = calls.select(*pair).distinct()
+    fresh, gone = _not_in(calls, calls_before, pair), _not_in(calls_before.select(*pair).distinct(), calls, pair)
+    names, ids = moved.select(F.col("name").alias("callee")).distinct(), moved.select(F.col("id").alias("from_id")).distinct()
+    again = materialize(fresh.unionByName(calls.join(names, "callee", "left_semi").select(*pair)).unionByName(calls.join(ids, "from_id", "left_semi").select(*pair)).distinct(), "again")
+    gone = materialize(gone, "gone")
+    # callers' languages, and all symbols of the names in question
+    asked = again.select(F.col("callee").alias("name")).distinct()
+    near = symbols.join(asked, "name", "left_semi").select(*both).unionByName(symbols.join(again.select(F.col("from_id").alias("id")).distinct(), "id", "left_semi").select(*both)).distinct()
+    part = link(again, near)
+    done = again.unionByName(gone).select("from_id", F.col("callee").alias("name"))
+    callers = materialize(_not_in(old.callers, done, ["from_id", "name"]).unionByName(part.callers), "callers")
+    touched = done.select("name").unionByName(moved.select("name")).distinct()
+    wanted = callers.where("n > 0").join(touched, "name", "left_semi").select("name", "scope").distinct()
+    own = symbols.join(touched, "name", "left_semi").select("name", "id", F.explode(F.array("lang", F.lit(ANYWHERE))).alias("scope"))
+    candidates = old.candidates.join(touched, "name", "left_anti").select("name", "scope", "id").unionByName(own.join(wanted, ["name", "scope"], "left_semi").select("name", "scope", "id"))
+    return Calls(callers, candidates)
+
+
 def expand(calls: Calls) -> DataFrame:
     """(from_id, to_id, kind, confidence): the edges themselves."""
     inside = calls.callers.where("n > 0").join(calls.candidates, ["name", "scope"]).select("from_id", F.col("id").alias("to_id"), "confidence")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars
-from loomgraph.operators import analysis, graph, linking, mining, spans
+from loomgraph.operators import analysis, factored, graph, linking, mining, spans
 from loomgraph.render import trees
+from loomgraph.runtime import discard, materialize
 from loomgraph.sources import config, diffs, extract, files
 from loomgraph.sources.git import Repository
 from loomgraph.sources.store import Store
@@ -64,7 +65,7 @@ class Engine:
             hunks = self.store.read("hunks")
         symbols = self._symbols(parsed)
         calls = self._calls(parsed, symbols)
-        edges = linking.merge_edges(linking.link(calls, symbols))
+        edges = self._link(calls, symbols, had and self.store.has("callers"))
         imports = linking.import_edges(parsed.select("path", F.explode("imports").alias("import")))
         self.store.write("edges", edges.unionByName(linking.contains_edges(symbols)).unionByName(imports))
         captures = parsed.select("path", F.explode("patterns").alias("p")).select("path", "p.kind", "p.line")
@@ -103,6 +104,17 @@ class Engine:
         calls = parsed.select("path", F.explode("calls").alias("c")).select("path", "c.callee", "c.line").distinct()
         return spans.enclosing(calls, symbols, ["path", "line", "callee"]).select(F.col("id").alias("from_id"), "callee").distinct()
 
+    def _link(self, calls: DataFrame, symbols: DataFrame, again: bool) -> DataFrame:
+        """Call edges; with ``again`` only what changed since the stored ones is linked."""
+        read = self.store.read
+        own = materialize(symbols.select("id", "name", "lang"), "linked-symbols")
+        raw = materialize(calls, "linked-calls")
+        linked = factored.relink(factored.Calls(read("callers"), read("candidates")), raw, own, read("linked_calls"), read("linked_symbols")) if again else factored.link(raw, own)
+        self.store.write_all({"callers": linked.callers, "candidates": linked.candidates, "linked_calls": raw, "linked_symbols": own})
+        discard(own)
+        discard(raw)
+        return factored.expand(factored.Calls(read("callers"), read("candidates")))
+
     # -------------------------------------------------------------- queries
 
     def symbols(self) -> DataFrame:

@@ -462,6 +462,15 @@ def _(t):
     return C.expand(t.factored)
 
 
+@query("link_incremental", "SELECT from_id, to_id, kind, confidence FROM edges")
+def _(t):
+    """From the symbols and calls of three languages to those of all."""
+    calls, symbols = t.raw_calls, t.indexed.select("id", "name", "lang")
+    then = symbols.where("lang in ('go', 'rust', 'python')")
+    said = calls.join(then.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    return C.expand(C.relink(C.link(said, then), calls, symbols, said, then))
+
+
 for _name, _conf, _back in (("paths_reachable", 0.0, False), ("paths_min_conf", LEAST_CONF, False), ("callers_reachable", 0.0, True)):
     query(f"{_name}_factored")(lambda t, c=_conf, r=_back: rounded(C.reachable(t.factored, START, DEPTH, c, r), "path_conf"))
     ORACLES[f"{_name}_factored"] = ORACLES[_name]

@@ -40,6 +40,35 @@ def test_factored_edges_are_the_edges(spark, seed):
         assert near(got) == near(want)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_relinking_what_changed_gives_the_full_build(spark, seed):
+    """Random symbols and calls come, go and change language."""
+    rng = random.Random(seed)
+    frames = lambda s, c: (spark.createDataFrame(c, "from_id string, callee string"), spark.createDataFrame([(a, b, d) for a, b, _, d in s], "id string, name string, lang string"))
+    symbols, calls, _ = random_program(seed)
+    state, old = frames(symbols, calls), None
+    old = factored.link(*state)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for _ in range(2):
+        symbols = [(a, b, p, rng.choice(["go", "rust"]) if rng.random() < 0.1 else x) for a, b, p, x in symbols if rng.random() > 0.1]
+        symbols += [(f"t{rng.randrange(1000)}", f"n{rng.randrange(11)}", "p", "python")]
+        calls = [c for c in calls if rng.random() > 0.1] + [(rng.choice(symbols)[0], f"n{rng.randrange(12)}") for _ in range(6)]
+        after = frames(symbols, calls)
+        new = factored.relink(old, *after, *state)
+        want = factored.link(*after)
+        assert rows(new.callers.select(*want.callers.columns)) == rows(want.callers)
+        assert rows(new.candidates.select(*want.candidates.columns)) == rows(want.candidates)
+        state, old = after, new
+
+
+def test_nothing_is_linked_again_without_a_change(spark):
+    symbols, calls, _ = random_program(5)
+    state = spark.createDataFrame(calls, "from_id string, callee string"), spark.createDataFrame([(a, b, d) for a, b, _, d in symbols], "id string, name string, lang string")
+    old = factored.link(*state)
+    marked = factored.Calls(old.callers.withColumn("confidence", F.lit(-1.0)), old.candidates)
+    assert factored.relink(marked, *state, *state).callers.where("confidence >= 0").count() == 0
+
+
 def test_a_hot_name_is_no_product(spark):
     """10,000 callers and 10,000 symbols of one name: 100 million edges, 20,000 rows."""
     n = 10_000
