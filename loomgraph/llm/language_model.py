@@ -143,7 +143,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    found = docs.select("held_out", "text").mapInArrow(run, "word long, form int, n long, everywhere long")
+    found = docs.select("held_out", "text").mapInArrow(shared.thrifty(run), "word long, form int, n long, everywhere long")
     return found.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"), F.sum("everywhere").alias("everywhere"))
 
 
@@ -352,7 +352,7 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
     tasks = max(context.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
-    return docs.select("text").coalesce(tasks).mapInArrow(run, "block int, sums binary")
+    return docs.select("text").coalesce(tasks).mapInArrow(shared.thrifty(run), "block int, sums binary")
 
 
 def _update(sums: DataFrame, voc: Vocabulary, state: DataFrame | None, step: float) -> DataFrame:
@@ -394,7 +394,7 @@ def _update(sums: DataFrame, voc: Vocabulary, state: DataFrame | None, step: flo
     rows = sums.select("block", "sums", none.alias("occurs"), none.alias("weights"))
     if state is not None:
         rows = rows.unionByName(state.select("block", none.alias("sums"), "occurs", "weights"))
-    return rows.repartition(blocks, "block").mapInArrow(run, "block int, occurs binary, weights binary")
+    return rows.repartition(blocks, "block").mapInArrow(shared.thrifty(run), "block int, occurs binary, weights binary")
 
 
 def learn(docs: DataFrame, voc: Vocabulary, steps: tuple[float, ...] = STEPS) -> Model:
@@ -437,7 +437,7 @@ def _score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 row += b - a
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "held_out", "text").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, head_log double, class_log double, rare array<long>")
+    return docs.select("id", "held_out", "text").mapInArrow(shared.thrifty(run), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, head_log double, class_log double, rare array<long>")
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 10, fold: int = 0, head: int = HEAD, steps: tuple[float, ...] = STEPS) -> DataFrame:

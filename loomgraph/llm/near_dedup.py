@@ -148,7 +148,7 @@ def _sketch(docs: DataFrame, kind: str) -> DataFrame:
                 sums = [pa.array((h[first[1:]] - h[first[:-1]]).view(np.int64)) for h in (h1, h2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(size), *sums, pa.array(bands, pa.binary())], names=["id", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, bands binary")
+    return docs.mapInArrow(shared.thrifty(run), f"id {kind}, n long, h1 long, h2 long, bands binary")
 
 
 def _explode_bands(reps: DataFrame, kind: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _explode_bands(reps: DataFrame, kind: str) -> DataFrame:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS))), pa.array(keys)], names=["rep", "band"])
 
-    return reps.select("rep", "bands").mapInArrow(run, f"rep {kind}, band long")
+    return reps.select("rep", "bands").mapInArrow(shared.thrifty(run), f"rep {kind}, band long")
 
 
 class Block:
@@ -253,7 +253,7 @@ def _label(rows: DataFrame, key: str, kind: str, percent: int) -> DataFrame:
                 least[r] = min(least.get(r, i), i)
             yield pa.RecordBatch.from_arrays([table["grp"].combine_chunks(), table["rep"].combine_chunks(), pa.array([least[r] for r in block.root.tolist()], table["rep"].type)], names=["grp", "rep", "label"])
 
-    return rows.select("grp", key, "rep", "set", "sign").repartition("grp", key).sortWithinPartitions("grp", key).mapInArrow(run, f"grp {kind}, rep {kind}, label {kind}")
+    return rows.select("grp", key, "rep", "set", "sign").repartition("grp", key).sortWithinPartitions("grp", key).mapInArrow(shared.thrifty(run), f"grp {kind}, rep {kind}, label {kind}")
 
 
 def _answer(rows: DataFrame, kind: str, percent: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _answer(rows: DataFrame, kind: str, percent: int) -> DataFrame:
                 a, b = zip(*sorted(ties), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, table["rep"].type), pa.array(b, table["rep"].type)], names=["a", "b"])
 
-    return rows.select("grp", "cell", "part", "rep", "label", "set", "sign").repartition("grp", "cell").sortWithinPartitions("grp", "cell").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.select("grp", "cell", "part", "rep", "label", "set", "sign").repartition("grp", "cell").sortWithinPartitions("grp", "cell").mapInArrow(shared.thrifty(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -303,7 +303,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(4)), pa.array(sets, pa.binary()), pa.array([r.tobytes() for r in signs], pa.binary())], names=["grp", "rep", "n_blocks", "block", "set", "sign"])
 
     texts = docs.join(member, docs["id"] == member["rep"]).select("grp", "rep", "n_blocks", "block", "text")
-    full = texts.mapInArrow(load_sets, f"grp {kind}, rep {kind}, n_blocks int, block int, set binary, sign binary")
+    full = texts.mapInArrow(shared.thrifty(load_sets), f"grp {kind}, rep {kind}, n_blocks int, block int, set binary, sign binary")
     full = shared.materialize(full, "sets")
     labels = shared.materialize(_label(full, "block", kind, percent), "labels")
     labels = _join_blocks(full, labels, kind, percent, block)

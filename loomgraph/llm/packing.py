@@ -61,7 +61,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_token: int = 2, id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *cols], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(shared.thrifty(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -188,7 +188,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, bins:
             yield pdf.drop(columns=["rank"]).assign(sequence_id=out)
 
     columns = [f"`{c}` {t}" for c, t in cut.dtypes]
-    cells = cut.mapInArrow(class_of, ", ".join([*columns, "class int"])).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col), F.col("start"), F.col("ids_crc32")), F.lit(groups)))
+    cells = cut.mapInArrow(shared.thrifty(class_of), ", ".join([*columns, "class int"])).withColumn("cell", F.pmod(F.xxhash64(F.col(id_col), F.col("start"), F.col("ids_crc32")), F.lit(groups)))
     sizes = cells.groupBy("class", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

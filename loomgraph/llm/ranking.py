@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import statistics, textkit
+from loomgraph.llm import shared, statistics, textkit
 
 #: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 16_000
 #: Buckets of words and word pairs. With ``MOST_LABELLED``, it bounds what is learnt from: two bytes a bucket and document.
-BUCKETS = 2048
+BUCKETS = 1024
 #: Documents of the other label that each document of the more frequent label is paired with.
 PARTNERS = 16
 
@@ -157,7 +157,9 @@ def fit(x: np.ndarray, label: np.ndarray, words: list[bytes] | None = None, part
             break
     s, v = z @ w, np.zeros(BUCKETS)
     if words:
-        rows = np.frombuffer(b"".join(words), np.float16).reshape(len(words), BUCKETS).astype(np.float32)
+        rows = np.empty((len(words), BUCKETS), np.float32)
+        for i, row in enumerate(words):
+            rows[i] = np.frombuffer(row, np.float16)
         v = fit_words(rows, met, s)
         s = s + rows @ v.astype(np.float32)
     # the bar: the quantile of all scores at which labels and decisions differ least, halfway to the next score
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(model.score_texts(data, offs))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(shared.thrifty(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def accept(docs: DataFrame, model: Ranking, bar: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -196,7 +198,7 @@ def accept(docs: DataFrame, model: Ranking, bar: float = 0.5, text_col: str = "t
             for a, b, data, offs in textkit.slices(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(model.score_texts(data, offs) >= bar))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(shared.thrifty(run), docs.schema)
 
 
 def remainder(column: str, divisor: int) -> F.Column:

@@ -140,7 +140,7 @@ def common_grams(docs: DataFrame, length: int) -> np.ndarray:
         if held:
             yield report(held)
 
-    many = docs.select("text").mapInArrow(run, "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("gram").isNull() | (F.col("k") >= COMMON))
+    many = docs.select("text").mapInArrow(shared.thrifty(run), "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("gram").isNull() | (F.col("k") >= COMMON))
     many = shared.materialize(many, "grams")
     total = many.where("gram is null").first()
     bar = max(COMMON, (total["k"] if total else 0) * COMMON_SHARE)
@@ -192,7 +192,7 @@ def _contexts(docs: DataFrame, length: int, common: np.ndarray) -> DataFrame:
                 cols[4] = cols[4].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "id", "tag", "place", "n"])
 
-    return docs.select("id", "tag", "text").mapInArrow(run, "gram long, id long, tag long, place long, n int")
+    return docs.select("id", "tag", "text").mapInArrow(shared.thrifty(run), "gram long, id long, tag long, place long, n int")
 
 
 def _meet(rows: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _meet(rows: DataFrame) -> DataFrame:
         if last is not None and last_meets:
             yield pa.RecordBatch.from_arrays([pa.array([True]), *(pa.array(c) for c in last)], names=names)
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "ask boolean, gram long, id long, tag long, place long, n int")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared.thrifty(run), "ask boolean, gram long, id long, tag long, place long, n int")
 
 
 def _cut_out(asked: DataFrame, length: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _cut_out(asked: DataFrame, length: int) -> DataFrame:
         if total:
             yield batch_of(out)
 
-    return asked.mapInArrow(run, "gram long, id long, tag long, place long, bytes binary")
+    return asked.mapInArrow(shared.thrifty(run), "gram long, id long, tag long, place long, bytes binary")
 
 
 def sorted_marks(texts: list[bytes], doc: np.ndarray, tag: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +316,7 @@ def _sort(cut: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return cut.repartition("gram").sortWithinPartitions("gram", "id", "tag", "place").mapInArrow(run, "id long, tag long, place long, n int")
+    return cut.repartition("gram").sortWithinPartitions("gram", "id", "tag", "place").mapInArrow(shared.thrifty(run), "id long, tag long, place long, n int")
 
 
 def covered(n_bytes: int, marks: list[dict] | None, length: int) -> np.ndarray:
@@ -346,7 +346,7 @@ def _apply(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(digest, pa.string()), pa.array(kept_text, pa.string()), *(batch.column(i) for i in range(4, batch.num_columns))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[4:]])
 
     extra = "".join(f", `{c}` {t}" for c, t in joined.dtypes[4:])
-    return joined.mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string{extra}")
+    return joined.mapInArrow(shared.thrifty(run), f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string{extra}")
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_columns: bool = False) -> DataFrame:
@@ -384,7 +384,7 @@ def _packed(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     fields = ", ".join(f"`{c}` {'binary' if c == 'text' else t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, fields).repartition(parts, "id", "tag")
+    return docs.mapInArrow(shared.thrifty(run), fields).repartition(parts, "id", "tag")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import textkit
+from loomgraph.llm import shared, textkit
 
 
 def _table(characters: str) -> np.ndarray:
@@ -139,7 +139,7 @@ def map_statistics(df: DataFrame, id_col: str, text_col: str, schema: str, make:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *make(statistics(data, offs))], names=["id", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(shared.thrifty(run), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str, test: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None, more: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> tuple[np.ndarray, ...]:
@@ -163,7 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
                 yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array(list(features(stats)), pa.list_(pa.float64())), pa.array(failed), pa.array(made, pa.binary())], names=["label", "id", "tag", "x", "failed", "more"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = found.mapInArrow(run, f"label long, id {kind}, tag long, x array<double>, failed boolean, more binary")
+    rows = found.mapInArrow(shared.thrifty(run), f"label long, id {kind}, tag long, x array<double>, failed boolean, more binary")
     # one row for each id before any of them comes here
     rows = rows.groupBy("id").agg(F.min(F.struct("tag", "label", "x", "failed", "more")).alias("r")).select("id", "r.label", "r.x", "r.failed", *(["r.more"] if more else []))
     rows = rows.toPandas().sort_values("id")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm import textkit, transducer, wordbpe
+from loomgraph.llm import shared, textkit, transducer, wordbpe
 
 CHUNK = 1 << 16
 
@@ -168,5 +168,5 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(shared.thrifty(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
