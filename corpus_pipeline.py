@@ -15,6 +15,7 @@ from loomgraph.llm import contamination, near_dedup, packing, ranking, registry,
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones, accepts."""
+    shared.small_batches(spark)
     return ranking.accept(docs, ranking.learn(docs, shared.read_table(spark, sf_dir, "labels")))
 
 
