@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def _trim() -> None:
     """Give memory that is free in this process back to the machine, where the C library can."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
