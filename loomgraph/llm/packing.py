@@ -36,6 +36,8 @@ GAP = 0.0005
 STALL = 150
 #: Lengths are multiples of this in the knapsack.
 UNIT = 4
+#: Bytes of text that a task cuts into tokens at a time (a longer text alone): each takes some 60 bytes of memory on the way.
+SLICE = 1 << 20
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_token: int = 2, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -44,7 +46,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_token: int = 2, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer.load(tokenizer_path)
         for batch in batches:
-            for a, b, data, offs in textkit.slices(batch.column(1), 1 << 22):
+            for a, b, data, offs in textkit.slices(batch.column(1), SLICE):
                 raw, edge = data.tobytes(), offs.tolist()
                 texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(edge, edge[1:], strict=False)]
                 row, start, length, crc, total = [], [], [], [], []
