@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import factored, graph, imports, linking
+from loomgraph.plans import adapter
 
 
 def random_program(seed, n=40):
@@ -141,3 +142,15 @@ def test_linking_nothing(spark):
     told = spark.createDataFrame([("p", None)], "path string, import string")
     assert [tuple(r)[1:4] for r in imports.link(raw, none, told).collect()] == [("external:f", "calls", 0.0)]
     assert factored.expand(factored.link(raw.where("false"), none)).collect() == []
+
+
+def test_imports_of_line_items_alike_do_not_go_by_the_order_of_rows(spark, tmp_path):
+    """Two first line items of one part: the one with flag R goes first, so its file imports itself."""
+    parts = [(1, "a", "Brand#9", "STANDARD", 100.0, 5), (2, "b", "Brand#8", "SMALL", 100.0, 5)]
+    items = [(7, 1, 1, "N"), (7, 1, 1, "R"), (7, 2, 2, "N")]
+    for at, rows in enumerate((items, items[::-1])):
+        folder = str(tmp_path / str(at))
+        spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double, p_size int").write.parquet(f"{folder}/part.parquet")
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+        got = adapter.Tables(spark, folder).imports.collect()
+        assert [tuple(r) for r in got] == [("src/Brand#9/standard.rs", "crate::src::Brand#9::standard")]
