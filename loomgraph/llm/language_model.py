@@ -52,7 +52,8 @@ PAIR_ROWS = CLASSES * CLASSES
 TOKENS_A_ROW, LEAST_WORD_ROWS, MOST_WORD_ROWS = 1024, 1024, 65_536
 #: How much of the whole step each round of updates takes, and how much of the prior expectation is added to both sides of every ratio.
 STEPS, PRIOR, STEEPEST = (0.5, 0.25), 20.0, 10.0
-BATCH, SMOOTH = 16_384, 0.1
+#: Tokens whose outcomes are worked out together: arrays of up to 2 MB, which the C library reuses; larger ones are mapped anew each time.
+BATCH, SMOOTH = 4096, 0.1
 ROWS_A_BLOCK = 2048
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 20
@@ -266,36 +267,34 @@ def outcomes(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sums:
-    """Of one task: columns x rows of both tables, the slots' rows after the classes'."""
+    """Of one task: rows of both tables, the slots' rows after the classes', x columns."""
 
     offsets: np.ndarray
     width: int
 
     def __post_init__(self) -> None:
-        # counts of what occurs are whole numbers; what is expected is summed in batches of doubles before it is added
-        self.table = np.zeros((self.width, int(self.offsets[-1])), np.float32 if self.width == CLASSES else np.uint32)
+        # counts of what occurs are whole numbers; what is expected is summed in batches before it is added
+        self.table = np.zeros((int(self.offsets[-1]), self.width), np.float32 if self.width == CLASSES else np.uint32)
 
     def observed(self, x: Features) -> None:
         """How often each feature goes with each outcome, and how often the slots' features go with each group."""
         flat, size, one = self.table.reshape(-1), self.table.shape[1], self.table.dtype.type(1)
         for k in range(x.rows.shape[1]):
-            np.add.at(flat, x.kind * size + x.rows[:, k], one)
+            np.add.at(flat, x.rows[:, k] * size + x.kind, one)
         group = x.kind[x.within] - END_CLASS - 1 + CLASSES
         for k in range(x.slot_rows.shape[1]):
-            row = self.offsets[4] + x.slot_rows[:, k]
-            np.add.at(flat, x.slot * size + row, one)
-            np.add.at(flat, group * size + row, one)
+            row = (self.offsets[4] + x.slot_rows[:, k]) * size
+            np.add.at(flat, row + x.slot, one)
+            np.add.at(flat, row + group, one)
 
     def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
         """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
-        columns = chances.T.astype(np.float64, order="C")
+        base, values, column = int(self.offsets[part]), chances.astype(np.float64).reshape(-1), np.arange(CLASSES)
         for k in range(rows.shape[1]):
-            key = rows[:, k]
-            low = int(key.min())
-            key, size = key - low, int(key.max()) - low + 1
-            begin = low + (int(self.offsets[4]) if part else 0)
-            for c in range(len(columns)):
-                self.table[c, begin : begin + size] += np.bincount(key, columns[c], size)
+            code, key = pd.factorize(rows[:, k])
+            found = np.zeros((len(key), CLASSES))
+            np.add.at(found.reshape(-1), (code[:, None] * CLASSES + column).reshape(-1), values)
+            self.table[base + key] += found
 
 
 @dataclass
@@ -346,8 +345,8 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
                         chances = np.exp(z, out=z)
                         chances *= (1 / (chances @ ones))[:, None]
                         sums.expected(rows, chances, part)
-        for b in range(-(-sums.table.shape[1] // ROWS_A_BLOCK)):
-            part = sums.table[:, b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
+        for b in range(-(-len(sums.table) // ROWS_A_BLOCK)):
+            part = sums.table[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
@@ -362,7 +361,7 @@ def _update(sums: DataFrame, voc: Vocabulary, state: DataFrame | None, step: flo
     class_share, slot_share = voc.class_share, voc.slot_share
 
     def finish(b: int, sums: np.ndarray, occurs: np.ndarray | None, weights: np.ndarray | None) -> pa.RecordBatch:
-        sums = sums.reshape(-1, min(ROWS_A_BLOCK, size - b * ROWS_A_BLOCK)).T
+        sums = sums.reshape(min(ROWS_A_BLOCK, size - b * ROWS_A_BLOCK), -1)
         of_class = (np.arange(len(sums)) + b * ROWS_A_BLOCK < split)[:, None]
         share = np.where(of_class, class_share, 1 / CLASSES)
         if occurs is None:  # weights of 0: the bias is all that says what to expect

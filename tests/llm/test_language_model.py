@@ -158,3 +158,20 @@ def test_learning_helps_on_held_out_rows(spark):
     rows = lm.score_documents(docs).where("held_out").collect()
     gain = sum(r["score"] - r["base_score"] for r in rows) / sum(r["n_tokens"] for r in rows)
     assert gain > 0.5  # of the log10(26 / 3) = 0.94 there are
+
+
+@pytest.mark.parametrize("part", [0, 4])
+def test_expected_counts_are_sums_over_tokens(part):
+    """Each batch is added up exactly, and no array of it is so large that memory is mapped anew."""
+    rng, offsets = np.random.default_rng(part), lm.layout(1 << 20)
+    n, first = 500, offsets[part]
+    rows = np.stack([offsets[k] - first + rng.integers(0, 8, n) ** 3 for k in range(part, part + (3 if part else 4))], 1)
+    chances = rng.random((n, lm.CLASSES)).astype(np.float32)
+    sums = lm.Sums(offsets, lm.CLASSES)
+    sums.expected(rows, chances, part)
+    want = np.zeros((int(offsets[-1]), lm.CLASSES))
+    for row, chance in zip(rows, chances, strict=True):
+        for r in row:
+            want[first + r] += chance
+    assert np.array_equal(sums.table, want.astype(np.float32))
+    assert lm.BATCH * lm.CLASSES * 8 <= 1 << 21
