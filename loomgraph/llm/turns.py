@@ -67,14 +67,18 @@ def faults(rows: DataFrame) -> DataFrame:
     """``rows`` (conv_id, turn, role, text) with row (a number of its own), blank, duplicate, truncated: the first that holds."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"))
-    rows = shared.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
+    rows = numbered = shared.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
     said = rows.select("conv_id", "role", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "turn", "row")
     firsts = said.groupBy("conv_id", "role", "t1", "t2").agg(F.min(F.struct(F.col("turn").isNotNull().alias("there"), "turn", "row")).alias("first"))
     again = said.select("row").join(firsts.select(F.col("first.row").alias("row")), "row", "left_anti").withColumn("again", F.lit(True))
     last = _told(F.col("text"))
     rows = rows.join(again, "row", "left").withColumn("again", F.coalesce("again", F.lit(False))).withColumn("last", last)
     blank = F.col("last") == ""
-    return rows.select("conv_id", "turn", "role", "text", "row", blank.alias("blank"), (~blank & F.col("again")).alias("duplicate"), (~blank & ~F.col("again") & ~F.col("last").isin(".", "!", "?")).alias("truncated"))
+    found = rows.select("conv_id", "turn", "role", "text", "row", blank.alias("blank"), (~blank & F.col("again")).alias("duplicate"), (~blank & ~F.col("again") & ~F.col("last").isin(".", "!", "?")).alias("truncated"))
+    # read three times: to find the ranges, to deal the rows out, and to count
+    found = shared.materialize(found, "faults")
+    shared.discard(numbered)
+    return found
 
 
 def _arcs(initial: str, fault: int, state: int) -> list[tuple[int, str, int]]:

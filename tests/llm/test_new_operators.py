@@ -302,3 +302,11 @@ def test_repair_of_empty_tables(spark):
     assert turns.repair(turns.damaged(empty), empty.select("conv_id")).collect() == []
     lost = turns.repair(empty, spark.createDataFrame([("c",)], "conv_id string")).collect()
     assert [tuple(r) for r in lost] == [("c", 0, 0, 0, 0, 0, 0, "", sha(""))]
+
+
+def test_faults_are_found_once(spark):
+    """What comes after reads them from a table instead of joining the rows with their repetitions again."""
+    rows = spark.createDataFrame([(1, 0, "user", "a."), (1, 1, "user", "a."), (1, 2, "assistant", "b")], "conv_id long, turn int, role string, text string")
+    found = turns.faults(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["turn"], r["blank"], r["duplicate"], r["truncated"]) for r in found.collect()) == [(0, False, False, False), (1, False, True, False), (2, False, False, True)]
