@@ -130,7 +130,7 @@ def common_grams(docs: DataFrame, length: int) -> np.ndarray:
 
         held, size = [], 0
         for batch in batches:
-            for _, _, data, offs in textkit.slices(batch.column(0), 1 << 22):
+            for _, _, data, offs in textkit.slices(batch.column(0), 1 << 20):
                 gram, context, *_ = contexts(data, offs, length)
                 held.append((gram, context))
                 size += len(gram)

@@ -22,6 +22,8 @@ FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of text that a task looks at together, if not said otherwise: what it holds for them is some fifty to a hundred times as much.
+SLICE = 1 << 19
 
 _powers: list[np.ndarray] = []
 
@@ -61,7 +63,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * inv[start]
 
 
-def slices(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, max_bytes: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of whole texts of about ``max_bytes``; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
