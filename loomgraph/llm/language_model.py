@@ -52,11 +52,11 @@ PAIR_ROWS = CLASSES * CLASSES
 TOKENS_A_ROW, LEAST_WORD_ROWS, MOST_WORD_ROWS = 1024, 1024, 65_536
 #: How much of the whole step each round of updates takes, and how much of the prior expectation is added to both sides of every ratio.
 STEPS, PRIOR, STEEPEST = (0.5, 0.25), 20.0, 10.0
-#: Tokens whose outcomes are worked out together: arrays of up to 2 MB, which the C library reuses; larger ones are mapped anew each time.
-BATCH, SMOOTH = 4096, 0.1
+#: Tokens whose outcomes are worked out together: arrays of up to half a MB, which stay in a processor's cache.
+BATCH, SMOOTH = 1024, 0.1
 ROWS_A_BLOCK = 2048
-#: Bytes of text that a task looks at together.
-SLICE = 1 << 20
+#: Bytes of text that a task looks at together, and that it cuts into words at a time: arrays of up to 2 MB, which the C library reuses; larger ones are mapped anew each time.
+SLICE, PIECE = 1 << 18, 1 << 17
 #: Every task sends its sums of the whole table: files are learnt from together, up to about so many tokens.
 TOKENS_A_TASK = 32_000_000
 #: Word counts that a task holds before it sends them on.
@@ -72,6 +72,18 @@ def layout(tokens: int) -> np.ndarray:
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, forms, index of each text's first word)."""
+    found, first, a = [], [np.zeros(1, np.int64)], 0
+    while a < len(offs) - 1:
+        b = max(a + 1, int(np.searchsorted(offs, offs[a] + PIECE, "right")) - 1)
+        *words, begin = _tokens(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        found.append(words)
+        first.append(begin[1:] + first[-1][-1])
+        a = b
+    word, form = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return word, form, np.concatenate(first)
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s, e, first = textkit.word_spans(data, offs)
     prefix = textkit.prefix_hash(textkit.FOLDED_VALUES[data])
     word = textkit.mix(textkit.span_hash(prefix, s, e) + (e - s).astype(np.uint64))
@@ -103,16 +115,23 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
         return at, self.words[at] == word
 
+    def __post_init__(self) -> None:
+        own = np.flatnonzero(self.place >= 0)  # a small table, which stays in the processor's cache
+        self.placed, self.their_place = np.append(self.words[own], np.uint64(0)), np.append(self.place[own], -1)
+
+    def outcomes(self, word: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, slot or -1) of each word."""
+        at = np.searchsorted(self.placed[:-1], word)  # beyond the end is the last one, which has no place
+        place = np.where(self.placed[at] == word, self.their_place[at], -1)
+        slot = np.where(place > END_CLASS, place - END_CLASS - 1, OWN_SLOTS + (word % np.uint64(SHARED_SLOTS)).astype(np.int64))
+        single = (place >= 0) & (place < END_CLASS)
+        return np.where(single, place, END_CLASS + 1 + form), np.where(single, -1, slot)
+
     def classes(self, word: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(class, slot or -1, place in the head, whether it is there) of each word."""
         code, uniq = pd.factorize(word)  # far fewer look-ups
-        uniq = uniq.astype(np.uint64)
-        at, found = self.look_up(uniq)
-        place = np.where(found, self.place[at] if len(self.place) else -1, -1)
-        slot = np.where(place > END_CLASS, place - END_CLASS - 1, OWN_SLOTS + (uniq % np.uint64(SHARED_SLOTS)).astype(np.int64))
-        single = (place >= 0) & (place < END_CLASS)
-        kind = np.where(single[code], place[code], END_CLASS + 1 + form)
-        return kind, np.where(single, -1, slot)[code], at[code], found[code]
+        at, found = self.look_up(uniq.astype(np.uint64))
+        return *self.outcomes(word, form), at[code], found[code]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -257,11 +276,12 @@ def folded(voc: Vocabulary, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def outcomes(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each token: unnormalised log probabilities (base e). Weights are at most STEEPEST, so no exponential overflows."""
-    z = np.take(table, rows[:, 0], axis=0, mode="clip")
+def outcomes(table: np.ndarray, rows: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each token, in the first part of ``room``: unnormalised log probabilities (base e). Weights are at most STEEPEST, so no exponential overflows."""
+    z, more = room[:, : len(rows)]
+    np.take(table, rows[:, 0], axis=0, mode="clip", out=z)
     for k in range(1, rows.shape[1]):
-        z += np.take(table, rows[:, k], axis=0, mode="clip")
+        z += np.take(table, rows[:, k], axis=0, mode="clip", out=more)
     return z
 
 
@@ -273,12 +293,21 @@ class Sums:
     width: int
 
     def __post_init__(self) -> None:
-        # counts of what occurs are whole numbers; what is expected is summed in batches before it is added
-        self.table = np.zeros((int(self.offsets[-1]), self.width), np.float32 if self.width == CLASSES else np.uint32)
+        # counts of what occurs are whole numbers
+        self.places, self.values = np.empty((BATCH, CLASSES // 2), np.int64), np.empty((BATCH, CLASSES))
+        self.exact = np.zeros((int(self.offsets[-1]), self.width), np.float64 if self.width == CLASSES else np.uint32)
+
+    @property
+    def table(self) -> np.ndarray:
+        return self.rows(0, len(self.exact))
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """As they are sent."""
+        return self.exact[a:b].astype(np.float32)
 
     def observed(self, x: Features) -> None:
         """How often each feature goes with each outcome, and how often the slots' features go with each group."""
-        flat, size, one = self.table.reshape(-1), self.table.shape[1], self.table.dtype.type(1)
+        flat, size, one = self.exact.reshape(-1), self.exact.shape[1], self.exact.dtype.type(1)
         for k in range(x.rows.shape[1]):
             np.add.at(flat, x.rows[:, k] * size + x.kind, one)
         group = x.kind[x.within] - END_CLASS - 1 + CLASSES
@@ -289,12 +318,15 @@ class Sums:
 
     def expected(self, rows: np.ndarray, chances: np.ndarray, part: int) -> None:
         """How often the model expects it, for rows of one table; ``part`` is its first part in the layout."""
-        base, values, column = int(self.offsets[part]), chances.astype(np.float64).reshape(-1), np.arange(CLASSES)
-        for k in range(rows.shape[1]):
-            code, key = pd.factorize(rows[:, k])
-            found = np.zeros((len(key), CLASSES))
-            np.add.at(found.reshape(-1), (code[:, None] * CLASSES + column).reshape(-1), values)
-            self.table[base + key] += found
+        half = CLASSES // 2
+        flat, column = self.exact.reshape(-1).view(np.complex128), np.arange(half)  # two columns go as one complex number: half as many places to name
+        for a in range(0, len(rows), BATCH):
+            mine = rows[a : a + BATCH]
+            values, places = self.values[: len(mine)], self.places[: len(mine)]
+            values[:] = chances[a : a + BATCH]
+            for k in range(mine.shape[1]):
+                np.add(((mine[:, k] + self.offsets[part]) * half)[:, None], column, out=places)
+                np.add.at(flat, places.reshape(-1), values.reshape(-1).view(np.complex128))
 
 
 @dataclass
@@ -303,13 +335,14 @@ class Model:
     table: np.ndarray  # weights of both tables, with the biases
 
     def blocks(self, x: Features) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first part of the table, tokens, rows, unnormalised log probabilities) of the classes of all tokens and then of the slots of those in groups; tokens with one word before come together, so few rows are in use at a time."""
-        split = self.voc.offsets[4]
+        """(first part of the table, tokens, rows, unnormalised log probabilities) of the classes of all tokens and then of the slots of those in groups; tokens with one word before come together, so few rows are in use at a time. The last array is written over by the next block."""
+        split, room = self.voc.offsets[4], np.empty((2, BATCH, CLASSES), np.float32)
         for part, rows, table in ((0, x.rows, self.table[:split]), (4, x.slot_rows, self.table[split:])):
             order = np.argsort(rows[:, 0].astype(np.uint16), kind="stable")  # no more than MOST_WORD_ROWS: short keys sort by radix
             for a in range(0, len(rows), BATCH):
                 at = order[a : a + BATCH]
-                yield part, at, rows[at], outcomes(table, rows[at])
+                mine = np.take(rows, at, axis=0)
+                yield part, at, mine, outcomes(table, mine, room)
 
     def token_logs(self, x: Features) -> np.ndarray:
         """Of each token: log10 probability of its class and slot, less the log10 of what the slot's words share."""
@@ -337,7 +370,7 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in textkit.slices(batch.column(0), SLICE):
                 word, form, first = tokens(data, offs)
-                x = features(word, *voc.classes(word, form)[:2], first, offsets)
+                x = features(word, *voc.outcomes(word, form), first, offsets)
                 if learnt is None:
                     sums.observed(x)
                 else:
@@ -345,10 +378,10 @@ def _sums(docs: DataFrame, voc: Vocabulary, model: Model | None) -> DataFrame:
                         chances = np.exp(z, out=z)
                         chances *= (1 / (chances @ ones))[:, None]
                         sums.expected(rows, chances, part)
-        for b in range(-(-len(sums.table) // ROWS_A_BLOCK)):
-            part = sums.table[b * ROWS_A_BLOCK : (b + 1) * ROWS_A_BLOCK]
+        for b in range(-(-int(offsets[-1]) // ROWS_A_BLOCK)):
+            part = sums.rows(b * ROWS_A_BLOCK, (b + 1) * ROWS_A_BLOCK)
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "sums"])
 
     tasks = max(context.defaultParallelism, -(-voc.total // TOKENS_A_TASK))
     return docs.select("text").coalesce(tasks).mapInArrow(shared.thrifty(run), "block int, sums binary")

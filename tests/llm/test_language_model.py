@@ -175,3 +175,24 @@ def test_expected_counts_are_sums_over_tokens(part):
             want[first + r] += chance
     assert np.array_equal(sums.table, want.astype(np.float32))
     assert lm.BATCH * lm.CLASSES * 8 <= 1 << 21
+
+
+def test_expected_counts_keep_what_many_batches_add():
+    """A sum over hundreds of batches is rounded once, when it is sent."""
+    rng, offsets = np.random.default_rng(7), lm.layout(0)
+    sums, want = lm.Sums(offsets, lm.CLASSES), np.zeros(lm.CLASSES)
+    for _ in range(300):
+        chances = rng.random((40, lm.CLASSES)).astype(np.float32)
+        sums.expected(np.full((40, 4), 3), chances, 0)
+        want += 4 * chances.astype(np.float64).sum(0)
+    assert np.array_equal(sums.table[3], want.astype(np.float32)) and not sums.table[4:].any()
+
+
+def test_words_do_not_depend_on_where_texts_are_cut():
+    rng = random.Random(3)
+    texts = ["", "a b", *(" ".join(rng.choice(["an", "The", "é", "ox"]) for _ in range(rng.choice([0, 1, 9000, 60_000]))) for _ in range(12))]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    word, form, first = lm.tokens(data, offs)
+    alone = [lm.tokens(data[a:b], np.array([0, b - a])) for a, b in zip(offs, offs[1:], strict=False)]
+    assert np.array_equal(word, np.concatenate([x[0] for x in alone])) and np.array_equal(form, np.concatenate([x[1] for x in alone]))
+    assert np.diff(first).tolist() == [len(t.split()) for t in texts]
