@@ -71,3 +71,17 @@ COUNTED = {
 def test_no_table_of_pairs(spark, hot, written, name):
     QUERIES[name](spark, hot).collect()
     assert written() <= 10 * N
+
+
+def test_rules_meet_sets_of_patterns(spark):
+    """3,000 rules and 3,000 symbols that all of them hold for: counted without a row for each pair."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import analysis
+
+    n = 3000
+    symbols = spark.range(n).select(F.col("id").cast("string").alias("id"), F.array(F.lit("lock"), F.lit("loop")).alias("patterns"))
+    rules = spark.range(n).select(F.col("id").cast("string").alias("name"), F.array(F.lit("loop"), F.lit("lock")).alias("patterns"), F.lit("low").alias("severity"))
+    extra = rules.limit(1).select(F.lit("none").alias("name"), F.array(F.lit("spawn")).alias("patterns"), "severity").unionByName(rules.limit(1).select(F.lit("any").alias("name"), F.array().cast("array<string>").alias("patterns"), "severity"))
+    got = analysis.custom_counts(symbols, rules.unionByName(extra))
+    assert {(r["rule"], r["n"]) for r in got.collect()} == {(str(k), n) for k in range(n)} | {("any", n)}
