@@ -73,6 +73,14 @@ def test_no_table_of_pairs(spark, hot, written, name):
     assert written() <= 10 * N
 
 
+def test_linked_rows_are_counted(spark, hot, written):
+    """90,000 rows in one class, from 300 callers, without a join that makes them."""
+    got = QUERIES["link_stats"](spark, hot)
+    assert [tuple(r) for r in got.collect()] == [("ambiguous", 0.3, N * N)]
+    assert 0 < written() <= 10 * N
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_meet_sets_of_patterns(spark):
     """3,000 rules and 3,000 symbols that all of them hold for: counted without a row for each pair."""
     from pyspark.sql import functions as F
