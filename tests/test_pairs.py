@@ -93,3 +93,41 @@ def test_rules_meet_sets_of_patterns(spark):
     extra = rules.limit(1).select(F.lit("none").alias("name"), F.array(F.lit("spawn")).alias("patterns"), "severity").unionByName(rules.limit(1).select(F.lit("any").alias("name"), F.array().cast("array<string>").alias("patterns"), "severity"))
     got = analysis.custom_counts(symbols, rules.unionByName(extra))
     assert {(r["rule"], r["n"]) for r in got.collect()} == {(str(k), n) for k in range(n)} | {("any", n)}
+
+
+@pytest.mark.parametrize("name", ["diff_lines", "diff_marks", "branch_marks", "diff_weight"])
+def test_rows_of_a_diff_meet_no_shuffle(spark, hot, name):
+    """Lines, and symbols of changed files, become rows after the last shuffle of what is grouped, not before."""
+    plan = QUERIES[name](spark, hot)._jdf.queryExecution().optimizedPlan().toString()
+    made = plan.index("Generate explode")
+    assert made < min(plan.index(x) for x in ("Aggregate", "Window") if x in plan) or name == "diff_weight" and made < plan.index("Window")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_and_marks_of_diffs_as_in_a_loop(spark, seed):
+    """Two keys, overlapping hunks, diffs without a key, files that are not told."""
+    import random
+
+    from loomgraph.operators import spans
+
+    rng = random.Random(seed)
+    hunks = [(rng.choice([1, 2, None]), rng.choice("ab"), rng.choice("fgh"), rng.randrange(1, 40), rng.randrange(4), rng.randrange(2)) for _ in range(40)]
+    symbols = [(f"s{k}", rng.choice("fgh"), a, a + rng.randrange(6)) for k, a in enumerate(rng.sample(range(1, 40), 12))]
+    told = sorted({(h[0], h[1], h[2]) for h in hunks if rng.random() < 0.8}, key=repr)
+    lines = {}
+    for pr, side, path, start, n, old in hunks:
+        for line in range(start, start + n):
+            lines[pr, side, path, line] = lines.get((pr, side, path, line), False) or old == 0
+    frame = spark.createDataFrame(hunks, "pr int, side string, path string, new_start long, new_len long, old_len long")
+    own = spark.createDataFrame(symbols, "id string, path string, span_start long, span_end long")
+    got = spans.diff_lines(frame, ("pr", "side")).collect()
+    assert {tuple(r)[:4]: r["pure"] for r in got} == lines and len(got) == len(lines)
+    want = set()
+    for pr, side, path in told:
+        for id_, own_path, a, b in symbols:
+            if own_path == path:
+                hit = [lines[pr, side, path, x] for x in range(a, b + 1) if (pr, side, path, x) in lines and pr is not None]
+                want.add((pr, side, id_, path, len(hit), sum(hit)))
+    files = spark.createDataFrame(told, "pr int, side string, path string")
+    marks = spans.diff_marks(own, spans.diff_ranges(frame, ("pr", "side")), None, ("pr", "side"), files).drop("mark").collect()
+    assert set(map(tuple, marks)) == want and len(marks) == len(want)
