@@ -131,3 +131,23 @@ def test_lines_and_marks_of_diffs_as_in_a_loop(spark, seed):
     files = spark.createDataFrame(told, "pr int, side string, path string")
     marks = spans.diff_marks(own, spans.diff_ranges(frame, ("pr", "side")), None, ("pr", "side"), files).drop("mark").collect()
     assert set(map(tuple, marks)) == want and len(marks) == len(want)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_round_trips_as_in_a_loop(spark, written, most):
+    """By broadcast and by shuffle; 60 symbols of three names in two files, no table of edges."""
+    from loomgraph.operators import factored, patterns
+
+    symbols = [(f"s{k}", f"n{k % 3}", "go", "fg"[k % 2]) for k in range(60)]
+    said = [(f"s{k}", f"n{(k + j) % 3}") for k in range(0, 60, 2) for j in (0, 1)]
+    own = spark.createDataFrame(symbols, "id string, name string, lang string, file string")
+    calls = factored.link(spark.createDataFrame(said, "from_id string, callee string"), own)
+    edges = [(a, s[0]) for a, name in said for s in symbols if s[1] == name]
+    file = {s[0]: s[3] for s in symbols}
+    onto = {}
+    for a, b in edges:
+        onto.setdefault(a, []).append(b)
+    want = sorted((file[a], a, b, c) for a, b in edges for c in onto.get(b, ()) if file[c] == file[a])
+    got = patterns.round_trips(calls, own.select("file", "id"), 0.3, most)
+    assert sorted(map(tuple, got.collect())) == want
+    assert written() <= 200 < len(edges)
