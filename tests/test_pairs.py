@@ -81,6 +81,14 @@ def test_linked_rows_are_counted(spark, hot, written):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_external_calls_of_a_repeated_id_count_once(spark):
+    from loomgraph.operators import factored
+
+    own = spark.createDataFrame([("a", "f", "go"), ("a", "f", "rust")], "id string, name string, lang string")
+    calls = factored.link(spark.createDataFrame([("a", "nowhere")], "from_id string, callee string"), own)
+    assert [tuple(r) for r in factored.stats(calls, once=False).collect()] == [("external", 0.0, 1)]
+
+
 def test_rules_meet_sets_of_patterns(spark):
     """3,000 rules and 3,000 symbols that all of them hold for: counted without a row for each pair."""
     from pyspark.sql import functions as F
